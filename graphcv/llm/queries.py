@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcv.llm import chat_rotation, sentencepiece_bpe, toxicity
+from graphcv.llm import chat_rotation, line_dedup, sentencepiece_bpe, simhash, toxicity
 from graphcv.llm.shared import documents
 
 
@@ -13,10 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     trained = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -35,11 +43,13 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
+        "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_chat_rotation": op10_chat_rotation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_rotation": chat_rotation.ORACLE}
+    return {"op8_line_dedup": line_dedup.ORACLE, "op10_chat_rotation": chat_rotation.ORACLE}

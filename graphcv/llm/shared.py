@@ -57,3 +57,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_of(column: str = "text"):
     """Null texts count as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def let(value, f):
+    """f(value) with value evaluated once: inside a lambda, a plain column would be evaluated anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

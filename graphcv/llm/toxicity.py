@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-case words hashed into 2**30 places. All labelled training rows decide which places are kept: the
-`n_features` with the largest chi-square against the label. The machine then learns, on a bounded sample of labelled
-rows, a weight for each kept place and a short vector whose products weigh pairs of places (an insult together with
-the mention of a group), and scores every document from the set of places it holds.
+Terms are lower-case words hashed into 2**30 places. On a bounded sample of labelled rows, the `n_features` places with
+the largest chi-square against the label are kept, and the machine learns a weight for each of them and a short vector
+whose products weigh pairs of places (an insult together with the mention of a group). It scores every document from
+the set of kept places that its whole text holds.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcv.llm.shared import ship
+from graphcv.llm.shared import ship, written
 
 WORD = re.compile(r"\w+")
 PLACES = 1 << 30
@@ -61,39 +61,37 @@ def machine_score(found: list[int], model) -> float:
 def train_toxicity(docs: DataFrame, labels: DataFrame, n_features: int = 256, max_rows: int = 20_000):
     """Learn from rows of `labels` (doc_id, toxic) joined to `docs` whose crc32(doc_id) mod 5 is not 0.
 
-    Every such row counts in the choice of places; the machine is fitted on `max_rows` of them at most (those with the
-    least hash), each as its kept places only. Null labels are left out. Returns (kept places, bias, w, v); without
-    usable rows of both labels the score is the share of toxic ones.
+    At most `max_rows` labelled rows are used, those whose doc_id has the least hash, so the joined side may be broadcast.
+    Null labels and ids are left out. Returns (kept places, (bias, w, v)); without usable rows of both labels the score is
+    the share of toxic ones.
     """
     ship(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    marked = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(fold != 0)
-    rows = docs.select("doc_id", "text").join(marked, "doc_id")
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(fold != 0)
+    sample = written(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows), "toxic-sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def terms(batches):
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [sorted(places(t)) for t in b["text"]]})
 
-    found = rows.mapInPandas(terms, "doc_id long, toxic int, terms array<int>")
-    from graphcv.llm.shared import written
-
-    found = written(found, "toxic-terms")
+    found = written(rows.mapInPandas(terms, "doc_id long, toxic int, terms array<int>"), "toxic-terms")
     totals = found.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("pos")).first()
     n, pos = totals["n"], totals["pos"] or 0
-    if not n or not pos or pos == n:
-        return [], (np.log((pos / n + 1e-6) / (1 - pos / n + 1e-6)) if n else -30.0, np.zeros(0, np.float32), np.zeros((0, 8), np.float32))
+    nothing = np.zeros(0, np.float32), np.zeros((0, 8), np.float32)
+    if not pos or pos == n:
+        return [], (30.0 if pos else -30.0, *nothing)
     seen = found.select((F.col("toxic") > 0).cast("int").alias("y"), F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c"), F.sum("y").alias("a"))
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
     expected = c * (pos / n)
     chi = (a - expected) * (a - expected) / (expected * (1 - pos / n) * F.greatest(1 - c / n, F.lit(1e-9)))
     best = seen.where("c >= 3").select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(n_features).collect()
+    if not best:
+        return [], (float(np.log(pos / (n - pos))), *nothing)
     kept = sorted(r["term"] for r in best)
     number = {t: i for i, t in enumerate(kept)}
-    least = found.select("toxic", F.array_intersect("terms", F.array(*[F.lit(k) for k in kept])).alias("terms"), F.xxhash64("doc_id").alias("h"))
-    sample = least.orderBy("h", "toxic", F.array_join("terms", ",")).limit(max_rows).collect() if kept else []
-    if not sample:
-        return [], (float(np.log(pos / n / (1 - pos / n))), np.zeros(0, np.float32), np.zeros((0, 8), np.float32))
-    return kept, fit_machine([[number[t] for t in r["terms"]] for r in sample], np.array([r["toxic"] > 0 for r in sample]), len(kept))
+    fitted = found.select("toxic", F.array_intersect("terms", F.array(*[F.lit(k) for k in kept])).alias("terms"), "doc_id").orderBy("doc_id", "toxic", F.array_join("terms", ",")).limit(max_rows).collect()
+    return kept, fit_machine([[number[t] for t in r["terms"]] for r in fitted], np.array([r["toxic"] > 0 for r in fitted]), len(kept))
 
 
 def score_toxicity(docs: DataFrame, trained) -> DataFrame:
