@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcv.llm import chat_rotation, line_dedup, sentencepiece_bpe, simhash, toxicity
+from graphcv.llm import chat_rotation, decontamination, jaccard_join, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, toxicity
 from graphcv.llm.shared import documents
 
 
@@ -21,6 +21,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("h")
+
+
+def op6_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex_dedup.remove_repeats(documents(spark, sf_dir), text=False)
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(documents(spark, sf_dir), k=3, percent=90)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "n_removed", "text")
 
@@ -45,6 +57,9 @@ def queries():
     return {
         "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_decontamination": op4_decontamination,
+        "op6_rindex_dedup": op6_rindex_dedup,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_chat_rotation": op10_chat_rotation,
