@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcv.llm import chat_rotation, decontamination, jaccard_join, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, toxicity
+from graphcv.llm import chat_rotation, decontamination, jaccard_join, kneser_ney, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, toxicity
 from graphcv.llm.shared import documents
 
 
@@ -25,6 +25,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rindex_dedup.remove_repeats(documents(spark, sf_dir), text=False)
 
@@ -58,6 +62,7 @@ def queries():
         "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_decontamination": op4_decontamination,
+        "op5_kneser_ney": op5_kneser_ney,
         "op6_rindex_dedup": op6_rindex_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
