@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcv.llm import chat_rotation, decontamination, jaccard_join, kneser_ney, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, toxicity
+from graphcv.llm import chat_rotation, decontamination, html_wrapper, jaccard_join, kneser_ney, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, toxicity
 from graphcv.llm.shared import documents
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_html_wrapper": op1_html_wrapper,
         "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_decontamination": op4_decontamination,
