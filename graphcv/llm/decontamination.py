@@ -132,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
             bits = {_hash(p) >> (64 - BITS) for t in b["text"] for p in template(t)[0]}
             yield pd.DataFrame({"bit": sorted(bits)}, dtype="int64")
 
-    bits = benchmark.select("text").mapInPandas(words, "bit long").distinct().toPandas()["bit"].to_numpy(dtype=np.int64)  # 2**BITS at most
+    bits = benchmark.select("text").mapInPandas(words, "bit long").distinct().toArrow()["bit"].to_numpy()  # 2**BITS at most
     table = np.zeros(1 << BITS, bool)
     table[bits] = True
     shared = spark.sparkContext.broadcast(np.packbits(table))

@@ -79,9 +79,10 @@ def linked_classes(sets: DataFrame, percent: int, frequent: int = 1000) -> DataF
     spark = sets.sparkSession
     ship(spark)
     slots = sets.select(F.explode("hs").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("c"))
-    found = slots.toPandas()  # SLOTS rows at most
+    found = slots.toArrow()  # SLOTS rows at most, as Arrow columns
     counts = np.zeros(SLOTS, dtype=np.int64)
-    counts[found["slot"].to_numpy(dtype=np.int64)] = found["c"].to_numpy(dtype=np.int64)
+    counts[found["slot"].to_numpy()] = found["c"].to_numpy()
+    del found
     shared = spark.sparkContext.broadcast(counts)
 
     def keys(batches):
