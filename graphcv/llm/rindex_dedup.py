@@ -65,23 +65,34 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def passages(data: bytes, length: int, gram: int):
-    """Owner, first byte, end and tie of every passage; tie: the owner may occur in it more than once."""
-    n = len(data)
-    if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    h, w = gram_hashes(np.frombuffer(data, dtype=np.uint8), gram), length - gram + 1
+def passages(texts: list[bytes], length: int, gram: int):
+    """Of all texts: text number, owner, first byte, end and tie of every passage; tie: the owner may occur in it more than once."""
+    data, w = b"".join(texts), length - gram + 1
+    if len(data) < length:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    begin = np.cumsum(sizes) - sizes
+    h = gram_hashes(np.frombuffer(data, dtype=np.uint8), gram)
     least = sliding_min(h, w)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    last = np.concatenate([first[1:], [len(least)]]) - 1
+    inside = np.zeros(len(least) + 1, np.int32)  # windows that lie in one text
+    some = sizes >= length
+    np.add.at(inside, begin[some], 1)
+    np.add.at(inside, begin[some] + sizes[some] - length + 1, -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    change = np.concatenate([[True], least[1:] != least[:-1]])
+    change[begin[some]] = True
+    first = np.flatnonzero(change & inside)
+    stop = np.flatnonzero(change | ~inside)
+    last = np.concatenate([stop, [len(least)]])[np.searchsorted(stop, first, side="right")] - 1
     owner = least[first]
     view = np.lib.stride_tricks.sliding_window_view(h, w)
     tie = np.zeros(len(first), dtype=bool)
-    for i in range(0, len(first), 4096):
-        s = slice(i, i + 4096)
-        at_first, at_last = view[first[s]] == owner[s, None], view[last[s]] == owner[s, None]
-        tie[s] = (at_first.sum(1) > 1) | (at_last.sum(1) > 1) | (first[s] + at_first.argmax(1) < last[s])
-    return owner, first, last + length, tie
+    for i in range(0, len(first), 1024):
+        k = slice(i, i + 1024)
+        x, y = view[first[k]] == owner[k, None], view[last[k]] == owner[k, None]
+        tie[k] = (x.sum(1) > 1) | (y.sum(1) > 1) | (first[k] + x.argmax(1) < last[k])
+    near = np.searchsorted(begin, first, side="right") - 1
+    return near, owner, first - begin[near], last + length - begin[near], tie
 
 
 def repeated_spans(parts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -93,28 +104,38 @@ def repeated_spans(parts: list[bytes], length: int) -> list[list[tuple[int, int]
         begins.append(at)
         at += len(p) + 1
     n = at
-    # suffixes by their first 7 bytes; those that meet a part's end within them are all different
+    # suffixes by their first 5 bytes; those that meet a part's end within them are all different, in the parts' order
     key, inside = np.zeros(n, np.int64), np.ones(n, bool)
-    for j in range(7):
+    for j in range(5):
         c = np.where(inside, x[j : n + j], 0)
         key = key * 257 + c
         inside &= c > 0
-    levels, step = [], 7
+    bits = max(1, int(n).bit_length())
+    place, low = np.arange(n, dtype=np.int64), np.int64((1 << bits) - 1)
+
+    def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions by key, of equals by place, and where the key changes: one plain sort if key and place fit into 63 bits."""
+        if int(key.max(initial=0)).bit_length() + bits <= 63:
+            packed = np.sort(key << bits | place)
+            order, key = packed & low, packed >> bits
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        return order, np.concatenate([[True], key[1:] != key[:-1]])
+
+    levels, step = [], 5
     longest = max(map(len, parts), default=0)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    new = np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1]) | ~inside[order][1:]])
+    order, new = ordered(key)
+    new[1:] |= ~inside[order][1:]
     while True:
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(new, dtype=np.int32) - 1
         levels.append((step, rank))
         if new.all() or step > longest:
             break
-        key = rank.astype(np.int64) * (n + 1)
-        key[: n - step] += rank[step:].astype(np.int64) + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        key = rank.astype(np.int64) << bits
+        key[: n - step] |= rank[step:].astype(np.int64) + 1
+        order, new = ordered(key)
         step *= 2
     sa = order
     before = x[sa - 1]  # the transform; the ends of parts are all different
@@ -128,7 +149,7 @@ def repeated_spans(parts: list[bytes], length: int) -> list[list[tuple[int, int]
             fits = (i < n) & (j < n)
             same = fits & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
             m[same] += size
-        for _ in range(6):
+        for _ in range(4):
             c = x[np.minimum(a + m, n)]
             same = (c == x[np.minimum(b + m, n)]) & (c > 0)
             m[same] += 1
@@ -177,7 +198,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def repeated_passages(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 2_000_000, hot: int = 2_000) -> DataFrame:
+def repeated_passages(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 1_000_000, hot: int = 2_000) -> DataFrame:
     """t1, t2 (hash of a text of `texts`), spans: the byte ranges of the text to remove."""
     spark = texts.sparkSession
     ship(spark)
@@ -185,11 +206,19 @@ def repeated_passages(texts: DataFrame, length: int = 400, gram: int = 128, shar
 
     def cut(batches):
         for b in batches:
-            for t1, t2, t in zip(b["t1"], b["t2"], b["text"], strict=True):
-                data = t.encode("utf-8", "surrogatepass")
-                owner, first, end, tie = passages(data, length, gram)
+            t1, t2 = b["t1"].to_numpy(), b["t2"].to_numpy()
+            some = np.array([t.encode("utf-8", "surrogatepass") for t in b["text"]] + [None], dtype=object)[:-1]
+            ends = np.cumsum([len(t) for t in some])
+            parts, at = [], 0
+            while at < len(some):  # texts of about a quarter of a megabyte together
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 250_000, side="right")))
+                near, owner, first, end, tie = passages(list(some[at:to]), length, gram)
                 if len(owner):
-                    yield pd.DataFrame({"t1": t1, "t2": t2, "a": first, "b": end, "h": owner.view(np.int64), "c": [digest(data[i:j]) for i, j in zip(first.tolist(), end.tolist(), strict=True)], "tie": tie})
+                    c = [digest(some[at + k][i:j]) for k, i, j in zip(near.tolist(), first.tolist(), end.tolist(), strict=True)]
+                    parts.append(pd.DataFrame({"t1": t1[at:to][near], "t2": t2[at:to][near], "a": first, "b": end, "h": owner.view(np.int64), "c": c, "tie": tie}))
+                at = to
+            if parts:
+                yield pd.concat(parts)
 
     keyed = texts.select(*text_key(F.col("text")), "text")
     cuts = written(keyed.mapInPandas(cut, "t1 long, t2 long, a long, b long, h long, c long, tie boolean"), "passages")
