@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney model over four-symbol strings, and perplexities by sharded count joins.
 
 Symbols are UTF-16 code units, so four of them are one long and contexts are shifts of it. All trusted text is counted.
-The distinct strings of each block of documents (an input partition) are joined, by shuffles on the string, with the
+The distinct strings of each block of documents (a range of ids) are joined, by shuffles on the string, with the
 counts of every order; each block then gets just the strings that it needs, next to its compressed texts.
 """
 
@@ -93,26 +93,48 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return found.select("gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` to broadcast if it is counted to have `rows` at most, else to shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def in_blocks(own: DataFrame, rows: int) -> DataFrame:
+    """`own` (doc_id, text) with block: ranges of ids of about `rows` rows, which hang on the row alone and not on its partition.
+
+    Rows without id are dealt by hash; blocks of more than four times as many rows (ids that repeat or lie close) are
+    split by hash.
+    """
+    s = own.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    least, most, n = s["least"] or 0, s["most"] or 0, max(1, s["n"])
+    width = max(1, (most - least + 1) * rows // n)
+    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(max(1, n // rows)))
+    own = own.withColumn("_range", F.coalesce(F.floor((F.col("doc_id") - least) / width).cast("long"), spread))
+    large = own.groupBy("_range").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * rows).select("_range", (F.col("_n") / rows).cast("long").alias("_parts"))
+    met = own.join(_small(written(large, "large-blocks"), 1_000_000), "_range", "left")
+    return met.withColumn("block", F.xxhash64("_range", F.pmod(F.xxhash64(F.lit(2), "text"), F.coalesce("_parts", F.lit(1))))).drop("_range", "_parts")
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, rows_a_block: int = 5_000) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity of every row of `docs` under a model of the rows of `trusted` (text)."""
     import zlib
 
     ship(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
-    own = own.withColumn("block", F.spark_partition_id())  # scans of one table are cut alike, and a gram that is missing below is an error
+    own = in_blocks(own, rows_a_block)
 
     def strings(batches):
         for b in batches:
             for block, part in b.groupby("block"):
                 for g, _ in _counted(part["text"]):
-                    yield pd.DataFrame({"block": np.int32(block), "gram": g})
+                    yield pd.DataFrame({"block": np.int64(block), "gram": g})
 
     def packed(batches):
         for b in batches:
             b["text"] = [zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in b["text"]]
-            yield b
+            b["doc_id"] = b["doc_id"].astype("Int64")
+            yield b[["doc_id", "lang", "text", "block"]]
 
-    wanted = own.select("block", "text").mapInPandas(strings, "block int, gram long").distinct()
+    wanted = own.select("block", "text").mapInPandas(strings, "block long, gram long").distinct()
     asked = written(wanted, "block-grams")
     logs = probabilities(count_strings(trusted), asked.select("gram").distinct())
 
@@ -133,16 +155,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         made["doc_id"] = made["doc_id"].astype("Int64")
         return made
 
-    texts = own.mapInPandas(packed, "doc_id long, lang string, text binary, block int")
+    texts = own.mapInPandas(packed, "doc_id long, lang string, text binary, block long")
     model = asked.join(logs, "gram").select("block", "gram", "logp")
     return texts.groupBy("block").cogroup(model.groupBy("block")).applyInPandas(score, "doc_id long, lang string, n_tokens long, perplexity double")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` to broadcast if it is counted to have `rows` at most, else to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.1) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold, keep for every row of `docs`.
 

@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-case words hashed into 2**30 places. On a bounded sample of labelled rows, the `n_features` places with
-the largest chi-square against the label are kept, and the machine learns a weight for each of them and a short vector
+the largest chi-square against the label (above what chance gives) are kept, and the machine learns a weight for each of them and a short vector
 whose products weigh pairs of places (an insult together with the mention of a group). It scores every document from
 the set of kept places that its whole text holds.
 """
@@ -85,7 +85,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, n_features: int = 256, ma
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
     expected = c * (pos / n)
     chi = (a - expected) * (a - expected) / (expected * (1 - pos / n) * F.greatest(1 - c / n, F.lit(1e-9)))
-    best = seen.where("c >= 3").select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(n_features).collect()
+    rated = written(seen.where("c >= 3").select("term", chi.alias("chi")), "toxic-places")
+    chance = 2 * np.log(max(2, rated.count()))  # about what the best of as many places reaches by chance
+    best = rated.where(F.col("chi") >= float(chance)).orderBy(F.desc("chi"), "term").limit(n_features).collect()
     if not best:
         return [], (float(np.log(pos / (n - pos))), *nothing)
     kept = sorted(r["term"] for r in best)
