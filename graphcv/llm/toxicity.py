@@ -58,7 +58,7 @@ def machine_score(found: list[int], model) -> float:
     return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, n_features: int = 256, max_rows: int = 20_000):
+def train_toxicity(docs: DataFrame, labels: DataFrame, n_features: int = 256, max_rows: int = 40_000):
     """Learn from rows of `labels` (doc_id, toxic) joined to `docs` whose crc32(doc_id) mod 5 is not 0.
 
     At most `max_rows` labelled rows are used, those whose doc_id has the least hash, so the joined side may be broadcast.
