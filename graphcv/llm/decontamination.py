@@ -57,22 +57,33 @@ def _hash(token: str) -> int:
 
 
 class _Memory(dict):
-    """Hashes of tokens, remembered for a process; emptied when full."""
+    """Hashes of the places of words that stand alone, remembered for a process; emptied when full."""
 
-    def __missing__(self, token):
+    def __missing__(self, word):
         if len(self) > 500_000:
             self.clear()
-        value = self[token] = _hash(token)
+        place = NUM if word[0].isdigit() else UNIT if word in "%$€£°" else NAME if word[0].isupper() else word
+        value = self[word] = _hash(place)
         return value
 
 
 _hashes = _Memory()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_NUM, _UNIT = np.uint64(_hash(NUM)), np.uint64(_hash(UNIT))
 
 
-def window_hashes(places: list[str], size: int) -> np.ndarray:
+def place_hashes(text: str) -> np.ndarray:
+    """The hashes of the places of `template`, without making them."""
+    words = TOKEN.findall(START.sub(lambda m: m.group().lower(), text))
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    for i in np.flatnonzero(h[:-1] == _NUM).tolist() if len(h) else ():
+        if words[i + 1].lower() in UNITS:
+            h[i + 1] = _UNIT
+    return h
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of `size` places."""
-    h = np.fromiter((_hashes[p] for p in places), dtype=np.uint64, count=len(places))
     n = len(h) - size + 1
     if n < 1:
         return np.zeros(0, np.int64)
@@ -104,7 +115,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
                 if len(places) < least:
                     continue
                 size = min(window, len(places))
-                hashes = window_hashes(places, size)
+                hashes = window_hashes(place_hashes(t), size)
                 literal = [sum(not _open(p) for p in places[i : i + size]) * 2 >= size for i in range(len(hashes))]
                 chosen = [i for i in range(len(hashes)) if literal[i]] or list(range(len(hashes)))
                 for i in chosen:
@@ -142,16 +153,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
         for b in batches:
             out = []
             for doc, h, t in zip(b["doc_id"], b["h"], b["text"], strict=True):
-                places, values = template(t)
-                n = len(places)
+                hashes, places = place_hashes(t), None
+                n = len(hashes)
                 if not n:
                     continue
-                hashes = np.fromiter((_hashes[p] for p in places), dtype=np.uint64, count=n)
-                gaps = np.concatenate([[0], np.cumsum(~known[hashes >> np.uint64(64 - BITS)])])
+                gaps = np.zeros(n + 1, np.int64)
+                np.cumsum(~known[hashes >> np.uint64(64 - BITS)], out=gaps[1:])
                 for size in sizes:
-                    inside = np.flatnonzero(gaps[size:] == gaps[:-size]) if n >= size else []
+                    inside = np.flatnonzero(gaps[size:] == gaps[:-size]) if n >= size else ()
                     if len(inside):
-                        w = window_hashes(places, size)
+                        places, values = (places, values) if places else template(t)
+                        w = window_hashes(hashes, size)
                         for i in inside.tolist():
                             out.append((doc, h, i, size, int(w[i]), [values[j] for j in range(i, i + size) if _open(places[j])]))
             made = pd.DataFrame(out, columns=["doc_id", "h", "pos", "size", "w", "said"])
