@@ -8,11 +8,11 @@ value of the document's. So a question with other numbers or names is found, and
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ def template(text: str | None) -> tuple[list[str], list[str]]:
 
 
 def _hash(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
 
 
 class _Memory(dict):
