@@ -740,6 +740,9 @@ def _(x):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from graphcv.jobs.fitted import FITTED
+
+    _QUERIES.update(FITTED)
     return {name: (lambda spark, sf_dir, fn=fn: fn(Inputs(spark, sf_dir))) for name, fn in _QUERIES.items()}
 
 
