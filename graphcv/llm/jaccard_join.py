@@ -9,87 +9,120 @@ tokens two must be shared, so pairs of them are indexed. Candidates are then ver
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcv.llm.components import connected_components
-from graphcv.llm.shared import let, ship, text_of, written
+from graphcv.llm.shared import ship, text_of, written
 
 SLOTS = 1 << 20
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
+class _Memory(dict):
+    """Hashes of words, remembered for a process; emptied when full."""
 
-def shingle_set(text: Column, k: int) -> Column:
-    """Distinct hashes of the runs of k words ([^ \\t-\\r]+, A-Z in lower case); a shorter text is one run, one without words has none."""
-    words = F.array_remove(F.split(F.translate(text, UPPER, LOWER), "[\\x20\\x09-\\x0D]+"), "")
+    def __missing__(self, word):
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
-    def runs(ws):
-        n = F.size(ws)
-        window = F.transform(F.slice(ws, 1, F.greatest(n - k + 1, F.lit(1))), lambda w, i: F.xxhash64(w, *[F.get(ws, i + j) for j in range(1, k)]))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(window))
 
-    return let(words, runs)
+_hashes = _Memory()
 
 
-def _prefix_rows(counts: np.ndarray, percent: int, frequent: int, combined: bool):
-    """A function for mapInPandas: (sig, n, hashes) to the index keys of the set's extended prefix."""
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of k words; a shorter text is one run, one without words has none.
+
+    Words are split at the bytes 0x20 and 0x09-0x0D, A-Z in lower case: what lower() and split() do to bytes.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    if n < k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)] if n else [], dtype=np.uint64).view(np.int64)
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
+    out = np.zeros(n - k + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            out = (out ^ (out >> np.uint64(29))) * _MIX + h[j : n - k + 1 + j]
+        out ^= out >> np.uint64(32)
+        out *= _MIX
+    return np.unique(out).view(np.int64)
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """The class of a set: a hash of its sorted tokens."""
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "little", signed=True)
+
+
+def prefix_keys(hashes: np.ndarray, counts: np.ndarray, percent: int, frequent: float) -> np.ndarray:
+    """Index keys of a set's prefix, longer by one token: rare tokens alone, frequent ones in pairs."""
+    n = len(hashes)
+    need = -(-percent * n // 100)  # tokens shared with any linked set, at least
+    c = counts[hashes & (SLOTS - 1)]
+    order = np.lexsort((hashes, c))[: min(n - need + 2, n)]
+    p = hashes[order]
+    if need < 2:  # one shared token can be enough
+        return p
+    rare = c[order] < frequent
+    often = p[~rare]
+    if len(often) < 2:
+        return p[rare]
+    i, j = np.triu_indices(len(often), 1)
+    with np.errstate(over="ignore"):
+        both = (often[i] * np.int64(-7046029254386353131)) ^ (often[j] * np.int64(-4417276706812531889))
+    return np.concatenate([p[rare], both])
+
+
+def shingle_classes(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, sig, n of every row; the counts of all tokens by slot), from one pass over the texts."""
+    spark = docs.sparkSession
+    ship(spark)
 
     def rows(batches):
         for b in batches:
-            sig, size, keys = [], [], []
-            for s, n, hashes in zip(b["sig"], b["n"], b["hs"], strict=True):
-                h = np.asarray(hashes, dtype=np.int64)
-                c = counts[h & (SLOTS - 1)]
-                need = -(-percent * n // 100)  # tokens shared with any linked set, at least
-                longer = n - need + 2
-                order = np.lexsort((h, c))[: min(longer, n)]
-                p, pc = h[order], c[order]
-                if need < 2:  # one shared token can be enough
-                    found = p
-                else:
-                    rare = pc < frequent
-                    often = p[~rare]
-                    found = p[rare]
-                    if len(often) > 1:
-                        i, j = np.triu_indices(len(often), 1)
-                        with np.errstate(over="ignore"):
-                            both = (often[i] * np.int64(-7046029254386353131)) ^ (often[j] * np.int64(-4417276706812531889))
-                        found = np.concatenate([found, both])
-                keys.append(found)
-                sig.append(np.full(len(found), s, dtype=np.int64))
-                size.append(np.full(len(found), n, dtype=np.int64))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "sig": np.concatenate(sig), "n": np.concatenate(size)})
-
-    return rows
-
-
-def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, sig, n and hs: the class (hash of the ordered set), size and tokens of every row."""
-    sets = docs.select("doc_id", shingle_set(text_of(), k).alias("hs"))
-    return sets.select("doc_id", F.xxhash64(F.array_sort("hs")).alias("sig"), F.size("hs").cast("long").alias("n"), "hs")
-
-
-def linked_classes(sets: DataFrame, percent: int, frequent: int = 1000) -> DataFrame:
-    """Verified links between different classes of `sets` (doc_id, sig, n, hs): n1, sig1, n2, sig2."""
-    spark = sets.sparkSession
-    ship(spark)
-    slots = sets.select(F.explode("hs").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("c"))
-    found = slots.toArrow()  # SLOTS rows at most, as Arrow columns
+            sig, size, every = [], [], []
+            for t in b["text"]:
+                h = shingle_set(t, k)
+                sig.append(set_key(h))
+                size.append(len(h))
+                every.append(h & (SLOTS - 1))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "sig": sig, "n": size, "slot": -1})
+            slots, c = np.unique(np.concatenate(every), return_counts=True) if every else ([], [])
+            yield pd.DataFrame({"doc_id": pd.Series([None] * len(slots), dtype="Int64"), "sig": 0, "n": c, "slot": slots})
+
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(rows, "doc_id long, sig long, n long, slot long")
+    both = written(both, "classes")
+    found = both.where("slot >= 0").groupBy("slot").agg(F.sum("n").alias("c")).toArrow()  # SLOTS rows at most, as Arrow columns
     counts = np.zeros(SLOTS, dtype=np.int64)
     counts[found["slot"].to_numpy()] = found["c"].to_numpy()
-    del found
-    shared = spark.sparkContext.broadcast(counts)
+    return both.where("slot < 0").select("doc_id", "sig", "n"), counts
 
-    def keys(batches):
-        yield from _prefix_rows(shared.value, percent, frequent, True)(batches)
 
-    index = sets.where("n > 0").select("sig", "n", "hs").mapInPandas(keys, "key long, sig long, n long").distinct()
-    index = written(index, "prefixes")
+def linked_classes(docs: DataFrame, classes: DataFrame, counts: np.ndarray, k: int, percent: int, frequent: int = 1000) -> DataFrame:
+    """Verified links between different classes of sets: n1, sig1, n2, sig2. `frequent`: how much more often than the mean slot."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    limit = float(counts.mean()) + frequent
+
+    def keys(batches):
+        for b in batches:
+            sig, size, found = [], [], []
+            for t in b["text"]:
+                h = shingle_set(t, k)
+                if len(h):
+                    p = prefix_keys(h, shared.value, percent, limit)
+                    found.append(p)
+                    sig.append(np.full(len(p), set_key(h), dtype=np.int64))
+                    size.append(np.full(len(p), len(h), dtype=np.int64))
+            if found:
+                yield pd.DataFrame({"key": np.concatenate(found), "sig": np.concatenate(sig), "n": np.concatenate(size)})
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    index = written(own.select("text").mapInPandas(keys, "key long, sig long, n long").distinct(), "prefixes")
     live = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     index = index.join(live, "key")
     left = index.select("key", F.col("sig").alias("sig1"), F.col("n").alias("n1"))
@@ -97,11 +130,17 @@ def linked_classes(sets: DataFrame, percent: int, frequent: int = 1000) -> DataF
     ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("sig1") < F.col("sig2")))
     pairs = left.join(right, "key").where(ordered & (F.col("n1") * 100 >= F.col("n2") * percent)).select("sig1", "n1", "sig2", "n2").distinct()
     pairs = written(pairs, "candidates")
-    one = F.struct("sig1", "n1")
-    nodes = written(pairs.select(F.explode(F.array(one, F.struct(F.col("sig2").alias("sig1"), F.col("n2").alias("n1")))).alias("x")).select(F.col("x.sig1").alias("sig"), F.col("x.n1").alias("n")).distinct(), "candidate-classes")
-    first = written(sets.select("doc_id", "sig", "n").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")).join(nodes, ["sig", "n"]), "class-heads")
-    whole = sets.join(first.select("doc_id", F.col("sig").alias("s"), F.col("n").alias("m")), "doc_id").where("sig = s and n = m").select("sig", "n", "hs").dropDuplicates(["sig", "n"])
-    whole = written(whole, "class-sets")
+    ends = F.array(F.struct(F.col("sig1").alias("sig"), F.col("n1").alias("n")), F.struct(F.col("sig2").alias("sig"), F.col("n2").alias("n")))
+    nodes = pairs.select(F.explode(ends).alias("x")).select("x.sig", "x.n").distinct()
+    heads = written(classes.join(nodes, ["sig", "n"]).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "class-heads")
+
+    def sets(batches):
+        for b in batches:
+            made = [shingle_set(t, k) for t in b["text"]]
+            yield pd.DataFrame({"sig": [set_key(h) for h in made], "n": [len(h) for h in made], "hs": made})
+
+    whole = own.join(heads.select("doc_id"), "doc_id").select("text").mapInPandas(sets, "sig long, n long, hs array<long>")
+    whole = written(whole.dropDuplicates(["sig", "n"]), "class-sets")
     a = whole.select(F.col("sig").alias("sig1"), F.col("n").alias("n1"), F.col("hs").alias("hs1"))
     b = whole.select(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("hs").alias("hs2"))
     met = pairs.join(a, ["sig1", "n1"]).join(b, ["sig2", "n2"])
@@ -115,13 +154,12 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent: in
     Two rows are linked when 100 |A & B| >= percent |A | B| for their sets of k-word shingles (see `shingle_set`).
     component_id is the smallest doc_id that links lead to, itself included; n_links counts links to other classes of
     equal sets. Rows without words, nulls included, have no shingles and no links. Repeated ids stay as rows; an
-    empty table gives an empty one; extra columns are ignored. Rows without doc_id belong to a group under its id but
-    lend it none; alone they have a null component_id.
+    empty table gives an empty one; extra columns are ignored. Rows without doc_id belong to the group of a row with
+    the same set under its id but lend it none and are compared with no other set; alone they have a null component_id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = shingle_classes(docs, k)
-    links = linked_classes(sets, percent, frequent)
-    rows = written(sets.select("doc_id", "sig", "n"), "classes")
+    docs = docs.select("doc_id", "text")
+    rows, counts = shingle_classes(docs, k)
+    links = linked_classes(docs, rows, counts, k, percent, frequent)
     heads = rows.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("head"))
     node = lambda s, n: F.struct(F.col(n).alias("n"), F.col(s).alias("sig"))
     found = connected_components(links.select(node("sig1", "n1").alias("a"), node("sig2", "n2").alias("b")))
