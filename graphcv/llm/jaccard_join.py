@@ -110,29 +110,30 @@ def linked_classes(docs: DataFrame, classes: DataFrame, counts: np.ndarray, k: i
 
     def keys(batches):
         for b in batches:
-            sig, size, found = [], [], []
+            sig, found = [], []
             for t in b["text"]:
                 h = shingle_set(t, k)
                 if len(h):
-                    p = prefix_keys(h, shared.value, percent, limit)
-                    found.append(p)
-                    sig.append(np.full(len(p), set_key(h), dtype=np.int64))
-                    size.append(np.full(len(p), len(h), dtype=np.int64))
+                    found.append(prefix_keys(h, shared.value, percent, limit))
+                    sig.append(np.full(len(found[-1]), set_key(h), dtype=np.int64))
             if found:
-                yield pd.DataFrame({"key": np.concatenate(found), "sig": np.concatenate(sig), "n": np.concatenate(size)})
+                yield pd.DataFrame({"key": np.concatenate(found), "sig": np.concatenate(sig)})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    index = written(own.select("text").mapInPandas(keys, "key long, sig long, n long").distinct(), "prefixes")
-    live = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    index = index.join(live, "key")
-    left = index.select("key", F.col("sig").alias("sig1"), F.col("n").alias("n1"))
-    right = index.select("key", F.col("sig").alias("sig2"), F.col("n").alias("n2"))
-    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("sig1") < F.col("sig2")))
-    pairs = left.join(right, "key").where(ordered & (F.col("n1") * 100 >= F.col("n2") * percent)).select("sig1", "n1", "sig2", "n2").distinct()
+    index = written(own.select("text").mapInPandas(keys, "key long, sig long"), "prefixes")  # read twice, shuffled once
+    met = index.select("key", F.col("sig").alias("x")).join(index.select("key", F.col("sig").alias("y")), "key").where("x < y").select("x", "y").distinct()
+    met = written(met, "met-classes")
+    size = classes.where("n > 0").select("sig", "n").distinct()
+    pairs = met.join(size.select(F.col("sig").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("sig").alias("y"), F.col("n").alias("ny")), "y")
+    turn = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    pick = lambda one, other: F.when(turn, F.col(one)).otherwise(F.col(other))
+    pairs = pairs.select(pick("x", "y").alias("sig1"), pick("nx", "ny").alias("n1"), pick("y", "x").alias("sig2"), pick("ny", "nx").alias("n2")).where(F.col("n1") * 100 >= F.col("n2") * percent)
     pairs = written(pairs, "candidates")
     ends = F.array(F.struct(F.col("sig1").alias("sig"), F.col("n1").alias("n")), F.struct(F.col("sig2").alias("sig"), F.col("n2").alias("n")))
     nodes = pairs.select(F.explode(ends).alias("x")).select("x.sig", "x.n").distinct()
     heads = written(classes.join(nodes, ["sig", "n"]).groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "class-heads")
+    if heads.count() <= 1_000_000:  # else both sides are shuffled
+        heads = F.broadcast(heads)
 
     def sets(batches):
         for b in batches:
