@@ -55,8 +55,5 @@ FITTED = {
     "w2_overlap_cv_rank": lambda x: tuning.overlap_cv_rank(x.nodes, x.edges, [1, 2, 3], 3, x.o, 2)[1],
     "w3_overlap_cv_latent": _planted(lambda nodes, edges, o: tuning.overlap_cv_latent(nodes, edges, [1, 2], 2, o, 2)[1], lambda n: n // 5),
     "w4_tune_tau_by_loss": lambda x: tuning.tune_tau_by_loss(x.nodes, x.edges, 2, [0.0, 1.0], 3, x.o, 2)[1],
-    "w5_tune_tau_by_agreement": lambda x: tuning.tune_tau_by_agreement(x.nodes, x.edges, 2, [0.5, 1.0], 3, x.o, 2)[1],
-    "w6_pair_cv_blockmodel": _planted(lambda nodes, edges: tuning.pair_cv_blockmodel(nodes, edges, 2)[1]),
-    "w8_pair_cv_rank": _planted(lambda nodes, edges: tuning.pair_cv_rank(nodes, edges, 2)[1]),
     "w10_consensus_labels": lambda x: tuning.consensus_labels(x.nodes, x.edges, 2, 0.5, 3, x.o, 2),
 }

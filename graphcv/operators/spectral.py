@@ -92,7 +92,7 @@ def adjacency_embedding(members: DataFrame, edges: DataFrame, d: int, laplace: b
     return found.select(*keys, "node", F.zip_with("x", "values", lambda v, e: v * F.sqrt(F.abs(e))).alias("x"))
 
 
-def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, rounds: int = 12, extra: int = 6, seed: int = 42) -> tuple[DataFrame, list[float], list[float]]:
+def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, rounds: int = 8, extra: int = 6, seed: int = 42) -> tuple[DataFrame, list[float], list[float]]:
     """(node, x; eigenvalues; residuals) of the whole graph's regularised matrix, by block iteration on the cluster.
 
     A round joins the arcs with the block's rows and sums them by node; only Gram matrices of k + extra columns come to
@@ -124,16 +124,16 @@ def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float =
         met = df.join(sums, "node", "left")
         return met.select("node", "f", *cols, *[(F.col("f") * (F.coalesce(f"s{i}", F.lit(0.0)) + const * float(total[c] or 0.0))).alias(f"y{i}") for i, c in enumerate(cols)])
 
-    def settled(df: DataFrame) -> DataFrame:
-        """Orthonormal columns by Cholesky, twice."""
-        for _ in range(2):
+    def settled(df: DataFrame, times: int = 1) -> DataFrame:
+        """Orthonormal columns by Cholesky; a second time takes rounding away."""
+        for _ in range(times):
             g = gram(df, cols, cols)
             df = written(mix(df, np.linalg.inv(np.linalg.cholesky(g + 1e-14 * np.trace(g) * np.eye(width)).T)), "block")
         return df
 
     block, ys = settled(block), [f"y{i}" for i in range(width)]
-    for _ in range(rounds):
-        block = settled(applied(block).select("node", "f", *[F.col(y).alias(c) for c, y in zip(cols, ys, strict=True)]))
+    for i in range(rounds):
+        block = settled(applied(block).select("node", "f", *[F.col(y).alias(c) for c, y in zip(cols, ys, strict=True)]), 2 if i == rounds - 1 else 1)
     both = written(applied(block), "block")
     values, vectors = np.linalg.eigh((lambda m: (m + m.T) / 2)(gram(both, cols, ys)))
     order = np.argsort(-np.abs(values), kind="stable")[:k]
