@@ -141,12 +141,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, counts: np.ndarray, k: i
             yield pd.DataFrame({"sig": [set_key(h) for h in made], "n": [len(h) for h in made], "hs": made})
 
     whole = own.join(heads.select("doc_id"), "doc_id").select("text").mapInPandas(sets, "sig long, n long, hs array<long>")
-    whole = written(whole.dropDuplicates(["sig", "n"]), "class-sets")
+    whole = written(whole, "class-sets")  # a class stands twice only if its id does
     a = whole.select(F.col("sig").alias("sig1"), F.col("n").alias("n1"), F.col("hs").alias("hs1"))
     b = whole.select(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("hs").alias("hs2"))
     met = pairs.join(a, ["sig1", "n1"]).join(b, ["sig2", "n2"])
     common = F.size(F.array_intersect("hs1", "hs2")).cast("long")
-    return written(met.select("sig1", "n1", "sig2", "n2", common.alias("common")).where(F.col("common") * 100 >= (F.col("n1") + F.col("n2") - F.col("common")) * percent).drop("common"), "class-links")
+    return written(met.select("sig1", "n1", "sig2", "n2", common.alias("common")).where(F.col("common") * 100 >= (F.col("n1") + F.col("n2") - F.col("common")) * percent).drop("common").distinct(), "class-links")
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 1000) -> DataFrame:
