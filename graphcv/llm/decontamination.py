@@ -1,25 +1,30 @@
 """Benchmark decontamination by template windows.
 
 Tokens are words; numbers, units and names become typed places ("<num>", "<unit>", "<name>"), the others are lower-case
-literals. Windows of `window` tokens of the benchmark, hashed, are joined with those of the documents. Windows that
-match at one shift form an alignment; it counts only if each value of the benchmark's places always stands for one
-value of the document's. So a question with other numbers or names is found, and loose hits are not.
+literals. The first word of a sentence may be a name or not, so windows with it stand in both forms. Windows of `window`
+tokens of the benchmark, hashed, are joined with those of the documents. Windows that match at one shift form an
+alignment; each value of the benchmark's places stands for the value of the document's that most of its windows say, and
+windows that say another do not count. So a question with other numbers or names is found, and loose hits are not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcv.llm.shared import ship, text_of, written
 
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+|[%$€£°]")
-#: The first letter of a sentence is no sign of a name.
+#: Stands before a capital that begins a sentence, which is no sign of a name.
+MARK = "\uffff"
+TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|{MARK}?\w+|[%$€£°]")
 START = re.compile(r"(?:^|[.!?:]\s+|\n\s*)[\"'(«„]?[^\W\d_]")
 #: Names and signs of units.
 UNITS = frozenset(
@@ -29,65 +34,85 @@ UNITS = frozenset(
     "kmh mph kph degree degrees celsius fahrenheit watt watts kw kwh volt volts hz khz mhz ghz kb mb gb tb".split()
 )
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+SIGNS = "%$€£°"
 BITS = 22
 
 
+def _words(text: str) -> list[str]:
+    """Tokens of a text, with MARK before capitals that begin a sentence."""
+    return TOKEN.findall(START.sub(lambda m: m[0][:-1] + MARK + m[0][-1] if m[0][-1].isupper() else m[0], text))
+
+
+def _literal(word: str) -> str:
+    """A marked word as it stands inside a sentence."""
+    return word[1:2].lower() + word[2:]
+
+
 def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Tokens of a whole text with places for values, and the values themselves (lower case)."""
-    text = START.sub(lambda m: m.group().lower(), text or "")
-    words = TOKEN.findall(text)
+    """Tokens of a whole text with places for values, and the values themselves (lower case); words that begin a sentence stay marked."""
+    words = _words(text or "")
     places, after = [], False
     for w in words:
         if w[0].isdigit():
             places.append(NUM)
             after = True
             continue
-        if (after or not w[0].isalnum()) and w.lower() in UNITS:  # a unit's name stands after a number
+        if (after or w[0] in SIGNS) and w.removeprefix(MARK).lower() in UNITS:  # a unit's name stands after a number
             places.append(UNIT)
         elif w[0].isupper():
             places.append(NAME)
         else:
             places.append(w)
         after = False
-    return places, [w.lower() for w in words]
+    return places, [w.removeprefix(MARK).lower() for w in words]
+
+
+def forms(places: list[str]) -> list[tuple[str, ...]]:
+    """The places with each marked word as a name and as a literal."""
+    return list(product(*[(NAME, _literal(p)) if p[0] == MARK else (p,) for p in places]))
 
 
 def _hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace")) & ~1
 
 
 class _Memory(dict):
-    """Hashes of the places of words that stand alone, remembered for a process; emptied when full."""
+    """Hashes of the places of words that stand alone, remembered for a process; emptied when full. Those of the literals of
+    marked words are odd, the others even."""
 
     def __missing__(self, word):
         if len(self) > 500_000:
             self.clear()
-        place = NUM if word[0].isdigit() else UNIT if word in "%$€£°" else NAME if word[0].isupper() else word
-        value = self[word] = _hash(place)
+        if word[0] == MARK:
+            value = _hash(_literal(word)) | 1
+        else:
+            value = _hash(NUM if word[0].isdigit() else UNIT if word in SIGNS else NAME if word[0].isupper() else word)
+        self[word] = value
         return value
 
 
 _hashes = _Memory()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_NUM, _UNIT = np.uint64(_hash(NUM)), np.uint64(_hash(UNIT))
+_ODD = np.uint64(1)
+_NUM, _UNIT, _NAME = np.uint64(_hash(NUM)), np.uint64(_hash(UNIT)), np.uint64(_hash(NAME))
 
 
 def place_hashes(text: str) -> np.ndarray:
-    """The hashes of the places of `template`, without making them."""
-    words = TOKEN.findall(START.sub(lambda m: m.group().lower(), text))
+    """The hashes of the places of `template`, without making them; odd ones are of marked words."""
+    words = _words(text)
     h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     for i in np.flatnonzero(h[:-1] == _NUM).tolist() if len(h) else ():
-        if words[i + 1].lower() in UNITS:
+        if words[i + 1].removeprefix(MARK).lower() in UNITS:
             h[i + 1] = _UNIT
     return h
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` places."""
+    """A hash of each run of `size` places along the first axis."""
     n = len(h) - size + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, *h.shape[1:]), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             out = (out ^ (out >> np.uint64(29))) * _MIX + h[j : j + n]
@@ -99,10 +124,38 @@ def _open(p: str) -> bool:
     return p in (NUM, UNIT, NAME)
 
 
+def form_hashes(h: np.ndarray, at: np.ndarray, size: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forms of the windows of `size` places that begin at `at`: a row each of place in `at`, hash, and which places of
+    marked words are names. Literals that are not `known` (by place of the text) make no form."""
+    places = h[at[:, None] + np.arange(size)]
+    odd, literal = (places & _ODD).astype(bool), known[at[:, None] + np.arange(size)]
+    places &= ~_ODD
+    rows, names = np.arange(len(at)), np.zeros((len(at), size), bool)
+    for j in np.flatnonzero(odd.any(0)).tolist():
+        two = odd[rows, j]
+        more = names[two]
+        more[:, j] = True
+        stay = ~two | literal[rows, j]
+        rows, names = np.concatenate([rows[stay], rows[two]]), np.concatenate([names[stay], more])
+    chosen = np.where(names, _NAME, places[rows])
+    return rows, window_hashes(chosen.T, size)[0] if len(rows) else np.zeros(0, np.int64), names
+
+
+def agreed(windows: list[dict]) -> list[int]:
+    """The places `at` of an alignment's windows (at, slots, said) that agree: each slot stands for the value said at most
+    places (the least of equals); windows where it has another are in conflict and do not count."""
+    votes: dict[str, Counter] = {}
+    for _, slot, value in {(w["at"], *p) for w in windows for p in zip(w["slots"], w["said"], strict=True)}:
+        votes.setdefault(slot, Counter())[value] += 1
+    best = {slot: min(c, key=lambda v: (-c[v], v)) for slot, c in votes.items()}
+    return sorted({w["at"] for w in windows if all(best[s] == v for s, v in zip(w["slots"], w["said"], strict=True))})
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFrame:
-    """item_id, at, size, w, n_windows, slots: the windows of every item; items shorter than a window are one window.
+    """item_id, at, size, w, n_windows, slots: the windows of every item, a row for each form; items shorter than a window are
+    one window. n_windows counts places, not forms.
 
-    Windows with fewer than half literals are left out, for they match anything, unless the item has no others. Items with
+    Forms with fewer than half literals are left out, for they match anything, unless the item has no others. Items with
     fewer than `least` tokens have no windows.
     """
     ship(benchmark.sparkSession)
@@ -115,12 +168,13 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
                 if len(places) < least:
                     continue
                 size = min(window, len(places))
-                hashes = window_hashes(place_hashes(t), size)
-                literal = [sum(not _open(p) for p in places[i : i + size]) * 2 >= size for i in range(len(hashes))]
-                chosen = [i for i in range(len(hashes)) if literal[i]] or list(range(len(hashes)))
-                for i in chosen:
-                    slots = [values[j] for j in range(i, i + size) if _open(places[j])]
-                    out.append((item, i, size, int(hashes[i]), len(chosen), slots))
+                h = place_hashes(t)
+                at, w, names = form_hashes(h, np.arange(len(h) - size + 1), size, np.ones(len(h), bool))
+                made = [(int(i), int(x), [places[i + j] if places[i + j][0] != MARK else NAME if named[j] else "" for j in range(size)]) for i, x, named in zip(at, w, names, strict=True)]
+                chosen = [m for m in made if sum(not _open(p) for p in m[2]) * 2 >= size] or made
+                n_windows = len({i for i, _, _ in chosen})
+                for i, x, form in chosen:
+                    out.append((item, i, size, x, n_windows, [values[i + j] for j, p in enumerate(form) if _open(p)]))
             yield pd.DataFrame(out, columns=["item_id", "at", "size", "w", "n_windows", "slots"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(rows, "item_id long, at int, size int, w long, n_windows int, slots array<string>")
@@ -129,9 +183,10 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, share: float = 0.5) -> DataFrame:
     """doc_id, h (hash of the text), item_id, n_windows, n_matched: the items of `benchmark` that a text of `docs` holds.
 
-    An item is held if consistent alignments match at least `share` of its windows. Null and empty texts and items hold
+    An item is held if what agrees in its alignments (see `agreed`) matches at least `share` of its windows. Null and empty texts and items hold
     and match nothing; ties and repeated rows give one row for each text and item; empty tables give an empty result. A
-    bit table of fixed size tells which words occur in the benchmark; only windows made of such words leave the scan.
+    bit table of fixed size tells which words occur in the benchmark, and another which windows; only windows made of such
+    words, and of a hash in the second, leave the scan.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -140,16 +195,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
 
     def words(batches):
         for b in batches:
-            bits = {_hash(p) >> (64 - BITS) for t in b["text"] for p in template(t)[0]}
+            bits = {_hash(f) >> (64 - BITS) for t in b["text"] for p in template(t)[0] for (f,) in forms([p])}
             yield pd.DataFrame({"bit": sorted(bits)}, dtype="int64")
 
     bits = benchmark.select("text").mapInPandas(words, "bit long").distinct().toArrow()["bit"].to_numpy()  # 2**BITS at most
     table = np.zeros(1 << BITS, bool)
     table[bits] = True
     shared = spark.sparkContext.broadcast(np.packbits(table))
+    bits = items.select(F.shiftrightunsigned("w", 64 - BITS).alias("bit")).distinct().toArrow()["bit"].to_numpy()  # 2**BITS at most
+    table = np.zeros(1 << BITS, bool)
+    table[bits] = True
+    shared_windows = spark.sparkContext.broadcast(np.packbits(table))
 
     def rows(batches):
         known = np.unpackbits(shared.value).astype(bool)
+        wanted = np.unpackbits(shared_windows.value).astype(bool)
+        name_known = known[_NAME >> np.uint64(64 - BITS)]
         for b in batches:
             out = []
             for doc, h, t in zip(b["doc_id"], b["h"], b["text"], strict=True):
@@ -157,15 +218,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
                 n = len(hashes)
                 if not n:
                     continue
+                odd = (hashes & _ODD).astype(bool)
+                literal = known[hashes >> np.uint64(64 - BITS)]
                 gaps = np.zeros(n + 1, np.int64)
-                np.cumsum(~known[hashes >> np.uint64(64 - BITS)], out=gaps[1:])
+                np.cumsum(~(literal | (odd & name_known)), out=gaps[1:])
                 for size in sizes:
                     inside = np.flatnonzero(gaps[size:] == gaps[:-size]) if n >= size else ()
-                    if len(inside):
-                        places, values = (places, values) if places else template(t)
-                        w = window_hashes(hashes, size)
-                        for i in inside.tolist():
-                            out.append((doc, h, i, size, int(w[i]), [values[j] for j in range(i, i + size) if _open(places[j])]))
+                    for part in (inside[i : i + 1024] for i in range(0, len(inside), 1024)):
+                        at, w, names = form_hashes(hashes, part, size, literal)
+                        for r in np.flatnonzero(wanted[w.view(np.uint64) >> np.uint64(64 - BITS)]).tolist():
+                            places, values = (places, values) if places else template(t)
+                            i = int(part[at[r]])
+                            out.append((doc, h, i, size, int(w[r]), [values[i + j] for j in range(size) if names[r, j] or _open(places[i + j])]))
             made = pd.DataFrame(out, columns=["doc_id", "h", "pos", "size", "w", "said"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
@@ -173,11 +237,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
     found = own.mapInPandas(rows, "doc_id long, h long, pos int, size int, w long, said array<string>") if sizes else spark.createDataFrame([], "doc_id long, h long, pos int, size int, w long, said array<string>")
     hits = written(found.join(items, ["w", "size"]), "benchmark-hits")
-    shift = F.col("pos") - F.col("at")
-    pairs = F.arrays_zip("slots", "said")
-    aligned = hits.groupBy("doc_id", "h", "item_id", "n_windows", shift.alias("shift")).agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs")
-    held = aligned.where(consistent).groupBy("doc_id", "h", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_matched"))
+    keys = ["doc_id", "h", "item_id", "n_windows"]
+    aligned = hits.groupBy(*keys, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", "slots", "said")).alias("windows"))
+
+    def ats(batches):
+        for b in batches:
+            found = pa.array(map(agreed, b.column("windows").to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), found], [*keys, "ats"])
+
+    agree = aligned.select(*keys, "windows").mapInArrow(ats, "doc_id long, h long, item_id long, n_windows int, ats array<int>")
+    held = agree.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_matched"))
     return held.where(F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share))).select("doc_id", "h", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "n_matched")
 
 

@@ -157,6 +157,23 @@ def test_templates(spark):
     assert [r.doc_id for r in found.collect()] == [1]
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Anna has 12 red apples in a basket. Anna gives 3 of them to her brother. Anna then buys 7 more at the shop. How many apples does Anna have now?"
+    other = item.replace("Anna", "Bob").replace("12", "15")
+    texts = [(1, item), (2, "Read this. " + other), (3, item.lower()), (4, "Anna and Bob have a brother. How many red apples does the shop have now?")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), share=0.5)
+    assert {r.doc_id: r.n_matched == r.n_windows for r in found.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_equal_values_in_two_roles(spark):
+    item = "A farmer keeps 2 cows in the old barn near the river and feeds them each morning; later that year the same farmer sells 2 pigs at the market in the town below the hill."
+    texts = [(1, item.replace("2 cows", "3 cows").replace("2 pigs", "5 pigs")), (2, item.replace("2 pigs", "two pigs"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), share=0.5)
+    assert {r.doc_id for r in found.collect()} == {1, 2}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(4)
     rows = []
