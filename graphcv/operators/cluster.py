@@ -38,20 +38,24 @@ def kmeans(x: np.ndarray, k: int, nstart: int = 30, rounds: int = 30, seed: int
     return np.argsort(np.argsort(first))[g] + 1
 
 
-def kmedoids(x: np.ndarray, k: int, sample: int = 2000, seed: int = 42) -> np.ndarray:
-    """Labels 1..k: medoids chosen greedily, each lowering the sum of distances most, on a seeded sample of large inputs; then every
-    row goes to the nearest medoid."""
-    some = x if len(x) <= sample else x[np.sort(np.random.default_rng(seed).choice(len(x), sample, replace=False))]
-    d = np.sqrt(np.maximum((some * some).sum(1)[:, None] - 2 * some @ some.T + (some * some).sum(1), 0))
-    chosen = [int(d.sum(0).argmin())]
-    near = d[chosen[0]].copy()
-    while len(chosen) < min(k, len(some)):
-        gain = np.maximum(near[:, None] - d, 0).sum(0)
+def kmedoids(x: np.ndarray, k: int, seed: int = 42, cells: int = 4_000_000) -> np.ndarray:
+    """Labels 1..k: medoids chosen greedily among all rows, each lowering the sum of distances of all rows most; then every
+    row goes to the nearest medoid. Distances are made for blocks of candidates, `cells` at once, and never kept."""
+    squares, step = (x * x).sum(1), max(1, cells // max(1, len(x)))
+
+    def distances(m: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(squares[:, None] - 2 * x @ x[m].T + squares[m], 0))
+
+    blocks = [np.arange(i, min(i + step, len(x))) for i in range(0, len(x), step)]
+    chosen = [int(np.concatenate([distances(m).sum(0) for m in blocks]).argmin())]
+    near = distances(np.array(chosen))[:, 0]
+    while len(chosen) < min(k, len(x)):
+        gain = np.concatenate([np.maximum(near[:, None] - distances(m), 0).sum(0) for m in blocks])
         gain[chosen] = -1
         chosen.append(int(gain.argmax()))
-        near = np.minimum(near, d[chosen[-1]])
-    m = some[chosen]
-    return ((x * x).sum(1)[:, None] - 2 * x @ m.T + (m * m).sum(1)).argmin(1) + 1
+        near = np.minimum(near, distances(np.array(chosen[-1:]))[:, 0])
+    m = x[chosen]
+    return (squares[:, None] - 2 * x @ m.T + (m * m).sum(1)).argmin(1) + 1
 
 
 def cluster_labels(positions: DataFrame, cands: list[int], keys: tuple[str, ...] = ("rep", "sub"), normalize: bool = False, method: str = "kmeans", seed: int = 42) -> DataFrame:

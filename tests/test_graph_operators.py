@@ -169,3 +169,17 @@ def test_hamming_equals_expansion(spark):
         cells[c] = cells.get(c, 0) + 1
     to = L.match_table(cells, max(max(c) for c in cells))
     assert found == pytest.approx(np.mean([to[a] != b for a, b in codes]))
+
+
+def test_medoids_come_from_all_rows():
+    import numpy as np
+
+    from graphcv.operators.cluster import kmedoids
+
+    x = np.random.default_rng(1).normal(size=(2600, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    chosen = [int(d.sum(0).argmin())]
+    for _ in range(2):
+        chosen.append(int(np.minimum(d, d[chosen].min(0)[:, None]).sum(0).argmin()))
+    expected = d[chosen].argmin(0) + 1
+    assert (kmedoids(x, 3) == expected).all() and (kmedoids(x, 3, cells=10_000) == expected).all()
