@@ -77,11 +77,11 @@ def _hash(token: str) -> int:
 
 
 class _Memory(dict):
-    """Hashes of the places of words that stand alone, remembered for a process; emptied when full. Those of the literals of
+    """Hashes of the places of words that stand alone, remembered for a task; emptied when full, some 15 MB. Those of the literals of
     marked words are odd, the others even."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         if word[0] == MARK:
             value = _hash(_literal(word)) | 1
@@ -233,6 +233,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
             made = pd.DataFrame(out, columns=["doc_id", "h", "pos", "size", "w", "said"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
+        _hashes.clear()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
     found = own.mapInPandas(rows, "doc_id long, h long, pos int, size int, w long, said array<string>") if sizes else spark.createDataFrame([], "doc_id long, h long, pos int, size int, w long, said array<string>")

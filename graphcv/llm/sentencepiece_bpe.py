@@ -56,8 +56,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceEncoder:
     """Encodes and decodes with the merge-type model file at `path` (identity normalisation, byte fallback, leading mark)."""
 
-    #: Parts whose encodings are remembered; twice as many at most, as the older half is dropped when the newer is full.
-    REMEMBERED = 400_000
+    #: Parts whose encodings are remembered in a task; twice as many at most, as the older half is dropped when the newer is
+    #: full. With as many neighbours, some 30 MB.
+    REMEMBERED = 40_000
 
     def __init__(self, path: str):
         import ahocorasick
@@ -125,7 +126,7 @@ class PieceEncoder:
         return [p for p in part if p]
 
     def _fit(self, a: str, b: str) -> bool:
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) >= 3 * self.REMEMBERED:
             self.compatible.clear()
         fits = self.compatible[a, b] = self._merged(a + b) == [a, b]
         return fits
@@ -135,12 +136,13 @@ class PieceEncoder:
         longest: list[str | None] = [None] * len(text)
         for end, (back, piece) in self.automaton.iter(text):  # a later end is a longer piece
             longest[end - back] = piece
-        failed, done, at, n, shorter, compatible, last = 0, [], 0, len(text), self.shorter, self.compatible, None
+        done, at, n, shorter, compatible, last = [], 0, len(text), self.shorter, self.compatible, None
+        failed = bytearray()  # a bit a position, made at the first failure
         piece = longest[0] if n else None
         while at < n:
             while piece is not None:
                 to = at + len(piece)
-                if not (failed and failed >> to & 1):
+                if not (failed and failed[to >> 3] >> (to & 7) & 1):
                     if last is None:
                         break
                     fits = compatible.get((last, piece))
@@ -152,7 +154,8 @@ class PieceEncoder:
                 at, last = to, piece
                 piece = longest[at] if at < n else None
             elif done:  # nothing leads on from here after any neighbour that can stand before
-                failed |= 1 << at
+                failed = failed or bytearray((n >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
                 dropped = done.pop()
                 at -= len(dropped)
                 piece, last = shorter[dropped], done[-1] if done else None
@@ -215,6 +218,11 @@ class PieceEncoder:
             found.append(r)
         return found
 
+    def forget(self) -> None:
+        """Drop what is remembered, at the end of a task."""
+        for memory in (self.known, self.older, self.compatible):
+            memory.clear()
+
     def encode(self, text: str) -> list[int]:
         """All ids, the end id last."""
         return [int(i) for r in self._all(self.parts(text)) for i in r[0].split()] + [self.end]
@@ -257,11 +265,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
     empty one; other columns of `docs` are ignored. No shuffle: each row is encoded where it is read.
     """
     ship(docs.sparkSession)
-    path = path or model_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def rows(batches):
-        e = encoder(path)
+        e = encoder(path or model_path())  # found where the task runs
         for b in batches:
             texts = ["" if t is None else t for t in b["text"]]
             out = pd.DataFrame([e.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -270,5 +277,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
                 out["ids"] = [e.encode(t) for t in texts]
                 out["decoded"] = [e.decode(i) for i in out["ids"]]
             yield out
+        e.forget()
 
     return docs.select("doc_id", "text").mapInPandas(rows, schema)
