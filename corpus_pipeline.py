@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from graphcv.llm import decontamination, jaccard_join, line_dedup, sentencepiece_bpe, toxicity
 from graphcv.llm.queries import table
-from graphcv.llm.shared import documents, text_of, written
+from graphcv.llm.shared import documents, written
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the machine is fitted on the labels of `documents`."""
     trained = toxicity.train_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, trained).where("score < 0.5").select(*docs.columns)
+    scored = toxicity.score_toxicity(docs.select(F.struct("*").alias("row"), "text"), trained)
+    return scored.where("score < 0.5").select("row.*")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,19 +25,11 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates (five-word shingles, similarity 0.8).
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
 
-    Texts without words are not duplicates of each other. Rows that repeat that id are dealt with too: of rows with
-    one id, the one with the greatest hash stays.
+    Texts without words are not duplicates of each other; different texts that share an id are different documents.
     """
-    groups = jaccard_join.link_components(docs, k=5, percent=80)
-    heads = written(groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct(), "group-heads")
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    best = kept.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.xxhash64(text_of(), "lang", "source")).alias("_best"))
-    twice = written(best.where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"), "_best"), "repeated-ids")
-    met = kept.join(twice, kept["doc_id"] == twice["_id"], "left").where(F.col("_best").isNull() | (F.xxhash64(text_of(), "lang", "source") == F.col("_best")))
-    single, repeated = met.where("_best is null"), met.where("_best is not null").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).select(*docs.columns)
+    return jaccard_join.keep_one_of_group(docs, k=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
