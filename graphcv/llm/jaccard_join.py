@@ -242,6 +242,18 @@ def _groups(links: DataFrame) -> DataFrame:
     return found.select(F.col("node.sig").alias("sig"), F.col("node.n").alias("n"), "component")
 
 
+def _joined(found: DataFrame, across: DataFrame) -> DataFrame:
+    """sig, n, component of the classes of `found` (sig, n, group) and of the links `across` groups; of many links between two
+    groups one is followed."""
+    ends = across.select(F.explode(F.array(F.struct(F.col("x").alias("sig"), F.col("nx").alias("n")), F.struct(F.col("y").alias("sig"), F.col("ny").alias("n")))).alias("e")).select("e.*").distinct()
+    single = ends.join(found, ["sig", "n"], "left_anti").select("sig", "n", F.struct("n", "sig").alias("group"))
+    every = written(found.select("sig", "n", "group").unionByName(single), "group-members")
+    of = lambda e, o: every.select(F.col("sig").alias(e), F.col("n").alias(f"n{e}"), F.col("group").alias(o))
+    edges = across.join(of("x", "a"), ["x", "nx"]).join(of("y", "b"), ["y", "ny"]).select("a", "b").distinct()
+    merged = connected_components(edges).select(F.col("node").alias("group"), "component")
+    return written(every.join(merged, "group", "left").select("sig", "n", F.coalesce("component", "group").alias("component")), "groups")
+
+
 def common_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Tokens that each two of the sets share."""
     every, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -304,16 +316,15 @@ def grouped(docs: DataFrame, k: int, percent: int, frequent: int, counts: bool)
     least = dealt.groupBy("key", "salt").agg(F.min(F.struct("sig", "n", "room")).alias("l"), F.max("sig").alias("most")).where("l.sig < most")
     least = least.select("key", "salt", F.col("l.sig").alias("sig2"), F.col("l.n").alias("n2"), F.col("l.room").alias("room2"))
     stars = verify.links(_met(dealt, least, ["key", "salt"], percent), "star")
-    found = _groups(stars).withColumnRenamed("component", "group")
+    found = written(_groups(stars).withColumnRenamed("component", "group"), "star-groups")
     own = index.join(found, ["sig", "n"], "left").select("key", "sig", "n", "room", F.coalesce("group", F.struct("n", "sig")).alias("group")).repartition("key")
     several = own.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
     own = written(own.join(several, "key", "left_semi").dropDuplicates(["key", "sig", "n"]), "open-prefixes")
     other = own.select("key", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "room", "group")])
     across = verify.links(_met(own, other, ["key"], percent, F.col("group") != F.col("group2")), "across")
-    links = stars.unionByName(across)
-    groups = written(_groups(links), "groups")
+    groups = _joined(found, across)
     if counts:
-        groups = groups.join(link_counts(groups, links, verify.sets, percent), ["sig", "n"])
+        groups = groups.join(link_counts(groups, stars.unionByName(across), verify.sets, percent), ["sig", "n"])
     return rows.select("doc_id", "t1", "t2", "sig", "n"), groups
 
 
