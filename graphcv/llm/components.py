@@ -22,6 +22,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         arcs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = arcs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = arcs.where("b > a").join(least, "a").select(F.col("b"), F.col("m")).where("b <> m").distinct()  # larger neighbours to the least
+        large = written(large, "large-stars")  # read twice
         small = large.groupBy("b").agg(F.min("m").alias("m"))
         stars = large.withColumnRenamed("m", "n").join(small, "b").select(F.explode(F.array(F.struct(F.col("b"), F.col("m")), F.struct(F.col("n").alias("b"), F.col("m")))).alias("e"))
         after = written(stars.select(F.least("e.b", "e.m").alias("a"), F.greatest("e.b", "e.m").alias("b")).where("a <> b").distinct(), "links")

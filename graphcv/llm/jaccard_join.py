@@ -8,7 +8,7 @@ tokens two must be shared, so pairs of them are indexed. Each key tells how many
 is the first that they share; where that is too few, the pair is none.
 
 Candidates are made in two steps, so that a group of near copies never becomes all its pairs. First each class meets
-only the least class under each of its keys. The links found there join classes into groups. Then classes of different
+only one leader under each of its keys, drawn by hash for each key. The links found there join classes into groups. Then classes of different
 groups meet under the keys where several groups stand. A pair whose parity sketches differ in more bits than the sets
 may differ in tokens is no link; the others are verified on whole sets. Links inside groups are counted in tiles.
 """
@@ -313,7 +313,9 @@ def grouped(docs: DataFrame, k: int, percent: int, frequent: int, counts: bool)
     index = prefix_index(docs, table, k, percent, frequent)
     verify = _Verifier(docs, rows, k, percent)
     dealt = index.repartition("key", "salt")  # moved once for both sides
-    least = dealt.groupBy("key", "salt").agg(F.min(F.struct("sig", "n", "room")).alias("l"), F.max("sig").alias("most")).where("l.sig < most")
+    # each key has a leader of its own, for in a large group of near copies one class alone is linked with too few
+    leader = F.min_by(F.struct("sig", "n", "room"), F.struct(F.xxhash64("key", "sig"), "sig"))
+    least = dealt.groupBy("key", "salt").agg(leader.alias("l"), F.min("sig").alias("first"), F.max("sig").alias("last")).where("first < last")
     least = least.select("key", "salt", F.col("l.sig").alias("sig2"), F.col("l.n").alias("n2"), F.col("l.room").alias("room2"))
     stars = verify.links(_met(dealt, least, ["key", "salt"], percent), "star")
     found = written(_groups(stars).withColumnRenamed("component", "group"), "star-groups")
