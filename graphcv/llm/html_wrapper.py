@@ -1,9 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages are parsed into trees of block elements; runs of siblings of one shape fold into one node, which leaves a small
-skeleton. The most common skeleton of a host is its reference; simple tree matching aligns every other skeleton of
-the host with it. A text that stands in one aligned slot of nearly all different pages of the host is template; slots
-whose text varies are content. Elements whose tag, role, class or id says that they are no article text go first.
+Every page becomes a tree of its block elements, with nothing judged yet; runs of siblings of one shape fold into one
+node, which leaves a small skeleton. The most common skeleton of a host is its reference, and simple tree matching
+aligns every other skeleton of the host with it, so a node of a page is a slot of its host. A text that stands in one
+slot of nearly all different pages of the host is template; what varies is content. The wrapper of a host is the region
+of its reference that holds most of the varying text; a page's main text is what its nodes aligned with that region
+hold, without the template of each slot. Tags, roles and class names only break ties: where the way down stops, and
+which lesser parts of the region are no article text.
 """
 
 from __future__ import annotations
@@ -11,16 +14,17 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphcv.llm.shared import ship, written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^>])*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote begins a value only after "=".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -28,41 +32,26 @@ BLOCK = frozenset(
     "html body head address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag ends the open element of these, looked for up to the border.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCK - {"html", "body", "head", "caption", "dd", "dt", "li", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"} | {"li", "dd", "dt"}
-#: What is never article text, by tag, role or a word of class or id.
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg canvas object math dialog menu title audio video map search".split())
+#: Never text of a page: not shown, or controls.
+UNSEEN = frozenset("head script style noscript template button select option textarea input iframe svg canvas object math title audio video map datalist".split())
+#: What these hold inside a region is no article text, unless it is most of it.
+APART = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar sidebars aside footer foot masthead topbar cookie cookies consent gdpr notice notices notification notifications alert disclaimer popup modal overlay "
-    "comment comments commentlist respond replies reply discussion disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login "
-    "pagination pager widget widgets toolbar copyright skip toc teaser teasers outbrain taboola".split()
+CLASSES = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer topbar cookie cookies cookie-notice "
+    "consent notice notification popup modal overlay comment comments comment-list replies disqus share sharing social related recommended newsletter subscribe pagination pager".split()
 )
-DEPTH = 60
 
 
-class Node:
-    __slots__ = ("tag", "label", "children", "dropped", "main", "header", "depth", "shape")
-
-    def __init__(self, tag, label, dropped, main, header, depth):
-        self.tag, self.label, self.dropped, self.main, self.header, self.depth = tag, label, dropped, main, header, depth
-        self.children: list[Node] = []
-
-
-def _attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for k, a, b, c in ATTRIBUTE.findall(text):
-        out.setdefault(k.lower(), a or b or c)
-    return out
-
-
-def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of block elements, and in page order the blocks of text that are not dropped, each with its element."""
-    root = Node("", "", False, 0, False, 0)
-    stack: list[tuple[str, Node]] = [("", root)]
-    blocks: list[tuple[Node, str]] = []
+def parse(page: str | None) -> tuple[list[int], list[str], list[tuple[int, str]]]:
+    """Parents and labels of the block elements (0 is the root), and in page order the blocks of text, each with its element."""
+    parents, labels = [-1], [" "]
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, unseen
+    blocks: list[tuple[int, str]] = []
     held: list[str] = []
     page = page or ""
 
@@ -70,9 +59,8 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
         if held:
             text = " ".join("".join(held).split())
             held.clear()
-            node = stack[-1][1]
-            if text and not node.dropped:
-                blocks.append((node, text))
+            if text:
+                blocks.append((stack[-1][1], text))
 
     def pop(to):
         while len(stack) > to:
@@ -92,7 +80,7 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not stack[-1][1].dropped:
+        if text and not stack[-1][2]:
             held.append(html.unescape(text))
         if not m:
             break
@@ -112,197 +100,258 @@ def parse(page: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             elif tag == "br":
                 held.append(" ")
             continue
-        attributes = _attributes(m[3]) if m[3].strip() else {}
+        attributes: dict[str, str] = {}
+        for k, a, b, c in ATTRIBUTE.findall(m[3]) if m[3].strip() else ():
+            attributes.setdefault(k.lower(), a or b or c)
         if tag in BLOCK:
             flush()
             if tag in ENDS_P:
                 end({"p"}, {"article", "div", "td", "th", "section", "table", "button", "body"})
             if tag in ENDS:
                 end(*ENDS[tag])
-        above = stack[-1][1]
-        names = re.findall(r"[a-z]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())
-        whole = tag in ("html", "body", "main", "article")
-        said = attributes.get("role", "").lower()
-        gone = above.dropped or tag in DROPPED or said in ROLES or "hidden" in attributes or not WORDS.isdisjoint(names) and (not whole or tag == "article")
-        header = above.header or tag == "header"
-        if header and above.main and re.fullmatch("h[1-6]", tag):  # a title in an article's own header
-            header = False
-        elif header and (not above.main or tag != "header"):
-            gone = gone or not above.main
-        main = max(above.main, 2 if tag == "article" else 1 if tag == "main" or said == "main" else 0)
-        if tag in BLOCK or gone != above.dropped or header != above.header:
-            node = Node(tag, ".".join([tag, *sorted(set(names))]), gone, main, header, above.depth + 1)
-            if node.depth <= DEPTH:
-                above.children.append(node)
-            else:
-                node.label = above.label
-        else:
-            node = above
+        above = stack[-1]
+        unseen = above[2] or tag in UNSEEN or "hidden" in attributes
+        element = above[1]
+        if tag in BLOCK and not unseen:
+            names = sorted({w for w in re.split(r"[\s\d]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower()) if w})
+            element = len(parents)
+            parents.append(above[1])
+            labels.append(" ".join([tag, "role=" + attributes["role"].strip().lower() if attributes.get("role") else "", *names]))
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             stop = page.find(">", close.start()) if close else -1
             at = stop + 1 if stop >= 0 else n
             continue
         if not m[3].endswith("/") or tag in BLOCK:
-            if gone and not above.dropped and tag not in BLOCK:
+            if unseen and not above[2] and tag not in BLOCK:
                 held.append(" ")
-            stack.append((tag, node))
+            stack.append((tag, element, unseen))
     pop(1)
     flush()
-    blocks = [(b, t) for b, t in blocks if not b.header]
-    best = max((b.main for b, _ in blocks), default=0)
-    return root, [(b, t) for b, t in blocks if b.main == best]
-
-
-def skeleton(root: Node) -> tuple[list, dict[int, int]]:
-    """Nested [label, children] with runs of equal siblings folded, and the slot (place in preorder) of each element."""
-    order: list[Node] = [root]
-    for node in order:
-        order.extend(node.children)
-    for node in reversed(order):
-        folded: list = []
-        for c in node.children:
-            if not folded or folded[-1] != c.shape:
-                folded.append(c.shape)
-        node.shape = [node.label, folded]
-    slots: dict[int, int] = {}
-
-    def number(nodes: list[Node], start: int) -> int:
-        """Numbers nodes of one shape alike; returns the next free number."""
-        for node in nodes:
-            slots[id(node)] = start
-        runs: list[list[Node]] = [[] for _ in nodes[0].shape[1]]
-        for node in nodes:
-            k, last = -1, None
-            for c in node.children:
-                if last is None or c.shape != last:
-                    k, last = k + 1, c.shape
+    return parents, labels, blocks
+
+
+def skeleton(parents: list[int], labels: list[str]) -> tuple[list[int], list[str], list[int]]:
+    """Parents and labels of the slots in preorder, and the slot of each element; runs of equal siblings share a slot."""
+    children: list[list[int]] = [[] for _ in parents]
+    for i, p in enumerate(parents[1:], 1):
+        children[p].append(i)
+    known: dict[tuple, int] = {}
+    shape = [0] * len(parents)
+    for i in range(len(parents) - 1, -1, -1):
+        folded: list[int] = []
+        for c in children[i]:
+            if not folded or folded[-1] != shape[c]:
+                folded.append(shape[c])
+        shape[i] = known.setdefault((labels[i], *folded), len(known))
+    up, names, slots = [], [], [0] * len(parents)
+    waiting = [([0], -1)]
+    while waiting:
+        same, above = waiting.pop()  # elements of one shape
+        slot = len(up)
+        up.append(above)
+        names.append(labels[same[0]])
+        runs: list[list[int]] = []
+        for node in same:
+            slots[node] = slot
+            k, last = -1, -1
+            for c in children[node]:
+                if shape[c] != last:
+                    k, last = k + 1, shape[c]
+                    if k == len(runs):
+                        runs.append([])
                 runs[k].append(c)
-        nxt = start + 1
-        for run in runs:
-            nxt = number(run, nxt)
-        return nxt
-
-    number([root], 0)
-    return root.shape, slots
-
-
-def _size(tree: list) -> int:
-    return 1 + sum(map(_size, tree[1]))
-
-
-def tree_match(a: list, b: list) -> dict[int, int]:
-    """Simple tree matching: slots of `a` aligned with slots of `b`, most nodes in all, order and parents kept."""
-    memo: dict[tuple[int, int], tuple[int, dict]] = {}
-
-    def match(x: list, i: int, y: list, j: int) -> tuple[int, dict]:
-        if x[0] != y[0]:
-            return 0, {}
-        if (i, j) in memo:
-            return memo[i, j]
-        xs, ys = x[1], y[1]
-        xi, yj = [], []
-        for nodes, first, out in ((xs, i + 1, xi), (ys, j + 1, yj)):
-            for c in nodes:
-                out.append(first)
-                first += _size(c)
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        own: dict[tuple[int, int], tuple[int, dict]] = {}
-        for p in range(1, len(xs) + 1):
-            for q in range(1, len(ys) + 1):
-                w = 0
-                if xs[p - 1][0] == ys[q - 1][0]:
-                    own[p, q] = match(xs[p - 1], xi[p - 1], ys[q - 1], yj[q - 1])
-                    w = own[p, q][0]
-                best[p][q] = max(best[p - 1][q], best[p][q - 1], best[p - 1][q - 1] + w)
-        p, q, pairs = len(xs), len(ys), {i: j}
+        waiting.extend((run, slot) for run in reversed(runs))
+    return up, names, slots
+
+
+def _children(up: list[int]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in up]
+    for i, p in enumerate(up):
+        if p >= 0:
+            out[p].append(i)
+    return out
+
+
+def tree_match(a: tuple[list[int], list[str]], b: tuple[list[int], list[str]]) -> dict[int, int]:
+    """Simple tree matching: slots of `a` aligned with slots of `b`, most slots in all, order and parents kept."""
+    x, y, la, lb = _children(a[0]), _children(b[0]), a[1], b[1]
+    pairs = [(0, 0)] if la[0] == lb[0] else []
+    for i, j in pairs:  # grows: all pairs of equal labels whose parents are such a pair
+        pairs.extend((p, q) for p in x[i] for q in y[j] if la[p] == lb[q])
+    size: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], list[list[int]]] = {}
+    for i, j in reversed(pairs):
+        best = [[0] * (len(y[j]) + 1) for _ in range(len(x[i]) + 1)]
+        for p, c in enumerate(x[i], 1):
+            row, over = best[p], best[p - 1]
+            for q, d in enumerate(y[j], 1):
+                row[q] = max(over[q], row[q - 1], over[q - 1] + size.get((c, d), 0))
+        size[i, j], tables[i, j] = best[-1][-1] + 1, best
+    out, waiting = {}, [(0, 0)] if pairs else []
+    while waiting:
+        i, j = waiting.pop()
+        out[i] = j
+        best, p, q = tables[i, j], len(x[i]), len(y[j])
         while p and q:
-            if (p, q) in own and best[p][q] == best[p - 1][q - 1] + own[p, q][0]:
-                pairs |= own[p, q][1]
+            w = size.get((x[i][p - 1], y[j][q - 1]), 0)
+            if w and best[p][q] == best[p - 1][q - 1] + w:
+                waiting.append((x[i][p - 1], y[j][q - 1]))
                 p, q = p - 1, q - 1
             elif best[p][q] == best[p - 1][q]:
                 p -= 1
             else:
                 q -= 1
-        memo[i, j] = best[-1][-1] + 1, pairs
-        return memo[i, j]
-
-    return match(a, 0, b, 0)[1]
+    return out
 
 
-def _key(text: str) -> int:
-    raw = text.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(raw) << 31) ^ (zlib.adler32(raw) << 8) ^ len(raw) & 255
+def _sums(up: list[int], mass: list[float]) -> list[float]:
+    out = list(mass)
+    for i in range(len(up) - 1, 0, -1):
+        out[up[i]] += out[i]
+    return out
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` to broadcast if it is counted to have `rows` at most, else to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def region(up: list[int], labels: list[str], mass: list[float]) -> int:
+    """The slot whose subtree is the wrapper's content: from the root down, as long as one child that has parts of its own holds
+    half of all varying text. An article ends the way, and so does a part whose own varying headings would be left behind."""
+    below, total, at = _children(up), _sums(up, mass), 0
+    tag = [x.split(" ", 1)[0] for x in labels]
+    while tag[at] != "article":
+        if tag[at] not in ("", "html", "body") and any(tag[c] in HEADINGS and total[c] > 0 for c in below[at]):
+            break
+        best = max(below[at], key=lambda c: total[c], default=-1)
+        if best < 0 or not below[best] or total[best] * 2 < total[0] or total[0] <= 0:
+            break
+        at = best
+    return at
 
 
-def host_templates(pages: DataFrame, share: float = 0.9, least: int = 5) -> DataFrame:
-    """host, template: what stands in one aligned slot of `share` of the host's different pages, as (label, text) hashes.
+def kept_slots(up: list[int], labels: list[str], to: list[int], top: int, home_mass: list[float]) -> list[bool]:
+    """Which slots of a page's skeleton are main text: those under a slot aligned with the region `top`, but for parts that stand apart
+    by tag, role or class and hold less than half of the region's varying text, and headers but for their headings.
 
-    `pages`: host, html. Hosts with fewer than `least` different pages have no template; "" is no host. All pages count;
-    texts are counted by hash, partially in every task, so a large host is no large group.
+    A page without such a slot is judged as a whole.
     """
+    some = top in to
+    total, n = _sums(up, home_mass), len(up)
+    inside, apart, header = [False] * n, [False] * n, [False] * n
+    whole = max((total[i] for i in range(n) if to[i] == top), default=0.0) if some else total[0]
+    for i in range(n):
+        tag, role, *names = labels[i].split(" ")
+        above = up[i]
+        inside[i] = (to[i] == top if some else i == 0) or above >= 0 and inside[above]
+        begins = inside[i] and (above < 0 or not inside[above])
+        marked = tag in APART or role.removeprefix("role=") in ROLES or not CLASSES.isdisjoint(names)
+        apart[i] = above >= 0 and apart[above] or marked and not begins and total[i] * 2 < max(whole, 1e-9)
+        header[i] = tag == "header" or above >= 0 and header[above] and tag not in HEADINGS
+    return [inside[i] and not apart[i] and not header[i] for i in range(n)]
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """`pages` (page_id, url, host, html) as host, page (hash), shape and blocks (slot, said (hash), text). A page without host is
+    a host of its own."""
     ship(pages.sparkSession)
 
-    def shapes(batches):
+    def rows(batches):
         for b in batches:
             out = []
-            for host, page in zip(b["host"], b["html"], strict=True):
-                root, blocks = parse(page)
-                shape, slots = skeleton(root)
-                seen = sorted({(slots.get(id(n), 0), _key(n.label), _key(t)) for n, t in blocks})
-                out.append((host, json.dumps(shape, separators=(",", ":")), [{"slot": s, "label": k, "said": t} for s, k, t in seen], _key(page or "")))
-            yield pd.DataFrame(out, columns=["host", "shape", "seen", "page"])
-
-    found = pages.where("host <> ''").mapInPandas(shapes, "host string, shape string, seen array<struct<slot:int,label:long,said:long>>, page long")
-    found = written(found.select("host", F.xxhash64("shape").alias("s"), "shape", "page", "seen"), "page-shapes")
-    kinds = written(found.groupBy("host", "s", "shape").agg(F.count("*").alias("n")), "shapes")
-    reference = kinds.groupBy("host").agg(F.max_by("shape", F.struct("n", "s")).alias("reference"))
-
-    @F.pandas_udf("array<int>")
-    def aligned(shape: pd.Series, reference: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(shape, reference, strict=True):
-            x, y = json.loads(a), json.loads(b)
-            pairs = tree_match(x, y) if a != b else {i: i for i in range(_size(x))}
-            out.append([pairs.get(i, -1) for i in range(_size(x))])
-        return pd.Series(out)
+            for i, url, host, page in zip(b["page_id"], b["url"], b["host"], b["html"], strict=True):
+                parents, labels, blocks = parse(page)
+                up, names, slots = skeleton(parents, labels)
+                key = _key(page)
+                found = [{"slot": slots[e], "said": _key(t), "text": t} for e, t in blocks]
+                out.append((i, url, host or f" {key}", key, json.dumps([up, names], separators=(",", ":"), ensure_ascii=False), found))
+            made = pd.DataFrame(out, columns=["page_id", "url", "host", "page", "shape", "blocks"])
+            made["page_id"] = made["page_id"].astype("Int64")
+            yield made
 
-    slots = kinds.join(reference, "host").select("host", "s", aligned("shape", "reference").alias("to"))
-    once = found.select("host", "s", "page", F.explode("seen").alias("x")).select("host", "s", "page", "x.*").distinct()
-    counts = once.groupBy("host", "s", "slot", "label", "said").agg(F.count("*").alias("n"))
-    many = counts.join(slots, ["host", "s"]).select("host", F.get("to", "slot").alias("slot"), "label", "said", "n").where("slot >= 0").groupBy("host", "slot", "label", "said").agg(F.sum("n").alias("n"))
-    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
-    const = many.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
-    return const.groupBy("host").agg(F.collect_set(F.struct("label", "said")).alias("template"))
+    found = pages.mapInPandas(rows, "page_id long, url string, host string, page long, shape string, blocks array<struct<slot:int,said:long,text:string>>")
+    return written(found.withColumn("s", F.xxhash64("shape")), "parsed-pages")
 
 
-def extract_pages(pages: DataFrame, share: float = 0.9, least: int = 5) -> DataFrame:
-    """page_id, url, text, n_chars: the main text of every row of `pages` (page_id, url, html).
+def wrappers(found: DataFrame, share: float, least: int) -> DataFrame:
+    """host, s, keep (a flag for each slot), template (slot, said) for every skeleton of `found` (see `parsed_pages`).
 
-    White space inside a block becomes one space, blocks are joined by line feeds. A null or empty html, or one without
-    article text, gives an empty text. A null url, or one without host, has no template. Repeated rows give repeated rows
-    (and count as one page of their host), an empty table an empty result; extra columns are ignored.
+    All different pages of a host count. Texts are counted by hash, partially in every task, so that a large host is no
+    large group; what comes together is a row for each slot of a reference. Hosts with fewer than `least` different
+    pages have no template.
     """
-    ship(pages.sparkSession)
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
-    templates = written(host_templates(own, share, least), "templates")
+    kinds = found.groupBy("host", "s", "shape").agg(F.count("*").alias("n"))
+    kinds = written(kinds, "shapes")
+    reference = kinds.groupBy("host").agg(F.max_by("shape", F.struct("n", "s")).alias("reference"))
 
-    def extract(batches):
+    @F.pandas_udf("struct<to:array<int>,home:array<int>>")
+    def aligned(shape: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(shape, reference, strict=True):
+            x = json.loads(a)
+            pairs = {i: i for i in range(len(x[0]))} if a == b else tree_match(x, json.loads(b))
+            home: list[int] = []
+            for i, p in enumerate(x[0]):  # an unaligned slot's text counts for the part around it
+                home.append(pairs[i] if i in pairs else home[p] if p >= 0 else 0)
+            out.append(([pairs.get(i, -1) for i in range(len(x[0]))], home))
+        return pd.DataFrame(out, columns=["to", "home"])
+
+    slots = written(kinds.join(reference, "host").select("host", "s", "shape", "reference", aligned("shape", "reference").alias("a")).select("host", "s", "shape", "reference", "a.*"), "aligned-shapes")
+    seen = found.select("host", "s", "page", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), b["said"].alias("said"), F.length(b["text"]).alias("size"))))).alias("x"))
+    once = seen.select("host", "s", "page", "x.*").distinct()
+    counts = once.groupBy("host", "s", "slot", "said", "size").agg(F.count("*").alias("n"))
+    placed = counts.join(slots.select("host", "s", "to", "home"), ["host", "s"]).select("host", F.get("to", "slot").alias("to"), F.get("home", "slot").alias("home"), "said", "size", "n")
+    many = placed.groupBy("host", "to", "home", "said", "size").agg(F.sum("n").alias("n"))
+    pages = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    met = many.join(pages, "host")
+    fixed = (F.col("to") >= 0) & (F.col("pages") >= least) & (F.col("n") >= F.col("pages") * share)
+    by_slot = met.groupBy("host", "home").agg(F.sum(F.when(fixed, 0).otherwise(F.col("n") * F.col("size"))).cast("double").alias("mass"), F.collect_set(F.when(fixed, F.struct("to", "said"))).alias("fixed"))
+    of_host = by_slot.groupBy("host").agg(F.collect_list(F.struct("home", "mass")).alias("masses"), F.flatten(F.collect_list("fixed")).alias("fixed"))
+    table = slots.join(of_host, "host", "left")
+
+    def decide(batches):
         for b in batches:
             out = []
-            for i, url, page, template in zip(b["page_id"], b["url"], b["html"], b["template"], strict=True):
-                known = {(x["label"], x["said"]) for x in template} if template is not None else ()
-                text = "\n".join(t for n, t in parse(page)[1] if not known or (_key(n.label), _key(t)) not in known)
-                out.append((i, url, text, len(text)))
-            made = pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
-            made["page_id"] = made["page_id"].astype("Int64")
-            yield made
+            for host, s, shape, reference, to, home, masses, fixed in zip(*(b[c] for c in ("host", "s", "shape", "reference", "to", "home", "masses", "fixed")), strict=True):
+                (up, labels), (ref_up, ref_labels), to = json.loads(shape), json.loads(reference), list(to)
+                mass = [0.0] * len(ref_up)
+                for m in masses if masses is not None else ():
+                    mass[m["home"]] = m["mass"]
+                top = region(ref_up, ref_labels, mass)
+                own = [0.0] * len(up)
+                first: dict[int, int] = {}
+                for i, h in enumerate(home):
+                    first.setdefault(h, i)
+                for h, i in first.items():
+                    own[i] = mass[h]
+                keep = kept_slots(up, labels, to, top, own)
+                back: dict[int, list[int]] = {}
+                for i, t in enumerate(to):
+                    back.setdefault(t, []).append(i)
+                template = [{"slot": i, "said": f["said"]} for f in fixed if f is not None for i in back.get(f["to"], ())] if fixed is not None else []
+                out.append((host, s, keep, template))
+            yield pd.DataFrame(out, columns=["host", "s", "keep", "template"])
+
+    return written(table.mapInPandas(decide, "host string, s long, keep array<boolean>, template array<struct<slot:int,said:long>>"), "wrappers")
+
+
+def host_of(url: str = "url") -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+
+
+def extract_pages(pages: DataFrame, share: float = 0.9, least: int = 3, induce: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars: the main text of every row of `pages` (page_id, url, html).
 
-    met = own.join(_small(templates, 100_000), "host", "left").select("page_id", "url", "html", "template")
-    return met.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
+    White space inside a block becomes one space, blocks are joined by line feeds. A null or empty html, or one without
+    text, gives an empty text. A null url, or one without host, is a host of one page. Repeated rows give repeated rows
+    (and count as one page of their host), an empty table an empty result; extra columns are ignored. Elements may be
+    nested to any depth. `induce=False` judges every page by itself, without its host.
+    """
+    host = host_of() if induce else F.lit("")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
+    found = parsed_pages(own)
+    met = found.join(wrappers(found, share, least), ["host", "s"])
+    keep = F.filter("blocks", lambda b: F.get("keep", b["slot"]) & ~F.array_contains(F.col("template"), F.struct(b["slot"].alias("slot"), b["said"].alias("said"))))
+    text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n")
+    return met.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
