@@ -230,13 +230,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
                             places, values = (places, values) if places else template(t)
                             i = int(part[at[r]])
                             out.append((doc, h, i, size, int(w[r]), [values[i + j] for j in range(size) if names[r, j] or _open(places[i + j])]))
-            made = pd.DataFrame(out, columns=["doc_id", "h", "pos", "size", "w", "said"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
+            yield pd.DataFrame(out, columns=["doc_id", "h", "pos", "size", "w", "said"])
         _hashes.clear()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    found = own.mapInPandas(rows, "doc_id long, h long, pos int, size int, w long, said array<string>") if sizes else spark.createDataFrame([], "doc_id long, h long, pos int, size int, w long, said array<string>")
+    own = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    found = own.mapInPandas(rows, "doc_id string, h long, pos int, size int, w long, said array<string>").withColumn("doc_id", F.col("doc_id").cast("long")) if sizes else spark.createDataFrame([], "doc_id long, h long, pos int, size int, w long, said array<string>")
     hits = written(found.join(items, ["w", "size"]), "benchmark-hits")
     keys = ["doc_id", "h", "item_id", "n_windows"]
     aligned = hits.groupBy(*keys, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", "slots", "said")).alias("windows"))

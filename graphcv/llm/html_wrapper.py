@@ -248,6 +248,17 @@ def kept_slots(up: list[int], labels: list[str], to: list[int], top: int, home_m
     return [inside[i] and not apart[i] and not header[i] for i in range(n)]
 
 
+def lone_text(page: str | None) -> list[str]:
+    """The main text's blocks of a page without a host."""
+    parents, labels, blocks = parse(page)
+    up, names, slots = skeleton(parents, labels)
+    mass = [0.0] * len(up)
+    for e, t in blocks:
+        mass[slots[e]] += len(t)
+    keep = kept_slots(up, names, list(range(len(up))), region(up, names, mass), mass)
+    return [t for e, t in blocks if keep[slots[e]]]
+
+
 def _key(text: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
@@ -266,12 +277,10 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 key = _key(page)
                 found = [{"slot": slots[e], "said": _key(t), "text": t} for e, t in blocks]
                 out.append((i, url, host or f" {key}", key, json.dumps([up, names], separators=(",", ":"), ensure_ascii=False), found))
-            made = pd.DataFrame(out, columns=["page_id", "url", "host", "page", "shape", "blocks"])
-            made["page_id"] = made["page_id"].astype("Int64")
-            yield made
+            yield pd.DataFrame(out, columns=["page_id", "url", "host", "page", "shape", "blocks"])
 
-    found = pages.mapInPandas(rows, "page_id long, url string, host string, page long, shape string, blocks array<struct<slot:int,said:long,text:string>>")
-    return written(found.withColumn("s", F.xxhash64("shape")), "parsed-pages")
+    found = pages.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(rows, "page_id string, url string, host string, page long, shape string, blocks array<struct<slot:int,said:long,text:string>>")
+    return written(found.withColumns({"page_id": F.col("page_id").cast("long"), "s": F.xxhash64("shape")}), "parsed-pages")
 
 
 def wrappers(found: DataFrame, share: float, least: int) -> DataFrame:

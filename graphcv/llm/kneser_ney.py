@@ -1,38 +1,63 @@
-"""Interpolated modified Kneser-Ney model over four-symbol strings, and perplexities by sharded count joins.
+"""Interpolated modified Kneser-Ney model over five-symbol strings, and perplexities by sharded count joins.
 
-Symbols are UTF-16 code units, so four of them are one long and contexts are shifts of it. All trusted text is counted.
-The distinct strings of each block of documents (a range of ids) are joined, by shuffles on the string, with the
-counts of every order; each block then gets just the strings that it needs, next to its compressed texts.
+Symbols are the UTF-16 code units of the trusted text, the 4,094 most frequent of them, and one for all others; five of
+them are 60 bits of a long and contexts are shifts of it. All trusted text is counted. The distinct strings of each block
+of documents (a range of ids) go to shards as packed lists; a shard joins them with its part of the model, and each
+block gets just the strings that it needs, next to its compressed texts.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphcv.llm.shared import ship, text_of, written
+from graphcv.llm.shared import id_values, in_ranges, ship, small, text_of, written
+
+ORDER, BITS, CHUNK = 5, 12, 4_000_000
+OTHER = (1 << BITS) - 1
+SPREAD = 1_000_003  # strings are dealt to shards by their remainder
 
-ORDER, CHUNK = 4, 4_000_000
 
+def symbol_table(texts: DataFrame) -> np.ndarray:
+    """The number of each of the 65,536 code units: 1, 2, ... from the most frequent in `texts` on, OTHER for rare and unknown ones."""
+    ship(texts.sparkSession)
 
-def grams(text: str) -> np.ndarray:
-    """The string that ends at each symbol of the text, after three marks of the beginning (0), as longs."""
-    u = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2").astype(np.uint64)
-    u = np.concatenate([np.zeros(ORDER - 1, np.uint64), np.where(u == 0, 0xFFFF, u).astype(np.uint64)])
+    def rows(batches):
+        n = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for t in b["text"]:
+                n += np.bincount(np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2"), minlength=1 << 16)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"unit": at, "n": n[at]})
+
+    found = texts.select("text").mapInPandas(rows, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    unit, n = found["unit"].to_numpy(), found["n"].to_numpy()
+    first = unit[np.lexsort((unit, -n))][: OTHER - 1]
+    table = np.full(1 << 16, OTHER, np.uint64)
+    table[first] = np.arange(1, len(first) + 1)
+    return table
+
+
+def grams(text: str, table: np.ndarray) -> np.ndarray:
+    """The string that ends at each symbol of the text, after marks of the beginning (0), as longs."""
+    u = table[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")]
+    u = np.concatenate([np.zeros(ORDER - 1, np.uint64), u])
     n = len(u) - ORDER + 1
     g = np.zeros(n, np.uint64)
     for j in range(ORDER):
-        g = (g << np.uint64(16)) | u[j : n + j]
+        g = (g << np.uint64(BITS)) | u[j : n + j]
     return g.view(np.int64)
 
 
-def _counted(texts):
+def _counted(texts, table: np.ndarray):
     """Distinct strings of many texts with their counts, chunk by chunk."""
     held, n = [], 0
     for t in texts:
-        g = grams(t)
+        g = grams(t, table)
         for i in range(0, len(g), CHUNK):
             held.append(g[i : i + CHUNK])
             n += len(held[-1])
@@ -43,13 +68,13 @@ def _counted(texts):
         yield np.unique(np.concatenate(held), return_counts=True)
 
 
-def count_strings(texts: DataFrame) -> DataFrame:
+def count_strings(texts: DataFrame, table: np.ndarray) -> DataFrame:
     """gram, n: how often each string occurs in all rows of `texts`."""
     ship(texts.sparkSession)
 
     def rows(batches):
         for b in batches:
-            for g, n in _counted(b["text"]):
+            for g, n in _counted(b["text"], table):
                 yield pd.DataFrame({"gram": g, "n": n.astype(np.int64)})
 
     return texts.select("text").mapInPandas(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -66,7 +91,7 @@ def _discounts(table: DataFrame) -> tuple[float, float, float]:
 
 def _suffix(order: int) -> Column:
     """The gram without its first symbol, for a gram of `order` symbols."""
-    return F.col("gram").bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1))
+    return F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
 
 
 def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -74,7 +99,7 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
     The highest order uses the counts (gram, n), a lower order the number of different symbols before the string.
     """
-    tables = {ORDER: written(counts, "grams-4")}
+    tables = {ORDER: written(counts, f"grams-{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
         tables[order] = written(tables[order + 1].select(_suffix(order + 1).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), f"grams-{order}")
     symbols = tables[1].count() + 1
@@ -83,67 +108,95 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
         table, (d1, d2, d3) = tables[order], _discounts(tables[order])
         n = F.col("n")
         cut = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-        key = F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1 if order < 4 else -1))
-        context = F.shiftrightunsigned(F.col("gram"), 16)
+        key = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+        context = F.shiftrightunsigned(F.col("gram"), BITS)
         contexts = table.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
         own = table.select(F.col("gram").alias("key"), (n - cut).alias("left"))
-        found = found.withColumn("key", key).join(own, "key", "left").withColumn("context", F.shiftrightunsigned("key", 16)).join(contexts, "context", "left")
+        found = found.withColumn("key", key).join(own, "key", "left").withColumn("context", F.shiftrightunsigned("key", BITS)).join(contexts, "context", "left")
         p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("left", F.lit(0.0)) + F.col("cut") * F.col("p")) / F.col("total"))
         found = found.select("gram", p.alias("p"))
     return found.select("gram", F.log("p").alias("logp"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` to broadcast if it is counted to have `rows` at most, else to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
-
+def _packed(g: np.ndarray) -> bytes:
+    """Ascending strings as compressed differences."""
+    return zlib.compress(np.diff(g, prepend=np.int64(0)).tobytes(), 1)
 
-def in_blocks(own: DataFrame, rows: int) -> DataFrame:
-    """`own` (doc_id, text) with block: ranges of ids of about `rows` rows, which hang on the row alone and not on its partition.
 
-    Rows without id are dealt by hash; blocks of more than four times as many rows (ids that repeat or lie close) are
-    split by hash.
-    """
-    s = own.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
-    least, most, n = s["least"] or 0, s["most"] or 0, max(1, s["n"])
-    width = max(1, (most - least + 1) * rows // n)
-    spread = -1 - F.pmod(F.xxhash64("text"), F.lit(max(1, n // rows)))
-    own = own.withColumn("_range", F.coalesce(F.floor((F.col("doc_id") - least) / width).cast("long"), spread))
-    large = own.groupBy("_range").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * rows).select("_range", (F.col("_n") / rows).cast("long").alias("_parts"))
-    met = own.join(_small(written(large, "large-blocks"), 1_000_000), "_range", "left")
-    return met.withColumn("block", F.xxhash64("_range", F.pmod(F.xxhash64(F.lit(2), "text"), F.coalesce("_parts", F.lit(1))))).drop("_range", "_parts")
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), dtype=np.int64))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, rows_a_block: int = 5_000) -> DataFrame:
-    """doc_id, lang, n_tokens, perplexity of every row of `docs` under a model of the rows of `trusted` (text)."""
-    import zlib
+def perplexities(docs: DataFrame, trusted: DataFrame, chars_a_block: int = 16_000_000, bytes_a_group: int = 32 << 20) -> DataFrame:
+    """doc_id, lang, n_tokens, perplexity of every row of `docs` under a model of the rows of `trusted` (text).
 
+    Blocks are ranges of ids with about `chars_a_block` symbols; rows without id, and those of one id, are ranges of the
+    hash of their text.
+    """
     ship(docs.sparkSession)
+    table = symbol_table(trusted)
+    h = F.xxhash64("text").cast("double")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
-    own = in_blocks(own, rows_a_block)
+    own = own.select("*", *[v.alias(f"v{i}") for i, v in enumerate([*id_values("doc_id"), h])], F.length("text").cast("long").alias("size"))
+    chars = own.agg(F.sum("size")).first()[0] or 0
+    shards = int(min(4096, max(1, chars // 20_000_000)))
+    own = in_ranges(own, [f"v{i}" for i in range(4)], chars_a_block, "size", "range").select("doc_id", "lang", "text", F.xxhash64("range").alias("block"))
 
     def strings(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        n = 0
+
+        def lists():
+            for block, found in held.items():
+                g = np.unique(np.concatenate(found))
+                shard = g % SPREAD % shards
+                order = np.argsort(shard, kind="stable")
+                at = np.searchsorted(shard[order], np.arange(shards + 1))
+                some = [k for k in range(shards) if at[k] < at[k + 1]]
+                yield pd.DataFrame({"block": np.int64(block), "shard": some, "grams": [_packed(g[order[at[k] : at[k + 1]]]) for k in some]})
+
         for b in batches:
             for block, part in b.groupby("block"):
-                for g, _ in _counted(part["text"]):
-                    yield pd.DataFrame({"block": np.int64(block), "gram": g})
+                for g, _ in _counted(part["text"], table):
+                    held.setdefault(block, []).append(g)
+                    n += len(g)
+                    if n >= 2 * CHUNK:
+                        yield from lists()
+                        held, n = {}, 0
+        yield from lists()
 
     def packed(batches):
         for b in batches:
             b["text"] = [zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in b["text"]]
-            b["doc_id"] = b["doc_id"].astype("Int64")
             yield b[["doc_id", "lang", "text", "block"]]
 
-    wanted = own.select("block", "text").mapInPandas(strings, "block long, gram long").distinct()
-    asked = written(wanted, "block-grams")
-    logs = probabilities(count_strings(trusted), asked.select("gram").distinct())
+    lists = written(own.select("block", "text").mapInPandas(strings, "block long, shard long, grams binary"), "block-strings")
+    load = lists.agg(F.sum(F.length("grams"))).first()[0] or 0
+    deals = int(max(1, -(-load // (shards * bytes_a_group))))  # a shard's lists in groups of bounded size
+    lists = lists.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(deals)))
 
-    def score(texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"gram": np.unique(np.concatenate([_unpacked(x) for x in pdf["grams"]]))})
+
+    asked = written(lists.groupBy("shard", "deal").applyInPandas(distinct, "gram long").distinct(), "strings")
+    logs = probabilities(count_strings(trusted, table), asked)
+    logs = logs.select((F.col("gram") % SPREAD % shards).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))).alias("deal"), "gram", "logp")
+
+    def answer(found: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(model["gram"].to_numpy())
         known, logp = model["gram"].to_numpy()[order], model["logp"].to_numpy()[order]
+        return pd.DataFrame({"block": found["block"], "grams": found["grams"], "logs": [logp[np.searchsorted(known, _unpacked(x))].tobytes() for x in found["grams"]]})
+
+    answers = lists.groupBy("shard", "deal").cogroup(logs.groupBy("shard", "deal")).applyInPandas(answer, "block long, grams binary, logs binary")
+
+    def score(texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        known = np.concatenate([np.zeros(0, np.int64), *[_unpacked(x) for x in model["grams"]]])
+        logp = np.concatenate([np.zeros(0), *[np.frombuffer(x) for x in model["logs"]]])
+        known, first = np.unique(known, return_index=True)
+        logp = logp[first]
         out = []
         for doc, lang, t in zip(texts["doc_id"], texts["lang"], texts["text"], strict=True):
-            g = grams(zlib.decompress(t).decode("utf-8", "surrogatepass"))
+            g = grams(zlib.decompress(t).decode("utf-8", "surrogatepass"), table)
             if not len(g):
                 out.append((doc, lang, 0, None))
                 continue
@@ -151,30 +204,36 @@ def perplexities(docs: DataFrame, trusted: DataFrame, rows_a_block: int = 5_000)
             if (known[np.minimum(at, len(known) - 1)] != g).any():
                 raise RuntimeError("a block met strings that it did not list")
             out.append((doc, lang, len(g), float(np.exp(-logp[at].mean()))))
-        made = pd.DataFrame(out, columns=["doc_id", "lang", "n_tokens", "perplexity"])
-        made["doc_id"] = made["doc_id"].astype("Int64")
-        return made
+        return pd.DataFrame(out, columns=["doc_id", "lang", "n_tokens", "perplexity"])
 
-    texts = own.mapInPandas(packed, "doc_id long, lang string, text binary, block long")
-    model = asked.join(logs, "gram").select("block", "gram", "logp")
-    return texts.groupBy("block").cogroup(model.groupBy("block")).applyInPandas(score, "doc_id long, lang string, n_tokens long, perplexity double")
+    named = own.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no whole numbers beside nulls
+    texts = named.mapInPandas(packed, "doc_id string, lang string, text binary, block long")
+    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id string, lang string, n_tokens long, perplexity double")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.1) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold, keep for every row of `docs`.
 
-    Trusted are the documents whose label `quality` is 1; all their text trains the model. The threshold of a language
-    is `slack` times the `quantile` of the perplexities of its trusted documents; without such documents, of all
-    trusted ones. A row is kept if its perplexity is at most that. Null and empty texts have no perplexity and are not
-    kept; a null language is ""; without trusted text nothing is kept; repeated rows stay; an empty table stays empty.
+    Trusted are the documents whose label `quality` is 1. Those whose crc32(doc_id) mod 5 is not 0 train the model, with
+    all their text; the others are held out for the thresholds. The threshold of a language is `slack` times the
+    `quantile` of the perplexities of its held-out documents; without such documents, of all held-out ones; without
+    any, of the trained ones. A row is kept if its perplexity is at most that. Null and empty texts have no perplexity
+    and are not kept; a null language is ""; without trusted text nothing is kept; repeated rows stay; an empty table
+    stays empty.
     """
-    ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "trusted-ids")
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(_small(ids, 4_000_000), "doc_id").select("text")
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held")
+    ids = written(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().select("doc_id", held), "trusted-ids")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    trusted = own.join(small(ids.where("not held")), "doc_id").select("text")
+    if trusted.isEmpty():
+        trusted = own.join(small(ids), "doc_id").select("text")
     found = written(perplexities(docs, trusted), "perplexities")
-    known = found.join(ids, "doc_id", "left_semi").where("perplexity is not null")
-    limit = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    by_lang = known.groupBy("lang").agg(limit.alias("own"))
-    over_all = known.agg(limit.alias("common"))
-    met = found.join(by_lang, "lang", "left").join(F.broadcast(over_all))  # one row
+    known = found.join(small(ids), "doc_id").where("perplexity is not null")
+    limit = lambda value: F.percentile_approx(value, quantile, 10_000) * slack
+    held_out = F.when(F.col("held"), F.col("perplexity"))
+    by_lang = written(known.groupBy("lang").agg(limit(held_out).alias("own")), "language-limits")
+    over_all = known.agg(F.coalesce(limit(held_out), limit(F.col("perplexity"))).alias("common"))
+    met = found.join(small(by_lang), "lang", "left").join(F.broadcast(over_all))  # one row
     threshold = F.coalesce("own", "common")
     return met.select("doc_id", "lang", "n_tokens", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"))

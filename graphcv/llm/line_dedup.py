@@ -20,32 +20,39 @@ def lines(docs: DataFrame, *columns: str) -> DataFrame:
     return cut.where(F.trim("line") != "").select(*columns, "place", line_key(F.col("line")).alias("k")).select(*columns, "place", "k.a", "k.b")
 
 
-def spread_lines(docs: DataFrame, min_sites: int, lg_k: int = 12, band: float = 0.1) -> DataFrame:
-    """Hashes (a, b) of the lines of `docs` (site, text) that are on `min_sites` or more different sites.
+def spread_lines(docs: DataFrame, min_sites: int, min_texts: int, lg_k: int = 12, band: float = 0.1) -> DataFrame:
+    """Hashes (a, b) of the lines of `docs` (site, text) that are on `min_sites` or more different sites, and in `min_texts` or more
+    different texts, so that a document copied to many sites does not make its own lines boilerplate.
 
-    Equal texts on several sites count as one text on the least of them, so copies of a document do not make its lines
-    boilerplate. A line needs `min_sites` texts and two sites at least, which cheap counts find first. The sites of the
-    lines that are left go into one HyperLogLog sketch a line, merged by aggregation. Where the estimate is within
-    `band` of the limit (one site at least), sites are counted exactly, so the result does not hang on the sketch's error.
+    Lines that stand in too few rows or on one site go first, by cheap counts. The sites and texts of all the others go
+    into one HyperLogLog sketch each a line, merged by aggregation. Where an estimate is within `band` of its limit (one
+    at least), sites or texts are counted exactly, so the result does not hang on the sketch's error.
     """
-    text_key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-    first = written(docs.select(*text_key, "site").groupBy("t1", "t2").agg(F.min("site").alias("site")), "text-sites")
-    found = lines(docs.select(*text_key, "site", "text"), "t1", "t2", "site")
+    found = lines(docs.select("site", F.xxhash64("text").alias("t"), "text"), "site", "t").drop("place")
     often = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("site").alias("x"), F.max("site").alias("y"))
-    often = often.where((F.col("n") >= min_sites) & ((F.col("x") < F.col("y")) | F.lit(min_sites <= 1)))
+    often = often.where((F.col("n") >= max(min_sites, min_texts)) & ((F.col("x") < F.col("y")) | F.lit(min_sites <= 1)))
     often = written(often.select("a", "b"), "frequent-lines")
-    on_texts = found.drop("site", "place").join(often, ["a", "b"]).distinct()
-    on_sites = written(on_texts.join(first, ["t1", "t2"]).select("a", "b", "site"), "line-sites")
-    guess = on_sites.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("about"))
-    slack = max(1.0, band * min_sites)
-    guess = written(guess.where(F.col("about") >= min_sites - slack), "line-spread")
-    close = guess.where(F.col("about") <= min_sites + slack).select("a", "b")
-    exact = on_sites.join(close, ["a", "b"]).distinct().groupBy("a", "b").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return guess.where(F.col("about") > min_sites + slack).select("a", "b").unionByName(exact.select("a", "b"))
+    guess = found.join(often, ["a", "b"]).groupBy("a", "b").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("t", F.lit(lg_k))).alias("texts")
+    )
+    limits = {"sites": min_sites, "texts": min_texts}
+    slack = {c: max(1.0, band * n) for c, n in limits.items()}
+    able = F.lit(True)
+    for c, n in limits.items():
+        able = able & (F.col(c) >= n - slack[c])
+    guess = written(guess.where(able), "line-spread")
+    out = guess
+    for c, value in (("sites", "site"), ("texts", "t")):
+        near = F.col(c) <= limits[c] + slack[c]
+        close = guess.where(near).select("a", "b")
+        exact = found.join(close, ["a", "b"]).select("a", "b", value).distinct().groupBy("a", "b").agg(F.count("*").alias("exact")).where(F.col("exact") >= limits[c])
+        out = out.where(~near).unionByName(out.where(near).join(exact.select("a", "b"), ["a", "b"], "left_semi"))
+    return out.select("a", "b")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source") -> DataFrame:
-    """All columns of `docs`, `text` without the lines that are on `min_sites` or more different sites, and n_removed.
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source", min_texts: int | None = None) -> DataFrame:
+    """All columns of `docs`, `text` without the lines that are on `min_sites` or more different sites (and in `min_texts` or more
+    different texts, as many as sites by default), and n_removed.
 
     Lines are compared trimmed of spaces and in lower case; blank lines are never removed and the others stay as they
     are, joined by line feeds. A text without such lines, null and empty ones included, is unchanged. A null site is a site
@@ -55,14 +62,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source
     """
     docs = docs.drop("n_removed")
     own = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), text_of().alias("text"))
-    spread = written(spread_lines(own, min_sites), "boilerplate")
-    text_key = [F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2")]
-    places = lines(own.select(*text_key, "text"), "_t1", "_t2").join(spread, ["a", "b"], "left_semi").groupBy("_t1", "_t2").agg(F.collect_set("place").alias("_places"))
-    keyed = docs.withColumns({"_t1": F.xxhash64(text_of()), "_t2": F.xxhash64(F.lit(1), text_of())})
-    found = keyed.join(places, ["_t1", "_t2"], "left")
-    kept = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda line, i: ~F.array_contains(F.col("_places"), i)), "\n")
-    found = found.withColumns({"text": F.when(F.col("_places").isNull(), F.col("text")).otherwise(kept), "n_removed": F.coalesce(F.size("_places"), F.lit(0)).cast("long")})
-    return found.select(*docs.columns, "n_removed")
+    spread = written(spread_lines(own, min_sites, min_sites if min_texts is None else min_texts), "boilerplate")
+    text_key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+    places = lines(own.select(*text_key, "text"), "t1", "t2").join(spread, ["a", "b"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(text_of()).alias("t1"), F.xxhash64(F.lit(1), text_of()).alias("t2"))
+    found = keyed.join(places, ["t1", "t2"], "left")
+    kept = F.array_join(F.filter(F.split(F.col("row.text"), "\n"), lambda line, i: ~F.array_contains(F.col("places"), i)), "\n")
+    text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(kept).alias("text")
+    return found.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 ORACLE = """
@@ -70,8 +77,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS site, text, row_number() OVER
 l AS (SELECT r, site, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
              unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM d),
 k AS (SELECT *, lower(trim(line, ' ')) AS k FROM l),
-f AS (SELECT coalesce(text, '') AS text, min(site) AS site FROM d GROUP BY ALL),
-b AS (SELECT k.k FROM k JOIN f ON f.text = coalesce(k.text, '') WHERE k.k <> '' GROUP BY k.k HAVING count(DISTINCT f.site) >= 10),
+b AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 10 AND count(DISTINCT text) >= 10),
 x AS (SELECT r, count(*) FILTER (WHERE k IN (SELECT k FROM b)) AS n_removed,
              string_agg(line, chr(10) ORDER BY place) FILTER (WHERE k NOT IN (SELECT k FROM b)) AS kept FROM k GROUP BY r)
 SELECT d.doc_id, x.n_removed::BIGINT AS n_removed, CASE WHEN x.n_removed = 0 THEN d.text ELSE coalesce(x.kept, '') END AS text

@@ -304,9 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: bool = True, **opti
                     at = y
                 left = b"".join([*kept, raw[at:]])
                 rows.append((i, len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), *([left] if text else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text else [])])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text else [])])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text else "")
-    return keyed.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans").mapInPandas(cut, schema)
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text else "")
+    return keyed.join(spans, ["t1", "t2"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "spans").mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphcv.llm.shared import ship
 
@@ -265,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
     empty one; other columns of `docs` are ignored. No shuffle: each row is encoded where it is read.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def rows(batches):
         e = encoder(path or model_path())  # found where the task runs
@@ -279,4 +280,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
             yield out
         e.forget()
 
-    return docs.select("doc_id", "text").mapInPandas(rows, schema)
+    named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")  # pandas has no whole numbers beside nulls
+    return named.mapInPandas(rows, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

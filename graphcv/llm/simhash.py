@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcv.llm.shared import let, text_of, written
+from graphcv.llm.shared import id_values, in_ranges, let, small, text_of, written
 
 BITS = 128
 _LANES = 0x0000000100000001
@@ -59,26 +59,40 @@ def as_hex(hi: str, lo: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+def near_fingerprints(prints: DataFrame, radius: int = 6, blocks: int | None = None, salt_rows: int = 2_000) -> DataFrame:
     """All pairs of different fingerprints of `prints` (hi, lo) at most `radius` bits apart: hi, lo, hi2, lo2, apart, each pair once.
 
-    The bits are cut into `blocks` (radius + 1 by default). Two such fingerprints agree in blocks - radius blocks at
-    least, so one table for each choice of that many blocks holds them under one key. Equal fingerprints are joined
-    into one row first, so groups of copies make no pairs; a pair is taken from its first table only.
+    The bits are cut into `blocks` (radius + 2 by default) of nearly equal width. Two such fingerprints agree in blocks -
+    radius blocks at least, so one table for each choice of that many blocks holds them under one key. Equal fingerprints
+    are joined into one row first, so groups of copies make no pairs. Keys of more than `salt_rows` fingerprints are
+    dealt to tiles: a fingerprint meets the others of its key in parts, so no task holds a whole key.
     """
-    blocks = blocks or radius + 1
-    width = BITS // blocks
-    if blocks <= radius or BITS % blocks or 64 % width:
-        raise ValueError("blocks must exceed the radius and divide each half of the fingerprint")
+    blocks = blocks or radius + 2
+    if not radius < blocks <= BITS:
+        raise ValueError("blocks must exceed the radius")
     distinct = prints.select("hi", "lo").distinct()
-    part = [F.shiftrightunsigned(F.col("hi") if i * width < 64 else F.col("lo"), (i * width) % 64).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)) for i in range(blocks)]
+    edge = [BITS * i // blocks for i in range(blocks + 1)]
+
+    def bits(a: int, b: int) -> Column:
+        """Bits a to b of the fingerprint, at most 64."""
+        halves = []
+        for word, low, high in ((F.col("hi"), max(a, 0), min(b, 64)), (F.col("lo"), max(a - 64, 0), min(b - 64, 64))):
+            if low < high:
+                mask = (1 << (high - low)) - 1 if high - low < 64 else -1
+                halves.append(F.shiftrightunsigned(word, low).bitwiseAND(F.lit(mask).cast("long")))
+        return halves[0] if len(halves) == 1 else F.xxhash64(*halves)
+
+    part = [bits(edge[i], edge[i + 1]) for i in range(blocks)]
     chosen = list(combinations(range(blocks), blocks - radius))
-    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.xxhash64(*[part[i] for i in c]).alias("key")) for k, c in enumerate(chosen)])
-    tables = distinct.select("hi", "lo", F.explode(keys).alias("k")).select("hi", "lo", "k.t", "k.key")
-    other = tables.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "t", "key")
+    keys = F.array(*[F.xxhash64(F.lit(k), *[part[i] for i in c]) for k, c in enumerate(chosen)])
+    tables = distinct.select("hi", "lo", F.explode(keys).alias("key"))
+    crowds = written(tables.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > salt_rows).select("key", F.ceil(F.col("n") / salt_rows).cast("int").alias("parts")), "crowded-keys")
+    dealt = tables.join(small(crowds), "key", "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("hi", "lo"), F.col("parts"))).cast("int"))
+    left = dealt.select("hi", "lo", "key", "own", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other"))
+    right = dealt.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "key", F.col("own").alias("other"))
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2")))
     less = (F.col("hi") < F.col("hi2")) | ((F.col("hi") == F.col("hi2")) & (F.col("lo") < F.col("lo2")))
-    pairs = tables.join(other.hint("shuffle_merge"), ["t", "key"]).where(less & (apart <= radius))
+    pairs = left.join(right.hint("shuffle_merge"), ["key", "other"]).where(less & (apart <= radius))
     return pairs.groupBy("hi", "lo", "hi2", "lo2").agg(F.first(apart).cast("int").alias("apart"))
 
 
@@ -86,25 +100,26 @@ def followed(docs: DataFrame, rows_a_block: int = 2_000) -> DataFrame:
     """`docs` (doc_id, text) with the text of the next document in descending order of doc_id; after the last comes the first.
 
     Returns block, place, doc_id, text, next_text and extra, partitioned by block. Blocks are ranges of doc_id of about
-    `rows_a_block` rows; the first row of the block below is added to each block as an extra row (extra = 1), so one
-    window a block finds all followers. Null ids come last; rows with equal ids stand in order of text.
+    `rows_a_block` rows (see `in_ranges`; any 64-bit ids will do); the first row of the block that follows is added to
+    each block as an extra row (extra = 1), so one window a block finds all followers. Null ids come last; rows with
+    equal ids stand in order of the hash of their text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    s = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
-    least, most = s["least"] or 0, s["most"] or 0
-    width = max(1, (most - least + 1) * rows_a_block // max(1, s["n"]))
-    block = F.coalesce(F.floor((F.col("doc_id") - least) / width).cast("long"), F.lit(-1).cast("long"))
-    order = Window.orderBy("block")  # one row a block
-    heads = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.max("doc_id").alias("head"))
-    heads = heads.select("head", F.coalesce(F.lead("block").over(order), F.min("block").over(Window.partitionBy())).alias("target"))
-    heads = written(heads, "heads")
-    extra = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"])).select(F.col("target").alias("block"), "doc_id", "text", F.lit(1).alias("extra"))
-    rows = docs.select(block.alias("block"), "doc_id", "text", F.lit(0).alias("extra")).unionByName(extra)
-    w = Window.partitionBy("block").orderBy("extra", F.desc_nulls_last("doc_id"), "text")
+    h = F.xxhash64("text")
+    values = [v.alias(f"v{i}") for i, v in enumerate([*id_values("doc_id", True), h.cast("double")])]
+    own = in_ranges(docs.select("doc_id", "text", h.alias("h"), *values), [f"v{i}" for i in range(4)], rows_a_block)
+    # the first row of each block, and the block before it: one row a block
+    first = own.groupBy("block").agg(F.min(F.struct("v0", "v1", "v2", "h", "doc_id")).alias("first"))
+    turn = Window.orderBy("block")
+    heads = first.select("first.doc_id", "first.h", F.coalesce(F.lag("block").over(turn), F.max("block").over(Window.partitionBy())).alias("target"))
+    heads = written(heads.select(F.col("doc_id").alias("head"), F.col("h").alias("head_h"), "target"), "heads")
+    extra = docs.join(small(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (h == F.col("head_h"))).select(F.col("target").alias("block"), "doc_id", "text", F.col("head_h").alias("h"), F.lit(1).alias("extra"))
+    rows = own.select("block", "doc_id", "text", "h", F.lit(0).alias("extra")).unionByName(extra)
+    w = Window.partitionBy("block").orderBy("extra", F.desc_nulls_last("doc_id"), "h")
     return rows.select("block", F.row_number().over(w).alias("place"), "doc_id", "text", F.lead("text").over(w).alias("next_text"), "extra")
 
 
-def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, radius: int = 6) -> DataFrame:
     """Fingerprints of whole texts and of edited texts, and near fingerprints.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of

@@ -108,14 +108,15 @@ def test_perplexity(spark, corpus):
     """Against the formulas, string by string."""
     texts, docs = corpus
     trusted = [t for t in list(texts.values())[:30] if t]
-    counts = {4: collections.Counter(), 3: collections.defaultdict(set), 2: collections.defaultdict(set), 1: collections.defaultdict(set)}
+    top = kneser_ney.ORDER
+    counts = {top: collections.Counter()} | {n: collections.defaultdict(set) for n in range(1, top)}
     for t in trusted:
-        s = "\0\0\0" + t
-        counts[4].update(s[i : i + 4] for i in range(len(t)))
-    for n in (3, 2, 1):
+        s = "\0" * (top - 1) + t
+        counts[top].update(s[i : i + top] for i in range(len(t)))
+    for n in range(top - 1, 0, -1):
         for g in counts[n + 1]:
             counts[n][g[1:]].add(g[0])
-    number = {n: {g: c if n == 4 else len(c) for g, c in counts[n].items()} for n in counts}
+    number = {n: {g: c if n == top else len(c) for g, c in counts[n].items()} for n in counts}
     model = {}
     for n, table in number.items():
         c = collections.Counter(table.values())
@@ -141,10 +142,10 @@ def test_perplexity(spark, corpus):
     from pyspark.sql import functions as F
 
     known = spark.createDataFrame([(t,) for t in trusted], "text string")
-    for r in kneser_ney.perplexities(docs.withColumn("lang", F.lit("en")), known).collect():
-        t = "\0\0\0" + texts[r.doc_id]
+    for r in kneser_ney.perplexities(docs.withColumn("lang", F.lit("en")), known, chars_a_block=5_000, bytes_a_group=2_000).collect():
+        t = "\0" * (top - 1) + texts[r.doc_id]
         if r.n_tokens:
-            expected = math.exp(-sum(math.log(p(t[i : i + 4])) for i in range(r.n_tokens)) / r.n_tokens)
+            expected = math.exp(-sum(math.log(p(t[i : i + top])) for i in range(r.n_tokens)) / r.n_tokens)
             assert r.perplexity == pytest.approx(expected, rel=1e-9)
 
 
@@ -211,8 +212,44 @@ def test_components(spark):
 
 
 def test_pages_by_hand():
-    page = '<html><body class="comments-open"><header><h1>Site</h1></header><nav>x</nav><div id="cookie-notice">c</div><main><h2>T &amp; t</h2><p>Hello <a href="x">wor</a>ld<br>two</p>bare <i>text</i><ul><li>one<li>two</ul><div class="ad-box">buy</div></main><aside>s</aside><section id="comments"><p>lol</p></section><form><p>f</p></form><script>if(a<b)"</p>"</script>'
-    assert [t for _, t in html_wrapper.parse(page)[1]] == ["T & t", "Hello world two", "bare text", "one", "two"]
-    a, b = html_wrapper.parse("<div><p>1</p><ul><li>2</ul><h2>3</h2></div>")[0], html_wrapper.parse("<div><h1>0</h1><p>1</p><h2>3</h2></div>")[0]
-    shapes = html_wrapper.skeleton(a)[0], html_wrapper.skeleton(b)[0]
+    page = '<html><body class="comments-open"><header><h1>Site</h1></header><nav>x</nav><div id="cookie-notice">c</div><main><h2>T &amp; t</h2><p>Hello <a href="x">wor</a>ld<br>two</p>bare <i>text</i><ul><li>one<li>two</ul><div class="ad">buy</div></main><aside>s</aside><section id="comments"><p>lol</p></section><form><p>f</p></form><script>if(a<b)"</p>"</script>'
+    assert html_wrapper.lone_text(page) == ["T & t", "Hello world two", "bare text", "one", "two"]
+    shapes = [html_wrapper.skeleton(*html_wrapper.parse(p)[:2])[:2] for p in ("<div><p>1</p><ul><li>2</ul><h2>3</h2></div>", "<div><h1>0</h1><p>1</p><h2>3</h2></div>")]
     assert html_wrapper.tree_match(*shapes) == {0: 0, 1: 1, 2: 3, 5: 4}
+
+
+def test_machine_gradient():
+    """Against differences of the loss, with the pairs written out."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = (rng.random((12, 5)) < 0.5).astype(float), (rng.random(12) < 0.4).astype(float)
+    p = [np.array([0.1]), rng.normal(size=5), rng.normal(size=(5, 3))]
+
+    def loss(p):
+        total = 0.0
+        for r, t in zip(x, y, strict=True):
+            on = np.flatnonzero(r)
+            z = p[0][0] + p[1][on].sum() + sum(p[2][i] @ p[2][j] for i in on for j in on if i < j)
+            total += (2.0 if t else 1.0) * (np.log1p(np.exp(z)) - t * z) / len(y)
+        return total + 0.5e-5 * (p[1] ** 2).sum() + 0.5e-4 * (p[2] ** 2).sum()
+
+    value, grads = toxicity.loss_gradient(x, y, p, 2.0)
+    assert value == pytest.approx(loss(p))
+    for k in range(3):
+        for at in np.ndindex(p[k].shape):
+            moved = [a.copy() for a in p]
+            moved[k][at] += 1e-6
+            assert grads[k][at] == pytest.approx((loss(moved) - value) / 1e-6, abs=1e-4)
+
+
+def test_terms_that_tell_in_pairs_only():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.random((3000, 12)) < 0.5
+    y = x[:, 2] ^ x[:, 7]  # neither term tells anything alone
+    rows = [np.flatnonzero(r) for r in x]
+    assert toxicity.paired(rows, y, 12).tolist() == [2, 7]
+    model = toxicity.fit_machine(rows, y, 12, weight=1.0)
+    assert np.mean([(toxicity.machine_score(list(r), model) >= 0.5) == t for r, t in zip(rows, y, strict=True)]) > 0.95

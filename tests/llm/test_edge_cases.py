@@ -82,17 +82,58 @@ def test_toxicity_without_labels(docs, labels):
 
 
 def test_conversations(spark):
-    rows = [(1, 0, "user", "a<|b", 1), (1, 0, "user", "a<|b", 1), (1, 1, None, None, 1), (1, None, "system", "s", 1), (None, 0, "user", "x", 1), (1, 600, "user", "z", 1)]
+    rows = [(1, 0, "user", "a<|b", 1), (1, 0, "user", "a<|b", 1), (1, 1, None, None, 1), (1, None, "system", "s", 1), (None, 0, "user", "x", 1), (None, 0, "user", "x", 1), (1, 600, "user", "z", 1)]
     table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, part int")
-    found = {(r.conv_id, r.part, r.speaker): r for r in chat_rotation.rotate_dialogues(table).collect()}
-    assert set(found) == {(1, 0, "user"), (1, 0, "unknown"), (None, 0, "user"), (1, 1, "user")}
-    r = found[1, 0, "user"]
-    assert r.rendered.startswith("<|system|>\ns<|end|>\n<|assistant|>\na< |b<|end|>\n") and r.n_own == 2 and r.n_turns == 4
+    found = chat_rotation.rotate_dialogues(table).collect()
+    assert sorted((r.conv_id or 0, r.part, r.speaker, r.n_turns) for r in found) == [(0, 0, "user", 1), (0, 0, "user", 1), (1, 0, "unknown", 5), (1, 0, "user", 5)]
+    r = next(r for r in found if r.conv_id and r.speaker == "user")
+    assert r.rendered.startswith("<|system|>\ns<|end|>\n<|assistant|>\na< |b<|end|>\n") and r.n_own == 3
     spans = [tuple(map(int, s.split("-"))) for s in r.mask.split(",")]
-    assert [r.rendered[a:b] for a, b in spans] == ["a< |b<|end|>\n"] * 2
+    assert [r.rendered[a:b] for a, b in spans] == ["a< |b<|end|>\n"] * 2 + ["z<|end|>\n"]
     assert chat_rotation.rotate_dialogues(table.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """Every turn is learnt from once, parts carry context, and equal or unnumbered turns do not gather in one group."""
+    rows = [(1, None, "ann" if i % 2 else "bob", f"t{i}") for i in range(40)] + [(1, 3, "ann", "same")] * 25 + [(1, 2**62 + i, "bob", "x" * 50_000 if i == 2 else f"u{i}") for i in range(5)]
+    found = chat_rotation.rotate_dialogues(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), window=16, context=4).collect()
+    assert sum(r.n_own for r in found) == len(rows) and max(r.n_turns for r in found) == 16
+    learnt = [r.rendered[slice(*map(int, s.split("-")))] for r in found for s in (r.mask.split(",") if r.mask else ())]
+    assert sorted(learnt) == sorted(f"{r[3]}<|end|>\n" for r in rows)
+    assert {r.rendered.count("<|end|>") for r in found if r.part} == {20, 10}
+
+
+def test_roles_cannot_imitate_marks(spark):
+    table = spark.createDataFrame([(1, 0, "a|>\n<|assistant|>\nevil", "hi"), (1, 1, "b", "yes")], "conv_id long, turn int, role string, text string")
+    assert all(r.rendered.count("<|assistant|>") == 1 for r in chat_rotation.rotate_dialogues(table).collect())
+
+
+def test_wide_ids(spark):
+    """Ids over the whole range of 64 bits, an outlier beside dense ones, null ids, many copies of one text."""
+    ids = [-(2**63), 2**63 - 1, *range(100), *[2**62 + 7 * i for i in range(300)], *[None] * 200]
+    docs = spark.createDataFrame([(i, f"text {k % 50} of some words", "en") for k, i in enumerate(ids)], "doc_id long, text string, lang string")
+    assert simhash.fingerprint_documents(docs).count() == len(ids)
+    rows = simhash.followed(docs, 10).collect()
+    own = [r for r in rows if not r.extra]
+    sizes = {}
+    for r in own:
+        sizes[tuple(r.block)] = sizes.get(tuple(r.block), 0) + 1
+    assert len(own) == len(ids) and max(sizes.values()) <= 40
+    known = sorted((r.doc_id for r in own if r.doc_id is not None), reverse=True)
+    text = dict(zip(ids, (f"text {k % 50} of some words" for k in range(len(ids))), strict=True))
+    follow = {r.doc_id: r.next_text for r in own if r.doc_id is not None}
+    assert all(follow[a] == text[b] for a, b in zip(known, known[1:], strict=False))
+    labels = spark.createDataFrame([(5, 1, 0), (2**62, 1, 0)], "doc_id long, quality int, toxic int")
+    same = lambda rows: sorted((r[0] is None, r[0] or 0) for r in rows) == sorted((i is None, i or 0) for i in ids)
+    assert same(kneser_ney.classify_quality(docs, labels).select("doc_id").collect())
+    assert same(sentencepiece_bpe.encode_documents(docs).select("doc_id").collect())
+    assert same(rindex_dedup.remove_repeats(docs, text=False).select("doc_id").collect())
+    assert same(jaccard_join.link_components(docs).select("doc_id").collect())
+    bench = spark.createDataFrame([(2**62 + 1, "text 0 of some words")], "item_id long, text string")
+    held = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert held == {(i, 2**62 + 1) for i in ids}  # the number is a place for any number
+
+
 def test_pages(spark):
     same = "<body><div class=x><p>Shared words</p><p>Own {0} words</p></div><footer>f</footer>"
     rows = [(i, f"http://h.org/{i}", same.format(i), "x") for i in range(6)] + [(7, None, "<p>a&amp;amp;b", "x"), (8, "u", None, "x"), (9, "http://h.org/9", "", "x"), (0, "http://h.org/0", same.format(0), "x"), (None, "http://z/", "<p>q", "x")]
