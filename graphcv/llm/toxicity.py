@@ -41,7 +41,7 @@ def loss_gradient(x: np.ndarray, y: np.ndarray, p: list[np.ndarray], weight: flo
     return loss, [np.array([g.sum()]), xg + 1e-5 * w, x.T @ (g[:, None] * q) - xg[:, None] * v + 1e-4 * v]
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n_features: int, rank: int = 8, steps: int = 300, batch: int = 4_096, weight: float = 2.0, seed: int = 7):
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n_features: int, rank: int = 8, steps: int = 300, batch: int = 1_024, weight: float = 2.0, seed: int = 7):
     """Weights (bias, w, v) by Adam on batches of rows. rows: feature numbers. `weight` counts a toxic row more than another, as a
     missed one costs more than a false alarm."""
     y = labels.astype(np.float32)
@@ -55,7 +55,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n_features: int, ran
         if at < batch:
             rng.shuffle(order)
         own = order[at : at + batch]
-        x = dense([rows[i] for i in own], n_features)
+        x = dense([rows[i] for i in own], n_features)  # some 16 MB for 4,000 features
         _, grads = loss_gradient(x, y[own], p, weight)
         rate = 0.05 * (1 - 0.9 * t / steps)
         for a, d, i in zip(p, grads, range(3), strict=True):
@@ -77,10 +77,10 @@ def paired(rows: list[np.ndarray], labels: np.ndarray, n_features: int, least: i
     by more than the best of so many pairs does by chance."""
     y = labels.astype(np.float32)
     both, bad = np.zeros((n_features, n_features), np.float32), np.zeros((n_features, n_features), np.float32)
-    for i in range(0, len(rows), 4_096):
-        x = dense(rows[i : i + 4_096], n_features)
+    for i in range(0, len(rows), 1_024):
+        x = dense(rows[i : i + 1_024], n_features)
         both += x.T @ x
-        bad += x.T @ (x * y[i : i + 4_096, None])
+        bad += x.T @ (x * y[i : i + 1_024, None])
     n, a = np.diag(both).astype(float), np.diag(bad).astype(float)
     base = y.mean()
     own = a / np.maximum(n, 1) - base
@@ -129,16 +129,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, c
     chi = (a - expected) * (a - expected) / (expected * (1 - pos / n) * F.greatest(1 - c / n, F.lit(1e-9)))
     rated = written(seen.where("c >= 3").select("term", "c", chi.alias("chi")), "toxic-places")
     chance = 2 * np.log(max(2, rated.count()))  # about what the best of as many places reaches by chance
-    best = rated.where((F.col("chi") >= float(chance)) | (F.col("c") >= common * n)).select("term", (F.col("chi") >= float(chance)).alias("alone"), (F.col("c") >= common * n).alias("common")).toArrow().to_pandas().sort_values("term")
+    best = rated.where((F.col("chi") >= float(chance)) | (F.col("c") >= common * n)).select("term", (F.col("chi") >= float(chance)).alias("alone"), (F.col("c") >= common * n).alias("common")).toArrow().sort_by("term")
     known = best["term"].to_numpy()
 
     def numbered(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [np.flatnonzero(np.isin(known, t, assume_unique=True)).astype(np.int32) for t in b["terms"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [np.flatnonzero(np.isin(known, t, assume_unique=True)).astype(np.int32).tobytes() for t in b["terms"]]})
 
-    rows = found.mapInPandas(numbered, "doc_id long, toxic int, terms array<int>").toArrow().to_pandas()  # max_rows at most but for repeated ids
-    rows = rows.assign(text=[t.tobytes() for t in rows["terms"]]).sort_values(["doc_id", "toxic", "text"])[:max_rows]
-    lists, y = list(rows["terms"]), rows["toxic"].to_numpy() > 0
+    table = found.mapInPandas(numbered, "doc_id long, toxic int, terms binary").toArrow()  # max_rows at most but for repeated ids
+    table = table.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("terms", "ascending")])[:max_rows]
+    lists, y = [np.frombuffer(t.as_buffer(), dtype=np.int32) for t in table["terms"]], table["toxic"].to_numpy() > 0
     alone, often = best["alone"].to_numpy(), np.flatnonzero(best["common"].to_numpy())
     keep = alone.copy()
     if len(often):
@@ -153,7 +153,7 @@ def _renumbered(lists: list[np.ndarray], chosen: np.ndarray, n: int) -> list[np.
     """The numbers of each list that are `chosen`, by their place there."""
     to = np.full(n, -1)
     to[chosen] = np.arange(len(chosen))
-    return [(t := to[r])[t >= 0] for r in lists]
+    return [(t := to[r])[t >= 0].astype(np.int32) for r in lists]
 
 
 def score_toxicity(docs: DataFrame, trained) -> DataFrame:
