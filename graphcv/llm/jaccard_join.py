@@ -55,6 +55,13 @@ class _Seen(set):
 _hashes = _Memory()
 
 
+def _slices(batches, rows: int = 1_000):
+    """Arrow batches in slices, so that what is made of one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def shingle_set(text: str, k: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words; a shorter text is one run, one without words has none.
 
@@ -116,7 +123,7 @@ def shingle_classes(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     def rows(batches):
         counts, seen = np.zeros(SLOTS, np.int64), _Seen()
-        for b in batches:
+        for b in _slices(batches):
             sig, size, sketches, fresh = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_set(t, k)
@@ -156,7 +163,7 @@ def prefix_index(docs: DataFrame, counts: np.ndarray, k: int, percent: int, freq
 
     def keys(batches):
         seen = _Seen()
-        for b in batches:
+        for b in _slices(batches):
             found, sig, size, room, salt = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_set(t, k)
@@ -208,16 +215,16 @@ class _Verifier:
 
         def sets(batches):
             seen = _Seen()
-            for b in batches:
-                made = [(h, set_key(h)) for h in (shingle_set(t, k) for t in b["text"])]
+            for b in _slices(batches):
+                made = [(h, set_key(h)) for h in (shingle_set(t, k) for t in b.column("text").to_pylist())]
                 made = [(h, s) for h, s in made if seen.first(s)]
-                yield pd.DataFrame({"sig": [s for _, s in made], "n": [len(h) for h, _ in made], "hs": [h for h, _ in made]})
+                yield pa.RecordBatch.from_arrays([pa.array([s for _, s in made], pa.int64()), pa.array([len(h) for h, _ in made], pa.int32()), pa.array([h for h, _ in made], pa.list_(pa.int64()))], ["sig", "n", "hs"])
             _hashes.clear()
 
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("sig", "n"), ["sig", "n"], "left_anti")
         texts = written(self.heads.join(wanted, ["sig", "n"], "left_semi").select("t.t1", "t.t2"), "texts-to-read")
-        found = self.docs.join(texts, ["t1", "t2"], "left_semi").select("text").mapInPandas(sets, "sig long, n int, hs array<long>")
+        found = self.docs.join(texts, ["t1", "t2"], "left_semi").select("text").mapInArrow(sets, "sig long, n int, hs array<long>")
         found = written(found.dropDuplicates(["sig", "n"]), "class-sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
