@@ -82,13 +82,15 @@ def paired(rows: list[np.ndarray], labels: np.ndarray, n_features: int, least: i
         both += x.T @ x
         bad += x.T @ (x * y[i : i + 1_024, None])
     n, a = np.diag(both).astype(float), np.diag(bad).astype(float)
-    base = y.mean()
+    base, tells = y.mean(), np.zeros(n_features, bool)
     own = a / np.maximum(n, 1) - base
-    expected = np.clip(base + own[:, None] + own[None, :], 0.5 * base, 1 - 0.5 * base)
-    gain = (bad - both * expected) ** 2 / np.maximum(both * expected * (1 - expected), 1e-9)
-    gain[both < least] = 0
-    np.fill_diagonal(gain, 0)
-    return np.flatnonzero(gain.max(0, initial=0) > 4 * np.log(max(2, n_features)) + 10)
+    for i in range(n_features):  # a row of pairs at a time
+        expected = np.clip(base + own[i] + own, 0.5 * base, 1 - 0.5 * base)
+        gain = (bad[i] - both[i] * expected) ** 2 / np.maximum(both[i] * expected * (1 - expected), 1e-9)
+        gain[both[i] < least] = 0
+        gain[i] = 0
+        tells[i] = gain.max(initial=0) > 4 * np.log(max(2, n_features)) + 10
+    return np.flatnonzero(tells)
 
 
 def machine_score(found: list[int], model) -> float:
@@ -98,11 +100,11 @@ def machine_score(found: list[int], model) -> float:
     return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, common: float = 0.01):
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, common: float = 0.02):
     """Learn from rows of `labels` (doc_id, toxic) joined to `docs` whose crc32(doc_id) mod 5 is not 0.
 
     At most `max_rows` labelled rows are used, those whose doc_id has the least hash, so the joined side may be broadcast and
-    the sample fits the driver. Places in three rows or more are learnt if they go with the label by chi-square above
+    one task can fit the machine. Places in three rows or more are learnt if they go with the label by chi-square above
     chance, or if they are in a share `common` of the rows and tell in a pair (see `paired`); their number is bounded by
     the sample alone. Null labels and ids are left out. Returns (kept places, (bias, w, v)); without usable rows of both
     labels the score is the share of toxic ones.
@@ -136,17 +138,24 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, c
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [np.flatnonzero(np.isin(known, t, assume_unique=True)).astype(np.int32).tobytes() for t in b["terms"]]})
 
-    table = found.mapInPandas(numbered, "doc_id long, toxic int, terms binary").toArrow()  # max_rows at most but for repeated ids
-    table = table.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("terms", "ascending")])[:max_rows]
-    lists, y = [np.frombuffer(t.as_buffer(), dtype=np.int32) for t in table["terms"]], table["toxic"].to_numpy() > 0
-    alone, often = best["alone"].to_numpy(), np.flatnonzero(best["common"].to_numpy())
-    keep = alone.copy()
-    if len(often):
-        keep[often[paired(_renumbered(lists, often, len(known)), y, len(often))]] = True
-    kept = np.flatnonzero(keep)
-    if not len(kept):
-        return [], (float(np.log(pos / (n - pos))), *nothing)
-    return known[kept].tolist(), fit_machine(_renumbered(lists, kept, len(known)), y, len(kept))
+    common_places = best["common"].to_numpy()
+    alone = best["alone"].to_numpy()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The whole bounded sample in one task: max_rows at most but for repeated ids."""
+        pdf = pdf.sort_values(["doc_id", "toxic", "terms"])[:max_rows]
+        lists, y = [np.frombuffer(t, dtype=np.int32) for t in pdf["terms"]], pdf["toxic"].to_numpy() > 0
+        often, keep = np.flatnonzero(common_places), alone.copy()
+        if len(often):
+            keep[often[paired(_renumbered(lists, often, len(known)), y, len(often))]] = True
+        kept = np.flatnonzero(keep)
+        b, w, v = fit_machine(_renumbered(lists, kept, len(known)), y, len(kept)) if len(kept) else (float(np.log(pos / (n - pos))), *nothing)
+        return pd.DataFrame({"kept": [known[kept]], "b": [b], "w": [w], "v": [v.ravel()]})
+
+    sample = found.mapInPandas(numbered, "doc_id long, toxic int, terms binary").groupBy(F.lit(1)).applyInPandas(fit, "kept array<int>, b double, w array<float>, v array<float>")
+    r = sample.first()
+    w = np.array(r["w"], np.float32)
+    return list(r["kept"]), (r["b"], w, np.array(r["v"], np.float32).reshape(len(w), -1) if len(w) else nothing[1])
 
 
 def _renumbered(lists: list[np.ndarray], chosen: np.ndarray, n: int) -> list[np.ndarray]:
