@@ -152,7 +152,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, c
         b, w, v = fit_machine(_renumbered(lists, kept, len(known)), y, len(kept)) if len(kept) else (float(np.log(pos / (n - pos))), *nothing)
         return pd.DataFrame({"kept": [known[kept]], "b": [b], "w": [w], "v": [v.ravel()]})
 
-    sample = found.mapInPandas(numbered, "doc_id long, toxic int, terms binary").groupBy(F.lit(1)).applyInPandas(fit, "kept array<int>, b double, w array<float>, v array<float>")
+    sample = found.mapInPandas(numbered, "doc_id long, toxic int, terms binary").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "kept array<int>, b double, w array<float>, v array<float>")
     r = sample.first()
     w = np.array(r["w"], np.float32)
     return list(r["kept"]), (r["b"], w, np.array(r["v"], np.float32).reshape(len(w), -1) if len(w) else nothing[1])
