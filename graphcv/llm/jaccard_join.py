@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcv.llm.components import connected_components
-from graphcv.llm.shared import ship, text_of, written
+from graphcv.llm.shared import ship, small, text_of, written
 
 SLOTS = 1 << 20
 WORDS = 16  # longs of a parity sketch
@@ -313,6 +313,35 @@ def link_counts(groups: DataFrame, links: DataFrame, sets: DataFrame, percent: i
     return easy.unionByName(counted)
 
 
+def _open(index: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, sig, n, room, group of the keys of `index` under which classes of several groups stand."""
+    own = index.join(groups.withColumnRenamed("component", "group"), ["sig", "n"], "left").select("key", "sig", "n", "room", F.coalesce("group", F.struct("n", "sig")).alias("group"))
+    several = own.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
+    return written(own.join(several, "key", "left_semi").dropDuplicates(["key", "sig", "n"]), "open-prefixes")
+
+
+def _across(own: DataFrame, heads: DataFrame, percent: int, crowd: int = 64, tile: int = 4_000) -> DataFrame:
+    """x, nx, y, ny: classes of different groups that meet under a key of `own` (see `_open`).
+
+    Under keys with more than `crowd` classes, as those of a passage that many texts share, most pairs are no links: there the
+    sketches come along and are compared inside the join. Such keys are dealt to tiles of about `tile` classes.
+    """
+    counts = own.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > crowd)
+    crowded = written(counts.select("key", F.ceil(F.col("c") / tile).cast("int").alias("parts")), "crowded-keys")
+    sketch, named = [f"s{i}" for i in range(WORDS)], ["sig", "n", "room", "group"]
+    apart = F.col("group") != F.col("group2")
+    calm = own.join(small(crowded), "key", "left_anti")
+    found = _met(calm, calm.select("key", *[F.col(c).alias(f"{c}2") for c in named]), ["key"], percent, apart)
+    if crowded.isEmpty():
+        return found
+    dense = own.join(small(crowded), "key").join(heads.select("sig", "n", *sketch), ["sig", "n"]).withColumn("part", F.pmod(F.xxhash64("sig", "n"), F.col("parts")).cast("int"))
+    left = dense.select("key", *named, *sketch, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = dense.select("key", "part", *[F.col(c).alias(f"{c}2") for c in named], *[F.col(c).alias(f"other_{c}") for c in sketch])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in sketch), F.lit(0))
+    near = differ <= F.expr(f"n + n2 - 2 * ceil({percent}D * (n + n2) / {100 + percent})")
+    return found.unionByName(_met(left, right, ["key", "part"], percent, apart, near)).distinct()
+
+
 def grouped(docs: DataFrame, k: int, percent: int, frequent: int, counts: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, groups) of `docs` (doc_id, t1, t2, text): rows as `shingle_classes` gives them; groups: sig, n, component and, with
     `counts`, n_links of every class that has links."""
@@ -324,16 +353,13 @@ def grouped(docs: DataFrame, k: int, percent: int, frequent: int, counts: bool)
     leader = F.min_by(F.struct("sig", "n", "room"), F.struct(F.xxhash64("key", "sig"), "sig"))
     least = dealt.groupBy("key", "salt").agg(leader.alias("l"), F.min("sig").alias("first"), F.max("sig").alias("last")).where("first < last")
     least = least.select("key", "salt", F.col("l.sig").alias("sig2"), F.col("l.n").alias("n2"), F.col("l.room").alias("room2"))
-    stars = verify.links(_met(dealt, least, ["key", "salt"], percent), "star")
-    found = written(_groups(stars).withColumnRenamed("component", "group"), "star-groups")
-    own = index.join(found, ["sig", "n"], "left").select("key", "sig", "n", "room", F.coalesce("group", F.struct("n", "sig")).alias("group")).repartition("key")
-    several = own.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
-    own = written(own.join(several, "key", "left_semi").dropDuplicates(["key", "sig", "n"]), "open-prefixes")
-    other = own.select("key", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "room", "group")])
-    across = verify.links(_met(own, other, ["key"], percent, F.col("group") != F.col("group2")), "across")
-    groups = _joined(found, across)
+    links = verify.links(_met(dealt, least, ["key", "salt"], percent), "star")
+    groups = written(_groups(links), "star-groups")
+    own = _open(index.repartition("key"), groups)
+    across = verify.links(_across(own, verify.heads, percent), "across")
+    links, groups = links.unionByName(across), _joined(groups.withColumnRenamed("component", "group"), across)
     if counts:
-        groups = groups.join(link_counts(groups, stars.unionByName(across), verify.sets, percent), ["sig", "n"])
+        groups = groups.join(link_counts(groups, links, verify.sets, percent), ["sig", "n"])
     return rows.select("doc_id", "t1", "t2", "sig", "n"), groups
 
 

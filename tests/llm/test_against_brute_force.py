@@ -32,9 +32,10 @@ def corpus(spark):
     return table, spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("frequent", [3, 1000])
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_components(corpus, k, percent, frequent):
+@pytest.mark.parametrize(("frequent", "crowd"), [(3, 64), (1000, 64), (1000, 1)])
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_components(corpus, k, percent, frequent, crowd, monkeypatch):
+    monkeypatch.setattr(jaccard_join._across, "__defaults__", (crowd, 3 if crowd == 1 else 4_000))
     texts, docs = corpus
     sets = {}
     for i, t in texts.items():
@@ -52,8 +53,9 @@ def test_jaccard_components(corpus, k, percent, frequent):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(docs, k, percent, frequent).collect()}
-    assert found == {i: (len(sets[i]), find(i)) for i in sets}
+    links = {i: {frozenset(sets[j]) for j in sets if sets[i] and sets[j] != sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])} for i in sets}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.link_components(docs, k, percent, frequent).collect()}
+    assert found == {i: (len(sets[i]), find(i), len(links[i])) for i in sets}
 
 
 @pytest.mark.parametrize("hot", [0, 2000])
