@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphcv.jobs import tuning
-from graphcv.operators.cluster import cluster_labels
-from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align, sub_eigenvectors
+from graphcv.operators.cluster import cluster_labels, spectral_labels
+from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align, sub_eigenvectors, train_row_svd
 from graphcv.operators.tiles import dcbm_vectors, tiled_pair_loss
 
 KEYS = ("rep", "cand")
@@ -43,7 +43,31 @@ def _planted(job, *args, **options):
     return run
 
 
+def _e4(x):
+    found, values = train_row_svd(x.nodes, x.edges, x.folds.where("fold <> 1"), 2)
+    return found.select("node", "x", F.array(*map(F.lit, values)).alias("values"))
+
+
+def _e7(x):
+    return tuning.lowrank_impute(x.suppliers[0], x.observed.where("fold = 1").select("src", "dst"), x.supplier_pairs.where("fold = 1"), 3, 0.8)
+
+
+def _r3(x):
+    nodes, edges = x.suppliers
+    choices = tuning.tune_tau_by_agreement(nodes, edges, 2, [0.0, 1.0], 2, nodes.count() // 5, 2)[1]
+    return tuning.refit_at_mean_tau(nodes, edges, 2, choices, nodes.select("node", (F.col("node") % 2 + 1).cast("int").alias("g")))
+
+
 FITTED = {
+    "e4_train_row_svd": _e4,
+    "e7_lowrank_impute": _e7,
+    "c3_spectral_labels": lambda x: spectral_labels(x.members, x.pieces, [2, 3], True, 0.5, True),
+    "c4_whole_graph_labels": lambda x: tuning.whole_graph_labels(x.nodes, x.edges, 2, 0.5),
+    "w5_tune_tau_by_agreement": _planted(lambda nodes, edges, o: tuning.tune_tau_by_agreement(nodes, edges, 2, [0.0, 1.0], 2, o, 2)[1], lambda n: n // 5),
+    "w6_pair_cv_blockmodel": _planted(lambda nodes, edges: tuning.pair_cv_blockmodel(nodes, edges, 2)[1]),
+    "w7_node_cv_blockmodel": _planted(lambda nodes, edges: tuning.node_cv_blockmodel(nodes, edges, 2, 2)[1]),
+    "w8_pair_cv_rank": _planted(lambda nodes, edges: tuning.pair_cv_rank(nodes, edges, 2)[1]),
+    "r3_refit_at_mean_tau": _r3,
     "e2_sub_eigenvectors": _e2,
     "e3_graph_eigenvectors": _e3,
     "e6_adjacency_embedding": lambda x: adjacency_embedding(x.members, x.pieces, 3),

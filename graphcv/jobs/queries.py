@@ -16,7 +16,9 @@ from graphcv.operators import labels as L
 from graphcv.operators import loss as S
 from graphcv.operators import predict as H
 from graphcv.operators import report as R
+from graphcv.jobs import tuning
 from graphcv.operators import split as P
+from graphcv.operators.spectral import row_normalize
 from graphcv.sources import graphs
 from graphcv.sources.shared import shared_path, written
 
@@ -160,7 +162,7 @@ class Inputs:
         return near.join(self.positions.select(F.col("node").alias("j")), "j").select((F.col("i") % 3).cast("int").alias("p"), "i", "j", y.alias("y"))
 
     def _unit(self):
-        return self.positions.select("node", F.transform("x", lambda v: F.try_divide(v, norm(F.col("x")))).alias("x"))
+        return row_normalize(self.positions)
 
     def _dot_scores(self):
         return H.predict_dot(self.position_pairs, self.positions, 4)
@@ -409,9 +411,9 @@ def _(x):
     return pairs.groupBy("rep", "p", "q", "i").agg(F.count("*").alias("n_pairs"), F.sum("y").alias("n_edges"), F.sum(F.col("y") * F.col("j")).alias("ends"))
 
 
-@query("p7_candidate_grid", "SELECT rep, s.sub, m.model, c.cand FROM reps, (SELECT unnest([1, 2, 3, 4])::INTEGER AS sub) s, (SELECT unnest(['sbm', 'dcbm']) AS model) m, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS cand) c WHERE EXISTS (SELECT 1 FROM nodes)")
+@query("p7_candidate_grid", "SELECT rep, p.sub, m.model, c.cand FROM (SELECT DISTINCT rep, sub FROM parts WHERE sub > 0) p, (SELECT unnest(['sbm', 'dcbm']) AS model) m, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS cand) c")
 def _(x):
-    return P.candidate_grid(x.spark, REPS, SUBS, 5, ["sbm", "dcbm"]).join(x.nodes.limit(1).select(), how="left_semi")
+    return P.candidate_grid(x.partition.where("sub > 0").select("rep", "sub").distinct(), 5, ["sbm", "dcbm"])
 
 
 @query("p8_node_folds", "SELECT node, fold FROM folds")
@@ -445,9 +447,13 @@ def _(x):
     return x.observed
 
 
-@query("e1_regularized_weights", """SELECT p.rep, p.sub, src, dst, round(1 / sqrt((a.degree + m) * (b.degree + m)), 9) AS w, round(m / n / sqrt((a.degree + m) * (b.degree + m)), 12) AS c
-FROM pieces p JOIN piece_deg a ON a.rep = p.rep AND a.sub = p.sub AND a.node = src JOIN piece_deg b ON b.rep = p.rep AND b.sub = p.sub AND b.node = dst
-JOIN (SELECT rep, sub, 0.5 * avg(degree) AS m, count(*) AS n FROM piece_deg GROUP BY ALL) s ON s.rep = p.rep AND s.sub = p.sub""")
+@query("e1_regularized_weights", """, own_pieces AS MATERIALIZED (SELECT rep, unnest(CASE WHEN a = 0 AND b = 0 THEN [1, 2, 3, 4] WHEN a = 0 THEN [b] ELSE [a] END)::INTEGER AS sub, src, dst FROM placed WHERE a = 0 OR b = 0 OR a = b),
+ends_of AS (SELECT rep, sub, node, count(*) AS degree FROM (SELECT rep, sub, src AS node FROM own_pieces UNION ALL SELECT rep, sub, dst FROM own_pieces) GROUP BY ALL),
+piece_size AS (SELECT rep, sub, count(*) AS n FROM (SELECT rep, unnest(CASE WHEN sub = 0 THEN [1, 2, 3, 4] ELSE [sub] END)::INTEGER AS sub FROM parts) GROUP BY ALL),
+stat AS (SELECT e.rep, e.sub, z.n, 0.5 * sum(e.degree) / z.n::DOUBLE AS m FROM ends_of e JOIN piece_size z ON z.rep = e.rep AND z.sub = e.sub GROUP BY e.rep, e.sub, z.n)
+SELECT p.rep, p.sub, src, dst, round(1 / sqrt((a.degree + m) * (b.degree + m)), 9) AS w, round(m / n / sqrt((a.degree + m) * (b.degree + m)), 12) AS c
+FROM own_pieces p JOIN ends_of a ON a.rep = p.rep AND a.sub = p.sub AND a.node = src JOIN ends_of b ON b.rep = p.rep AND b.sub = p.sub AND b.node = dst
+JOIN stat s ON s.rep = p.rep AND s.sub = p.sub""")
 def _(x):
     w = G.regularized_weights(x.pieces, x.piece_degrees, 0.5, True, "piece", keys=("rep", "sub"))
     return w.select("rep", "sub", "src", "dst", F.round("w", 9).alias("w"), F.round("c", 12).alias("c"))
@@ -731,12 +737,12 @@ def _(x):
 
 @query("w1_overlap_cv_supplied_labels", "SELECT loss, choice FROM (SELECT loss, choice, count(*) AS n, min(rep) AS f FROM chosen GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY loss ORDER BY n DESC, f) = 1")
 def _(x):
-    return A.mode_over_reps(A.choose_model(x.cv_losses))
+    return tuning.overlap_cv_blockmodel(x.nodes, x.edges, list(CANDS), SUBS, x.o, REPS, labels=x.labels)[1]
 
 
 @query("w10_consensus_supplied_labels", "SELECT cand, node, g FROM (SELECT cand, node, g, count(*) AS n, min(rep) AS f FROM combined GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cand, node ORDER BY n DESC, f) = 1")
 def _(x):
-    return L.majority_label(L.combine_labels(L.align_subs(x.labels, KEYS), KEYS), ("cand",))
+    return tuning.consensus_labels(x.nodes, x.edges, 0, 0.0, SUBS, x.o, REPS, aligned=False, labels=x.labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,9 +13,10 @@ from graphcv.operators import labels as L
 from graphcv.operators import loss as S
 from graphcv.operators import split as P
 from graphcv.operators.cluster import graph_labels, spectral_labels
-from graphcv.operators.graph import degrees
+from graphcv.operators.graph import degrees, isolated_labels
 from graphcv.operators.latent import fit_latent
-from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align
+from graphcv.operators.predict import predict_dcbm, predict_sbm
+from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align, train_row_svd
 from graphcv.operators.tiles import dcbm_vectors, tiled_pair_loss
 from graphcv.sources.shared import written
 
@@ -34,9 +35,16 @@ class Overlap:
         self.pieces, self.held = P.sub_edges(placed, s), P.test_edges(placed)
         self.degrees = degrees(self.members, self.pieces, ("rep", "sub"))
 
-    def labels(self, cands: list[int], corrected: bool, tau: float, laplace: bool, scale: str = "graph") -> DataFrame:
-        """rep, cand, sub, node, shared, g, every piece aligned to the first."""
-        found = spectral_labels(self.members, self.pieces, cands, corrected, tau, laplace, scale=scale, n_graph=self.n)
+    def labels(self, cands: list[int], corrected: bool, tau: float, laplace: bool, scale: str = "graph", method: str = "kmeans", lone: bool = False) -> DataFrame:
+        """rep, cand, sub, node, shared, g, every piece aligned to the first. With `lone`, and tau = 0, only nodes with edges in their
+        piece are clustered; the others get seeded labels."""
+        if lone and tau == 0:
+            some = self.degrees.where("degree > 0").select("rep", "sub", "node")
+            found = spectral_labels(some, self.pieces, cands, corrected, tau, laplace, scale=scale, n_graph=self.n, method=method)
+            for c in cands:
+                found = found.unionByName(isolated_labels(self.degrees, c, keys=("rep", "sub")).select("rep", "sub", F.lit(c).alias("cand"), "node", "g"))
+        else:
+            found = spectral_labels(self.members, self.pieces, cands, corrected, tau, laplace, scale=scale, n_graph=self.n, method=method)
         return written(L.align_subs(found.join(self.members, ["rep", "sub", "node"]), KEYS), "aligned")
 
     def sums(self, labels: DataFrame) -> DataFrame:
@@ -59,12 +67,21 @@ def _by_cand(cands: list, one) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(c) for c in cands])
 
 
-def overlap_cv_blockmodel(nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, tau: float = 0.0, laplace: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(losses, choices): the block model and its number of communities. choices: loss, choice over reps."""
+def overlap_cv_blockmodel(
+    nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, tau: float = 0.0, laplace: bool = False, labels: DataFrame | None = None, losses: tuple[str, ...] = ("l2", "deviance", "auc"), method: str = "kmedoids"
+) -> tuple[DataFrame, DataFrame]:
+    """(losses, choices): the block model and its number of communities. choices: loss, choice over reps.
+
+    labels: supplied labels of the pieces (rep, cand, sub, node, shared, g), for both models; without them they are fitted.
+    """
     cut = Overlap(nodes, edges, s, o, reps)
-    losses = cut.sbm_losses(cut.labels(cands, False, tau, laplace)).unionByName(cut.dcbm_losses(cut.labels(cands, True, tau, laplace)))
-    losses = written(losses.select("rep", "model", "cand", "loss", "value"), "losses")
-    return losses, A.mode_over_reps(A.choose_model(losses))
+    if labels is not None:
+        plain = corrected = written(L.align_subs(labels, KEYS), "aligned")
+    else:
+        plain, corrected = (cut.labels(cands, c, tau, laplace, method=method) for c in (False, True))
+    found = cut.sbm_losses(plain).unionByName(cut.dcbm_losses(corrected)).where(F.col("loss").isin(*losses))
+    found = written(found.select("rep", "model", "cand", "loss", "value"), "losses")
+    return found, A.mode_over_reps(A.choose_model(found))
 
 
 def overlap_cv_rank(nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, laplace: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +116,7 @@ def tune_tau_by_loss(nodes: DataFrame, edges: DataFrame, k: int, taus: list[floa
     cut = Overlap(nodes, edges, s, o, reps)
 
     def one(tau):
-        labels = cut.labels([k], corrected, tau, laplace, "piece")
+        labels = cut.labels([k], corrected, tau, laplace, "piece", lone=True)
         return (cut.dcbm_losses if corrected else cut.sbm_losses)(labels).withColumn("tau", F.lit(float(tau)))
 
     losses = written(_by_cand(taus, one).select("rep", "tau", "loss", "value"), "losses")
@@ -107,32 +124,51 @@ def tune_tau_by_loss(nodes: DataFrame, edges: DataFrame, k: int, taus: list[floa
 
 
 def whole_graph_labels(nodes: DataFrame, edges: DataFrame, k: int, tau: float, laplace: bool = True, corrected: bool = False) -> DataFrame:
-    """node, g of the whole graph at one tau."""
+    """node, g of the whole graph at one tau. At tau = 0 only nodes with edges are clustered; the others get seeded labels."""
+    if tau == 0:
+        degree = written(degrees(nodes, edges), "degrees")
+        found, _, _ = graph_eigenvectors(degree.where("degree > 0").select("node"), edges, k, tau, laplace)
+        labels = graph_labels(found, k, corrected).select("node", F.col("g").cast("int").alias("g"))
+        return written(labels.unionByName(isolated_labels(degree, k)), "graph-labels")
     found, _, _ = graph_eigenvectors(nodes, edges, k, tau, laplace)
-    return written(graph_labels(found, k, corrected), "graph-labels")
+    return written(graph_labels(found, k, corrected).select("node", F.col("g").cast("int").alias("g")), "graph-labels")
+
+
+def refit_at_mean_tau(nodes: DataFrame, edges: DataFrame, k: int, choices: DataFrame, truth: DataFrame, laplace: bool = True, corrected: bool = False) -> DataFrame:
+    """loss, mean_tau, accuracy: the whole graph labelled anew at the mean tau of each loss (choices: loss, mean_tau), against the
+    truth (node, g). Losses with one mean are labelled once."""
+    means = {}
+    for r in choices.select("loss", "mean_tau").collect():  # a row a loss
+        means.setdefault(r["mean_tau"], []).append(r["loss"])
+    each = [L.label_accuracy(whole_graph_labels(nodes, edges, k, tau, laplace, corrected), truth).select(F.explode(F.array(*map(F.lit, names))).alias("loss"), F.lit(float(tau)).alias("mean_tau"), "accuracy") for tau, names in means.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 def tune_tau_by_agreement(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], s: int, o: int, reps: int, corrected: bool = False, laplace: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(losses, choices): minus the NMI of pair codes between piece labels and whole-graph labels, summed over fold pairs, and
-    the mean over reps of the best tau."""
+    """(losses, choices): minus the NMI ("nmi") and the share of differing ("hamming") pair codes between piece labels and
+    whole-graph labels, summed over fold pairs, and the mean over reps of the best tau."""
     cut = Overlap(nodes, edges, s, o, reps)
 
     def one(tau):
-        labels = cut.labels([k], corrected, tau, laplace, "piece")
+        labels = cut.labels([k], corrected, tau, laplace, "piece", lone=True)
         counts = written(L.fold_confusion(labels, whole_graph_labels(nodes, edges, k, tau, laplace, corrected), KEYS), "fold-confusion")
-        return L.pair_nmi_loss(counts, KEYS).withColumn("tau", F.lit(float(tau)))
+        return reduce(DataFrame.unionByName, [loss(counts, KEYS).select("rep", F.lit(float(tau)).alias("tau"), "p", "q", F.lit(name).alias("loss"), "value") for name, loss in (("nmi", L.pair_nmi_loss), ("hamming", L.pair_hamming_loss))])
 
-    blocks = _by_cand(taus, one).withColumn("loss", F.lit("nmi"))
+    blocks = _by_cand(taus, one)
     losses = written(A.rep_loss(blocks, s, "sum", ("rep", "tau", "loss")), "losses")
     return losses, A.mean_over_reps(A.argmin_candidate(losses, ("rep", "loss"), "tau"), ("loss",), "tau")
 
 
-def consensus_labels(nodes: DataFrame, edges: DataFrame, k: int, tau: float, s: int, o: int, reps: int, laplace: bool = False, corrected: bool = False, aligned: bool = True) -> DataFrame:
-    """node, g: piece labels stitched in each rep, reps aligned to the first unless told otherwise, and the majority over reps."""
-    cut = Overlap(nodes, edges, s, o, reps)
-    stitched = written(L.combine_labels(cut.labels([k], corrected, tau, laplace, "piece"), KEYS), "stitched")
+def consensus_labels(nodes: DataFrame, edges: DataFrame, k: int, tau: float, s: int, o: int, reps: int, laplace: bool = False, corrected: bool = False, aligned: bool = True, labels: DataFrame | None = None) -> DataFrame:
+    """cand, node, g: piece labels stitched in each rep, reps aligned to the first unless told otherwise, and the majority over reps.
+    labels: supplied labels of the pieces (rep, cand, sub, node, shared, g); without them they are fitted."""
+    if labels is None:
+        pieces = Overlap(nodes, edges, s, o, reps).labels([k], corrected, tau, laplace, "piece", lone=True)
+    else:
+        pieces = L.align_subs(labels, KEYS)
+    stitched = written(L.combine_labels(pieces, KEYS), "stitched")
     stitched = L.align_reps(stitched, ("cand",)) if aligned else stitched
-    return L.majority_label(stitched, ()).select("node", "g")
+    return L.majority_label(stitched, ("cand",))
 
 
 def lowrank_impute(nodes: DataFrame, observed: DataFrame, pairs: DataFrame, k: int, share: float) -> DataFrame:
@@ -160,8 +196,6 @@ def pair_cv_rank(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 2,
 
 def pair_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 2, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(losses, choices): block model and number of communities by held-out pairs; each pair counts twice in sums."""
-    from graphcv.operators.predict import predict_dcbm, predict_sbm
-
     held = written(P.pair_holdout(nodes, edges, share, folds), "holdout")
     seen = written(P.observed_edges(edges, held), "observed")
     keys = ("fold", "cand")
@@ -182,3 +216,32 @@ def pair_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, folds: in
     twice = found.withColumn("value", F.col("value") * F.when(F.col("loss") == "auc", 1).otherwise(2))
     losses = written(A.fold_loss(twice, ("loglik",)), "losses")
     return losses, A.choose_model(losses, ("loss",))
+
+
+def node_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, cv: int = 5, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(losses, choices): block model and number of communities by node folds: what training rows say of pairs inside the fold held out.
+
+    The degree-corrected model takes the labels of the other and degrees over block sums. labels: supplied (fold, cand, node, g);
+    without them the rows of x are clustered for each fold. Held-out pairs of a fold are listed: for graphs of some ten
+    thousand nodes. losses: model, cand, loss, value.
+    """
+    n, keys = nodes.count(), ("fold", "cand")
+    folds = written(P.node_folds(nodes, cv, n=n), "folds")
+    tagged = written(P.node_holdout_edges(edges, folds, cv), "tagged")
+
+    def fitted(fold: int) -> DataFrame:
+        found, _ = train_row_svd(nodes, edges, folds.where(F.col("fold") != fold), max_k)
+        found = written(found, "row-vectors")
+        each = [graph_labels(found.select("node", F.slice("x", 1, k).alias("x")), k).select(F.lit(fold).alias("fold"), F.lit(k).alias("cand"), "node", F.col("g").cast("int").alias("g")) for k in range(1, max_k + 1)]
+        return reduce(DataFrame.unionByName, each)
+
+    labels = written(_by_cand(list(range(1, cv + 1)), fitted) if labels is None else labels, "node-labels")
+    own = folds.select("fold", F.col("node").alias("i")).join(folds.select("fold", F.col("node").alias("j")), "fold").where("i < j")
+    held = tagged.where("part = 'held'").select("fold", F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1).alias("y"))
+    pairs = written(own.join(held, ["fold", "i", "j"], "left").na.fill(0, ["y"]), "held-pairs")
+    roles = M.role_counts(tagged, labels, folds)
+    sbm = predict_sbm(pairs, labels, M.ncv_sbm_blocks(roles, M.role_mass(labels, folds)), keys).select(*keys, "y", "phat", F.lit("sbm").alias("model"))
+    dcbm = predict_dcbm(pairs, labels, *M.ncv_dcbm_degree_fit(tagged, labels), keys).select(*keys, "y", "phat", F.lit("dcbm").alias("model"))
+    found = written(S.pair_losses(sbm.unionByName(dcbm), ("fold", "model", "cand"), ["sse", "loglik", "auc"]), "fold-losses")
+    losses = written(A.fold_loss(found), "losses")
+    return losses, A.choose_model(losses, ("loss",))

@@ -92,11 +92,12 @@ def adjacency_embedding(members: DataFrame, edges: DataFrame, d: int, laplace: b
     return found.select(*keys, "node", F.zip_with("x", "values", lambda v, e: v * F.sqrt(F.abs(e))).alias("x"))
 
 
-def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, rounds: int = 8, extra: int = 6, seed: int = 42) -> tuple[DataFrame, list[float], list[float]]:
+def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, rounds: int = 8, extra: int = 6, seed: int = 42, train: DataFrame | None = None, shift: float = 0.0) -> tuple[DataFrame, list[float], list[float]]:
     """(node, x; eigenvalues; residuals) of the whole graph's regularised matrix, by block iteration on the cluster.
 
     A round joins the arcs with the block's rows and sums them by node; only Gram matrices of k + extra columns come to
     the driver. Each round's block is written to the shared folder. The residuals tell how far the vectors have settled.
+    With `train` (node) the matrix is B'B for the rows B of these nodes, `shift` added to every entry (see `train_row_svd`).
     """
     degree = degrees(nodes, edges)
     s = degree.agg(F.avg("degree").alias("mean"), F.count("*").alias("n")).first()
@@ -105,7 +106,7 @@ def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float =
     heavy = F.col("degree") + mass
     f = F.when(heavy > 0, 1 / F.sqrt(heavy)).otherwise(0.0) if laplace else F.lit(1.0)
     scaled = written(degree.select("node", f.alias("f")), "node-scale")
-    start = [(F.rand(seed + c) - 0.5).alias(f"x{c}") for c in range(width)]
+    start = [(F.pmod(F.xxhash64("node", F.lit(seed + c)), F.lit(1_000_003)) / 1_000_003 - 0.5).alias(f"x{c}") for c in range(width)]  # hangs on the node alone
     block = written(scaled.select("node", "f", *start), "block")
     links = written(arcs(edges), "arcs")
     cols = [f"x{c}" for c in range(width)]
@@ -117,8 +118,20 @@ def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float =
     def mix(df: DataFrame, m: np.ndarray) -> DataFrame:
         return df.select("node", "f", *[sum((F.col(c) * float(m[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(f"x{j}") for j in range(m.shape[1])])
 
+    trained = None if train is None else written(links.join(train.select(F.col("node").alias("dst")), "dst"), "train-arcs")
+
+    def half(x: DataFrame, arcs_: DataFrame, to: DataFrame, a: str, b: str) -> DataFrame:
+        """node and c columns: sums of x over arcs from `a` to `b`, for the nodes `to`, with `shift` times all of x."""
+        total = x.agg(*[F.sum(c).alias(c) for c in cols]).first()
+        sums = arcs_.join(x.withColumnRenamed("node", a), a).groupBy(F.col(b).alias("node")).agg(*[F.sum(c).alias(c) for c in cols])
+        return to.select("node").join(sums, "node", "left").select("node", *[(F.coalesce(c, F.lit(0.0)) + shift * float(total[c] or 0.0)).alias(c) for c in cols])
+
     def applied(df: DataFrame) -> DataFrame:
         """The matrix times the block, as y0, y1, ... beside it."""
+        if trained is not None:
+            y = written(half(df.select("node", *cols), trained, train, "src", "dst"), "half-step")
+            z = half(y, trained, df, "dst", "src")
+            return df.join(z.select("node", *[F.col(c).alias(f"y{i}") for i, c in enumerate(cols)]), "node")
         total = df.agg(*[F.sum(F.col("f") * F.col(c)).alias(c) for c in cols]).first()
         sums = links.join(df.select(F.col("node").alias("src"), *[(F.col("f") * F.col(c)).alias(c) for c in cols]), "src").groupBy(F.col("dst").alias("node")).agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
         met = df.join(sums, "node", "left")
@@ -143,6 +156,13 @@ def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float =
     return out.select("node", F.array(*[f"u{a}" for a in range(len(order))]).alias("x")), [float(values[j]) for j in order], [float(r) for r in left]
 
 
+def train_row_svd(nodes: DataFrame, edges: DataFrame, train: DataFrame, k: int, shift: float = 0.001, rounds: int = 12) -> tuple[DataFrame, list[float]]:
+    """(node, x; singular values): the top-k right singular vectors of the rows of the nodes `train`, all nodes as columns, with
+    `shift` added to every entry, which stays a rank-one part."""
+    found, values, _ = graph_eigenvectors(nodes, edges, k, rounds=rounds, train=train.select("node"), shift=shift)
+    return found, [float(np.sqrt(max(v, 0.0))) for v in values]
+
+
 def row_normalize(positions: DataFrame) -> DataFrame:
     """x divided by its norm; a row of zeros stays."""
     size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))

@@ -77,11 +77,10 @@ def test_pairs(partition: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(held.select("rep", "i", "j", F.lit(1).alias("y")), ["rep", "i", "j"], "left").select("rep", "p", "q", "i", "j", F.coalesce("y", F.lit(0)).alias("y"))
 
 
-def candidate_grid(spark: SparkSession, reps: int, subs: int, cands: int | list, models: list[str]) -> DataFrame:
-    """rep, sub, model, cand: all work items; a number c stands for the candidates 1..c."""
+def candidate_grid(pieces: DataFrame, cands: int | list, models: list[str]) -> DataFrame:
+    """rep, sub, model, cand: all work items of the pieces (rep, sub); a number c stands for the candidates 1..c."""
     values = list(range(1, cands + 1)) if isinstance(cands, int) else list(cands)
-    one = reps_table(spark, reps).withColumn("sub", F.explode(F.sequence(F.lit(1), F.lit(subs))))
-    return one.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).withColumn("cand", F.explode(F.array(*[F.lit(c) for c in values])))
+    return pieces.select("rep", "sub").withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).withColumn("cand", F.explode(F.array(*[F.lit(c) for c in values])))
 
 
 def node_folds(nodes: DataFrame, cv: int, seed: int = 42, n: int | None = None) -> DataFrame:

@@ -183,3 +183,30 @@ def test_medoids_come_from_all_rows():
         chosen.append(int(np.minimum(d, d[chosen].min(0)[:, None]).sum(0).argmin()))
     expected = d[chosen].argmin(0) + 1
     assert (kmedoids(x, 3) == expected).all() and (kmedoids(x, 3, cells=10_000) == expected).all()
+
+
+def test_row_vectors(spark):
+    from graphcv.operators.spectral import train_row_svd
+
+    nodes = frame(spark, [(i,) for i in range(1, 7)], "node long")
+    found, values = train_row_svd(nodes, frame(spark, TRIANGLES, "src long, dst long"), nodes.where("node <> 6"), 2, 0.001)
+    a = np.full((7, 7), 0.001)
+    for i, j in TRIANGLES:
+        a[i, j] += 1
+        a[j, i] += 1
+    _, s, v = np.linalg.svd(a[1:6, 1:])
+    x = np.array([r.x for r in found.orderBy("node").collect()])
+    assert values == pytest.approx(s[:2], abs=1e-5) and np.allclose(np.abs(x), np.abs(v[:2].T), atol=1e-3)
+
+
+def test_node_cv_with_supplied_labels(spark):
+    """The labels of two dense blocks beat one block and a wrong labelling."""
+    from graphcv.jobs.tuning import node_cv_blockmodel
+
+    rng = np.random.default_rng(6)
+    n = 40
+    edges = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.7 if i % 2 == j % 2 else 0.05)]
+    nodes = frame(spark, [(i,) for i in range(n)], "node long")
+    labels = frame(spark, [(f, k, i, i % k + 1) for f in (1, 2) for k in (1, 2, 3) for i in range(n)], "fold int, cand int, node long, g int")
+    losses, choices = node_cv_blockmodel(nodes, frame(spark, edges, "src long, dst long"), 3, 2, labels)
+    assert {r.loss: r.choice[-1] for r in choices.collect()} == {"sse": "2", "loglik": "2", "auc": "2"} and losses.count() == 18
