@@ -127,7 +127,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(raw), dtype=np.int64))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, chars_a_block: int = 16_000_000, bytes_a_group: int = 32 << 20) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, chars_a_block: int = 48_000_000, bytes_a_group: int = 32 << 20) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity of every row of `docs` under a model of the rows of `trusted` (text).
 
     Blocks are ranges of ids with about `chars_a_block` symbols; rows without id, and those of one id, are ranges of the
