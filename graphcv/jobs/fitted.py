@@ -67,6 +67,7 @@ FITTED = {
     "w6_pair_cv_blockmodel": _planted(lambda nodes, edges: tuning.pair_cv_blockmodel(nodes, edges, 2)[1]),
     "w7_node_cv_blockmodel": _planted(lambda nodes, edges: tuning.node_cv_blockmodel(nodes, edges, 2, 2)[1]),
     "w8_pair_cv_rank": _planted(lambda nodes, edges: tuning.pair_cv_rank(nodes, edges, 2)[1]),
+    "w9_spectral_gap_tau": _planted(lambda nodes, edges: tuning.spectral_gap_tau(nodes, edges, 2, [0.5, 1.0])[0]),
     "r3_refit_at_mean_tau": _r3,
     "e2_sub_eigenvectors": _e2,
     "e3_graph_eigenvectors": _e3,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from graphcv.operators.graph import degrees, isolated_labels
 from graphcv.operators.latent import fit_latent
 from graphcv.operators.predict import predict_dcbm, predict_sbm
 from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align, train_row_svd
-from graphcv.operators.tiles import dcbm_vectors, tiled_pair_loss
+from graphcv.operators.tiles import dcbm_vectors, tile_eigenvalues, tile_matvec, tiled_pair_loss
 from graphcv.sources.shared import written
 
 KEYS = ("rep", "cand")
@@ -134,6 +135,55 @@ def whole_graph_labels(nodes: DataFrame, edges: DataFrame, k: int, tau: float, l
     return written(graph_labels(found, k, corrected).select("node", F.col("g").cast("int").alias("g")), "graph-labels")
 
 
+def spectral_gap_tau(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], corrected: bool = True, dc_fit: str = "degree", labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ratios: tau, value; choice: tau, value): the largest singular value of abs(L - Lhat) over the k-th eigenvalue of Lhat, per
+    tau, and the tau of the least ratio. L is the regularised Laplacian, Lhat that of the fitted model, both with the constant
+    tau dbar / n in entries and degrees; nodes without weight have zeros. A zero eigenvalue gives null, ranked last. `labels`
+    (tau, node, g) replace the fitted ones.
+    """
+    degree = written(degrees(nodes, edges), "degrees")
+    n, mean = degree.agg(F.count("*"), F.avg("degree")).first()
+    keys, ratios = ("rep", "cand", "sub"), []
+    norms = None
+    if corrected and dc_fit == "eigen":
+        norms = graph_eigenvectors(nodes, edges, k)[0].select("node", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("psi"))
+    for tau in taus:
+        c = tau * (mean or 0.0) / max(1, n)
+        if labels is None:
+            own = graph_labels(graph_eigenvectors(nodes, edges, k, tau, True, scale="dk")[0], k, corrected).select("node", F.col("g").cast("int").alias("g"))
+        else:
+            own = labels.where(F.col("tau") == F.lit(float(tau))).select("node", "g")
+        own = written(own.select(F.lit(1).alias("rep"), F.lit(k).alias("cand"), F.lit(1).alias("sub"), "node", "g"), "gap-labels")
+        sums = written(M.block_sums(edges, own, keys, ()), "sums")
+        if not corrected:
+            blocks, theta = M.sbm_blocks(sums, M.label_sizes(own, keys), keys), own.select(*keys, "node", F.lit(1.0).alias("psi"))
+        elif dc_fit == "eigen":
+            blocks, theta = M.dcbm_eigen_fit(sums, own, norms, keys)
+        else:
+            blocks, theta = M.dcbm_fit(sums, own, degree, keys, (), omitted=False)
+        left, right = dcbm_vectors(own, blocks.drop("sub"), theta.drop("sub"), KEYS)
+        both = left.select("node", F.col("x").alias("l")).join(right.select("node", F.col("x").alias("r")), "node")
+        both = written(both.join(degree, "node").select("node", "l", "r", "degree"), "gap-vectors")
+
+        def fitted(a, b, linked):
+            return np.clip(np.stack(a["l"]) @ np.stack(b["r"]).T, 0.0, 1.0)
+
+        def fitted_laplacian(a, b, linked, c=c, fitted=fitted):
+            return np.outer(a["fh"], b["fh"]) * (fitted(a, b, linked) + c)
+
+        def difference(a, b, linked, c=c, laplacian=fitted_laplacian):
+            return np.abs(np.outer(a["f"], b["f"]) * (linked + c) - laplacian(a, b, linked))
+
+        expected = tile_matvec(both.withColumn("x", F.array(F.lit(1.0))), edges, fitted).select("node", F.col("y")[0].alias("expected"))
+        scale = lambda d, c=c: F.when(F.col(d) + c > 0, 1 / F.sqrt(F.col(d) + c)).otherwise(0.0)
+        params = written(both.join(expected, "node").select("node", "l", "r", scale("degree").alias("f"), scale("expected").alias("fh")), "gap-params")
+        top = abs(tile_eigenvalues(params, edges, difference, 1)[0])
+        low = tile_eigenvalues(params, edges, fitted_laplacian, k)[-1]
+        ratios.append((float(tau), abs(top / low) if abs(low) > 1e-12 else None))
+    found = edges.sparkSession.createDataFrame(ratios, "tau double, value double")  # a row for each tau
+    return found, A.argmin_candidate(found, (), "tau")
+
+
 def refit_at_mean_tau(nodes: DataFrame, edges: DataFrame, k: int, choices: DataFrame, truth: DataFrame, laplace: bool = True, corrected: bool = False) -> DataFrame:
     """loss, mean_tau, accuracy: the whole graph labelled anew at the mean tau of each loss (choices: loss, mean_tau), against the
     truth (node, g). Losses with one mean are labelled once."""

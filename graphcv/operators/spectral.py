@@ -92,18 +92,19 @@ def adjacency_embedding(members: DataFrame, edges: DataFrame, d: int, laplace: b
     return found.select(*keys, "node", F.zip_with("x", "values", lambda v, e: v * F.sqrt(F.abs(e))).alias("x"))
 
 
-def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, rounds: int = 8, extra: int = 6, seed: int = 42, train: DataFrame | None = None, shift: float = 0.0) -> tuple[DataFrame, list[float], list[float]]:
+def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, rounds: int = 8, extra: int = 6, seed: int = 42, train: DataFrame | None = None, shift: float = 0.0, scale: str = "piece") -> tuple[DataFrame, list[float], list[float]]:
     """(node, x; eigenvalues; residuals) of the whole graph's regularised matrix, by block iteration on the cluster.
 
     A round joins the arcs with the block's rows and sums them by node; only Gram matrices of k + extra columns come to
     the driver. Each round's block is written to the shared folder. The residuals tell how far the vectors have settled.
     With `train` (node) the matrix is B'B for the rows B of these nodes, `shift` added to every entry (see `train_row_svd`).
+    scale "dk" adds to the degrees what it adds to an entry.
     """
     degree = degrees(nodes, edges)
     s = degree.agg(F.avg("degree").alias("mean"), F.count("*").alias("n")).first()
     n, mass = s["n"], tau * (s["mean"] or 0.0)
     const, width = mass / max(1, n), min(k + extra, n)
-    heavy = F.col("degree") + mass
+    heavy = F.col("degree") + (const if scale == "dk" else mass)
     f = F.when(heavy > 0, 1 / F.sqrt(heavy)).otherwise(0.0) if laplace else F.lit(1.0)
     scaled = written(degree.select("node", f.alias("f")), "node-scale")
     start = [(F.pmod(F.xxhash64("node", F.lit(seed + c)), F.lit(1_000_003)) / 1_000_003 - 0.5).alias(f"x{c}") for c in range(width)]  # hangs on the node alone

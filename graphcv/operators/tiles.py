@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphcv.operators.graph import arcs
 from graphcv.operators.loss import auc_loss
 
 #: Scores are counted by their logit in so many bins for the AUC, which is exact up to the bins' width.
@@ -86,3 +87,57 @@ def dcbm_vectors(labels: DataFrame, blocks: DataFrame, theta: DataFrame, keys: t
     spot = lambda i: F.when(i == F.col("g"), F.col("psi")).otherwise(0.0)
     right = met.join(size, [*keys, "g"]).select(*keys, "sub", "node", F.transform(F.sequence(F.lit(1), F.col("m")), spot).alias("x"))
     return left, right
+
+
+def tile_matvec(block: DataFrame, edges: DataFrame, entries, tile: int = 2000) -> DataFrame:
+    """node, y: a dense symmetric matrix, never stored, times the columns x (array) of `block` (node, x, parameters of nodes).
+
+    `entries(a, b, linked)` gives the entries between the rows `a` and `b` of `block` from their parameters and from which of
+    them are linked. A tile holds some `tile` rows and columns; n * n / tile rows are shuffled.
+    """
+    first = block.agg(F.count("*"), F.max(F.size("x"))).first()
+    parts, width = max(1, -(-first[0] // tile)), first[1] or 0
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    rows = block.select(part("node").alias("p"), every.alias("q"), F.lit(0).alias("side"), *block.columns)
+    columns = block.select(every.alias("p"), part("node").alias("q"), F.lit(1).alias("side"), *block.columns)
+    links = arcs(edges).select(part("src").alias("p"), part("dst").alias("q"), "src", "dst")
+
+    def product(both: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        both = both.sort_values("node")
+        a, b = both[both["side"] == 0], both[both["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"node": [], "y": []})
+        linked = np.zeros((len(a), len(b)))
+        linked[np.searchsorted(a["node"], found["src"]), np.searchsorted(b["node"], found["dst"])] = 1.0
+        return pd.DataFrame({"node": a["node"], "y": list(entries(a, b, linked) @ np.stack(b["x"]))})
+
+    products = rows.unionByName(columns).groupBy("p", "q").cogroup(links.groupBy("p", "q")).applyInPandas(product, "node long, y array<double>")
+    return products.groupBy("node").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y"))
+
+
+def tile_eigenvalues(params: DataFrame, edges: DataFrame, entries, k: int, extra: int = 2, tol: float = 1e-7, rounds: int = 200) -> list[float]:
+    """The k eigenvalues of largest magnitude of the matrix of `tile_matvec`, by block iteration until they change by less than
+    `tol` of the largest; only Gram matrices of k + extra columns come to the driver. Raises after `rounds` rounds without rest."""
+    from graphcv.sources.shared import written
+
+    width = k + extra
+    start = F.array(*[F.pmod(F.xxhash64("node", F.lit(c)), F.lit(1_000_003)) / 1_000_003 - (0.0 if c == 0 else 0.5) for c in range(width)])
+    block, last = written(params.withColumn("x", start), "tile-block"), None
+    for _ in range(rounds):
+        met = written(block.join(tile_matvec(block, edges, entries), "node"), "tile-product")
+        sums = [F.sum(F.col(a)[i] * F.col(b)[j]) for a, b in ("xx", "xy", "yy") for i in range(width) for j in range(width)]
+        xx, xy, yy = np.array(met.agg(*sums).first(), dtype=float).reshape(3, width, width)
+        size, turn = np.linalg.eigh(xx)
+        w = (turn / np.sqrt(np.maximum(size, 1e-300)))[:, size > 1e-10 * size.max()]
+        t = w.T @ (xy + xy.T) @ w / 2
+        values = np.linalg.eigvalsh(t)
+        values = values[np.argsort(-np.abs(values), kind="stable")][:k]
+        values = np.concatenate([values, np.zeros(k - len(values))])
+        if last is not None and np.abs(values - last).max() <= tol * max(np.abs(values).max(), 1e-300):
+            return values.tolist()
+        last = values
+        m = np.linalg.inv(np.linalg.cholesky(yy + (1e-13 * np.trace(yy) + 1e-300) * np.eye(width)).T)
+        mixed = F.array(*[sum((F.col("y")[i] * float(m[i, j]) for i in range(width)), F.lit(0.0)) for j in range(width)])
+        block = met.select(*params.columns, mixed.alias("x"))
+    raise RuntimeError(f"eigenvalues did not settle in {rounds} rounds")

@@ -210,3 +210,48 @@ def test_node_cv_with_supplied_labels(spark):
     labels = frame(spark, [(f, k, i, i % k + 1) for f in (1, 2) for k in (1, 2, 3) for i in range(n)], "fold int, cand int, node long, g int")
     losses, choices = node_cv_blockmodel(nodes, frame(spark, edges, "src long, dst long"), 3, 2, labels)
     assert {r.loss: r.choice[-1] for r in choices.collect()} == {"sse": "2", "loglik": "2", "auc": "2"} and losses.count() == 18
+
+
+@pytest.mark.parametrize("corrected", [False, True])
+def test_spectral_gap_equals_dense(spark, corrected):
+    """The ratio of supplied labels, against dense matrices of a graph in three tiles or one."""
+    from graphcv.jobs.tuning import spectral_gap_tau
+
+    rng = np.random.default_rng(7)
+    n, k, tau = 60, 2, 0.5
+    a = np.triu(rng.random((n, n)) < np.where(np.add.outer(np.arange(n), np.arange(n)) % 2 == 0, 0.6, 0.1), 1).astype(float)
+    a, g = a + a.T, np.arange(n) % k
+    z, d = np.eye(k)[g], a.sum(1)
+    s = z.T @ a @ z
+    if corrected:
+        b = s + 1e-4
+        psi = d / b.sum(1)[g]
+        p = b[np.ix_(g, g)] * np.outer(psi, psi)
+    else:
+        size = z.sum(0)
+        p = (s / (np.outer(size, size) - np.diag(size)))[np.ix_(g, g)]
+    p, c = np.clip(p, 0, 1), tau * d.mean() / n
+    f, fh = 1 / np.sqrt(d + c), 1 / np.sqrt(p.sum(1) + c)
+    fit = np.outer(fh, fh) * (p + c)
+    top = np.linalg.svd(np.abs(np.outer(f, f) * (a + c) - fit), compute_uv=False)[0]
+    low = np.sort(np.abs(np.linalg.eigvalsh(fit)))[-k]
+    edges = frame(spark, [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(a)), strict=True)], "src long, dst long")
+    labels = frame(spark, [(tau, i, int(g[i]) + 1) for i in range(n)], "tau double, node long, g int")
+    found, choice = spectral_gap_tau(frame(spark, [(i,) for i in range(n)], "node long"), edges, k, [tau], corrected, labels=labels)
+    assert found.first()["value"] == pytest.approx(top / low, rel=1e-5) and choice.first()["tau"] == tau
+
+
+def test_tiles_multiply(spark):
+    """A matrix in many tiles times two columns."""
+    from graphcv.operators.tiles import tile_matvec
+
+    n = 30
+    links = [(i, j) for i in range(n) for j in range(i + 1, n) if (i * j) % 7 == 1]
+    a = np.zeros((n, n))
+    for i, j in links:
+        a[i, j] = a[j, i] = 1.0
+    x = np.stack([np.arange(n) % 5, np.arange(n) % 3], 1).astype(float)
+    block = frame(spark, [(i, float(i % 4), x[i].tolist()) for i in range(n)], "node long, t double, x array<double>")
+    found = tile_matvec(block, frame(spark, links, "src long, dst long"), lambda p, q, linked: linked + np.outer(p["t"], q["t"]), tile=7)
+    t = np.arange(n) % 4
+    assert np.allclose([r.y for r in found.orderBy("node").collect()], (a + np.outer(t, t)) @ x)
