@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from graphcv.operators import report as R
 from graphcv.jobs import tuning
 from graphcv.operators import split as P
 from graphcv.operators.spectral import row_normalize
+from graphcv.operators.tiles import tile_matvec
 from graphcv.sources import graphs
 from graphcv.sources.shared import shared_path, written
 
@@ -447,6 +449,13 @@ def _(x):
     return x.observed
 
 
+@query("e8_tile_matvec", """SELECT d.node, (coalesce(a.s, 0) + (d.node % 4) * (SELECT sum((node % 4) * (node % 5)) FROM deg))::DOUBLE AS y FROM deg d
+ LEFT JOIN (SELECT i AS node, sum(j % 5) AS s FROM (SELECT src AS i, dst AS j FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY i) a ON a.node = d.node""")
+def _(x):
+    block = x.nodes.select("node", (F.col("node") % 4).cast("double").alias("t"), F.array((F.col("node") % 5).cast("double")).alias("x"))
+    return tile_matvec(block, x.edges, lambda a, b, linked: linked + np.outer(a["t"], b["t"])).select("node", F.col("y")[0].alias("y"))
+
+
 @query("e1_regularized_weights", """, own_pieces AS MATERIALIZED (SELECT rep, unnest(CASE WHEN a = 0 AND b = 0 THEN [1, 2, 3, 4] WHEN a = 0 THEN [b] ELSE [a] END)::INTEGER AS sub, src, dst FROM placed WHERE a = 0 OR b = 0 OR a = b),
 ends_of AS (SELECT rep, sub, node, count(*) AS degree FROM (SELECT rep, sub, src AS node FROM own_pieces UNION ALL SELECT rep, sub, dst FROM own_pieces) GROUP BY ALL),
 piece_size AS (SELECT rep, sub, count(*) AS n FROM (SELECT rep, unnest(CASE WHEN sub = 0 THEN [1, 2, 3, 4] ELSE [sub] END)::INTEGER AS sub FROM parts) GROUP BY ALL),

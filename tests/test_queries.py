@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["g5_degree_stats", "p2_overlap_partition", "p5_test_edges", "l4_align_subs", "m2_sbm_blocks", "m7_ncv_dcbm_blocks", "m9_ecv_sbm_blocks", "s3_auc_loss", "a7_loss_table", "r2_method_accuracy"]
+NAMES = ["g5_degree_stats", "p2_overlap_partition", "p5_test_edges", "l4_align_subs", "m2_sbm_blocks", "m7_ncv_dcbm_blocks", "m9_ecv_sbm_blocks", "s3_auc_loss", "a7_loss_table", "r2_method_accuracy", "e8_tile_matvec"]
 
 
 @pytest.fixture(scope="module")
