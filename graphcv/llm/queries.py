@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcv.llm import chat_rotation, decontamination, html_wrapper, jaccard_join, kneser_ney, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, toxicity
+from graphcv.llm import chat_rotation, decontamination, html_wrapper, jaccard_join, kneser_ney, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, source_mix, toxicity
 from graphcv.llm.shared import documents
 
 
@@ -61,6 +61,10 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rotation.rotate_dialogues(table(spark, sf_dir, "conversations"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries():
     return {
         "op1_html_wrapper": op1_html_wrapper,
@@ -73,8 +77,9 @@ def queries():
         "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_chat_rotation": op10_chat_rotation,
+        "op11_source_mix": op11_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE, "op10_chat_rotation": chat_rotation.ORACLE}
+    return {"op8_line_dedup": line_dedup.ORACLE, "op10_chat_rotation": chat_rotation.ORACLE, "op11_source_mix": source_mix.ORACLE}
