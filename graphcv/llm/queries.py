@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcv.llm import chat_rotation, decontamination, html_wrapper, impact_index, jaccard_join, kneser_ney, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, source_mix, toxicity
+from graphcv.llm import chat_rotation, decontamination, html_wrapper, impact_index, jaccard_join, kneser_ney, line_dedup, rindex_dedup, sentencepiece_bpe, simhash, source_audit, source_mix, toxicity
 from graphcv.llm.shared import documents
 
 
@@ -69,6 +69,10 @@ def op12_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_index.rank_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(documents(spark, sf_dir))
+
+
 def queries():
     return {
         "op1_html_wrapper": op1_html_wrapper,
@@ -83,8 +87,9 @@ def queries():
         "op10_chat_rotation": op10_chat_rotation,
         "op11_source_mix": op11_source_mix,
         "op12_impact_index": op12_impact_index,
+        "op13_source_audit": op13_source_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE, "op10_chat_rotation": chat_rotation.ORACLE, "op11_source_mix": source_mix.ORACLE, "op12_impact_index": impact_index.ORACLE}
+    return {"op8_line_dedup": line_dedup.ORACLE, "op10_chat_rotation": chat_rotation.ORACLE, "op11_source_mix": source_mix.ORACLE, "op12_impact_index": impact_index.ORACLE, "op13_source_audit": source_audit.ORACLE}
