@@ -189,7 +189,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFr
             held = np.zeros(width, np.uint8)
             held[p] = 1
             out.append((term, np.packbits(held, bitorder="little").tobytes(), planes(impact, int(impact.max()).bit_length()).tobytes()))
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "term": [x[0] for x in out], "held": [x[1] for x in out], "slices": [x[2] for x in out]})
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "term": [x[0] for x in out], "held": [x[1] for x in out], "slices": [x[2] for x in out]}, dtype=object)
 
     index = written(rows.groupBy("block").applyInPandas(slice_, "block string, term string, held binary, slices binary"), "impact-index")
     return index, raw.where("term is null").select("block", "ids")

@@ -124,7 +124,7 @@ def pair_divergence(shares: DataFrame, groups: DataFrame, block_rows: int = 20_0
         lang, _, a, b = key
         heads, rows = pdf[pdf["t"].isna()].sort_values("source"), pdf[pdf["t"].notna()]
         if len(heads) < 2 or not len(rows):
-            return pd.DataFrame({"lang": [], "source": [], "item": [], "part": []})
+            return pd.DataFrame({"lang": [], "source": [], "item": [], "part": []}, dtype=object)
         names_, base = heads["source"].to_numpy(), heads["p"].to_numpy(dtype=np.int64)
         first, second = np.flatnonzero(heads["own"].to_numpy() == a), np.flatnonzero(heads["own"].to_numpy() == b)
         ids, row = np.unique(rows["t"].to_numpy(dtype=np.int64), return_inverse=True)
