@@ -38,3 +38,8 @@ def dot(x: Column, y: Column, d: int | None = None) -> Column:
 
 def distance(x: Column, y: Column) -> Column:
     return norm(F.zip_with(x, y, lambda a, b: a - b))
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, where f uses it more than once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from graphcv.jobs import tuning
 from graphcv.operators.cluster import cluster_labels, spectral_labels
 from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align, sub_eigenvectors, train_row_svd
-from graphcv.operators.tiles import dcbm_vectors, tiled_pair_loss
 
 KEYS = ("rep", "cand")
 
@@ -17,7 +16,7 @@ def _e2(x):
 
 
 def _e3(x):
-    found, values, residuals = graph_eigenvectors(x.nodes, x.edges, 2, 0.5, True, rounds=6)
+    found, values, residuals = graph_eigenvectors(x.nodes, x.edges, 2, 0.5, True)
     return found.select("node", "x", F.array(*map(F.lit, values)).alias("values"), F.array(*map(F.lit, residuals)).alias("residuals"))
 
 
@@ -26,12 +25,6 @@ def _h3(x):
     return procrustes_align(found, x.partition.where("sub = 0"))
 
 
-def _s7(x):
-    blocks, theta = x.dcbm
-    left, right = dcbm_vectors(x.fold_labels, blocks, theta, KEYS)
-    return tiled_pair_loss(left, right, x.held, KEYS)
-
-
 def _planted(job, *args, **options):
     """A job over the planted graph of the suppliers' tables is small; over parts it needs all pairs, so suppliers stand in."""
 
@@ -75,7 +68,6 @@ FITTED = {
     "c1_kmedoids": lambda x: cluster_labels(adjacency_embedding(x.members, x.pieces, 3), [2, 3], method="kmedoids"),
     "c2_kmeans": lambda x: cluster_labels(adjacency_embedding(x.members, x.pieces, 3), [2, 3], normalize=True),
     "h3_procrustes_align": _h3,
-    "s7_tiled_pair_loss": _s7,
     "w1_overlap_cv_blockmodel": lambda x: tuning.overlap_cv_blockmodel(x.nodes, x.edges, [1, 2, 3], 3, x.o, 2)[1],
     "w2_overlap_cv_rank": lambda x: tuning.overlap_cv_rank(x.nodes, x.edges, [1, 2, 3], 3, x.o, 2)[1],
     "w3_overlap_cv_latent": _planted(lambda nodes, edges, o: tuning.overlap_cv_latent(nodes, edges, [1, 2], 2, o, 2)[1], lambda n: n // 5),

@@ -19,8 +19,9 @@ from graphcv.operators import predict as H
 from graphcv.operators import report as R
 from graphcv.jobs import tuning
 from graphcv.operators import split as P
+from graphcv.operators.pairs import pair_folds, pair_holdout
 from graphcv.operators.spectral import row_normalize
-from graphcv.operators.tiles import tile_matvec
+from graphcv.operators.tiles import dcbm_vectors, tile_matvec, tiled_pair_loss
 from graphcv.sources import graphs
 from graphcv.sources.shared import shared_path, written
 
@@ -125,7 +126,7 @@ class Inputs:
     def _supplier_pairs(self):
         """Held-out pairs of the supplier graph: exact, in two folds."""
         nodes, edges = self.suppliers
-        return written(P.pair_holdout(nodes, edges, 0.2, 2), "supplier-holdout")
+        return written(pair_holdout(nodes, edges, 0.2, 2), "supplier-holdout")
 
     def _supplier_labels(self):
         each = self.suppliers[0].withColumn("fold", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("cand", F.explode(F.array(*[F.lit(c) for c in CANDS])))
@@ -279,8 +280,17 @@ sup_items AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 sup_w AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS w FROM sup_items a JOIN sup_items b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY ALL),
 sup AS (SELECT src, dst FROM sup_w WHERE w > (SELECT avg(w) FROM sup_w)),
 sup_pairs AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
-sup_ranked AS (SELECT f.fold, src, dst, row_number() OVER (PARTITION BY f.fold ORDER BY md5('42:' || f.fold || ':' || src || ':' || dst), src, dst) AS rank FROM sup_pairs, (SELECT unnest([1, 2])::INTEGER AS fold) f),
-holdout AS (SELECT r.fold, r.src, r.dst, (s.src IS NOT NULL)::INTEGER AS y FROM sup_ranked r LEFT JOIN sup s USING (src, dst) WHERE rank <= floor(0.2 * (SELECT count(*) FROM sup_pairs))),
+sup_pos AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY md5('42:pos:' || s_suppkey), s_suppkey) - 1 AS pos FROM supplier),
+sup_size AS (SELECT count(*)::BIGINT AS n, (n * (n - 1)) // 2 AS total, CASE WHEN n % 2 = 0 THEN n // 2 ELSE n END AS a, CASE WHEN n % 2 = 0 THEN n - 1 ELSE (n - 1) // 2 END AS b FROM supplier),
+draw_0 AS (SELECT k.key, t.t, t.t // b AS l, t.t % b AS r, a, b FROM (SELECT unnest(['1', '2', 'pair']) AS key) k, (SELECT unnest(range(0, (SELECT total FROM sup_size))) AS t) t, sup_size),
+draw_1 AS (SELECT key, t, (l + ('0x' || substr(md5('42:' || key || ':1:' || r), 1, 12))::BIGINT) % a AS l, r, a, b FROM draw_0),
+draw_2 AS (SELECT key, t, l, (r + ('0x' || substr(md5('42:' || key || ':2:' || l), 1, 12))::BIGINT) % b AS r, a, b FROM draw_1),
+draw_3 AS (SELECT key, t, (l + ('0x' || substr(md5('42:' || key || ':3:' || r), 1, 12))::BIGINT) % a AS l, r, a, b FROM draw_2),
+draw_4 AS (SELECT key, t, l * b + (r + ('0x' || substr(md5('42:' || key || ':4:' || l), 1, 12))::BIGINT) % b AS num FROM draw_3),
+sup_num AS (SELECT (v.pos * (v.pos - 1)) // 2 + u.pos AS num, least(u.node, v.node) AS src, greatest(u.node, v.node) AS dst FROM sup_pos u JOIN sup_pos v ON u.pos < v.pos),
+sup_drawn AS (SELECT d.key, d.t, n.src, n.dst, (s.src IS NOT NULL)::INTEGER AS y FROM draw_4 d JOIN sup_num n USING (num) LEFT JOIN sup s ON s.src = n.src AND s.dst = n.dst),
+holdout AS (SELECT key::INTEGER AS fold, src, dst, y FROM sup_drawn WHERE key <> 'pair' AND t < floor(0.2 * (SELECT total FROM sup_size))),
+pair_five AS (SELECT (t // greatest(1, ((SELECT total FROM sup_size) + 4) // 5) + 1)::INTEGER AS fold, src, dst, y FROM sup_drawn WHERE key = 'pair'),
 seen AS (SELECT f.fold, s.src, s.dst FROM sup s, (SELECT unnest([1, 2])::INTEGER AS fold) f WHERE NOT EXISTS (SELECT 1 FROM holdout h WHERE h.fold = f.fold AND h.src = s.src AND h.dst = s.dst)),
 seen_arcs AS (SELECT * FROM seen UNION ALL SELECT fold, dst, src FROM seen),
 gone_arcs AS (SELECT fold, src, dst FROM holdout UNION ALL SELECT fold, dst, src FROM holdout),
@@ -308,6 +318,62 @@ near AS (SELECT (a.node % 3)::INTEGER AS p, a.node AS i, b.node AS j, a.x AS u,
 lens AS (SELECT *, sqrt(list_sum(list_transform(u, lambda t: t * t))) AS nu, sqrt(list_sum(list_transform(v, lambda t: t * t))) AS nv FROM near),
 dots AS (SELECT p, i, j, y, u[1] * v[1] + u[2] * v[2] + u[3] * v[3] + u[4] * v[4] AS raw FROM near),
 dotp AS (SELECT *, least(greatest(raw, 1e-6), 1 - 1e-6) AS phat FROM dots),
+w6_cands AS (SELECT unnest([1, 2, 3])::INTEGER AS cand),
+w6_seen AS (SELECT f.fold, p.src, p.dst FROM sup p JOIN pair_five o ON o.src = p.src AND o.dst = p.dst JOIN five f ON f.fold <> o.fold),
+w6_arcs AS (SELECT fold, src, dst FROM w6_seen UNION ALL SELECT fold, dst, src FROM w6_seen),
+w6_gone AS (SELECT fold, src, dst FROM pair_five UNION ALL SELECT fold, dst, src FROM pair_five),
+w6_grid AS (SELECT f.fold, c.cand, a.k, b.k AS l FROM five f, w6_cands c, (SELECT unnest([1, 2, 3])::INTEGER AS k) a, (SELECT unnest([1, 2, 3])::INTEGER AS k) b WHERE a.k <= c.cand AND b.k <= c.cand),
+w6_s AS (SELECT fold, cand, src % cand + 1 AS k, dst % cand + 1 AS l, count(*) AS s FROM w6_arcs, w6_cands GROUP BY ALL),
+w6_g AS (SELECT fold, cand, src % cand + 1 AS k, dst % cand + 1 AS l, count(*) AS gone FROM w6_gone, w6_cands GROUP BY ALL),
+w6_n AS (SELECT cand, s_suppkey % cand + 1 AS k, count(*) AS n FROM supplier, w6_cands GROUP BY ALL),
+w6_cell AS (SELECT g.*, coalesce(s.s, 0) AS s, (coalesce(s.s, 0) + 1) / (x.n * y.n - CASE WHEN g.k = g.l THEN x.n ELSE 0 END - coalesce(o.gone, 0) + 1)::DOUBLE AS b FROM w6_grid g
+            LEFT JOIN w6_s s ON s.fold = g.fold AND s.cand = g.cand AND s.k = g.k AND s.l = g.l LEFT JOIN w6_g o ON o.fold = g.fold AND o.cand = g.cand AND o.k = g.k AND o.l = g.l
+            JOIN w6_n x ON x.cand = g.cand AND x.k = g.k JOIN w6_n y ON y.cand = g.cand AND y.k = g.l),
+w6_row AS (SELECT fold, cand, k, sum(s + 0.01::DOUBLE) AS r FROM w6_cell GROUP BY ALL),
+w6_deg AS (SELECT f.fold, n.s_suppkey AS node, count(a.dst) AS degree FROM five f CROSS JOIN supplier n LEFT JOIN w6_arcs a ON a.fold = f.fold AND a.src = n.s_suppkey GROUP BY ALL),
+w6_phi AS (SELECT d.fold, c.cand, d.node, (d.node % c.cand + 1) AS g, d.degree / r.r AS phi FROM w6_deg d, w6_cands c, w6_row r WHERE r.fold = d.fold AND r.cand = c.cand AND r.k = d.node % c.cand + 1),
+w6_scored AS (SELECT h.fold, x.cand, h.y, c.b AS sbm, (c.s + 0.01::DOUBLE) / 0.8::DOUBLE * x.phi * z.phi AS dcbm, max(CASE WHEN x.cand = 1 THEN c.b END) OVER (PARTITION BY h.fold) AS pb
+              FROM pair_five h JOIN w6_phi x ON x.fold = h.fold AND x.node = h.src JOIN w6_phi z ON z.fold = h.fold AND z.cand = x.cand AND z.node = h.dst
+              JOIN w6_cell c ON c.fold = h.fold AND c.cand = x.cand AND c.k = x.g AND c.l = z.g),
+w6_long AS (SELECT fold, cand, y, 'sbm' AS model, sbm AS raw, least(greatest(sbm, 1e-6), 1 - 1e-6) AS phat FROM w6_scored
+            UNION ALL SELECT fold, cand, y, 'dcbm', CASE WHEN cand = 1 THEN least(greatest(pb, 1e-6), 1 - 1e-6) ELSE dcbm END, least(greatest(dcbm, 1e-6), 1 - 1e-6) FROM w6_scored),
+w6_points AS (SELECT fold, cand, model, round(phat, 12) AS phat, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM w6_long GROUP BY ALL),
+w6_ranks AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY fold, cand, model ORDER BY phat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w6_points),
+w6_fold AS (SELECT fold, cand, model, 'sse' AS loss, 2 * sum((y - raw) * (y - raw)) AS value FROM w6_long GROUP BY ALL
+            UNION ALL SELECT fold, cand, model, 'loglik', 2 * sum(-y * ln(phat) - (1 - y) * ln(1 - phat)) FROM w6_long GROUP BY ALL
+            UNION ALL SELECT fold, cand, model, 'auc', -sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) FROM w6_ranks GROUP BY ALL),
+w7_cands AS (SELECT unnest([1, 2, 3])::INTEGER AS cand),
+w7_fold AS (SELECT s_suppkey AS node, ((row_number() OVER (ORDER BY md5('42:fold:' || s_suppkey), s_suppkey) - 1) // greatest(1, ((SELECT n FROM sup_size) + 2) // 3) + 1)::INTEGER AS fold FROM supplier),
+w7_three AS (SELECT unnest([1, 2, 3])::INTEGER AS fold),
+w7_tag AS (SELECT f.fold, s.src, s.dst, CASE WHEN a.fold = f.fold AND b.fold = f.fold THEN 'held' WHEN a.fold = f.fold OR b.fold = f.fold THEN 'cross' ELSE 'train' END AS part
+           FROM sup s JOIN w7_fold a ON a.node = s.src JOIN w7_fold b ON b.node = s.dst, w7_three f),
+w7_arcs AS (SELECT * FROM w7_tag WHERE part <> 'held' UNION ALL SELECT fold, dst, src, part FROM w7_tag WHERE part <> 'held'),
+w7_psi AS (SELECT node, (1 + node % 5)::DOUBLE / (SELECT max(1 + s_suppkey % 5) FROM supplier)::DOUBLE AS psi FROM w7_fold),
+w7_node AS (SELECT f.fold, c.cand, n.node, n.node % c.cand + 1 AS g, (n.node // 2) % c.cand + 1 AS h, n.fold = f.fold AS out, p.psi FROM w7_fold n JOIN w7_psi p USING (node), w7_three f, w7_cands c),
+w7_grid AS (SELECT f.fold, c.cand, a.k, b.k AS l FROM w7_three f, w7_cands c, (SELECT unnest([1, 2, 3])::INTEGER AS k) a, (SELECT unnest([1, 2, 3])::INTEGER AS k) b WHERE a.k <= c.cand AND b.k <= c.cand),
+w7_ends AS (SELECT t.fold, x.cand, t.part, x.out, x.g AS k, y.g AS l, x.h AS hk, y.h AS hl FROM w7_arcs t JOIN w7_node x ON x.fold = t.fold AND x.node = t.src JOIN w7_node y ON y.fold = t.fold AND y.cand = x.cand AND y.node = t.dst),
+w7_e AS (SELECT fold, cand, k, l, count(*) FILTER (WHERE part = 'train') AS e11, count(*) FILTER (WHERE part = 'cross' AND NOT out) AS e12 FROM w7_ends GROUP BY ALL),
+w7_f AS (SELECT fold, cand, hk AS k, hl AS l, count(*) FILTER (WHERE part = 'train') AS e11, count(*) FILTER (WHERE part = 'cross' AND NOT out) AS e12 FROM w7_ends GROUP BY ALL),
+w7_m AS (SELECT fold, cand, g AS k, count(*) FILTER (WHERE NOT out)::DOUBLE AS m1, count(*) FILTER (WHERE out)::DOUBLE AS m2 FROM w7_node GROUP BY ALL),
+w7_p AS (SELECT fold, cand, h AS k, coalesce(sum(psi) FILTER (WHERE NOT out), 0) AS m1, coalesce(sum(psi) FILTER (WHERE out), 0) AS m2 FROM w7_node GROUP BY ALL),
+w7_sq AS (SELECT fold, cand, sum(psi * psi) AS sq FROM w7_node GROUP BY ALL),
+w7_b AS (SELECT g.*, CASE WHEN g.cand = 1 THEN least(greatest(2 * coalesce(e.e11, 0) / 2 / (x.m1 * x.m1), 1e-6), 1 - 1e-6)
+                   WHEN g.k = g.l THEN (coalesce(e.e11, 0) / 2 + coalesce(e.e12, 0) + 1) / (x.m1 * (x.m1 - 1) / 2 + x.m1 * x.m2 + 1)
+                   ELSE (coalesce(e.e11, 0) + coalesce(e.e12, 0) + coalesce(r.e12, 0) + 1) / (x.m1 * y.m1 + y.m1 * x.m2 + x.m1 * y.m2 + 1) END AS b
+         FROM w7_grid g LEFT JOIN w7_e e ON e.fold = g.fold AND e.cand = g.cand AND e.k = g.k AND e.l = g.l LEFT JOIN w7_e r ON r.fold = g.fold AND r.cand = g.cand AND r.k = g.l AND r.l = g.k
+         LEFT JOIN w7_m x ON x.fold = g.fold AND x.cand = g.cand AND x.k = g.k LEFT JOIN w7_m y ON y.fold = g.fold AND y.cand = g.cand AND y.k = g.l),
+w7_d AS (SELECT g.*, CASE WHEN g.k = g.l THEN (coalesce(e.e11, 0) / 2 + coalesce(e.e12, 0) + 1) / (x.m1 * x.m1 / 2 + x.m1 * x.m2 - q.sq + 1)
+                   ELSE (coalesce(e.e11, 0) + coalesce(e.e12, 0) + coalesce(r.e12, 0) + 1) / (x.m1 * y.m1 + y.m1 * x.m2 + x.m1 * y.m2 + 1) END AS b
+         FROM w7_grid g JOIN w7_sq q ON q.fold = g.fold AND q.cand = g.cand LEFT JOIN w7_f e ON e.fold = g.fold AND e.cand = g.cand AND e.k = g.k AND e.l = g.l LEFT JOIN w7_f r ON r.fold = g.fold AND r.cand = g.cand AND r.k = g.l AND r.l = g.k
+         LEFT JOIN w7_p x ON x.fold = g.fold AND x.cand = g.cand AND x.k = g.k LEFT JOIN w7_p y ON y.fold = g.fold AND y.cand = g.cand AND y.k = g.l),
+w7_scored AS (SELECT x.fold, x.cand, (s.src IS NOT NULL)::INTEGER AS y, b.b AS sbm, d.b * x.psi * z.psi AS dcbm FROM w7_node x JOIN w7_node z ON z.fold = x.fold AND z.cand = x.cand AND x.out AND z.out AND x.node < z.node
+              LEFT JOIN sup s ON s.src = x.node AND s.dst = z.node JOIN w7_b b ON b.fold = x.fold AND b.cand = x.cand AND b.k = x.g AND b.l = z.g JOIN w7_d d ON d.fold = x.fold AND d.cand = x.cand AND d.k = x.h AND d.l = z.h),
+w7_long AS (SELECT fold, cand, y, 'sbm' AS model, least(greatest(sbm, 1e-6), 1 - 1e-6) AS phat FROM w7_scored UNION ALL SELECT fold, cand, y, 'dcbm', least(greatest(dcbm, 1e-6), 1 - 1e-6) FROM w7_scored),
+w7_points AS (SELECT fold, cand, model, round(phat, 12) AS phat, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM w7_long GROUP BY ALL),
+w7_ranks AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY fold, cand, model ORDER BY phat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w7_points),
+w7_each AS (SELECT fold, cand, model, 'sse' AS loss, sum((y - phat) * (y - phat)) AS value FROM w7_long GROUP BY ALL
+            UNION ALL SELECT fold, cand, model, 'loglik', sum(-y * ln(phat) - (1 - y) * ln(1 - phat)) FROM w7_long GROUP BY ALL
+            UNION ALL SELECT fold, cand, model, 'auc', -sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) FROM w7_ranks GROUP BY ALL),
 lat AS (SELECT p, i, j, y, 1 / (1 + exp(-(0.5 - sqrt(list_sum(list_transform(range(1, len(u) + 1), lambda t: (u[t] / nu - v[t] / nv) * (u[t] / nu - v[t] / nv))))))) AS phat FROM lens)
 """
 
@@ -430,7 +496,7 @@ def _(x):
 
 @query("p10_pair_holdout", "SELECT fold, src, dst, y FROM holdout")
 def _(x):
-    return P.pair_holdout(*x.suppliers, 0.2, 2)
+    return pair_holdout(*x.suppliers, 0.2, 2)
 
 
 @query("p10_hashed_holdout", "SELECT f.fold, src, dst, ('0x' || substr(md5('42:' || f.fold || ':' || src || ':' || dst), 1, 8))::BIGINT < floor(0.1 * 4294967296) AS held FROM edges, (SELECT unnest([1, 2])::INTEGER AS fold) f")
@@ -438,10 +504,28 @@ def _(x):
     return P.pair_holdout_edges(x.edges, 0.1, 2)
 
 
-@query("p11_pair_folds", """SELECT ((row_number() OVER (ORDER BY md5('42:pair:' || p.src || ':' || p.dst), p.src, p.dst) - 1) // greatest(1, ((SELECT count(*) FROM sup_pairs) + 4) // 5) + 1)::INTEGER AS fold,
-p.src, p.dst, (s.src IS NOT NULL)::INTEGER AS y FROM sup_pairs p LEFT JOIN sup s USING (src, dst)""")
+@query("w6_pair_cv_supplied_labels", "SELECT model, cand, loss, round(CASE WHEN loss = 'loglik' THEN sum(value) ELSE avg(value) END, 6) AS value FROM w6_fold GROUP BY model, cand, loss")
 def _(x):
-    return P.pair_folds(*x.suppliers, CV)
+    nodes, edges = x.suppliers
+    labels = nodes.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(CV)))).withColumn("cand", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    labels = labels.select("fold", "cand", "node", (F.col("node") % F.col("cand") + 1).cast("int").alias("g"))
+    return rounded(tuning.pair_cv_blockmodel(nodes, edges, 3, cv=CV, labels=labels)[0])
+
+
+@query("w7_node_cv_supplied_labels", "SELECT model, cand, loss, round(avg(value), 6) AS value FROM w7_each GROUP BY model, cand, loss")
+def _(x):
+    nodes, edges = x.suppliers
+    each = nodes.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("cand", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    plain = each.select("fold", "cand", "node", (F.col("node") % F.col("cand") + 1).cast("int").alias("g"))
+    corrected = each.select("fold", "cand", "node", (F.floor(F.col("node") / 2) % F.col("cand") + 1).cast("int").alias("g"))
+    top = nodes.agg(F.max(1 + F.col("node") % 5).alias("top"))
+    psi = each.join(F.broadcast(top)).select("fold", "cand", "node", ((1 + F.col("node") % 5).cast("double") / F.col("top")).alias("psi"))
+    return rounded(tuning.node_cv_blockmodel(nodes, edges, 3, 3, plain, 1, corrected, psi, tile=20)[0])
+
+
+@query("p11_pair_folds", "SELECT fold, src, dst, y FROM pair_five")
+def _(x):
+    return pair_folds(*x.suppliers, CV)
 
 
 @query("p12_observed_edges", "SELECT fold, src, dst FROM seen")
@@ -754,6 +838,13 @@ def _(x):
     return tuning.consensus_labels(x.nodes, x.edges, 0, 0.0, SUBS, x.o, REPS, aligned=False, labels=x.labels)
 
 
+@query("s7_tiled_pair_loss", "SELECT rep, cand, p, q, loss, round(value, 6) AS value FROM losses WHERE model = 'dcbm'")
+def _(x):
+    blocks, theta = x.dcbm
+    left, right = dcbm_vectors(x.fold_labels, blocks, theta, KEYS)
+    return rounded(tiled_pair_loss(left, right, x.held, KEYS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from graphcv.jobs.fitted import FITTED
 

@@ -8,17 +8,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphcv.functions.columns import clamp, norm
 from graphcv.operators import choose as A
 from graphcv.operators import estimate as M
 from graphcv.operators import labels as L
 from graphcv.operators import loss as S
 from graphcv.operators import split as P
-from graphcv.operators.cluster import graph_labels, spectral_labels
-from graphcv.operators.graph import degrees, isolated_labels
+from graphcv.operators.cluster import cluster_labels, graph_labels, spectral_labels
+from graphcv.operators.graph import arcs, degrees, isolated_labels
+from graphcv.operators.krylov import leading_eigenpairs
 from graphcv.operators.latent import fit_latent
-from graphcv.operators.predict import predict_dcbm, predict_sbm
-from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align, train_row_svd
-from graphcv.operators.tiles import dcbm_vectors, tile_eigenvalues, tile_matvec, tiled_pair_loss
+from graphcv.operators.pairs import PairSplit, held_losses
+from graphcv.operators.spectral import adjacency_embedding, each_tau_eigenvectors, fold_row_svd, graph_eigenvectors, procrustes_align
+from graphcv.operators.tiles import dcbm_vectors, tile_eigenvalues, tile_matvec, tiled_own_loss, tiled_pair_loss
 from graphcv.sources.shared import written
 
 KEYS = ("rep", "cand")
@@ -231,67 +233,124 @@ def lowrank_impute(nodes: DataFrame, observed: DataFrame, pairs: DataFrame, k: i
     return each.select("src", "dst", "y", "cand", part.alias("phat"))
 
 
-def pair_cv_rank(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 2, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(losses, choices): the rank by imputation of held-out pairs: sse, mse and auc by candidate."""
-    held = written(P.pair_holdout(nodes, edges, share, folds), "holdout")
-    seen = written(P.observed_edges(edges, held), "observed")
+def fold_eigenvectors(split: PairSplit, k: int) -> tuple[DataFrame, dict[int, list[float]]]:
+    """(fold, node, x; fold -> eigenvalues) of the observed edges of every fold, all folds in the same rounds."""
+    rows = split.places.select(F.explode(F.sequence(F.lit(1), F.lit(split.folds))).alias("piece"), "node", F.lit(1.0).alias("f"))
+    found, solved = leading_eigenpairs(rows, written(arcs(split.seen.withColumnRenamed("fold", "piece")), "seen-arcs"), {}, k)
+    return written(found.withColumnRenamed("piece", "fold"), "fold-vectors"), {f: v for f, (v, _) in solved.items()}
 
-    def one(fold):
-        got = lowrank_impute(nodes, seen.where(F.col("fold") == fold), held.where(F.col("fold") == fold), max_k, 1 - share)
-        return written(S.pair_losses(got, ("cand",), ["sse", "mse", "auc"]).withColumn("fold", F.lit(fold)), "fold-losses")
 
-    losses = A.fold_loss(_by_cand(list(range(1, folds + 1)), one), keys=("cand", "loss"))
+def pair_cv_rank(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 3, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(losses, choices): the rank by imputation of held-out pairs: sse, mse and auc by candidate.
+
+    Held-out pairs are drawn by number (`PairSplit`); entries of the low-rank matrices are made for them alone.
+    """
+    split = PairSplit(nodes, edges, share, folds)
+    found, values = fold_eigenvectors(split, max_k)
+    k = min(max_k, *(len(v) for v in values.values())) if values else max_k
+    scale = F.create_map(*[x for f, v in values.items() for x in (F.lit(f), F.array(*[F.lit(float(e) / split.seen_share) for e in v]))])
+    table = found.select("fold", "node", "x", F.zip_with("x", F.element_at(scale, F.col("fold")), lambda u, e: u * e).alias("sx"))
+
+    def score(a, b):
+        part = lambda c: F.aggregate(F.zip_with(F.slice(a["sx"], 1, c), F.slice(b["x"], 1, c), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+        return F.array(*[F.struct(F.lit(c).alias("cand"), part(c).alias("phat")) for c in range(1, k + 1)])
+
+    found = written(held_losses(split.scored(table, ["x", "sx"], score), ("fold", "cand"), ["sse", "mse", "auc"]), "fold-losses")
+    losses = A.fold_loss(found, keys=("cand", "loss"))
     return losses, A.argmin_candidate(losses, ("loss",))
 
 
-def pair_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 2, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(losses, choices): block model and number of communities by held-out pairs; each pair counts twice in sums."""
-    held = written(P.pair_holdout(nodes, edges, share, folds), "holdout")
-    seen = written(P.observed_edges(edges, held), "observed")
-    keys = ("fold", "cand")
-
-    def labels(fold, normalize):
-        found, _, _ = graph_eigenvectors(nodes, seen.where(F.col("fold") == fold), max_k)
-        found = written(found, "eigenvectors")
-        cut = lambda k: found.select("node", F.slice("x", 1, k).alias("x"))
-        return [graph_labels(cut(k), k, normalize).select(F.lit(fold).alias("fold"), F.lit(k).alias("cand"), "node", F.col("g").cast("int").alias("g")) for k in range(1, max_k + 1)]
-
-    pairs = held.select("fold", F.col("src").alias("i"), F.col("dst").alias("j"), "y")
-    every = range(1, folds + 1)
-    plain = written(reduce(DataFrame.unionByName, [x for f in every for x in labels(f, False)]), "labels")
-    round_ = written(reduce(DataFrame.unionByName, [x for f in every for x in labels(f, True)]), "labels")
-    sbm = predict_sbm(pairs, plain, M.ecv_sbm_blocks(seen, held, plain), keys).select(*keys, "y", "phat", F.lit("sbm").alias("model"))
-    dcbm = predict_dcbm(pairs, round_, *M.ecv_dcbm_fit(seen, round_, 1 - share), keys).select(*keys, "y", "phat", F.lit("dcbm").alias("model"))
-    found = written(S.pair_losses(sbm.unionByName(dcbm), ("fold", "model", "cand"), ["sse", "loglik", "auc"]), "fold-losses")
+def fold_labels(found: DataFrame, cands: list[int], normalize: bool, most: int = 200_000) -> DataFrame:
+    """fold, cand, node, g from the first entries of x (fold, node, x): a fold is clustered in one task where it has `most` nodes at
+    most, else by the library's distributed k-means."""
+    largest = found.groupBy("fold").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return cluster_labels(found, cands, ("fold",), normalize)
+    each = []
+    for f in [r[0] for r in found.select("fold").distinct().collect()]:  # a row a fold
+        for c in cands:
+            own = found.where(F.col("fold") == f).select("node", F.slice("x", 1, c).alias("x"))
+            each.append(graph_labels(own, c, normalize).select(F.lit(f).alias("fold"), F.lit(c).alias("cand"), "node", F.col("g").cast("int").alias("g")))
+    return reduce(DataFrame.unionByName, each)
+
+
+def pair_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 3, share: float = 0.1, cv: int | None = None, labels: DataFrame | None = None, dc_est: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(losses, choices): block model and number of communities by held-out pairs; each pair counts twice in sums.
+
+    Pairs are held out in `folds` draws of a `share`, or with `cv` in as many folds that cover all pairs. Block models are scored
+    by counts of held-out pairs and edges between labels; degree-corrected ones pair by pair, as the pairs are drawn. With
+    one community the corrected model's squared error is that of the density. labels: supplied (fold, cand, node, g) for
+    both models. losses: model, cand, loss, value. dc_est: 2 alone (degrees over block sums).
+    """
+    if dc_est != 2:
+        raise ValueError("pair hold-out has the degree fit (dc_est = 2) alone")
+    split, keys = PairSplit(nodes, edges, share, folds, cv), ("fold", "cand")
+    seen = split.seen
+    if labels is not None:
+        plain = corrected = written(labels.select(*keys, "node", "g"), "labels")
+    else:
+        found, _ = fold_eigenvectors(split, max_k)
+        plain, corrected = (written(fold_labels(found, list(range(1, max_k + 1)), c), "labels") for c in (False, True))
+    counts = written(split.block_counts(plain), "held-counts")
+    blocks = written(M.ecv_sbm_blocks(seen, None, plain, keys, counts.where("edge = 0")), "blocks")
+    sbm = held_losses(counts.join(blocks.withColumnRenamed("b", "phat"), [*keys, "k", "l"]), keys, ["sse", "loglik", "auc"], "n")
+    each, theta = M.ecv_dcbm_fit(seen, corrected, split.seen_share)
+    rows = each.groupBy(*keys, F.col("k").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "b"))), lambda c: c["b"]).alias("row"))
+    own = corrected.join(theta, [*keys, "node"]).join(rows, [*keys, "g"]).select("fold", "node", F.struct("cand", "g", "psi", F.transform("row", lambda b: b * F.col("psi")).alias("left")).alias("c"))
+    table = written(own.groupBy("fold", "node").agg(F.array_sort(F.collect_list("c")).alias("cs")), "corrected")
+    score = lambda a, b: F.zip_with(a["cs"], b["cs"], lambda x, y: F.struct(x["cand"].alias("cand"), (F.element_at(x["left"], y["g"]) * y["psi"]).alias("phat")))
+    dcbm = held_losses(split.scored(table, ["cs"], score), keys, ["sse", "loglik", "auc"])
+    density = counts.where("cand = 1").join(blocks.select(*keys, "k", "l", clamp(F.col("b")).alias("phat")), [*keys, "k", "l"])
+    dcbm = dcbm.where("cand > 1 or loss <> 'sse'").unionByName(held_losses(density, keys, ["sse"], "n"))
+    found = written(sbm.withColumn("model", F.lit("sbm")).unionByName(dcbm.withColumn("model", F.lit("dcbm"))), "fold-losses")
     twice = found.withColumn("value", F.col("value") * F.when(F.col("loss") == "auc", 1).otherwise(2))
     losses = written(A.fold_loss(twice, ("loglik",)), "losses")
     return losses, A.choose_model(losses, ("loss",))
 
 
-def node_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, cv: int = 5, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def node_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, cv: int = 3, labels: DataFrame | None = None, dc_est: int = 1, corrected_labels: DataFrame | None = None, psi: DataFrame | None = None, tile: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(losses, choices): block model and number of communities by node folds: what training rows say of pairs inside the fold held out.
 
-    The degree-corrected model takes the labels of the other and degrees over block sums. labels: supplied (fold, cand, node, g);
-    without them the rows of x are clustered for each fold. Held-out pairs of a fold are listed: for graphs of some ten
-    thousand nodes. losses: model, cand, loss, value.
+    The block model comes from training and cross edges, with one community from the training edges' density. The corrected one
+    (dc_est = 1) has the clusters of normalised rows and psi, the rows' norms over the largest; with dc_est = 2 it has the
+    block model's clusters, and degrees over block sums, but for one community. labels, corrected_labels: supplied (fold,
+    cand, node, g); psi: supplied (fold, cand, node, psi); what is not supplied is fitted, for all folds at once. Held-out pairs are
+    never listed: the block model's are counted by labels, the corrected one's scored in tiles. losses: model, cand, loss, value.
     """
-    n, keys = nodes.count(), ("fold", "cand")
-    folds = written(P.node_folds(nodes, cv, n=n), "folds")
+    keys, cands = ("fold", "cand"), list(range(1, max_k + 1))
+    folds = written(P.node_folds(nodes, cv), "folds")
     tagged = written(P.node_holdout_edges(edges, folds, cv), "tagged")
-
-    def fitted(fold: int) -> DataFrame:
-        found, _ = train_row_svd(nodes, edges, folds.where(F.col("fold") != fold), max_k)
-        found = written(found, "row-vectors")
-        each = [graph_labels(found.select("node", F.slice("x", 1, k).alias("x")), k).select(F.lit(fold).alias("fold"), F.lit(k).alias("cand"), "node", F.col("g").cast("int").alias("g")) for k in range(1, max_k + 1)]
-        return reduce(DataFrame.unionByName, each)
-
-    labels = written(_by_cand(list(range(1, cv + 1)), fitted) if labels is None else labels, "node-labels")
-    own = folds.select("fold", F.col("node").alias("i")).join(folds.select("fold", F.col("node").alias("j")), "fold").where("i < j")
-    held = tagged.where("part = 'held'").select("fold", F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1).alias("y"))
-    pairs = written(own.join(held, ["fold", "i", "j"], "left").na.fill(0, ["y"]), "held-pairs")
-    roles = M.role_counts(tagged, labels, folds)
-    sbm = predict_sbm(pairs, labels, M.ncv_sbm_blocks(roles, M.role_mass(labels, folds)), keys).select(*keys, "y", "phat", F.lit("sbm").alias("model"))
-    dcbm = predict_dcbm(pairs, labels, *M.ncv_dcbm_degree_fit(tagged, labels), keys).select(*keys, "y", "phat", F.lit("dcbm").alias("model"))
-    found = written(S.pair_losses(sbm.unionByName(dcbm), ("fold", "model", "cand"), ["sse", "loglik", "auc"]), "fold-losses")
+    if labels is None:
+        found, _ = fold_row_svd(folds, edges, max_k, cv, 0.001)
+        labels = fold_labels(found, cands, False)
+    plain = written(labels.select(*keys, "node", "g"), "node-labels")
+    if psi is None or (corrected_labels is None and dc_est == 1):
+        rows = written(fold_row_svd(folds, edges, max_k, cv, 0.0)[0], "row-vectors")
+        if psi is None:
+            sizes = rows.withColumn("cand", F.explode(F.array(*map(F.lit, cands)))).select(*keys, "node", norm(F.slice("x", 1, F.col("cand"))).alias("psi"))
+            psi = M.scale_within_group(sizes, keys)
+        if corrected_labels is None and dc_est == 1:
+            corrected_labels = fold_labels(rows, cands, True)
+    corrected = written(corrected_labels.select(*keys, "node", "g"), "corrected-labels") if dc_est == 1 else plain
+    psi = written(psi.select(*keys, "node", "psi"), "psi")
+
+    roles = written(M.role_counts(tagged, plain, folds), "roles")
+    density = M.node_density(tagged, folds).select("fold", F.lit(1).alias("cand"), F.lit(1).alias("k"), F.lit(1).alias("l"), "b")
+    blocks = M.ncv_sbm_blocks(roles, M.role_mass(plain, folds)).where("cand > 1").unionByName(density)
+    inside = tagged.where("part = 'held'").select("fold", "src", "dst")
+    counts = M.own_block_counts(inside, plain, folds)
+    sbm = held_losses(counts.join(blocks.withColumn("phat", clamp(F.col("b"))), [*keys, "k", "l"]), keys, ["sse", "loglik", "auc"], "n")
+
+    own = lambda table: table.join(folds.select("fold", "node"), ["fold", "node"])
+    one = F.lit(True) if dc_est == 1 else F.col("cand") == 1  # where the corrected model is that of psi
+    bent = M.ncv_dcbm_blocks(written(M.role_counts(tagged, corrected, folds), "roles") if dc_est == 1 else roles, corrected, folds, psi).where(one)
+    weights = psi.where(one)
+    if dc_est != 1:
+        more, theta = M.ncv_dcbm_degree_fit(tagged, plain)
+        bent, weights = bent.unionByName(more.where(~one)), weights.unionByName(theta.where(~one))
+    held = own(corrected).withColumn("sub", F.col("fold"))
+    left, right = dcbm_vectors(held, bent, own(weights), keys)
+    dcbm = tiled_own_loss(left.drop("sub"), right.drop("sub"), inside, keys, tile)
+    found = written(sbm.withColumn("model", F.lit("sbm")).unionByName(dcbm.withColumn("model", F.lit("dcbm"))), "fold-losses")
     losses = written(A.fold_loss(found), "losses")
     return losses, A.choose_model(losses, ("loss",))

@@ -95,6 +95,17 @@ def role_mass(labels: DataFrame, folds: DataFrame, keys: tuple[str, ...] = ("fol
     return near.groupBy(*keys, F.col("g").alias("k")).agg(F.sum(F.when(held, 0).otherwise(w)).alias("m1"), F.sum(F.when(held, w).otherwise(0)).alias("m2"))
 
 
+def own_block_counts(inside: DataFrame, labels: DataFrame, folds: DataFrame, keys: tuple[str, ...] = ("fold", "cand")) -> DataFrame:
+    """keys, edge, k, l, n (k <= l): all pairs inside the held-out fold (edge = 0), a product of label sizes, and their edges (edge = 1,
+    from inside: fold, src, dst)."""
+    sizes = labels.join(folds.select("fold", "node"), ["fold", "node"]).groupBy(*keys, F.col("g").alias("k")).agg(F.count("*").alias("m"))
+    pairs = sizes.join(sizes.withColumnsRenamed({"k": "l", "m": "m2"}), list(keys)).where("k <= l")
+    n = F.when(F.col("k") == F.col("l"), F.shiftright(F.col("m") * (F.col("m") - 1), 1)).otherwise(F.col("m") * F.col("m2"))
+    a, b = (labels.select(*keys, F.col("node").alias(end), F.col("g").alias(name)) for end, name in (("src", "g1"), ("dst", "g2")))
+    met = inside.join(a, ["fold", "src"]).join(b, [*keys, "dst"]).groupBy(*keys, F.least("g1", "g2").alias("k"), F.greatest("g1", "g2").alias("l")).agg(F.count("*").alias("n"))
+    return pairs.select(*keys, F.lit(0).alias("edge"), "k", "l", n.alias("n")).unionByName(met.select(*keys, F.lit(1).alias("edge"), "k", "l", "n"))
+
+
 def _ncv(counts: DataFrame, mass: DataFrame, keys: tuple[str, ...], inside: Column, eps: float = 1.0) -> DataFrame:
     other = counts.select(*keys, F.col("k").alias("l"), F.col("l").alias("k"), F.col("e12").alias("e21"))
     met = counts.join(other, [*keys, "k", "l"]).join(mass.withColumnsRenamed({"m1": "k1", "m2": "k2"}), [*keys, "k"], "left")
@@ -112,8 +123,9 @@ def ncv_sbm_blocks(counts: DataFrame, mass: DataFrame, keys: tuple[str, ...] = (
 
 
 def ncv_dcbm_blocks(counts: DataFrame, labels: DataFrame, folds: DataFrame, psi: DataFrame, keys: tuple[str, ...] = ("fold", "cand")) -> DataFrame:
-    """As `ncv_sbm_blocks` with sums of psi (fold, node, psi) for counts; on the diagonal the squares of all nodes' psi are taken off."""
-    met = labels.join(psi, ["fold", "node"])
+    """As `ncv_sbm_blocks` with sums of psi (some of keys, node, psi) for counts; on the diagonal the squares of all nodes' psi are taken
+    off. With one label it is the density of the corrected model."""
+    met = labels.join(psi, [*[c for c in keys if c in psi.columns], "node"])
     mass = role_mass(met, folds, keys, F.col("psi"))
     squares = met.groupBy(*keys).agg(F.sum(F.col("psi") * F.col("psi")).alias("squares"))
     c = F.col
@@ -134,10 +146,16 @@ def _missing_fit(seen: DataFrame, labels: DataFrame, keys: tuple[str, ...], shar
     return dcbm_fit(sums, labels, degree, keys, ("fold",), share, 0.01, one_eps=0.01)
 
 
-def ecv_sbm_blocks(seen: DataFrame, holdout: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("fold", "cand")) -> DataFrame:
-    """keys, k, l, b = (sum + 1) / (observed ordered pairs + 1), without the diagonal of the matrix."""
-    sums, gone, sizes = block_sums(seen, labels, keys, ("fold",)), block_sums(holdout, labels, keys, ("fold",)).withColumnRenamed("s", "gone"), label_sizes(labels, keys)
-    met = _with_sizes(sums.join(gone, [*keys, "k", "l"]), sizes, keys)
+def ecv_sbm_blocks(seen: DataFrame, holdout: DataFrame | None, labels: DataFrame, keys: tuple[str, ...] = ("fold", "cand"), counts: DataFrame | None = None) -> DataFrame:
+    """keys, k, l, b = (sum + 1) / (observed ordered pairs + 1), without the diagonal of the matrix. The held-out pairs are given as a
+    list (fold, src, dst), or as `counts` of them by labels: keys, k <= l, n."""
+    sums, sizes = block_sums(seen, labels, keys, ("fold",)), label_sizes(labels, keys)
+    if counts is None:
+        gone = block_sums(holdout, labels, keys, ("fold",)).withColumnRenamed("s", "gone")
+    else:
+        both = counts.select(*keys, "k", "l", "n").unionByName(counts.select(*keys, F.col("l").alias("k"), F.col("k").alias("l"), "n"))
+        gone = both.groupBy(*keys, "k", "l").agg(F.sum("n").alias("gone"))
+    met = _with_sizes(sums.join(gone, [*keys, "k", "l"], "left").na.fill(0, ["gone"]), sizes, keys)
     cells = F.col("nk") * F.col("nl") - F.when(F.col("k") == F.col("l"), F.col("nk")).otherwise(0) - F.col("gone")
     return met.select(*keys, "k", "l", ((F.col("s") + 1) / (cells + 1)).alias("b"))
 

@@ -6,15 +6,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from graphcv.operators.spectral import piece_eigen
+from graphcv.operators.krylov import by_magnitude, largest_positive
 
 
 def fit_positions(n: int, i: np.ndarray, j: np.ndarray, d: int, steps: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Positions z and intercept b of P(link) = logistic(b - |z_i - z_j|), by gradient steps from a spectral start."""
     a = np.zeros((n, n))
     a[i, j] = a[j, i] = 1
-    values, vectors = piece_eigen(n, i, j, np.ones(len(i)), np.zeros(n), 0.0, d + 1)
-    z = vectors[:, 1:] * np.sqrt(np.abs(values[1:]))
+    values, vectors = np.linalg.eigh(a)
+    top = by_magnitude(values)[1 : d + 1]
+    z = largest_positive(vectors[:, top]) * np.sqrt(np.abs(values[top]))
     z = z / max(z.std(), 1e-9)
     b, m, s = 0.0, np.zeros_like(z), np.zeros_like(z)
     off = 1 - np.eye(n)

@@ -8,82 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcv.operators.graph import arcs, degrees
+from graphcv.operators.krylov import by_piece, leading_eigenpairs
 from graphcv.sources.shared import written
 
 
-def signed(v: np.ndarray) -> np.ndarray:
-    """Columns with their largest entry (the first of equals) positive, so that results repeat."""
-    top = np.abs(np.round(v, 9)).argmax(0)
-    return v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0)
-
-
-def lanczos(multiply, n: int, k: int, seed: int = 42, steps: int | None = None):
-    """The k eigenpairs of largest magnitude of a symmetric map of n numbers, by Lanczos with full reorthogonalisation."""
-    m = min(n, steps or max(4 * k + 40, 60))
-    rng = np.random.default_rng(seed)
-    q = np.zeros((m + 1, n))
-    alpha, beta = np.zeros(m), np.zeros(m)
-    q[0] = rng.normal(size=n)
-    q[0] /= np.linalg.norm(q[0])
-    done = m
-    for i in range(m):
-        w = multiply(q[i])
-        alpha[i] = w @ q[i]
-        for _ in range(2):
-            w = w - q[: i + 1].T @ (q[: i + 1] @ w)
-        beta[i] = np.linalg.norm(w)
-        if beta[i] < 1e-10:
-            done = i + 1
-            break
-        q[i + 1] = w / beta[i]
-    t = np.diag(alpha[:done]) + np.diag(beta[: done - 1], 1) + np.diag(beta[: done - 1], -1)
-    values, vectors = np.linalg.eigh(t)
-    order = np.argsort(-np.abs(values), kind="stable")[:k]
-    return values[order], signed(q[:done].T @ vectors[:, order])
-
-
-def piece_eigen(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, f: np.ndarray, const: float, k: int, dense: int = 1500):
-    """Eigenpairs of W + const f f' for an edge list of one piece; dense for small ones. Edges stand once."""
-    k = min(k, n)
-    if n <= dense:
-        a = const * np.outer(f, f)
-        a[i, j] += w
-        a[j, i] += w
-        values, vectors = np.linalg.eigh(a)
-        order = np.argsort(-np.abs(values), kind="stable")[:k]
-        return values[order], signed(vectors[:, order])
-
-    def multiply(x):
-        return np.bincount(i, w * x[j], n) + np.bincount(j, w * x[i], n) + const * f * (f @ x)
-
-    return lanczos(multiply, n, k)
-
-
-def sub_eigenvectors(members: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, scale: str = "piece", n_graph: int = 0, keys: tuple[str, ...] = ("rep", "sub"), most_edges: int = 5_000_000) -> DataFrame:
+def regular_rows(degree: DataFrame, taus: dict[int, float], laplace: bool, scale: str = "piece", n_graph: int = 0) -> tuple[DataFrame, dict[int, float]]:
+    """(piece, node, f; piece -> constant) of regularised matrices f_i f_j (linked + constant), from degree: piece, node, degree.
+
+    The constant is tau dbar over the piece's nodes (scale "graph": `n_graph`); scale "dk" adds to degrees what it adds to entries.
+    """
+    stats = {r["piece"]: r for r in degree.groupBy("piece").agg(F.avg("degree").alias("mean"), F.count("*").alias("n")).collect()}  # a row a piece
+    mass = {p: taus[p] * (r["mean"] or 0.0) for p, r in stats.items()}
+    consts = {p: mass[p] / max(1, n_graph if scale == "graph" else r["n"]) for p, r in stats.items()}
+    if not laplace or not stats:
+        return degree.select("piece", "node", F.lit(1.0).alias("f")), consts
+    heavy = F.col("degree") + by_piece(consts if scale == "dk" else mass)
+    return degree.select("piece", "node", F.when(heavy > 0, 1 / F.sqrt(heavy)).otherwise(0.0).alias("f")), consts
+
+
+def sub_eigenvectors(members: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, scale: str = "piece", n_graph: int = 0, keys: tuple[str, ...] = ("rep", "sub"), **options) -> DataFrame:
     """keys, node, x, values: rows of the top-k eigenvectors (by magnitude) of every piece's regularised matrix, with the eigenvalues.
 
-    A piece is one group: the splits are chosen so that pieces fit into a task, and a piece of more than `most_edges`
-    edges is refused (see `graph_eigenvectors` for whole graphs). The constant of the regularisation stays a rank-one part.
+    All pieces are solved together (`leading_eigenpairs`): small ones in a task each, larger ones on the cluster, so no piece
+    needs to fit into a task. The constant of the regularisation stays a rank-one part.
     """
-    largest = edges.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > most_edges:
-        raise ValueError(f"a piece has {largest} edges; use more pieces, or graph_eigenvectors")
-
-    def solve(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(nodes["node"].to_numpy())
-        n = len(ids)
-        i, j = np.searchsorted(ids, links["src"].to_numpy()), np.searchsorted(ids, links["dst"].to_numpy())
-        degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-        mass = tau * degree.mean()
-        const = mass / (n_graph if scale == "graph" else n)
-        heavy = degree + (const if scale == "dk" else mass)
-        f = np.where(heavy > 0, 1 / np.sqrt(np.maximum(heavy, 1e-300)), 0.0) if laplace else np.ones(n)
-        values, x = piece_eigen(n, i, j, f[i] * f[j], f, const, k)
-        return pd.DataFrame({**{c: v for c, v in zip(keys, key, strict=True)}, "node": ids, "x": list(x), "values": [values] * n})
-
-    types = dict(members.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "node long, x array<double>, values array<double>"])
-    return members.select(*keys, "node").groupBy(*keys).cogroup(edges.select(*keys, "src", "dst").groupBy(*keys)).applyInPandas(solve, schema)
+    types, found = dict(members.dtypes), sorted(tuple(r) for r in members.select(*keys).distinct().collect())  # a row a piece
+    schema = ", ".join(f"{c} {types[c]}" for c in keys)
+    if not found:
+        return members.select(*keys, "node", F.array().cast("array<double>").alias("x"), F.array().cast("array<double>").alias("values"))
+    named = F.broadcast(members.sparkSession.createDataFrame([(*key, p) for p, key in enumerate(found)], f"{schema}, piece int"))
+    own = edges.select(*keys, "src", "dst").join(named, list(keys)).select("piece", "src", "dst")
+    degree = written(degrees(members.select(*keys, "node").join(named, list(keys)).select("piece", "node"), own, ("piece",)), "piece-degrees")
+    rows, consts = regular_rows(degree, dict.fromkeys(range(len(found)), tau), laplace, scale, n_graph)
+    vectors, solved = leading_eigenpairs(rows, written(arcs(own), "piece-arcs"), consts, k, **options)
+    values = members.sparkSession.createDataFrame([(p, v) for p, (v, _) in solved.items()], "piece int, values array<double>")
+    return vectors.join(F.broadcast(values), "piece").join(named, "piece").select(*keys, "node", "x", "values")
 
 
 def adjacency_embedding(members: DataFrame, edges: DataFrame, d: int, laplace: bool = False, keys: tuple[str, ...] = ("rep", "sub")) -> DataFrame:
@@ -92,76 +51,47 @@ def adjacency_embedding(members: DataFrame, edges: DataFrame, d: int, laplace: b
     return found.select(*keys, "node", F.zip_with("x", "values", lambda v, e: v * F.sqrt(F.abs(e))).alias("x"))
 
 
-def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, rounds: int = 8, extra: int = 6, seed: int = 42, train: DataFrame | None = None, shift: float = 0.0, scale: str = "piece") -> tuple[DataFrame, list[float], list[float]]:
-    """(node, x; eigenvalues; residuals) of the whole graph's regularised matrix, by block iteration on the cluster.
+def graph_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, tau: float = 0.0, laplace: bool = False, scale: str = "piece", **options) -> tuple[DataFrame, list[float], list[float]]:
+    """(node, x; eigenvalues; residuals) of the whole graph's regularised matrix (see `leading_eigenpairs` for the options)."""
+    found, solved = each_tau_eigenvectors(nodes, edges, k, [tau], laplace, scale, lone=True, **options)
+    values, residuals = solved.get(0, ([], []))
+    return found.select("node", "x"), values, residuals
 
-    A round joins the arcs with the block's rows and sums them by node; only Gram matrices of k + extra columns come to
-    the driver. Each round's block is written to the shared folder. The residuals tell how far the vectors have settled.
-    With `train` (node) the matrix is B'B for the rows B of these nodes, `shift` added to every entry (see `train_row_svd`).
-    scale "dk" adds to the degrees what it adds to an entry.
-    """
-    degree = degrees(nodes, edges)
-    s = degree.agg(F.avg("degree").alias("mean"), F.count("*").alias("n")).first()
-    n, mass = s["n"], tau * (s["mean"] or 0.0)
-    const, width = mass / max(1, n), min(k + extra, n)
-    heavy = F.col("degree") + (const if scale == "dk" else mass)
-    f = F.when(heavy > 0, 1 / F.sqrt(heavy)).otherwise(0.0) if laplace else F.lit(1.0)
-    scaled = written(degree.select("node", f.alias("f")), "node-scale")
-    start = [(F.pmod(F.xxhash64("node", F.lit(seed + c)), F.lit(1_000_003)) / 1_000_003 - 0.5).alias(f"x{c}") for c in range(width)]  # hangs on the node alone
-    block = written(scaled.select("node", "f", *start), "block")
-    links = written(arcs(edges), "arcs")
-    cols = [f"x{c}" for c in range(width)]
-
-    def gram(df: DataFrame, a: list[str], b: list[str]) -> np.ndarray:
-        row = df.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"g{i}_{j}") for i, p in enumerate(a) for j, q in enumerate(b)]).first()
-        return np.array(row, dtype=float).reshape(len(a), len(b))
-
-    def mix(df: DataFrame, m: np.ndarray) -> DataFrame:
-        return df.select("node", "f", *[sum((F.col(c) * float(m[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(f"x{j}") for j in range(m.shape[1])])
-
-    trained = None if train is None else written(links.join(train.select(F.col("node").alias("dst")), "dst"), "train-arcs")
-
-    def half(x: DataFrame, arcs_: DataFrame, to: DataFrame, a: str, b: str) -> DataFrame:
-        """node and c columns: sums of x over arcs from `a` to `b`, for the nodes `to`, with `shift` times all of x."""
-        total = x.agg(*[F.sum(c).alias(c) for c in cols]).first()
-        sums = arcs_.join(x.withColumnRenamed("node", a), a).groupBy(F.col(b).alias("node")).agg(*[F.sum(c).alias(c) for c in cols])
-        return to.select("node").join(sums, "node", "left").select("node", *[(F.coalesce(c, F.lit(0.0)) + shift * float(total[c] or 0.0)).alias(c) for c in cols])
-
-    def applied(df: DataFrame) -> DataFrame:
-        """The matrix times the block, as y0, y1, ... beside it."""
-        if trained is not None:
-            y = written(half(df.select("node", *cols), trained, train, "src", "dst"), "half-step")
-            z = half(y, trained, df, "dst", "src")
-            return df.join(z.select("node", *[F.col(c).alias(f"y{i}") for i, c in enumerate(cols)]), "node")
-        total = df.agg(*[F.sum(F.col("f") * F.col(c)).alias(c) for c in cols]).first()
-        sums = links.join(df.select(F.col("node").alias("src"), *[(F.col("f") * F.col(c)).alias(c) for c in cols]), "src").groupBy(F.col("dst").alias("node")).agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
-        met = df.join(sums, "node", "left")
-        return met.select("node", "f", *cols, *[(F.col("f") * (F.coalesce(f"s{i}", F.lit(0.0)) + const * float(total[c] or 0.0))).alias(f"y{i}") for i, c in enumerate(cols)])
-
-    def settled(df: DataFrame, times: int = 1) -> DataFrame:
-        """Orthonormal columns by Cholesky; a second time takes rounding away."""
-        for _ in range(times):
-            g = gram(df, cols, cols)
-            df = written(mix(df, np.linalg.inv(np.linalg.cholesky(g + 1e-14 * np.trace(g) * np.eye(width)).T)), "block")
-        return df
-
-    block, ys = settled(block), [f"y{i}" for i in range(width)]
-    for i in range(rounds):
-        block = settled(applied(block).select("node", "f", *[F.col(y).alias(c) for c, y in zip(cols, ys, strict=True)]), 2 if i == rounds - 1 else 1)
-    both = written(applied(block), "block")
-    values, vectors = np.linalg.eigh((lambda m: (m + m.T) / 2)(gram(both, cols, ys)))
-    order = np.argsort(-np.abs(values), kind="stable")[:k]
-    top = lambda names, j: sum((F.col(c) * float(vectors[i, j]) for i, c in enumerate(names)), F.lit(0.0))
-    out = written(both.select("node", *[top(cols, j).alias(f"u{a}") for a, j in enumerate(order)], *[top(ys, j).alias(f"v{a}") for a, j in enumerate(order)]), "vectors")
-    left = out.agg(*[F.sqrt(F.sum((F.col(f"v{a}") - float(values[j]) * F.col(f"u{a}")) ** 2)) for a, j in enumerate(order)]).first()
-    return out.select("node", F.array(*[f"u{a}" for a in range(len(order))]).alias("x")), [float(values[j]) for j in order], [float(r) for r in left]
-
-
-def train_row_svd(nodes: DataFrame, edges: DataFrame, train: DataFrame, k: int, shift: float = 0.001, rounds: int = 12) -> tuple[DataFrame, list[float]]:
+
+def each_tau_eigenvectors(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], laplace: bool = False, scale: str = "piece", lone: bool = False, **options):
+    """(piece, node, x; piece -> eigenvalues and residuals) of the whole graph's matrix for every tau (piece i is taus[i]), all taus in
+    the same rounds. Without `lone`, nodes without edges are left out at tau = 0."""
+    degree = written(degrees(nodes, edges), "degrees")
+    piece = F.explode(F.sequence(F.lit(0), F.lit(len(taus) - 1))).alias("piece")
+    rows = degree.select(piece, "node", "degree")
+    none = [i for i, t in enumerate(taus) if t == 0]
+    if none and not lone:
+        rows = rows.where((F.col("degree") > 0) | ~F.col("piece").isin(*none))
+    rows, consts = regular_rows(rows, dict(enumerate(map(float, taus))), laplace, scale)
+    return leading_eigenpairs(rows, written(arcs(edges.select("src", "dst")).select(piece, "src", "dst"), "arcs"), consts, k, **options)
+
+
+def train_row_svd(nodes: DataFrame, edges: DataFrame, train: DataFrame, k: int, shift: float = 0.001, **options) -> tuple[DataFrame, list[float]]:
     """(node, x; singular values): the top-k right singular vectors of the rows of the nodes `train`, all nodes as columns, with
     `shift` added to every entry, which stays a rank-one part."""
-    found, values, _ = graph_eigenvectors(nodes, edges, k, rounds=rounds, train=train.select("node"), shift=shift)
-    return found, [float(np.sqrt(max(v, 0.0))) for v in values]
+    marked = nodes.select(F.lit(0).alias("piece"), "node").join(train.select("node", F.lit(True).alias("train")), "node", "left").na.fill(False, ["train"])
+    found, values = _train_rows(marked, edges, k, shift, options)
+    return found.select("node", "x"), values.get(0, [])
+
+
+def fold_row_svd(folds: DataFrame, edges: DataFrame, k: int, cv: int, shift: float = 0.001, **options) -> tuple[DataFrame, dict[int, list[float]]]:
+    """(fold, node, x; fold -> singular values): `train_row_svd` for every fold held out, all folds in the same rounds. folds: node, fold."""
+    every = F.explode(F.sequence(F.lit(1), F.lit(cv))).alias("piece")
+    marked = folds.select(every, "node", "fold").select("piece", "node", (F.col("fold") != F.col("piece")).alias("train"))
+    found, values = _train_rows(marked, edges, k, shift, options)
+    return found.withColumnRenamed("piece", "fold"), values
+
+
+def _train_rows(marked: DataFrame, edges: DataFrame, k: int, shift: float, options: dict):
+    rows = written(marked.select("piece", "node", F.lit(1.0).alias("f"), "train"), "row-marks")
+    links = written(arcs(edges.select("src", "dst")).join(rows.where("train").select("piece", F.col("node").alias("dst")), "dst").select("piece", "src", "dst"), "train-arcs")
+    found, solved = leading_eigenpairs(rows, links, {}, k, shift=shift, **options)
+    return found, {p: [float(np.sqrt(max(v, 0.0))) for v in values] for p, (values, _) in solved.items()}
 
 
 def row_normalize(positions: DataFrame) -> DataFrame:

@@ -112,28 +112,6 @@ def pair_holdout_edges(edges: DataFrame, share: float, folds: int, seed: int = 4
     return each.select("fold", "src", "dst", held_pair(F.col("fold"), F.col("src"), F.col("dst"), share, seed).alias("held"))
 
 
-def all_pairs(nodes: DataFrame) -> DataFrame:
-    """src, dst: all pairs, for graphs of a few thousand nodes."""
-    return nodes.select(F.col("node").alias("src")).join(nodes.select(F.col("node").alias("dst")), F.col("src") < F.col("dst"))
-
-
-def pair_holdout(nodes: DataFrame, edges: DataFrame, share: float, folds: int, seed: int = 42) -> DataFrame:
-    """fold, src, dst, y: exactly floor(share * N) of the N pairs in each fold. For small graphs, as it lists all pairs."""
-    n = nodes.count()
-    take = int(share * (n * (n - 1) // 2))
-    each = all_pairs(nodes).crossJoin(F.broadcast(nodes.sparkSession.range(1, folds + 1).select(F.col("id").cast("int").alias("fold"))))
-    ranked = seeded_rank(each, seeded_key(seed, "fold", "src", "dst"), ("fold",), ("src", "dst")).where(F.col("rank") <= take)
-    return ranked.join(edges.select("src", "dst", F.lit(1).alias("y")), ["src", "dst"], "left").select("fold", "src", "dst", F.coalesce("y", F.lit(0)).alias("y"))
-
-
-def pair_folds(nodes: DataFrame, edges: DataFrame, cv: int, seed: int = 42) -> DataFrame:
-    """fold, src, dst, y: each pair in one of `cv` folds of ceil(N / cv) pairs. For small graphs."""
-    n = nodes.count()
-    size = max(1, -(-(n * (n - 1) // 2) // cv))
-    ranked = seeded_rank(all_pairs(nodes).withColumn("_one", F.lit(1)), seeded_key(seed, F.lit("pair"), "src", "dst"), ("_one",), ("src", "dst"))
-    return ranked.join(edges.select("src", "dst", F.lit(1).alias("y")), ["src", "dst"], "left").select((F.floor((F.col("rank") - 1) / size) + 1).cast("int").alias("fold"), "src", "dst", F.coalesce("y", F.lit(0)).alias("y"))
-
-
 def observed_edges(edges: DataFrame, holdout: DataFrame) -> DataFrame:
     """fold, src, dst: the edges that a fold does not hold out."""
     each = edges.select("src", "dst").crossJoin(F.broadcast(holdout.select("fold").distinct()))

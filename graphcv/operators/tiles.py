@@ -9,18 +9,96 @@ from pyspark.sql import functions as F
 
 from graphcv.operators.graph import arcs
 from graphcv.operators.loss import auc_loss
+from graphcv.sources.shared import written
 
-#: Scores are counted by their logit in so many bins for the AUC, which is exact up to the bins' width.
+#: Scores are counted by their logit in so many bins for the AUC.
 BINS, REACH = 10_000, 14.0
 
 
-def tiled_pair_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("rep", "cand"), link: str = "dot", tile: int = 1000) -> DataFrame:
+def _tile_losses(rows: DataFrame, on: list[str], by: list[str], link: str, own: bool, exact: bool) -> DataFrame:
+    """by, loss, value: l2, sse, deviance and auc over the pairs of all tiles. rows: on (by and the tiles ti, tj), kind (0 left, 1 right,
+    2 edge), node, j, x. own: both sides are the same nodes, so a tile with itself counts i < j alone.
+
+    Scores are counted by bins of their logit. With `exact`, bins that hold both kinds of pairs are counted once more by the scores
+    themselves (to 12 digits), so the AUC has no error; the other bins cannot hold a pair in the wrong order.
+    """
+    types = dict(rows.dtypes)
+    key_schema = ", ".join(f"{c} {types[c]}" for c in by)
+
+    def scores(key, pdf: pd.DataFrame):
+        one, two, three = (pdf[pdf["kind"] == k] for k in (0, 1, 2))
+        if not len(one) or not len(two):
+            return None
+        i, j = one["node"].to_numpy(dtype=np.int64), two["node"].to_numpy(dtype=np.int64)
+        x, y = np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy())
+        oi, oj = np.argsort(i), np.argsort(j)
+        if link == "dot":
+            p = np.clip(x[oi] @ y[oj].T, 1e-6, 1 - 1e-6)
+        else:
+            u, v = x[oi, :-1], y[oj, :-1]
+            far = np.sqrt(np.maximum((u * u).sum(1)[:, None] - 2 * u @ v.T + (v * v).sum(1), 0))
+            p = 1 / (1 + np.exp(-((x[oi, -1][:, None] + y[oj, -1]) / 2 - far)))
+        t = np.zeros(p.shape, bool)
+        t[np.searchsorted(i[oi], three["node"].to_numpy(dtype=np.int64)), np.searchsorted(j[oj], three["j"].to_numpy(dtype=np.int64))] = True
+        if own and key[len(by)] == key[len(by) + 1]:
+            once = i[oi][:, None] < j[oj]
+            p, t = p[once], t[once]
+        else:
+            p, t = p.ravel(), t.ravel()
+        inside = (p > 0) & (p < 1)
+        q = np.where(inside, p, 0.5)
+        place = np.clip(((np.log(q) - np.log1p(-q)) / (2 * REACH) + 0.5) * BINS, 0, BINS - 1).astype(np.int64)
+        return p, t, inside, q, np.where(inside, place, np.where(p <= 0, 0, BINS - 1))
+
+    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = scores(key, pdf)
+        if found is None or not len(found[0]):
+            return pd.DataFrame({c: [] for c in [*by, "bin", "pos", "neg", "sse", "deviance"]})
+        p, t, inside, q, place = found
+        pos, neg = np.bincount(place[t], minlength=BINS), np.bincount(place[~t], minlength=BINS)
+        some = np.flatnonzero(pos + neg)
+        out = pd.DataFrame({**{c: key[k] for k, c in enumerate(by)}, "bin": some, "pos": pos[some].astype(float), "neg": neg[some].astype(float), "sse": 0.0, "deviance": 0.0})
+        out.loc[0, ["sse", "deviance"]] = [float(((t - p) ** 2).sum()), float(np.where(inside, -np.where(t, np.log(q), np.log1p(-q)), 0).sum())]
+        return out
+
+    def refine(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        found, lists = scores(key, pdf), pdf[pdf["kind"] == 3]["x"]
+        empty = pd.DataFrame({c: [] for c in [*by, "phat", "pos", "neg"]})
+        if found is None or not len(lists):
+            return empty
+        p, t, _, _, place = found
+        mixed = np.zeros(BINS, bool)
+        mixed[np.asarray(lists.iloc[0], dtype=np.int64)] = True
+        some = mixed[place]
+        if not some.any():
+            return empty
+        at, spot = np.unique(np.round(p[some], 12), return_inverse=True)
+        n, pos = np.bincount(spot, minlength=len(at)), np.bincount(spot, t[some], minlength=len(at))
+        return pd.DataFrame({**{c: key[k] for k, c in enumerate(by)}, "phat": at, "pos": pos.astype(float), "neg": n - pos})
+
+    sums = written(rows.groupBy(*on).applyInPandas(count, f"{key_schema}, bin long, pos double, neg double, sse double, deviance double"), "tiles")
+    plain = sums.groupBy(*by).agg(F.sqrt(F.sum("sse")).alias("l2"), F.sum("sse").alias("sse"), F.sum("deviance").alias("deviance"))
+    long = plain.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("loss"), F.col(c).alias("value")) for c in ("l2", "sse", "deviance")])).alias("v")).select(*by, "v.loss", "v.value")
+    bins = written(sums.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "tile-bins")
+    middle = 1 / (1 + F.exp(-((F.col("bin") + 0.5) / BINS - 0.5) * (2 * REACH)))
+    points = bins.select(*by, middle.alias("phat"), "pos", "neg")
+    if exact:
+        mixed = bins.where("pos > 0 and neg > 0").groupBy(*by).agg(F.collect_list(F.col("bin").cast("double")).alias("x"))  # BINS at most
+        spots = rows.select(*on).distinct().join(F.broadcast(mixed), by).select(*on, F.lit(3).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("j"), "x")
+        fine = rows.unionByName(spots).groupBy(*on).applyInPandas(refine, f"{key_schema}, phat double, pos double, neg double")
+        fine = fine.groupBy(*by, F.round("phat", 12).alias("phat")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        points = points.where("not (pos > 0 and neg > 0)").unionByName(fine)
+    return long.unionByName(auc_loss(points, tuple(by)).select(*by, F.lit("auc").alias("loss"), "value"))
+
+
+def tiled_pair_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("rep", "cand"), link: str = "dot", tile: int = 1000, exact: bool = True) -> DataFrame:
     """keys, p, q, loss, value: l2, deviance and auc over all pairs (i in fold p, j in fold q > p).
 
     left, right: keys, sub, node, x. Link "dot" predicts the clamped product of x_i and x_j (a degree-corrected block model is
     psi_i B[g_i, .] against psi_j e(g_j)); "latent" predicts logistic(b - |x_i - x_j|) with b the last entries' mean.
     held: rep, p, q, i, j. Nodes are dealt to tiles of about `tile` by hash; a tile pair is one group of bounded size, and
-    only sums and bin counts leave it. Neither nodes nor pairs are collected.
+    only sums, bin counts and the scores of mixed bins leave it. Neither nodes nor pairs are collected. Without `exact`, the
+    AUC is exact up to the width of a bin.
     """
     largest = left.groupBy(*keys, "sub").count().agg(F.max("count")).first()[0] or 1
     n = -(-largest // tile)
@@ -40,42 +118,30 @@ def tiled_pair_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tu
         .unionByName(b.select(*on, F.lit(1).alias("kind"), "node", empty.cast("long").alias("j"), "x"))
         .unionByName(e.select(*on, F.lit(2).alias("kind"), F.col("i").alias("node"), "j", empty.cast("array<double>").alias("x")))
     )
+    return _tile_losses(rows, on, [*keys, "p", "q"], link, False, exact).where("loss <> 'sse'")
 
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two, three = (pdf[pdf["kind"] == k] for k in (0, 1, 2))
-        if not len(one) or not len(two):
-            return pd.DataFrame({c: [] for c in [*keys, "p", "q", "bin", "pos", "neg", "sse", "deviance"]})
-        i, j = one["node"].to_numpy(), two["node"].to_numpy()
-        x, y = np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy())
-        oi, oj = np.argsort(i), np.argsort(j)
-        if link == "dot":
-            p = np.clip(x[oi] @ y[oj].T, 1e-6, 1 - 1e-6)
-        else:
-            u, v = x[oi, :-1], y[oj, :-1]
-            far = np.sqrt(np.maximum((u * u).sum(1)[:, None] - 2 * u @ v.T + (v * v).sum(1), 0))
-            p = 1 / (1 + np.exp(-((x[oi, -1][:, None] + y[oj, -1]) / 2 - far)))
-        t = np.zeros(p.shape, bool)
-        t[np.searchsorted(i[oi], three["node"].to_numpy(dtype=np.int64)), np.searchsorted(j[oj], three["j"].to_numpy(dtype=np.int64))] = True
-        inside = (p > 0) & (p < 1)
-        q = np.where(inside, p, 0.5)
-        dev = np.where(inside, -np.where(t, np.log(q), np.log1p(-q)), 0).sum()
-        where = np.clip(((np.log(q) - np.log1p(-q)) / (2 * REACH) + 0.5) * BINS, 0, BINS - 1).astype(np.int64)
-        pos, neg = np.bincount(where[t], minlength=BINS), np.bincount(where[~t], minlength=BINS)
-        some = np.flatnonzero(pos + neg)
-        out = pd.DataFrame({**{c: key[k] for k, c in enumerate([*keys, "p", "q"])}, "bin": some, "pos": pos[some].astype(float), "neg": neg[some].astype(float), "sse": 0.0, "deviance": 0.0})
-        out.loc[0, ["sse", "deviance"]] = [float(((t - p) ** 2).sum()), float(dev)]
-        return out
-
-    types = dict(a.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in (*keys, "p", "q")), "bin long, pos double, neg double, sse double, deviance double"])
-    from graphcv.sources.shared import written
 
-    sums = written(rows.groupBy(*on).applyInPandas(score, schema), "tiles")
-    by = (*keys, "p", "q")
-    plain = sums.groupBy(*by).agg(F.sqrt(F.sum("sse")).alias("l2"), F.sum("deviance").alias("deviance"))
-    long = plain.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("loss"), F.col(c).alias("value")) for c in ("l2", "deviance")])).alias("v")).select(*by, "v.loss", "v.value")
-    points = sums.groupBy(*by, (F.col("bin") / float(BINS)).alias("phat")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return long.unionByName(auc_loss(points, by).select(*by, F.lit("auc").alias("loss"), "value"))
+def tiled_own_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("fold", "cand"), tile: int = 1000, exact: bool = True) -> DataFrame:
+    """keys, loss, value: sse, loglik and auc over all pairs i < j of the nodes of a group, phat the clamped product of x_i (left) and x_j
+    (right), which is symmetric. left, right: keys, node, x; held: some of keys, src, dst. Tiles as in `tiled_pair_loss`, each pair of
+    tiles once."""
+    largest = left.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    n = -(-largest // tile)
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = left.select(*keys, spot("node").alias("ti"), "node", "x").select("*", F.explode(F.sequence("ti", F.lit(n - 1))).alias("tj"))
+    b = right.select(*keys, spot("node").alias("tj"), "node", "x").select("*", F.explode(F.sequence(F.lit(0), "tj")).alias("ti"))
+    groups = left.select(*keys).distinct()
+    e = held.join(groups, [c for c in keys if c in held.columns]).withColumns({"s": spot("src"), "d": spot("dst")})
+    first = (F.col("s") < F.col("d")) | ((F.col("s") == F.col("d")) & (F.col("src") < F.col("dst")))
+    e = e.select(*keys, F.least("s", "d").alias("ti"), F.greatest("s", "d").alias("tj"), F.when(first, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("j"))
+    on, none = [*keys, "ti", "tj"], F.lit(None)
+    rows = (
+        a.select(*on, F.lit(0).alias("kind"), "node", none.cast("long").alias("j"), "x")
+        .unionByName(b.select(*on, F.lit(1).alias("kind"), "node", none.cast("long").alias("j"), "x"))
+        .unionByName(e.select(*on, F.lit(2).alias("kind"), "node", "j", none.cast("array<double>").alias("x")))
+    )
+    found = _tile_losses(rows, on, list(keys), "dot", True, exact).where("loss <> 'l2'")
+    return found.withColumn("loss", F.when(F.col("loss") == "deviance", "loglik").otherwise(F.col("loss")))
 
 
 def dcbm_vectors(labels: DataFrame, blocks: DataFrame, theta: DataFrame, keys: tuple[str, ...] = ("rep", "cand")) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +185,6 @@ def tile_matvec(block: DataFrame, edges: DataFrame, entries, tile: int = 2000) -
 def tile_eigenvalues(params: DataFrame, edges: DataFrame, entries, k: int, extra: int = 2, tol: float = 1e-7, rounds: int = 200) -> list[float]:
     """The k eigenvalues of largest magnitude of the matrix of `tile_matvec`, by block iteration until they change by less than
     `tol` of the largest; only Gram matrices of k + extra columns come to the driver. Raises after `rounds` rounds without rest."""
-    from graphcv.sources.shared import written
-
     width = k + extra
     start = F.array(*[F.pmod(F.xxhash64("node", F.lit(c)), F.lit(1_000_003)) / 1_000_003 - (0.0 if c == 0 else 0.5) for c in range(width)])
     block, last = written(params.withColumn("x", start), "tile-block"), None
