@@ -280,7 +280,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "url", "host", "page", "shape", "blocks"])
 
     found = pages.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(rows, "page_id string, url string, host string, page long, shape string, blocks array<struct<slot:int,said:long,text:string>>")
-    return written(found.withColumns({"page_id": F.col("page_id").cast("long"), "s": F.xxhash64("shape")}), "parsed-pages")
+    return written(found.withColumns({"page_id": F.col("page_id").cast("long"), "s": F.xxhash64("shape")}), "parsed-pages", "zstd")
 
 
 def wrappers(found: DataFrame, share: float, least: int) -> DataFrame:

@@ -45,11 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, survives lost executors, and its size is known to the planner."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts lineage, survives lost executors, and its size is known to the planner.
+    codec: how its pages are compressed, where that is not the session's choice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphcv-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
