@@ -408,9 +408,9 @@ def _(x):
     return G.arcs(x.edges)
 
 
-@query("g3_node_table", "SELECT node FROM nodes UNION SELECT src FROM thin UNION SELECT dst FROM thin")
+@query("g3_node_table", "SELECT node FROM nodes UNION SELECT src FROM edges UNION SELECT dst FROM edges")
 def _(x):
-    return G.node_table(x.thin, x.nodes)
+    return G.node_table(x.edges, x.nodes)
 
 
 @query("g4_degrees", "SELECT node, degree FROM deg")
@@ -833,6 +833,24 @@ def _(x):
     return tuning.overlap_cv_blockmodel(x.nodes, x.edges, list(CANDS), SUBS, x.o, REPS, labels=x.labels)[1]
 
 
+@query("w4_tau_by_loss_supplied_labels", "SELECT rep, CASE WHEN cand = 2 THEN 0.5 ELSE 1.0 END::DOUBLE AS tau, loss, round(value, 6) AS value FROM rep_losses WHERE model = 'dcbm'")
+def _(x):
+    """Tau 0.5 has the labels of two communities, tau 1 those of three."""
+    labels = x.labels.withColumn("tau", F.when(F.col("cand") == 2, 0.5).otherwise(1.0))
+    return rounded(tuning.tune_tau_by_loss(x.nodes, x.edges, 0, [0.5, 1.0], SUBS, x.o, REPS, labels=labels)[0])
+
+
+@query("w5_tau_by_agreement_supplied_labels", """, f AS (SELECT rep, cand, sub, g AS lab, (node % cand + 1)::INTEGER AS fixed, count(*)::DOUBLE AS n FROM aligned WHERE NOT shared GROUP BY ALL),
+h AS (SELECT rep, cand, sub, (SELECT -sum(p * ln(p)) FROM (SELECT sum(n) / t.t AS p FROM f WHERE f.rep = t.rep AND f.cand = t.cand AND f.sub = t.sub GROUP BY lab)) AS h1,
+  (SELECT -sum(p * ln(p)) FROM (SELECT sum(n) / t.t AS p FROM f WHERE f.rep = t.rep AND f.cand = t.cand AND f.sub = t.sub GROUP BY fixed)) AS h2,
+  (SELECT -sum(n / t.t * ln(n / t.t)) FROM f WHERE f.rep = t.rep AND f.cand = t.cand AND f.sub = t.sub) AS h12 FROM (SELECT rep, cand, sub, sum(n) AS t FROM f GROUP BY ALL) t),
+v AS (SELECT a.rep, a.cand, sum(-(a.h1 + b.h1 + a.h2 + b.h2 - a.h12 - b.h12) / ((a.h1 + b.h1 + a.h2 + b.h2) / 2)) AS value FROM h a JOIN h b ON a.rep = b.rep AND a.cand = b.cand AND a.sub < b.sub GROUP BY ALL)
+SELECT rep, CASE WHEN cand = 2 THEN 0.5 ELSE 1.0 END::DOUBLE AS tau, 'nmi' AS loss, round(value, 6) AS value FROM v""")
+def _(x):
+    tau = F.when(F.col("cand") == 2, 0.5).otherwise(1.0)
+    return rounded(tuning.tune_tau_by_agreement(x.nodes, x.edges, 0, [0.5, 1.0], SUBS, x.o, REPS, losses=("nmi",), labels=x.labels.withColumn("tau", tau), whole=x.truth.withColumn("tau", tau))[0])
+
+
 @query("w10_consensus_supplied_labels", "SELECT cand, node, g FROM (SELECT cand, node, g, count(*) AS n, min(rep) AS f FROM combined GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cand, node ORDER BY n DESC, f) = 1")
 def _(x):
     return tuning.consensus_labels(x.nodes, x.edges, 0, 0.0, SUBS, x.o, REPS, aligned=False, labels=x.labels)

@@ -19,12 +19,13 @@ from graphcv.operators.graph import arcs, degrees, isolated_labels
 from graphcv.operators.krylov import leading_eigenpairs
 from graphcv.operators.latent import fit_latent
 from graphcv.operators.pairs import PairSplit, held_losses
-from graphcv.operators.spectral import adjacency_embedding, each_tau_eigenvectors, fold_row_svd, graph_eigenvectors, procrustes_align
+from graphcv.operators.spectral import adjacency_embedding, each_tau_eigenvectors, fold_row_svd, graph_eigenvectors, procrustes_align, sub_eigenvectors
 from graphcv.operators.tiles import dcbm_vectors, tile_eigenvalues, tile_matvec, tiled_own_loss, tiled_pair_loss
 from graphcv.sources.shared import written
 
 KEYS = ("rep", "cand")
 PIECE = ("rep", "cand", "sub")
+LOSSES = ("l2", "deviance", "auc")
 
 
 class Overlap:
@@ -53,17 +54,33 @@ class Overlap:
     def sums(self, labels: DataFrame) -> DataFrame:
         return written(M.block_sums(self.pieces, labels, PIECE, ("rep", "sub")), "sums")
 
-    def sbm_losses(self, labels: DataFrame) -> DataFrame:
+    def sbm_losses(self, labels: DataFrame, losses: tuple[str, ...] = LOSSES, clamped: bool = False) -> DataFrame:
+        """From counts of held-out edges and pairs by labels; a loss that counts do not give is taken in tiles."""
         blocks = M.average_blocks(M.sbm_blocks(self.sums(labels), M.label_sizes(labels, PIECE), PIECE), self.s, KEYS)
-        counts = S.blockwise_counts(self.held, labels.where(~F.col("shared")), KEYS)
-        return A.rep_loss(S.blockwise_sbm_loss(counts, blocks, KEYS), self.s, keys=(*KEYS, "loss")).withColumn("model", F.lit("sbm"))
-
-    def dcbm_losses(self, labels: DataFrame) -> DataFrame:
-        blocks, theta = M.dcbm_fit(self.sums(labels), labels, self.degrees, PIECE, ("rep", "sub"))
+        if set(losses) <= set(LOSSES):
+            blocks = blocks.withColumn("b", clamp(F.col("b"))) if clamped else blocks
+            found = S.blockwise_sbm_loss(S.blockwise_counts(self.held, labels.where(~F.col("shared")), KEYS), blocks, KEYS).where(F.col("loss").isin(*losses))
+        else:
+            own = labels.where(~F.col("shared")).select(*PIECE, "node", "g")
+            left, right = dcbm_vectors(own, blocks, own.select(*KEYS, "node", F.lit(1.0).alias("psi")), KEYS)
+            found = tiled_pair_loss(left, right, self.held, KEYS, losses=losses)
+        return A.rep_loss(found, self.s, keys=(*KEYS, "loss")).withColumn("model", F.lit("sbm"))
+
+    def norms(self, k: int, cands: list[int]) -> DataFrame:
+        """rep, sub, cand, node, psi: norms of the rows of every piece's leading eigenvectors (adjacency), for the eigen fit."""
+        found = written(sub_eigenvectors(self.members, self.pieces, k), "norms")
+        return found.withColumn("cand", F.explode(F.array(*map(F.lit, cands)))).select(*PIECE, "node", norm(F.slice("x", 1, F.col("cand"))).alias("psi"))
+
+    def dcbm_losses(self, labels: DataFrame, losses: tuple[str, ...] = LOSSES, norms: DataFrame | None = None) -> DataFrame:
+        """Degrees over block sums, or with `norms` the eigen fit."""
+        if norms is None:
+            blocks, theta = M.dcbm_fit(self.sums(labels), labels, self.degrees, PIECE, ("rep", "sub"))
+        else:
+            blocks, theta = M.dcbm_eigen_fit(self.sums(labels), labels, norms, PIECE)
         own = labels.where(~F.col("shared")).select(*PIECE, "node", "g")
         psi = theta.join(own.select(*PIECE, "node"), [*PIECE, "node"]).select(*KEYS, "node", "psi")
         left, right = dcbm_vectors(own, M.average_blocks(blocks, self.s, KEYS), psi, KEYS)
-        return A.rep_loss(tiled_pair_loss(left, right, self.held, KEYS), self.s, keys=(*KEYS, "loss")).withColumn("model", F.lit("dcbm"))
+        return A.rep_loss(tiled_pair_loss(left, right, self.held, KEYS, losses=losses), self.s, keys=(*KEYS, "loss")).withColumn("model", F.lit("dcbm"))
 
 
 def _by_cand(cands: list, one) -> DataFrame:
@@ -71,36 +88,38 @@ def _by_cand(cands: list, one) -> DataFrame:
 
 
 def overlap_cv_blockmodel(
-    nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, tau: float = 0.0, laplace: bool = False, labels: DataFrame | None = None, losses: tuple[str, ...] = ("l2", "deviance", "auc"), method: str = "kmedoids"
+    nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, tau: float = 0.0, laplace: bool = False, labels: DataFrame | None = None, losses: tuple[str, ...] = LOSSES, method: str = "kmedoids", dc_est: int = 2
 ) -> tuple[DataFrame, DataFrame]:
     """(losses, choices): the block model and its number of communities. choices: loss, choice over reps.
 
     labels: supplied labels of the pieces (rep, cand, sub, node, shared, g), for both models; without them they are fitted.
+    dc_est: 2 fits the corrected model by degrees, another by eigenvectors. losses may name registered ones.
     """
     cut = Overlap(nodes, edges, s, o, reps)
     if labels is not None:
         plain = corrected = written(L.align_subs(labels, KEYS), "aligned")
     else:
         plain, corrected = (cut.labels(cands, c, tau, laplace, method=method) for c in (False, True))
-    found = cut.sbm_losses(plain).unionByName(cut.dcbm_losses(corrected)).where(F.col("loss").isin(*losses))
+    found = cut.sbm_losses(plain, losses).unionByName(cut.dcbm_losses(corrected, losses, None if dc_est == 2 else cut.norms(max(cands), cands)))
     found = written(found.select("rep", "model", "cand", "loss", "value"), "losses")
     return found, A.mode_over_reps(A.choose_model(found))
 
 
-def overlap_cv_rank(nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, laplace: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(losses, choices): the rank of a random-dot-product model; pieces are aligned at the largest rank and then cut."""
+def overlap_cv_rank(nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, laplace: bool = False, losses: tuple[str, ...] = LOSSES, positions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(losses, choices): the rank of a random-dot-product model; pieces are aligned at the largest rank and then cut. positions: supplied
+    aligned ones (rep, sub, node, x); without them they are fitted. losses may name registered ones."""
     cut = Overlap(nodes, edges, s, o, reps)
-    found = adjacency_embedding(cut.members, cut.pieces, max(cands), laplace)
-    moved = written(procrustes_align(found, cut.partition.where("sub = 0")), "positions")
-    own = moved.join(cut.partition.where("sub > 0"), ["rep", "sub", "node"])
+    if positions is None:
+        positions = procrustes_align(adjacency_embedding(cut.members, cut.pieces, max(cands), laplace), cut.partition.where("sub = 0"))
+    own = written(positions, "positions").join(cut.partition.where("sub > 0"), ["rep", "sub", "node"])
     each = own.withColumn("cand", F.explode(F.array(*[F.lit(c) for c in cands]))).withColumn("x", F.slice("x", 1, F.col("cand")))
-    losses = written(A.rep_loss(tiled_pair_loss(each, each, cut.held, KEYS), s, keys=(*KEYS, "loss")), "losses")
-    best = A.argmin_candidate(losses, ("rep", "loss"))
-    return losses, A.mode_over_reps(best, ("loss",), "cand")
+    found = written(A.rep_loss(tiled_pair_loss(each, each, cut.held, KEYS, losses=losses), s, keys=(*KEYS, "loss")), "losses")
+    best = A.argmin_candidate(found, ("rep", "loss"))
+    return found, A.mode_over_reps(best, ("loss",), "cand")
 
 
-def overlap_cv_latent(nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int) -> tuple[DataFrame, DataFrame]:
-    """(losses, choices): the dimension of a latent-distance model."""
+def overlap_cv_latent(nodes: DataFrame, edges: DataFrame, cands: list[int], s: int, o: int, reps: int, losses: tuple[str, ...] = LOSSES) -> tuple[DataFrame, DataFrame]:
+    """(losses, choices): the dimension of a latent-distance model. losses may name registered ones."""
     cut = Overlap(nodes, edges, s, o, reps)
     found = written(fit_latent(cut.members, cut.pieces, cands), "latent")
     parts = []
@@ -109,32 +128,50 @@ def overlap_cv_latent(nodes: DataFrame, edges: DataFrame, cands: list[int], s: i
         level = found.where(F.col("cand") == c).select("rep", "sub", "node", "beta")
         parts.append(moved.join(level, ["rep", "sub", "node"]).select("rep", F.lit(c).alias("cand"), "sub", "node", F.array_append("x", F.col("beta")).alias("x")))
     own = [written(p.join(cut.partition.where("sub > 0"), ["rep", "sub", "node"]), "positions") for p in parts]
-    tiles = reduce(DataFrame.unionByName, [tiled_pair_loss(x, x, cut.held, KEYS, "latent") for x in own])
-    losses = written(A.rep_loss(tiles, s, keys=(*KEYS, "loss")), "losses")
-    return losses, A.mode_over_reps(A.argmin_candidate(losses, ("rep", "loss")), ("loss",), "cand")
+    tiles = reduce(DataFrame.unionByName, [tiled_pair_loss(x, x, cut.held, KEYS, "latent", losses=losses) for x in own])
+    found = written(A.rep_loss(tiles, s, keys=(*KEYS, "loss")), "losses")
+    return found, A.mode_over_reps(A.argmin_candidate(found, ("rep", "loss")), ("loss",), "cand")
 
 
-def tune_tau_by_loss(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], s: int, o: int, reps: int, corrected: bool = True, laplace: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(losses, choices): losses by tau, and for each loss the mean over reps of the best tau."""
-    cut = Overlap(nodes, edges, s, o, reps)
+def tune_tau_by_loss(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], s: int, o: int, reps: int, corrected: bool = True, laplace: bool = True, dc_est: int = 2, losses: tuple[str, ...] = LOSSES, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(losses, choices): losses by tau, and for each loss the mean over reps of the best tau. Predictions of both models are clamped.
+
+    labels: supplied labels of the pieces (tau, rep, cand, sub, node, shared, g); without them they are fitted. dc_est: 2 fits the
+    corrected model by degrees, another by eigenvectors. losses may name registered ones.
+    """
+    cut, norms = Overlap(nodes, edges, s, o, reps), None
 
     def one(tau):
-        labels = cut.labels([k], corrected, tau, laplace, "piece", lone=True)
-        return (cut.dcbm_losses if corrected else cut.sbm_losses)(labels).withColumn("tau", F.lit(float(tau)))
+        nonlocal norms
+        if labels is None:
+            own = cut.labels([k], corrected, tau, laplace, "piece", lone=True)
+        else:
+            own = written(L.align_subs(labels.where(F.col("tau") == F.lit(float(tau))).drop("tau"), KEYS), "aligned")
+        if not corrected:
+            return cut.sbm_losses(own, losses, True).withColumn("tau", F.lit(float(tau)))
+        if dc_est != 2 and norms is None:
+            norms = cut.norms(k, [k])
+        return cut.dcbm_losses(own, losses, norms).withColumn("tau", F.lit(float(tau)))
 
-    losses = written(_by_cand(taus, one).select("rep", "tau", "loss", "value"), "losses")
-    return losses, A.mean_over_reps(A.argmin_candidate(losses, ("rep", "loss"), "tau"), ("loss",), "tau")
+    found = written(_by_cand(taus, one).select("rep", "tau", "loss", "value"), "losses")
+    return found, A.mean_over_reps(A.argmin_candidate(found, ("rep", "loss"), "tau"), ("loss",), "tau")
+
+
+def each_tau_labels(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], laplace: bool = True, corrected: bool = False, scale: str = "piece", lone: bool = True) -> DataFrame:
+    """tau, node, g of the whole graph at every tau, all taus solved in the same rounds. With `lone`, at tau = 0 only nodes with edges are
+    clustered; the others get seeded labels."""
+    taus = [float(t) for t in taus]
+    found, _ = each_tau_eigenvectors(nodes, edges, k, taus, laplace, scale, lone=not lone)
+    labels = fold_labels(written(found.withColumnRenamed("piece", "fold"), "tau-vectors"), [k], corrected)
+    named = labels.select(F.element_at(F.array(*map(F.lit, taus)), F.col("fold") + 1).alias("tau"), "node", "g")
+    if lone and 0.0 in taus:
+        named = named.unionByName(isolated_labels(degrees(nodes, edges), k).select(F.lit(0.0).alias("tau"), "node", "g"))
+    return written(named, "graph-labels")
 
 
 def whole_graph_labels(nodes: DataFrame, edges: DataFrame, k: int, tau: float, laplace: bool = True, corrected: bool = False) -> DataFrame:
     """node, g of the whole graph at one tau. At tau = 0 only nodes with edges are clustered; the others get seeded labels."""
-    if tau == 0:
-        degree = written(degrees(nodes, edges), "degrees")
-        found, _, _ = graph_eigenvectors(degree.where("degree > 0").select("node"), edges, k, tau, laplace)
-        labels = graph_labels(found, k, corrected).select("node", F.col("g").cast("int").alias("g"))
-        return written(labels.unionByName(isolated_labels(degree, k)), "graph-labels")
-    found, _, _ = graph_eigenvectors(nodes, edges, k, tau, laplace)
-    return written(graph_labels(found, k, corrected).select("node", F.col("g").cast("int").alias("g")), "graph-labels")
+    return each_tau_labels(nodes, edges, k, [tau], laplace, corrected).select("node", "g")
 
 
 def spectral_gap_tau(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], corrected: bool = True, dc_fit: str = "degree", labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -146,15 +183,14 @@ def spectral_gap_tau(nodes: DataFrame, edges: DataFrame, k: int, taus: list[floa
     degree = written(degrees(nodes, edges), "degrees")
     n, mean = degree.agg(F.count("*"), F.avg("degree")).first()
     keys, ratios = ("rep", "cand", "sub"), []
+    if labels is None:
+        labels = each_tau_labels(nodes, edges, k, taus, True, corrected, "dk", lone=False)
     norms = None
     if corrected and dc_fit == "eigen":
         norms = graph_eigenvectors(nodes, edges, k)[0].select("node", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("psi"))
     for tau in taus:
         c = tau * (mean or 0.0) / max(1, n)
-        if labels is None:
-            own = graph_labels(graph_eigenvectors(nodes, edges, k, tau, True, scale="dk")[0], k, corrected).select("node", F.col("g").cast("int").alias("g"))
-        else:
-            own = labels.where(F.col("tau") == F.lit(float(tau))).select("node", "g")
+        own = labels.where(F.col("tau") == F.lit(float(tau))).select("node", "g")
         own = written(own.select(F.lit(1).alias("rep"), F.lit(k).alias("cand"), F.lit(1).alias("sub"), "node", "g"), "gap-labels")
         sums = written(M.block_sums(edges, own, keys, ()), "sums")
         if not corrected:
@@ -191,24 +227,31 @@ def refit_at_mean_tau(nodes: DataFrame, edges: DataFrame, k: int, choices: DataF
     truth (node, g). Losses with one mean are labelled once."""
     means = {}
     for r in choices.select("loss", "mean_tau").collect():  # a row a loss
-        means.setdefault(r["mean_tau"], []).append(r["loss"])
-    each = [L.label_accuracy(whole_graph_labels(nodes, edges, k, tau, laplace, corrected), truth).select(F.explode(F.array(*map(F.lit, names))).alias("loss"), F.lit(float(tau)).alias("mean_tau"), "accuracy") for tau, names in means.items()]
-    return reduce(DataFrame.unionByName, each)
+        means.setdefault(float(r["mean_tau"]), []).append(r["loss"])
+    labels = each_tau_labels(nodes, edges, k, sorted(means), laplace, corrected)
+    found = L.label_accuracy(labels, truth, ("tau",))
+    return _by_cand(sorted(means), lambda tau: found.where(F.col("tau") == tau).select(F.explode(F.array(*map(F.lit, means[tau]))).alias("loss"), F.col("tau").alias("mean_tau"), "accuracy"))
 
 
-def tune_tau_by_agreement(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], s: int, o: int, reps: int, corrected: bool = False, laplace: bool = True) -> tuple[DataFrame, DataFrame]:
+def tune_tau_by_agreement(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], s: int, o: int, reps: int, corrected: bool = False, laplace: bool = True, losses: tuple[str, ...] = ("nmi", "hamming"), labels: DataFrame | None = None, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(losses, choices): minus the NMI ("nmi") and the share of differing ("hamming") pair codes between piece labels and
-    whole-graph labels, summed over fold pairs, and the mean over reps of the best tau."""
-    cut = Overlap(nodes, edges, s, o, reps)
+    whole-graph labels, summed over fold pairs, and the mean over reps of the best tau.
+
+    labels, whole: supplied labels of the pieces (tau, rep, cand, sub, node, shared, g) and of the whole graph (tau, node, g, and cand
+    if it matters); without them they are fitted, the whole graph's for all taus at once.
+    """
+    cut = Overlap(nodes, edges, s, o, reps) if labels is None else None
+    whole = each_tau_labels(nodes, edges, k, taus, laplace, corrected) if whole is None else whole
+    kinds = {"nmi": L.pair_nmi_loss, "hamming": L.pair_hamming_loss}
 
     def one(tau):
-        labels = cut.labels([k], corrected, tau, laplace, "piece", lone=True)
-        counts = written(L.fold_confusion(labels, whole_graph_labels(nodes, edges, k, tau, laplace, corrected), KEYS), "fold-confusion")
-        return reduce(DataFrame.unionByName, [loss(counts, KEYS).select("rep", F.lit(float(tau)).alias("tau"), "p", "q", F.lit(name).alias("loss"), "value") for name, loss in (("nmi", L.pair_nmi_loss), ("hamming", L.pair_hamming_loss))])
+        at = F.col("tau") == F.lit(float(tau))
+        own = cut.labels([k], corrected, tau, laplace, "piece", lone=True) if labels is None else written(L.align_subs(labels.where(at).drop("tau"), KEYS), "aligned")
+        counts = written(L.fold_confusion(own, whole.where(at).drop("tau"), KEYS), "fold-confusion")
+        return reduce(DataFrame.unionByName, [kinds[x](counts, KEYS).select("rep", F.lit(float(tau)).alias("tau"), "p", "q", F.lit(x).alias("loss"), "value") for x in losses])
 
-    blocks = _by_cand(taus, one)
-    losses = written(A.rep_loss(blocks, s, "sum", ("rep", "tau", "loss")), "losses")
-    return losses, A.mean_over_reps(A.argmin_candidate(losses, ("rep", "loss"), "tau"), ("loss",), "tau")
+    found = written(A.rep_loss(_by_cand(taus, one), s, "sum", ("rep", "tau", "loss")), "losses")
+    return found, A.mean_over_reps(A.argmin_candidate(found, ("rep", "loss"), "tau"), ("loss",), "tau")
 
 
 def consensus_labels(nodes: DataFrame, edges: DataFrame, k: int, tau: float, s: int, o: int, reps: int, laplace: bool = False, corrected: bool = False, aligned: bool = True, labels: DataFrame | None = None) -> DataFrame:

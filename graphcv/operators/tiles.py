@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcv.operators.graph import arcs
-from graphcv.operators.loss import auc_loss
+from graphcv.operators.loss import LOSSES, auc_loss
 from graphcv.sources.shared import written
 
 #: Scores are counted by their logit in so many bins for the AUC.
 BINS, REACH = 10_000, 14.0
+#: Losses that sums and counts of a tile give.
+TILED = ("l2", "sse", "mse", "deviance", "loglik", "auc")
 
 
-def _tile_losses(rows: DataFrame, on: list[str], by: list[str], link: str, own: bool, exact: bool) -> DataFrame:
-    """by, loss, value: l2, sse, deviance and auc over the pairs of all tiles. rows: on (by and the tiles ti, tj), kind (0 left, 1 right,
+def _tile_losses(rows: DataFrame, on: list[str], by: list[str], link: str, own: bool, exact: bool, losses: tuple[str, ...]) -> DataFrame:
+    """by, loss, value over the pairs of all tiles. l2, sse, mse, deviance and auc come from sums and counts of a tile; another loss (see
+    `register_loss`) aggregates the tiles' pairs as they leave it, which are summed up before any shuffle. rows: on (by and the tiles ti, tj), kind (0 left, 1 right,
     2 edge), node, j, x. own: both sides are the same nodes, so a tile with itself counts i < j alone.
 
     Scores are counted by bins of their logit. With `exact`, bins that hold both kinds of pairs are counted once more by the scores
@@ -76,9 +79,27 @@ def _tile_losses(rows: DataFrame, on: list[str], by: list[str], link: str, own:
         n, pos = np.bincount(spot, minlength=len(at)), np.bincount(spot, t[some], minlength=len(at))
         return pd.DataFrame({**{c: key[k] for k, c in enumerate(by)}, "phat": at, "pos": pos.astype(float), "neg": n - pos})
 
+    def listed(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = scores(key, pdf)
+        p, t = (found[0], found[1]) if found else (np.zeros(0), np.zeros(0))
+        return pd.DataFrame({**{c: [key[k]] * len(p) for k, c in enumerate(by)}, "y": np.asarray(t, float), "phat": p})
+
+    others = [x for x in losses if x not in TILED]
+    if others:
+        pairs = rows.groupBy(*on).applyInPandas(listed, f"{key_schema}, y double, phat double").groupBy(*by).agg(*[LOSSES[x](F.col("y"), F.col("phat")).cast("double").alias(x) for x in others])
+        more = pairs.select(*by, F.explode(F.array(*[F.struct(F.lit(x).alias("loss"), F.col(x).alias("value")) for x in others])).alias("v")).select(*by, "v.loss", "v.value")
+        if len(others) == len(losses):
+            return more
+        return more.unionByName(_tile_losses(rows, on, by, link, own, exact, tuple(x for x in losses if x in TILED)))
     sums = written(rows.groupBy(*on).applyInPandas(count, f"{key_schema}, bin long, pos double, neg double, sse double, deviance double"), "tiles")
-    plain = sums.groupBy(*by).agg(F.sqrt(F.sum("sse")).alias("l2"), F.sum("sse").alias("sse"), F.sum("deviance").alias("deviance"))
-    long = plain.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("loss"), F.col(c).alias("value")) for c in ("l2", "sse", "deviance")])).alias("v")).select(*by, "v.loss", "v.value")
+    parts = {"l2": F.sqrt(F.sum("sse")), "sse": F.sum("sse"), "mse": F.sum("sse") / F.sum(F.col("pos") + F.col("neg")), "deviance": F.sum("deviance"), "loglik": F.sum("deviance")}
+    parts = {x: parts[x] for x in losses if x != "auc"}
+    long = None
+    if parts:
+        plain = sums.groupBy(*by).agg(*[v.alias(x) for x, v in parts.items()])
+        long = plain.select(*by, F.explode(F.array(*[F.struct(F.lit(x).alias("loss"), F.col(x).alias("value")) for x in parts])).alias("v")).select(*by, "v.loss", "v.value")
+    if "auc" not in losses:
+        return long
     bins = written(sums.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "tile-bins")
     middle = 1 / (1 + F.exp(-((F.col("bin") + 0.5) / BINS - 0.5) * (2 * REACH)))
     points = bins.select(*by, middle.alias("phat"), "pos", "neg")
@@ -88,11 +109,12 @@ def _tile_losses(rows: DataFrame, on: list[str], by: list[str], link: str, own:
         fine = rows.unionByName(spots).groupBy(*on).applyInPandas(refine, f"{key_schema}, phat double, pos double, neg double")
         fine = fine.groupBy(*by, F.round("phat", 12).alias("phat")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         points = points.where("not (pos > 0 and neg > 0)").unionByName(fine)
-    return long.unionByName(auc_loss(points, tuple(by)).select(*by, F.lit("auc").alias("loss"), "value"))
+    ranks = auc_loss(points, tuple(by)).select(*by, F.lit("auc").alias("loss"), "value")
+    return ranks if long is None else long.unionByName(ranks)
 
 
-def tiled_pair_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("rep", "cand"), link: str = "dot", tile: int = 1000, exact: bool = True) -> DataFrame:
-    """keys, p, q, loss, value: l2, deviance and auc over all pairs (i in fold p, j in fold q > p).
+def tiled_pair_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("rep", "cand"), link: str = "dot", tile: int = 1000, exact: bool = True, losses: tuple[str, ...] = ("l2", "deviance", "auc")) -> DataFrame:
+    """keys, p, q, loss, value: the named losses over all pairs (i in fold p, j in fold q > p).
 
     left, right: keys, sub, node, x. Link "dot" predicts the clamped product of x_i and x_j (a degree-corrected block model is
     psi_i B[g_i, .] against psi_j e(g_j)); "latent" predicts logistic(b - |x_i - x_j|) with b the last entries' mean.
@@ -118,7 +140,7 @@ def tiled_pair_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tu
         .unionByName(b.select(*on, F.lit(1).alias("kind"), "node", empty.cast("long").alias("j"), "x"))
         .unionByName(e.select(*on, F.lit(2).alias("kind"), F.col("i").alias("node"), "j", empty.cast("array<double>").alias("x")))
     )
-    return _tile_losses(rows, on, [*keys, "p", "q"], link, False, exact).where("loss <> 'sse'")
+    return _tile_losses(rows, on, [*keys, "p", "q"], link, False, exact, tuple(losses))
 
 
 def tiled_own_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("fold", "cand"), tile: int = 1000, exact: bool = True) -> DataFrame:
@@ -140,8 +162,7 @@ def tiled_own_loss(left: DataFrame, right: DataFrame, held: DataFrame, keys: tup
         .unionByName(b.select(*on, F.lit(1).alias("kind"), "node", none.cast("long").alias("j"), "x"))
         .unionByName(e.select(*on, F.lit(2).alias("kind"), "node", "j", none.cast("array<double>").alias("x")))
     )
-    found = _tile_losses(rows, on, list(keys), "dot", True, exact).where("loss <> 'l2'")
-    return found.withColumn("loss", F.when(F.col("loss") == "deviance", "loglik").otherwise(F.col("loss")))
+    return _tile_losses(rows, on, list(keys), "dot", True, exact, ("sse", "loglik", "auc"))
 
 
 def dcbm_vectors(labels: DataFrame, blocks: DataFrame, theta: DataFrame, keys: tuple[str, ...] = ("rep", "cand")) -> tuple[DataFrame, DataFrame]:
