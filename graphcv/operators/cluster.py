@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphcv.functions.columns import distance
 from graphcv.operators.spectral import row_normalize, sub_eigenvectors
+from graphcv.sources.shared import written
 
 
 def kmeans(x: np.ndarray, k: int, nstart: int = 30, rounds: int = 30, seed: int = 42) -> np.ndarray:
@@ -58,8 +60,48 @@ def kmedoids(x: np.ndarray, k: int, seed: int = 42, cells: int = 4_000_000) -> n
     return (squares[:, None] - 2 * x @ m.T + (m * m).sum(1)).argmin(1) + 1
 
 
-def cluster_labels(positions: DataFrame, cands: list[int], keys: tuple[str, ...] = ("rep", "sub"), normalize: bool = False, method: str = "kmeans", seed: int = 42) -> DataFrame:
-    """keys, cand, node, g: labels from the first `cand` entries of x, for all candidates of a piece in one pass. One label needs no clustering."""
+def tiled_medoids(positions: DataFrame, cands: list[int], keys: tuple[str, ...], normalize: bool, tile: int = 2000) -> DataFrame:
+    """keys, cand, node, g as `kmedoids` gives them, for pieces of any size: each medoid is chosen by one job that sums, for all candidates,
+    the distances of all rows by tiles of both. Of equal sums (9 digits) the least node is chosen. A piece's medoids come to the driver."""
+    on = [*keys, "cand"]
+    each = positions.select(*keys, "node", F.explode(F.array(*[F.lit(c) for c in cands])).alias("cand"), "x").withColumn("x", F.slice("x", 1, F.col("cand")))
+    each = written((row_normalize(each) if normalize else each).select(*on, "node", "x"), "medoid-rows")
+    largest = each.groupBy(*on).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    tiles = max(1, -(-largest // tile))
+    part = F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int")
+    every, types = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))), dict(each.dtypes)
+    state = each.select(*on, "node", "x", F.lit(float("inf")).alias("near"), F.lit(1).alias("g"))
+    schema = ", ".join(f"{c} {types[c]}" for c in on)
+
+    def far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0))
+
+    for turn in range(1, max(cands) + 1):
+        open_ = state.where(F.col("cand") >= turn).where(F.col("cand") > 1)
+        rows = open_.select(*on, part.alias("ti"), every.alias("tj"), F.lit(0).alias("side"), "node", "x", "near").unionByName(open_.select(*on, every.alias("ti"), part.alias("tj"), F.lit(1).alias("side"), "node", "x", "near"))
+
+        def costs(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+            if not len(a) or not len(b):
+                return pd.DataFrame({c: [] for c in (*on, "node", "cost")}, dtype=object)
+            cost = np.minimum(far(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())), a["near"].to_numpy()[:, None]).sum(0)
+            return pd.DataFrame({**{c: key[k] for k, c in enumerate(on)}, "node": b["node"].to_numpy(), "cost": cost})
+
+        summed = rows.groupBy(*on, "ti", "tj").applyInPandas(costs, f"{schema}, node {types['node']}, cost double").groupBy(*on, "node").agg(F.sum("cost").alias("cost"))
+        best = written(summed.groupBy(*on).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), F.col("node"))).alias("b")).select(*on, F.col("b.node").alias("node")), "medoids")
+        medoid = F.broadcast(each.join(F.broadcast(best), [*on, "node"]).select(*on, F.col("x").alias("m")))  # a row a piece and candidate
+        met = state.join(medoid, on, "left")
+        away = F.when(F.col("m").isNull(), F.lit(float("inf"))).otherwise(distance(F.col("x"), F.col("m")))
+        state = met.withColumn("away", away).select(*on, "node", "x", F.least("near", "away").alias("near"), F.when(F.col("away") < F.col("near"), turn).otherwise(F.col("g")).alias("g"))
+        state = written(state, "medoid-state")
+    return state.select(*on, "node", "g")
+
+
+def cluster_labels(positions: DataFrame, cands: list[int], keys: tuple[str, ...] = ("rep", "sub"), normalize: bool = False, method: str = "kmeans", seed: int = 42, most: int = 10_000) -> DataFrame:
+    """keys, cand, node, g: labels from the first `cand` entries of x, for all candidates of a piece in one pass. One label needs no
+    clustering. Medoids of pieces of more than `most` rows are chosen by tiles (`tiled_medoids`), as their work is the square of the rows."""
+    if method == "kmedoids" and (positions.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > most:
+        return tiled_medoids(positions, cands, keys, normalize)
     rows = positions
     choose = kmeans if method == "kmeans" else kmedoids
 

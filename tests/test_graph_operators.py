@@ -300,3 +300,50 @@ def test_tiles_multiply(spark):
     found = tile_matvec(block, frame(spark, links, "src long, dst long"), lambda p, q, linked: linked + np.outer(p["t"], q["t"]), tile=7)
     t = np.arange(n) % 4
     assert np.allclose([r.y for r in found.orderBy("node").collect()], (a + np.outer(t, t)) @ x)
+
+
+def test_medoids_by_tiles(spark):
+    """Medoids chosen by tiles are those of one task."""
+    from graphcv.operators.cluster import cluster_labels
+
+    rng = np.random.default_rng(9)
+    rows = [(1, s, i, [float(v) for v in rng.normal(size=3)]) for s in (1, 2) for i in range(90)]
+    table = frame(spark, rows, "rep int, sub int, node long, x array<double>")
+    one, two = ({(r["sub"], r.cand, r.node): r.g for r in cluster_labels(table, [1, 2, 3], method="kmedoids", most=m).collect()} for m in (10, 10_000))
+    assert one == two and len(one) == 540
+
+
+def test_latent_positions(spark):
+    """Steps by tiles equal those in a task; the planted distances are found."""
+    from graphcv.operators.latent import fit_latent
+
+    rng = np.random.default_rng(10)
+    n = 60
+    z = rng.normal(size=(n, 2)) * 1.5
+    far = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    links = [(1, 1, i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 1 / (1 + np.exp(-(2.5 - 1.5 * far[i, j])))]
+    members, edges = frame(spark, [(1, 1, i) for i in range(n)], "rep int, sub int, node long"), frame(spark, links, "rep int, sub int, src long, dst long")
+    get = lambda **o: {(r.cand, r.node): (*r.x, r.beta) for r in fit_latent(members, edges, [1, 2], **o).collect()}
+    one, two = get(steps=3, most_nodes=10, tile=25), get(steps=3)
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
+    full = get()
+    x = np.array([full[2, i][:2] for i in range(n)])
+    found = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    some = np.triu_indices(n, 1)
+    assert np.corrcoef(found[some], far[some])[0, 1] > 0.8
+
+
+def test_registered_losses_and_eigen_fit(spark):
+    """Losses of a caller's own and the eigen fit, in the jobs of overlapping pieces."""
+    from graphcv.jobs.tuning import overlap_cv_blockmodel, overlap_cv_rank, tune_tau_by_loss
+
+    rng = np.random.default_rng(11)
+    n = 60
+    edges = frame(spark, [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.6 if i % 2 == j % 2 else 0.05)], "src long, dst long")
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    S.register_loss("total", lambda y, p: F.sum(F.abs(y - p)))
+    losses, choices = overlap_cv_blockmodel(nodes, edges, [1, 2], 2, 20, 1, losses=("l2", "total"), dc_est=1)
+    assert {r.loss: r.choice.split("-")[1] for r in choices.collect()} == {"l2": "2", "total": "2"} and losses.count() == 8
+    assert {r.loss for r in tune_tau_by_loss(nodes, edges, 2, [0.5], 2, 20, 1, dc_est=1, losses=("total", "auc"))[0].collect()} == {"total", "auc"}
+    assert {r.loss for r in overlap_cv_rank(nodes, edges, [1, 2], 2, 20, 1, losses=("total",))[0].collect()} == {"total"}
+    del S.LOSSES["total"]
