@@ -20,7 +20,7 @@ from graphcv.operators.krylov import leading_eigenpairs
 from graphcv.operators.latent import fit_latent
 from graphcv.operators.pairs import PairSplit, held_losses
 from graphcv.operators.spectral import adjacency_embedding, each_tau_eigenvectors, fold_row_svd, graph_eigenvectors, procrustes_align, sub_eigenvectors
-from graphcv.operators.tiles import dcbm_vectors, tile_eigenvalues, tile_matvec, tiled_own_loss, tiled_pair_loss
+from graphcv.operators.tiles import dcbm_vectors, tile_eigenpairs, tile_matvec, tiled_own_loss, tiled_pair_loss
 from graphcv.sources.shared import written
 
 KEYS = ("rep", "cand")
@@ -174,50 +174,57 @@ def whole_graph_labels(nodes: DataFrame, edges: DataFrame, k: int, tau: float, l
     return each_tau_labels(nodes, edges, k, [tau], laplace, corrected).select("node", "g")
 
 
-def spectral_gap_tau(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], corrected: bool = True, dc_fit: str = "degree", labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def clipped(a, b, linked):
+    """Entries l_i . r_j in [0, 1]; a and b have l and r (arrays)."""
+    return np.clip(np.stack(a["l"]) @ np.stack(b["r"]).T, 0.0, 1.0)
+
+
+def clipped_laplacian(a, b, linked):
+    """The clipped entries and the constant c, scaled by fh on both sides."""
+    return np.outer(a["fh"], b["fh"]) * (clipped(a, b, linked) + a["c"].to_numpy()[:, None])
+
+
+def laplacian_gap(a, b, linked):
+    """The distance of the graph's regularised Laplacian (scale f) from the fitted one."""
+    return np.abs(np.outer(a["f"], b["f"]) * (linked + a["c"].to_numpy()[:, None]) - clipped_laplacian(a, b, linked))
+
+
+def row_sums(params: DataFrame, edges: DataFrame, entries) -> DataFrame:
+    """piece, node, total: sums of the rows of the matrices of `tile_matvec`."""
+    return tile_matvec(params.withColumn("x", F.array(F.lit(1.0))), edges, entries).select("piece", "node", F.col("y")[0].alias("total"))
+
+
+def spectral_gap_tau(nodes: DataFrame, edges: DataFrame, k: int, taus: list[float], corrected: bool = True, dc_fit: str = "degree", labels: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(ratios: tau, value; choice: tau, value): the largest singular value of abs(L - Lhat) over the k-th eigenvalue of Lhat, per
     tau, and the tau of the least ratio. L is the regularised Laplacian, Lhat that of the fitted model, both with the constant
     tau dbar / n in entries and degrees; nodes without weight have zeros. A zero eigenvalue gives null, ranked last. `labels`
-    (tau, node, g) replace the fitted ones.
+    (tau, node, g) replace the fitted ones. All taus are solved in the same rounds, a product in tiles serving all of them
+    (options: see `tile_eigenpairs`).
     """
+    taus = [float(t) for t in taus]
     degree = written(degrees(nodes, edges), "degrees")
     n, mean = degree.agg(F.count("*"), F.avg("degree")).first()
-    keys, ratios = ("rep", "cand", "sub"), []
     if labels is None:
         labels = each_tau_labels(nodes, edges, k, taus, True, corrected, "dk", lone=False)
-    norms = None
-    if corrected and dc_fit == "eigen":
-        norms = graph_eigenvectors(nodes, edges, k)[0].select("node", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("psi"))
-    for tau in taus:
-        c = tau * (mean or 0.0) / max(1, n)
-        own = labels.where(F.col("tau") == F.lit(float(tau))).select("node", "g")
-        own = written(own.select(F.lit(1).alias("rep"), F.lit(k).alias("cand"), F.lit(1).alias("sub"), "node", "g"), "gap-labels")
-        sums = written(M.block_sums(edges, own, keys, ()), "sums")
-        if not corrected:
-            blocks, theta = M.sbm_blocks(sums, M.label_sizes(own, keys), keys), own.select(*keys, "node", F.lit(1.0).alias("psi"))
-        elif dc_fit == "eigen":
-            blocks, theta = M.dcbm_eigen_fit(sums, own, norms, keys)
-        else:
-            blocks, theta = M.dcbm_fit(sums, own, degree, keys, (), omitted=False)
-        left, right = dcbm_vectors(own, blocks.drop("sub"), theta.drop("sub"), KEYS)
-        both = left.select("node", F.col("x").alias("l")).join(right.select("node", F.col("x").alias("r")), "node")
-        both = written(both.join(degree, "node").select("node", "l", "r", "degree"), "gap-vectors")
-
-        def fitted(a, b, linked):
-            return np.clip(np.stack(a["l"]) @ np.stack(b["r"]).T, 0.0, 1.0)
-
-        def fitted_laplacian(a, b, linked, c=c, fitted=fitted):
-            return np.outer(a["fh"], b["fh"]) * (fitted(a, b, linked) + c)
-
-        def difference(a, b, linked, c=c, laplacian=fitted_laplacian):
-            return np.abs(np.outer(a["f"], b["f"]) * (linked + c) - laplacian(a, b, linked))
-
-        expected = tile_matvec(both.withColumn("x", F.array(F.lit(1.0))), edges, fitted).select("node", F.col("y")[0].alias("expected"))
-        scale = lambda d, c=c: F.when(F.col(d) + c > 0, 1 / F.sqrt(F.col(d) + c)).otherwise(0.0)
-        params = written(both.join(expected, "node").select("node", "l", "r", scale("degree").alias("f"), scale("expected").alias("fh")), "gap-params")
-        top = abs(tile_eigenvalues(params, edges, difference, 1)[0])
-        low = tile_eigenvalues(params, edges, fitted_laplacian, k)[-1]
-        ratios.append((float(tau), abs(top / low) if abs(low) > 1e-12 else None))
+    number = F.element_at(F.create_map(*[x for i, t in enumerate(taus) for x in (F.lit(t), F.lit(i))]), F.col("tau"))
+    own = labels.where(F.col("tau").isin(*taus)).select(number.alias("rep"), F.lit(k).alias("cand"), F.lit(1).alias("sub"), "node", "g")
+    own = written(own, "gap-labels")
+    sums = written(M.block_sums(edges, own, PIECE, ()), "sums")
+    if not corrected:
+        blocks, theta = M.sbm_blocks(sums, M.label_sizes(own, PIECE), PIECE), own.select(*PIECE, "node", F.lit(1.0).alias("psi"))
+    elif dc_fit == "eigen":
+        blocks, theta = M.dcbm_eigen_fit(sums, own, graph_eigenvectors(nodes, edges, k)[0].select("node", norm("x").alias("psi")), PIECE)
+    else:
+        blocks, theta = M.dcbm_fit(sums, own, degree, PIECE, (), omitted=False)
+    left, right = dcbm_vectors(own, blocks.drop("sub"), theta.drop("sub"), KEYS)
+    both = left.select("rep", "node", F.col("x").alias("l")).join(right.select("rep", "node", F.col("x").alias("r")), ["rep", "node"])
+    const = F.element_at(F.array(*[F.lit(t * (mean or 0.0) / max(1, n)) for t in taus]), F.col("piece") + 1)
+    both = written(both.join(degree, "node").withColumnRenamed("rep", "piece").withColumn("c", const), "gap-vectors")
+    scale = lambda d: F.when(F.col(d) + F.col("c") > 0, 1 / F.sqrt(F.col(d) + F.col("c"))).otherwise(0.0)
+    met = both.join(row_sums(both, edges, clipped), ["piece", "node"])
+    params = written(met.select("piece", "node", "l", "r", "c", scale("degree").alias("f"), scale("total").alias("fh")), "gap-params")
+    top, low = tile_eigenpairs(params, edges, laplacian_gap, 1, **options)[1], tile_eigenpairs(params, edges, clipped_laplacian, k, **options)[1]
+    ratios = [(t, abs(top[i][0][0] / low[i][0][-1]) if len(low[i][0]) == k and abs(low[i][0][-1]) > 1e-12 else None) for i, t in enumerate(taus) if i in top]
     found = edges.sparkSession.createDataFrame(ratios, "tau double, value double")  # a row for each tau
     return found, A.argmin_candidate(found, (), "tau")
 
@@ -283,6 +290,22 @@ def fold_eigenvectors(split: PairSplit, k: int) -> tuple[DataFrame, dict[int, li
     return written(found.withColumnRenamed("piece", "fold"), "fold-vectors"), {f: v for f, (v, _) in solved.items()}
 
 
+def imputed_vectors(found: DataFrame, values: dict[int, list[float]], share: float, edges: DataFrame, tau: float, cands: list[int], **options) -> DataFrame:
+    """fold, cand, node, x: leading eigenvectors of D^-1/2 (A + tau dbar / n) D^-1/2 for the imputed A of every fold and rank: the
+    low-rank matrix over `share`, clipped to [0, 1], dbar its mean row sum. A is computed in tiles and never stored."""
+    scale = F.create_map(*[x for f, v in values.items() for x in (F.lit(f), F.array(*[F.lit(float(e) / share) for e in v]))])
+    each = found.select("fold", "node", F.explode(F.array(*map(F.lit, cands))).alias("cand"), "x", F.zip_with("x", F.element_at(scale, F.col("fold")), lambda u, e: u * e).alias("sx"))
+    piece = F.col("fold") * (max(cands) + 1) + F.col("cand")
+    parts = written(each.select(piece.cast("int").alias("piece"), "fold", "cand", "node", F.slice("sx", F.lit(1), F.col("cand")).alias("l"), F.slice("x", F.lit(1), F.col("cand")).alias("r")), "imputed")
+    none = edges.limit(0)
+    sums = written(parts.join(row_sums(parts, none, clipped), ["piece", "node"]), "imputed-sums")
+    stats = sums.groupBy("piece").agg((tau * F.avg("total") / F.count("*")).alias("c"), F.count("*").alias("n"))
+    heavy = F.col("total") + F.col("c") * F.col("n")
+    params = sums.join(F.broadcast(stats), "piece").select("piece", "node", "l", "r", "c", F.when(heavy > 0, 1 / F.sqrt(heavy)).otherwise(0.0).alias("fh"))
+    vectors, _ = tile_eigenpairs(written(params, "imputed-params"), none, clipped_laplacian, max(cands), **options)
+    return vectors.join(parts.select("piece", "fold", "cand").distinct(), "piece").select("fold", "cand", "node", F.slice("x", F.lit(1), F.col("cand")).alias("x"))
+
+
 def pair_cv_rank(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 3, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(losses, choices): the rank by imputation of held-out pairs: sse, mse and auc by candidate.
 
@@ -317,9 +340,11 @@ def fold_labels(found: DataFrame, cands: list[int], normalize: bool, most: int =
     return reduce(DataFrame.unionByName, each)
 
 
-def pair_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 3, share: float = 0.1, cv: int | None = None, labels: DataFrame | None = None, dc_est: int = 2) -> tuple[DataFrame, DataFrame]:
+def pair_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, folds: int = 3, share: float = 0.1, cv: int | None = None, labels: DataFrame | None = None, dc_est: int = 2, tau: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(losses, choices): block model and number of communities by held-out pairs; each pair counts twice in sums.
 
+    With tau > 0, two and more communities are those of the regularised Laplacian of the imputed matrix (`imputed_vectors`).
+
     Pairs are held out in `folds` draws of a `share`, or with `cv` in as many folds that cover all pairs. Block models are scored
     by counts of held-out pairs and edges between labels; degree-corrected ones pair by pair, as the pairs are drawn. With
     one community the corrected model's squared error is that of the density. labels: supplied (fold, cand, node, g) for
@@ -332,8 +357,14 @@ def pair_cv_blockmodel(nodes: DataFrame, edges: DataFrame, max_k: int, folds: in
     if labels is not None:
         plain = corrected = written(labels.select(*keys, "node", "g"), "labels")
     else:
-        found, _ = fold_eigenvectors(split, max_k)
-        plain, corrected = (written(fold_labels(found, list(range(1, max_k + 1)), c), "labels") for c in (False, True))
+        found, values = fold_eigenvectors(split, max_k)
+        cands = list(range(1, max_k + 1))
+        if tau > 0 and max_k > 1:
+            bent = written(imputed_vectors(found, values, split.seen_share, edges, tau, cands[1:]), "imputed-vectors")
+            fit = lambda c: reduce(DataFrame.unionByName, [fold_labels(found, [1], c), *(fold_labels(bent.where(F.col("cand") == k), [k], c) for k in cands[1:])])
+        else:
+            fit = lambda c: fold_labels(found, cands, c)
+        plain, corrected = (written(fit(c), "labels") for c in (False, True))
     counts = written(split.block_counts(plain), "held-counts")
     blocks = written(M.ecv_sbm_blocks(seen, None, plain, keys, counts.where("edge = 0")), "blocks")
     sbm = held_losses(counts.join(blocks.withColumnRenamed("b", "phat"), [*keys, "k", "l"]), keys, ["sse", "loglik", "auc"], "n")

@@ -78,7 +78,7 @@ def dense_eigenpairs(rows: DataFrame, links: DataFrame, consts: dict[int, float]
     return out.select("piece", "node", "x"), {r["piece"]: (list(r["v"]), list(r["r"])) for r in first}
 
 
-def leading_eigenpairs(rows: DataFrame, links: DataFrame, consts: dict[int, float], k: int, extra: int = 14, tol: float = 1e-7, most_rounds: int = 600, seed: int = 42, degree: int = 16, shift: float | None = None, dense: int = 1500) -> tuple[DataFrame, dict[int, tuple[list[float], list[float]]]]:
+def leading_eigenpairs(rows: DataFrame, links: DataFrame | None, consts: dict[int, float], k: int, extra: int = 14, tol: float = 1e-7, most_rounds: int = 600, seed: int = 42, degree: int = 16, shift: float | None = None, dense: int = 1500, multiply=None) -> tuple[DataFrame, dict[int, tuple[list[float], list[float]]]]:
     """(piece, node, x; piece -> eigenvalues and residuals): the k eigenpairs of largest magnitude of each piece's matrix.
 
     rows: piece (int), node, f; links: piece, src, dst in both directions. A piece's matrix is f_i f_j (linked + const). With
@@ -86,7 +86,8 @@ def leading_eigenpairs(rows: DataFrame, links: DataFrame, consts: dict[int, floa
     entry. All pieces move together: a round joins the links with the block's columns once and sums them by node, a
     Chebyshev polynomial of such rounds damps the unwanted part of the spectrum, and Rayleigh-Ritz follows. Only products
     of k + extra columns a piece come to the driver; every round's block is a table in the shared folder. If no piece has more
-    than `dense` nodes, each is solved in a task as a dense matrix instead.
+    than `dense` nodes, each is solved in a task as a dense matrix instead. multiply(table, xs, ys), if given, stands for the
+    product with other matrices: `table` with the columns ys.
 
     Ends when the residuals of all k pairs of all pieces are below `tol` of the piece's largest value, else raises. Of equal
     magnitudes the positive value comes first; each vector's largest entry (to 9 digits, of the least node) is positive.
@@ -118,6 +119,8 @@ def leading_eigenpairs(rows: DataFrame, links: DataFrame, consts: dict[int, floa
 
     def product(table: DataFrame) -> DataFrame:
         """`table` with y0, y1, ...: the matrices times the columns x."""
+        if multiply is not None:
+            return multiply(table, xs, ys)
         if psd:
             half = sums(table, links, table.where("train").select("piece", "node"), "src", "dst", None, F.lit(float(shift)) if shift else None)
             half = written(half.select("piece", "node", *[F.col(y).alias(x) for x, y in zip(xs, ys, strict=True)]), "half-step")

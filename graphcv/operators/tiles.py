@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcv.operators.graph import arcs
+from graphcv.operators.krylov import by_magnitude, largest_positive, leading_eigenpairs
 from graphcv.operators.loss import LOSSES, auc_loss
 from graphcv.sources.shared import written
 
@@ -177,52 +178,69 @@ def dcbm_vectors(labels: DataFrame, blocks: DataFrame, theta: DataFrame, keys: t
 
 
 def tile_matvec(block: DataFrame, edges: DataFrame, entries, tile: int = 2000) -> DataFrame:
-    """node, y: a dense symmetric matrix, never stored, times the columns x (array) of `block` (node, x, parameters of nodes).
+    """node, y (and piece, if `block` has it): dense symmetric matrices, never stored, times the columns x (array) of `block` (node, x,
+    parameters of nodes), one matrix a piece.
 
     `entries(a, b, linked)` gives the entries between the rows `a` and `b` of `block` from their parameters and from which of
-    them are linked. A tile holds some `tile` rows and columns; n * n / tile rows are shuffled.
+    them are linked. A tile holds some `tile` rows and columns; n * n / tile rows a piece are shuffled, for all pieces at once.
     """
-    first = block.agg(F.count("*"), F.max(F.size("x"))).first()
-    parts, width = max(1, -(-first[0] // tile)), first[1] or 0
+    keys = ["piece"] if "piece" in block.columns else []
+    sizes = block.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w")).collect()  # a row a piece
+    parts, width = max([1, *(-(-r["n"] // tile) for r in sizes)]), max([0, *(r["w"] or 0 for r in sizes)])
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     rows = block.select(part("node").alias("p"), every.alias("q"), F.lit(0).alias("side"), *block.columns)
     columns = block.select(every.alias("p"), part("node").alias("q"), F.lit(1).alias("side"), *block.columns)
-    links = arcs(edges).select(part("src").alias("p"), part("dst").alias("q"), "src", "dst")
+    links = arcs(edges.select("src", "dst")).select(part("src").alias("p"), part("dst").alias("q"), "src", "dst")
+    if keys:
+        links = links.select(F.explode(F.array(*[F.lit(r["piece"]).cast(dict(block.dtypes)["piece"]) for r in sizes])).alias("piece"), "*") if sizes else links.select(F.lit(0).alias("piece"), "*")
+    on = [*keys, "p", "q"]
 
     def product(both: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         both = both.sort_values("node")
         a, b = both[both["side"] == 0], both[both["side"] == 1]
         if not len(a) or not len(b):
-            return pd.DataFrame({"node": [], "y": []})
+            return pd.DataFrame({c: [] for c in (*keys, "node", "y")}, dtype=object)
         linked = np.zeros((len(a), len(b)))
         linked[np.searchsorted(a["node"], found["src"]), np.searchsorted(b["node"], found["dst"])] = 1.0
-        return pd.DataFrame({"node": a["node"], "y": list(entries(a, b, linked) @ np.stack(b["x"]))})
-
-    products = rows.unionByName(columns).groupBy("p", "q").cogroup(links.groupBy("p", "q")).applyInPandas(product, "node long, y array<double>")
-    return products.groupBy("node").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y"))
-
-
-def tile_eigenvalues(params: DataFrame, edges: DataFrame, entries, k: int, extra: int = 2, tol: float = 1e-7, rounds: int = 200) -> list[float]:
-    """The k eigenvalues of largest magnitude of the matrix of `tile_matvec`, by block iteration until they change by less than
-    `tol` of the largest; only Gram matrices of k + extra columns come to the driver. Raises after `rounds` rounds without rest."""
-    width = k + extra
-    start = F.array(*[F.pmod(F.xxhash64("node", F.lit(c)), F.lit(1_000_003)) / 1_000_003 - (0.0 if c == 0 else 0.5) for c in range(width)])
-    block, last = written(params.withColumn("x", start), "tile-block"), None
-    for _ in range(rounds):
-        met = written(block.join(tile_matvec(block, edges, entries), "node"), "tile-product")
-        sums = [F.sum(F.col(a)[i] * F.col(b)[j]) for a, b in ("xx", "xy", "yy") for i in range(width) for j in range(width)]
-        xx, xy, yy = np.array(met.agg(*sums).first(), dtype=float).reshape(3, width, width)
-        size, turn = np.linalg.eigh(xx)
-        w = (turn / np.sqrt(np.maximum(size, 1e-300)))[:, size > 1e-10 * size.max()]
-        t = w.T @ (xy + xy.T) @ w / 2
-        values = np.linalg.eigvalsh(t)
-        values = values[np.argsort(-np.abs(values), kind="stable")][:k]
-        values = np.concatenate([values, np.zeros(k - len(values))])
-        if last is not None and np.abs(values - last).max() <= tol * max(np.abs(values).max(), 1e-300):
-            return values.tolist()
-        last = values
-        m = np.linalg.inv(np.linalg.cholesky(yy + (1e-13 * np.trace(yy) + 1e-300) * np.eye(width)).T)
-        mixed = F.array(*[sum((F.col("y")[i] * float(m[i, j]) for i in range(width)), F.lit(0.0)) for j in range(width)])
-        block = met.select(*params.columns, mixed.alias("x"))
-    raise RuntimeError(f"eigenvalues did not settle in {rounds} rounds")
+        return pd.DataFrame({**{c: a[c] for c in keys}, "node": a["node"], "y": list(entries(a, b, linked) @ np.stack(b["x"]))})
+
+    types = dict(block.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), f"node {types['node']}, y array<double>"])
+    products = rows.unionByName(columns).groupBy(*on).cogroup(links.groupBy(*on)).applyInPandas(product, schema)
+    return products.groupBy(*keys, "node").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y"))
+
+
+def tile_eigenpairs(params: DataFrame, edges: DataFrame, entries, k: int, dense: int = 1500, tile: int = 2000, **options) -> tuple[DataFrame, dict[int, tuple[list[float], list[float]]]]:
+    """(piece, node, x; piece -> eigenvalues and residuals): the k eigenpairs of largest magnitude of the matrices of `tile_matvec`.
+
+    params: piece, node and what `entries` needs. Pieces of `dense` nodes at most are solved in a task each; larger ones by the
+    rounds of `leading_eigenpairs` (its options), each a product in tiles that serves all pieces.
+    """
+    types, sizes = dict(params.dtypes), {r["piece"]: r["n"] for r in params.groupBy("piece").agg(F.count("*").alias("n")).collect()}  # a row a piece
+    if not sizes:
+        return params.select("piece", "node", F.array().cast("array<double>").alias("x")), {}
+    if max(sizes.values()) <= dense:
+        links = arcs(edges.select("src", "dst")).select(F.explode(F.array(*[F.lit(p).cast(types["piece"]) for p in sizes])).alias("piece"), "src", "dst")
+
+        def solve(key, nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            nodes = nodes.sort_values("node")
+            linked = np.zeros((len(nodes), len(nodes)))
+            linked[np.searchsorted(nodes["node"], found["src"]), np.searchsorted(nodes["node"], found["dst"])] = 1.0
+            a = entries(nodes, nodes, linked)
+            values, vectors = np.linalg.eigh(a)
+            order = by_magnitude(values)[:k]
+            left = np.linalg.norm(a @ vectors[:, order] - vectors[:, order] * values[order], axis=0)
+            return pd.DataFrame({"piece": key[0], "node": nodes["node"], "x": list(largest_positive(vectors[:, order])), "v": [values[order]] * len(nodes), "r": [left] * len(nodes)})
+
+        schema = f"piece {types['piece']}, node {types['node']}, x array<double>, v array<double>, r array<double>"
+        out = written(params.groupBy("piece").cogroup(links.groupBy("piece")).applyInPandas(solve, schema), "tile-vectors")
+        first = out.groupBy("piece").agg(F.first("v").alias("v"), F.first("r").alias("r")).collect()  # a row a piece
+        return out.select("piece", "node", "x"), {r["piece"]: (list(r["v"]), list(r["r"])) for r in first}
+
+    def multiply(table: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
+        block = params.join(table.select("piece", "node", F.array(*xs).alias("x")), ["piece", "node"])
+        found = tile_matvec(block, edges, entries, tile)
+        return table.join(found, ["piece", "node"]).withColumns({y: F.get("y", F.lit(i)) for i, y in enumerate(ys)}).drop("y")
+
+    return leading_eigenpairs(params.select("piece", "node", F.lit(1.0).alias("f")), None, {}, k, dense=0, multiply=multiply, **options)

@@ -257,8 +257,8 @@ def test_node_cv_with_supplied_labels(spark):
     assert {r.loss: r.choice[-1] for r in choices.collect()} == {"sse": "2", "loglik": "2", "auc": "2"} and losses.count() == 18
 
 
-@pytest.mark.parametrize("corrected", [False, True])
-def test_spectral_gap_equals_dense(spark, corrected):
+@pytest.mark.parametrize(("corrected", "options"), [(False, {}), (True, {}), (True, {"dense": 0, "tile": 25})])
+def test_spectral_gap_equals_dense(spark, corrected, options):
     """The ratio of supplied labels, against dense matrices of a graph in three tiles or one."""
     from graphcv.jobs.tuning import spectral_gap_tau
 
@@ -282,7 +282,7 @@ def test_spectral_gap_equals_dense(spark, corrected):
     low = np.sort(np.abs(np.linalg.eigvalsh(fit)))[-k]
     edges = frame(spark, [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(a)), strict=True)], "src long, dst long")
     labels = frame(spark, [(tau, i, int(g[i]) + 1) for i in range(n)], "tau double, node long, g int")
-    found, choice = spectral_gap_tau(frame(spark, [(i,) for i in range(n)], "node long"), edges, k, [tau], corrected, labels=labels)
+    found, choice = spectral_gap_tau(frame(spark, [(i,) for i in range(n)], "node long"), edges, k, [tau], corrected, labels=labels, **options)
     assert found.first()["value"] == pytest.approx(top / low, rel=1e-5) and choice.first()["tau"] == tau
 
 
@@ -347,3 +347,41 @@ def test_registered_losses_and_eigen_fit(spark):
     assert {r.loss for r in tune_tau_by_loss(nodes, edges, 2, [0.5], 2, 20, 1, dc_est=1, losses=("total", "auc"))[0].collect()} == {"total", "auc"}
     assert {r.loss for r in overlap_cv_rank(nodes, edges, [1, 2], 2, 20, 1, losses=("total",))[0].collect()} == {"total"}
     del S.LOSSES["total"]
+
+
+@pytest.mark.parametrize("options", [{}, {"dense": 0, "tile": 25}])
+def test_imputed_laplacian_equals_dense(spark, options):
+    """Eigenvectors of the regularised Laplacian of a clipped low-rank matrix, against the dense one, for two folds and two ranks."""
+    from graphcv.jobs.tuning import imputed_vectors
+
+    rng = np.random.default_rng(12)
+    n, share, tau = 60, 0.9, 0.7
+    rows, values, expected = [], {}, {}
+    for fold in (1, 2):
+        a = np.triu(rng.random((n, n)) < np.where(np.add.outer(np.arange(n), np.arange(n)) % 2 == 0, 0.6, 0.15), 1).astype(float)
+        v, x = leading(a + a.T, 3)
+        values[fold] = v.tolist()
+        rows += [(fold, i, x[i].tolist()) for i in range(n)]
+        for k in (2, 3):
+            p = np.clip((x[:, :k] * v[:k] / share) @ x[:, :k].T, 0, 1)
+            p = p + tau * p.sum(1).mean() / n
+            d = 1 / np.sqrt(p.sum(1))
+            expected[fold, k] = leading(p * np.outer(d, d), k)[1]
+    found = imputed_vectors(frame(spark, rows, "fold int, node long, x array<double>"), values, share, frame(spark, [(0, 1)], "src long, dst long"), tau, [2, 3], **options)
+    got = {(r.fold, r.cand, r.node): r.x for r in found.collect()}
+    for (fold, k), x in expected.items():
+        assert np.allclose(np.abs((np.array([got[fold, k, i] for i in range(n)]) * x).sum(0)), 1, atol=1e-6)
+
+
+def test_pair_cv_of_two_blocks(spark):
+    """Two dense blocks are found from held-out pairs, in draws and in folds, with and without regularisation."""
+    from graphcv.jobs.tuning import pair_cv_blockmodel, pair_cv_rank
+
+    rng = np.random.default_rng(13)
+    n = 50
+    edges = frame(spark, [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.7 if i % 2 == j % 2 else 0.05)], "src long, dst long")
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    for options in ({"folds": 2}, {"cv": 4, "tau": 0.5}):
+        choices = {r.loss: r.choice for r in pair_cv_blockmodel(nodes, edges, 3, **options)[1].collect()}
+        assert choices["loglik"][-1] == "2"
+    assert {r.loss for r in pair_cv_rank(nodes, edges, 3, 2)[0].collect()} == {"sse", "mse", "auc"}
