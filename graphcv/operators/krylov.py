@@ -78,7 +78,7 @@ def dense_eigenpairs(rows: DataFrame, links: DataFrame, consts: dict[int, float]
     return out.select("piece", "node", "x"), {r["piece"]: (list(r["v"]), list(r["r"])) for r in first}
 
 
-def leading_eigenpairs(rows: DataFrame, links: DataFrame | None, consts: dict[int, float], k: int, extra: int = 14, tol: float = 1e-7, most_rounds: int = 600, seed: int = 42, degree: int = 16, shift: float | None = None, dense: int = 1500, multiply=None) -> tuple[DataFrame, dict[int, tuple[list[float], list[float]]]]:
+def leading_eigenpairs(rows: DataFrame, links: DataFrame | None, consts: dict[int, float], k: int, extra: int = 14, tol: float = 1e-7, most_rounds: int = 600, seed: int = 42, degree: int = 16, shift: float | None = None, dense: int = 2500, multiply=None) -> tuple[DataFrame, dict[int, tuple[list[float], list[float]]]]:
     """(piece, node, x; piece -> eigenvalues and residuals): the k eigenpairs of largest magnitude of each piece's matrix.
 
     rows: piece (int), node, f; links: piece, src, dst in both directions. A piece's matrix is f_i f_j (linked + const). With

@@ -211,7 +211,7 @@ def tile_matvec(block: DataFrame, edges: DataFrame, entries, tile: int = 2000) -
     return products.groupBy(*keys, "node").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y"))
 
 
-def tile_eigenpairs(params: DataFrame, edges: DataFrame, entries, k: int, dense: int = 1500, tile: int = 2000, **options) -> tuple[DataFrame, dict[int, tuple[list[float], list[float]]]]:
+def tile_eigenpairs(params: DataFrame, edges: DataFrame, entries, k: int, dense: int = 2500, tile: int = 2000, **options) -> tuple[DataFrame, dict[int, tuple[list[float], list[float]]]]:
     """(piece, node, x; piece -> eigenvalues and residuals): the k eigenpairs of largest magnitude of the matrices of `tile_matvec`.
 
     params: piece, node and what `entries` needs. Pieces of `dense` nodes at most are solved in a task each; larger ones by the

@@ -385,3 +385,38 @@ def test_pair_cv_of_two_blocks(spark):
         choices = {r.loss: r.choice for r in pair_cv_blockmodel(nodes, edges, 3, **options)[1].collect()}
         assert choices["loglik"][-1] == "2"
     assert {r.loss for r in pair_cv_rank(nodes, edges, 3, 2)[0].collect()} == {"sse", "mse", "auc"}
+
+
+PLANTED = "/root/testdata/sf0.001"
+JOBS = {
+    "w1": lambda t, n, e: {r.choice for r in t.overlap_cv_blockmodel(n, e, [2, 3, 4], 2, 60, 1, losses=("l2", "deviance"))[1].collect()} <= {"SBM-3", "DCSBM-3"},
+    "w4": lambda t, n, e: t.tune_tau_by_loss(n, e, 3, [0.0, 0.5], 2, 60, 1)[1].count() == 3,
+    "w5": lambda t, n, e: all(r.value == pytest.approx(-1 if r.loss == "nmi" else 0, abs=0.1) for r in t.tune_tau_by_agreement(n, e, 3, [0.5, 1.0], 2, 60, 1)[0].collect()),
+    "w6": lambda t, n, e: {r.loss: r.choice[-1] for r in t.pair_cv_blockmodel(n, e, 4, 2)[1].collect()}["loglik"] == "3",
+    "w7": lambda t, n, e: {r.loss: r.choice[-1] for r in t.node_cv_blockmodel(n, e, 4, 2)[1].collect()}["loglik"] == "3",
+    "w8": lambda t, n, e: {r.loss: r.cand for r in t.pair_cv_rank(n, e, 5, 2)[1].collect()}["mse"] == 3,
+}
+
+
+@pytest.mark.parametrize("name", JOBS)
+def test_planted_communities_are_found(spark, name):
+    """Three planted blocks of 200 nodes."""
+    from graphcv.jobs import tuning
+    from graphcv.sources.graphs import planted
+    from graphcv.sources.shared import written
+
+    nodes, edges = planted(spark, PLANTED)
+    assert JOBS[name](tuning, nodes.select("node"), written(edges, "planted"))
+
+
+def test_planted_labels_of_the_whole_graph(spark):
+    from graphcv.jobs.tuning import consensus_labels, each_tau_labels
+    from graphcv.sources.graphs import planted
+    from graphcv.sources.shared import written
+
+    nodes, edges = planted(spark, PLANTED)
+    edges = written(edges, "planted")
+    found = L.label_accuracy(each_tau_labels(nodes.select("node"), edges, 3, [0.0, 0.5]), nodes, ("tau",)).collect()
+    assert {r.tau for r in found} == {0.0, 0.5} and all(r.accuracy > 0.97 for r in found)
+    stitched = consensus_labels(nodes.select("node"), edges, 3, 0.5, 2, 60, 2).select("node", "g")
+    assert L.label_accuracy(stitched, nodes).first().accuracy > 0.95
