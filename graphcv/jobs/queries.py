@@ -593,9 +593,18 @@ def _(x):
     return L.majority_label(x.combined, ("cand",))
 
 
-@query("l7_label_accuracy", """SELECT rep, 2::INTEGER AS cand, round(greatest(sum((g = node % 2 + 1)::INT), sum((g <> node % 2 + 1)::INT)) / count(*)::DOUBLE, 6) AS accuracy FROM combined WHERE cand = 2 GROUP BY rep""")
+@query("l7_label_accuracy", """, t AS (SELECT rep, g AS lab, node % 3 + 1 AS fixed, count(*) AS n FROM combined WHERE cand = 3 GROUP BY ALL),
+k1 AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY rep ORDER BY n DESC, fixed, lab) = 1),
+t2 AS (SELECT t.* FROM t JOIN k1 USING (rep) WHERE t.lab <> k1.lab AND t.fixed <> k1.fixed),
+k2 AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY rep ORDER BY n DESC, fixed, lab) = 1),
+t3 AS (SELECT t2.* FROM t2 JOIN k2 USING (rep) WHERE t2.lab <> k2.lab AND t2.fixed <> k2.fixed),
+k3 AS (SELECT * FROM t3 QUALIFY row_number() OVER (PARTITION BY rep ORDER BY n DESC, fixed, lab) = 1),
+hit AS (SELECT rep, sum(n) AS n FROM (SELECT rep, n FROM k1 UNION ALL SELECT rep, n FROM k2 UNION ALL SELECT rep, n FROM k3) GROUP BY rep)
+SELECT rep, 2::INTEGER AS cand, round(greatest(sum((g = node % 2 + 1)::INT), sum((g <> node % 2 + 1)::INT)) / count(*)::DOUBLE, 6) AS accuracy FROM combined WHERE cand = 2 GROUP BY rep
+UNION ALL SELECT rep, 3::INTEGER AS cand, round(any_value(hit.n) / count(*)::DOUBLE, 6) AS accuracy FROM combined JOIN hit USING (rep) WHERE cand = 3 GROUP BY rep""")
 def _(x):
-    return rounded(L.label_accuracy(x.combined.where("cand = 2"), x.truth.where("cand = 2"), KEYS, "cand"))
+    each = [L.label_accuracy(x.combined.where(F.col("cand") == c), x.truth.where(F.col("cand") == c), KEYS, "cand") for c in CANDS]
+    return rounded(reduce(DataFrame.unionByName, each))
 
 
 @query("l8_nmi", """SELECT rep, cand, round((h1 + h2 - h12) / ((h1 + h2) / 2), 6) AS nmi FROM (
@@ -625,6 +634,22 @@ def _(x):
     return rounded(L.pair_hamming_loss(L.fold_confusion(x.aligned, x.truth, KEYS), KEYS))
 
 
+@query("l10_pair_hamming_two", """, f AS (SELECT rep, sub, g AS lab, node % 2 + 1 AS fixed, count(*) AS n FROM aligned WHERE cand = 2 AND NOT shared GROUP BY ALL),
+x AS (SELECT rep, sub, max(lab) AS ml, max(fixed) AS mf FROM f GROUP BY ALL),
+t AS (SELECT a.rep, a.sub AS p, b.sub AS q, (a.lab - 1) * ml + b.lab AS lab, (a.fixed - 1) * mf + b.fixed AS fixed, sum(a.n * b.n) AS n FROM f a JOIN f b ON a.rep = b.rep AND a.sub < b.sub JOIN x ON x.rep = b.rep AND x.sub = b.sub GROUP BY ALL),
+k1 AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY rep, p, q ORDER BY n DESC, fixed, lab) = 1),
+t2 AS (SELECT t.* FROM t JOIN k1 USING (rep, p, q) WHERE t.lab <> k1.lab AND t.fixed <> k1.fixed),
+k2 AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY rep, p, q ORDER BY n DESC, fixed, lab) = 1),
+t3 AS (SELECT t2.* FROM t2 JOIN k2 USING (rep, p, q) WHERE t2.lab <> k2.lab AND t2.fixed <> k2.fixed),
+k3 AS (SELECT * FROM t3 QUALIFY row_number() OVER (PARTITION BY rep, p, q ORDER BY n DESC, fixed, lab) = 1),
+t4 AS (SELECT t3.* FROM t3 JOIN k3 USING (rep, p, q) WHERE t3.lab <> k3.lab AND t3.fixed <> k3.fixed),
+hit AS (SELECT rep, p, q, sum(n) AS n FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM t4) GROUP BY ALL)
+SELECT rep, 2::INTEGER AS cand, p, q, round(1 - any_value(hit.n) / sum(t.n)::DOUBLE, 6) AS value FROM t JOIN hit USING (rep, p, q) GROUP BY rep, p, q""")
+def _(x):
+    two = F.col("cand") == 2
+    return rounded(L.pair_hamming_loss(L.fold_confusion(x.aligned.where(two), x.truth.where(two), KEYS), KEYS))
+
+
 @query("m1_block_sums", "SELECT rep, cand, sub, k, l, s FROM sums")
 def _(x):
     return x.piece_sums
