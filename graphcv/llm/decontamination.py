@@ -1,17 +1,19 @@
 """Benchmark decontamination by template windows.
 
 Tokens are words; numbers, units and names become typed places ("<num>", "<unit>", "<name>"), the others are lower-case
-literals. The first word of a sentence may be a name or not, so windows with it stand in both forms. Windows of `window`
-tokens of the benchmark, hashed, are joined with those of the documents. Windows that match at one shift form an
-alignment; each value of the benchmark's places stands for the value of the document's that most of its windows say, and
-windows that say another do not count. So a question with other numbers or names is found, and loose hits are not.
+literals. Names of several words are one place, and so are number words ("twenty-one"). The first word of a sentence may be
+a name or not, so windows with it stand in both forms. In a run of capitals case tells nothing: there a word is a literal if
+the benchmark has it as one, and a name if the benchmark has it as one or not at all. Windows of `window` places of the
+benchmark, hashed, are joined with those of the documents. Windows that match at one shift form an alignment; each value of
+the benchmark's places stands for the value of the document's that most of its windows say, and windows that say another do
+not count. So a question with other numbers or names is found, and loose hits are not.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import product
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,9 @@ from pyspark.sql import functions as F
 
 from graphcv.llm.shared import ship, text_of, written
 
-#: Stands before a capital that begins a sentence, which is no sign of a name.
-MARK = "\uffff"
-TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|{MARK}?\w+|[%$€£°]")
-START = re.compile(r"(?:^|[.!?:]\s+|\n\s*)[\"'(«„]?[^\W\d_]")
+#: A word that begins a sentence is one token with what stands before it, so its capital is known to be no sign of a name.
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+|(?:[.!?:]\s+|\n[^\S\n]*)[\"'(«„]?[^\W\d_]\w*|[%$€£°]")
+WORD = re.compile(r"\w+$")
 #: Names and signs of units.
 UNITS = frozenset(
     "% $ € £ ° percent dollar dollars euro euros pound pounds cent cents usd eur gbp mm cm m km mile miles inch inches foot feet yard yards "
@@ -33,78 +34,132 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "kmh mph kph degree degrees celsius fahrenheit watt watts kw kwh volt volts hz khz mhz ghz kb mb gb tb".split()
 )
-NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+#: English number words.
+NUMBERS = {
+    w: n
+    for n, w in [
+        *enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()),
+        *zip(range(20, 100, 10), "twenty thirty forty fifty sixty seventy eighty ninety".split(), strict=True),
+        (100, "hundred"),
+        (1_000, "thousand"),
+        (1_000_000, "million"),
+    ]
+}
 SIGNS = "%$€£°"
 BITS = 22
+#: What the low bits of a place's hash say in the scan: begins a sentence or may be a name; in capitals; a number word.
+EITHER, LOUD, SPELT = 1, 2, 4
+#: So many words in capitals, with no other words between, are a run of capitals.
+RUN = 4
+CHUNK = 250_000
 
 
-def _words(text: str) -> list[str]:
-    """Tokens of a text, with MARK before capitals that begin a sentence."""
-    return TOKEN.findall(START.sub(lambda m: m[0][:-1] + MARK + m[0][-1] if m[0][-1].isupper() else m[0], text))
+def _hash(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace")) & ~7
 
 
-def _literal(word: str) -> str:
-    """A marked word as it stands inside a sentence."""
-    return word[1:2].lower() + word[2:]
+_NUM, _UNIT, _NAME = (np.uint64(_hash(p)) for p in ("<num>", "<unit>", "<name>"))
+_FLAGS, _EITHER, _LOUD, _SPELT = (np.uint64(f) for f in (EITHER | LOUD | SPELT, EITHER, LOUD, SPELT))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(64 - BITS)
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Tokens of a whole text with places for values, and the values themselves (lower case); words that begin a sentence stay marked."""
-    words = _words(text or "")
-    places, after = [], False
-    for w in words:
-        if w[0].isdigit():
-            places.append(NUM)
-            after = True
-            continue
-        if (after or w[0] in SIGNS) and w.removeprefix(MARK).lower() in UNITS:  # a unit's name stands after a number
-            places.append(UNIT)
-        elif w[0].isupper():
-            places.append(NAME)
-        else:
-            places.append(w)
-        after = False
-    return places, [w.removeprefix(MARK).lower() for w in words]
+class _Memory(dict):
+    """Hashes and flags of tokens that stand alone, remembered for a task; emptied when full, some 30 MB."""
+
+    def __missing__(self, token):
+        if len(self) >= 200_000:
+            self.clear()
+        plain = token.islower() and token[0].isalpha() and token not in NUMBERS
+        self[token] = value = _hash(token) if plain else self.of(token)
+        return value
 
+    @staticmethod
+    def of(token):
+        if token[0].isdigit():
+            return int(_NUM)
+        if token in SIGNS:
+            return int(_UNIT)
+        word = WORD.search(token)[0]
+        if word.lower() in NUMBERS:
+            return int(_NUM) | SPELT
+        loud = LOUD if word.isupper() else 0
+        if not word[0].isupper():
+            return _hash(word)
+        return int(_NAME) | loud if word is token or word == token else _hash(word[0].lower() + word[1:]) | EITHER | loud
 
-def forms(places: list[str]) -> list[tuple[str, ...]]:
-    """The places with each marked word as a name and as a literal."""
-    return list(product(*[(NAME, _literal(p)) if p[0] == MARK else (p,) for p in places]))
 
+_hashes = _Memory()
 
-def _hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace")) & ~1
 
+def _plain(token: str) -> str:
+    return token if token in SIGNS else WORD.search(token)[0].lower() if not token[0].isdigit() else token
 
-class _Memory(dict):
-    """Hashes of the places of words that stand alone, remembered for a task; emptied when full, some 15 MB. Those of the literals of
-    marked words are odd, the others even."""
 
-    def __missing__(self, word):
-        if len(self) >= 100_000:
-            self.clear()
-        if word[0] == MARK:
-            value = _hash(_literal(word)) | 1
+def _one_number(before: str, word: str) -> bool:
+    """Whether two number words are one number, as in "twenty-one" and "two hundred", but not in "one two"."""
+    a, b = NUMBERS[before], NUMBERS[word]
+    return a >= 100 or b >= 100 or (a >= 20 and 0 < b < 10)
+
+
+def _number(words: list[str]) -> str:
+    """The figures of a run of number words."""
+    total = part = 0
+    for n in map(NUMBERS.__getitem__, words):
+        if n >= 1_000:
+            total, part = total + max(1, part) * n, 0
         else:
-            value = _hash(NUM if word[0].isdigit() else UNIT if word in SIGNS else NAME if word[0].isupper() else word)
-        self[word] = value
-        return value
+            part = max(1, part) * n if n == 100 else part + n
+    return str(total + part)
 
 
-_hashes = _Memory()
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_ODD = np.uint64(1)
-_NUM, _UNIT, _NAME = np.uint64(_hash(NUM)), np.uint64(_hash(UNIT)), np.uint64(_hash(NAME))
+class Places:
+    """The places of whole texts, one after the other: `h` (hash, EITHER in its low bit), `text` (number of its text).
 
+    literals, names: bit tables of the benchmark's words, for runs of capitals; without them, words there are literals.
+    """
 
-def place_hashes(text: str) -> np.ndarray:
-    """The hashes of the places of `template`, without making them; odd ones are of marked words."""
-    words = _words(text)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    for i in np.flatnonzero(h[:-1] == _NUM).tolist() if len(h) else ():
-        if words[i + 1].removeprefix(MARK).lower() in UNITS:
-            h[i + 1] = _UNIT
-    return h
+    def __init__(self, texts: list[str], literals: np.ndarray | None = None, names: np.ndarray | None = None):
+        tokens, ends = [], []
+        for t in texts:
+            tokens += TOKEN.findall("\n" + t)
+            ends.append(len(tokens))
+        n = len(tokens)
+        h = np.array(itemgetter(*tokens)(_hashes) if n > 1 else [_hashes[t] for t in tokens], dtype=np.uint64)
+        text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        follows = np.zeros(n, bool)
+        follows[1:] = text[1:] == text[:-1]
+        loud = (h & _LOUD) > 0
+        if loud.any():
+            run = np.cumsum(~((loud | ((h & ~_FLAGS) == _NUM) | ((h & ~_FLAGS) == _UNIT)) & follows))  # a new number where a run ends
+            many = np.bincount(run, weights=loud, minlength=int(run[-1]) + 1)
+            for i in np.flatnonzero(loud & (many[run] >= RUN)).tolist():
+                literal = _hash(_plain(tokens[i]))
+                named = names is not None and names[literal >> int(_SHIFT)]
+                known = literals is None or literals[literal >> int(_SHIFT)]
+                h[i] = (literal | EITHER if named else literal) if known else int(_NAME)
+        for i in (np.flatnonzero(h[:-1] & ~_FLAGS == _NUM) + 1).tolist() if n else ():
+            if follows[i] and _plain(tokens[i]) in UNITS:  # a unit's name stands after a number
+                h[i] = _UNIT
+        h &= ~_LOUD
+        name, spelt = h == _NAME, (h & _SPELT) > 0
+        first = name | ((h & _EITHER) > 0)
+        joined = np.zeros(n, bool)
+        joined[1:] = follows[1:] & name[1:] & first[:-1]
+        h[:-1][joined[1:] & name[1:]] = _NAME
+        for i in (np.flatnonzero(follows[1:] & spelt[1:] & spelt[:-1]) + 1).tolist():
+            joined[i] = _one_number(_plain(tokens[i - 1]), _plain(tokens[i]))
+        h &= ~_SPELT
+        self.tokens, self.at = tokens, np.append(np.flatnonzero(~joined), n)
+        self.h, self.text = h[~joined], text[~joined]
+
+    def value(self, i: int) -> str:
+        """What stands at place i, in lower case; number words as figures."""
+        words = [_plain(t) for t in self.tokens[self.at[i] : self.at[i + 1]]]
+        return _number(words) if words[0] in NUMBERS else " ".join(words)
+
+    def open(self, i: int) -> bool:
+        return self.h[i] in (_NUM, _UNIT, _NAME)
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -120,16 +175,12 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _open(p: str) -> bool:
-    return p in (NUM, UNIT, NAME)
-
-
 def form_hashes(h: np.ndarray, at: np.ndarray, size: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The forms of the windows of `size` places that begin at `at`: a row each of place in `at`, hash, and which places of
     marked words are names. Literals that are not `known` (by place of the text) make no form."""
     places = h[at[:, None] + np.arange(size)]
-    odd, literal = (places & _ODD).astype(bool), known[at[:, None] + np.arange(size)]
-    places &= ~_ODD
+    odd, literal = (places & _EITHER).astype(bool), known[at[:, None] + np.arange(size)]
+    places &= ~_EITHER
     rows, names = np.arange(len(at)), np.zeros((len(at), size), bool)
     for j in np.flatnonzero(odd.any(0)).tolist():
         two = odd[rows, j]
@@ -156,7 +207,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
     one window. n_windows counts places, not forms.
 
     Forms with fewer than half literals are left out, for they match anything, unless the item has no others. Items with
-    fewer than `least` tokens have no windows.
+    fewer than `least` places have no windows.
     """
     ship(benchmark.sparkSession)
 
@@ -164,29 +215,34 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
         for b in batches:
             out = []
             for item, t in zip(b["item_id"], b["text"], strict=True):
-                places, values = template(t)
-                if len(places) < least:
+                p = Places([t or ""])
+                n = len(p.h)
+                if n < max(1, least):
                     continue
-                size = min(window, len(places))
-                h = place_hashes(t)
-                at, w, names = form_hashes(h, np.arange(len(h) - size + 1), size, np.ones(len(h), bool))
-                made = [(int(i), int(x), [places[i + j] if places[i + j][0] != MARK else NAME if named[j] else "" for j in range(size)]) for i, x, named in zip(at, w, names, strict=True)]
-                chosen = [m for m in made if sum(not _open(p) for p in m[2]) * 2 >= size] or made
+                size = min(window, n)
+                at, w, names = form_hashes(p.h, np.arange(n - size + 1), size, np.ones(n, bool))
+                made = [(int(i), int(x), [j for j in range(size) if named[j] or p.open(i + j)]) for i, x, named in zip(at, w, names, strict=True)]
+                chosen = [m for m in made if len(m[2]) * 2 <= size] or made
                 n_windows = len({i for i, _, _ in chosen})
-                for i, x, form in chosen:
-                    out.append((item, i, size, x, n_windows, [values[i + j] for j, p in enumerate(form) if _open(p)]))
+                out += [(item, i, size, x, n_windows, [p.value(i + j) for j in slots]) for i, x, slots in chosen]
             yield pd.DataFrame(out, columns=["item_id", "at", "size", "w", "n_windows", "slots"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(rows, "item_id long, at int, size int, w long, n_windows int, slots array<string>")
 
 
+def _table(bits: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << BITS, bool)
+    out[bits] = True
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, share: float = 0.5) -> DataFrame:
     """doc_id, h (hash of the text), item_id, n_windows, n_matched: the items of `benchmark` that a text of `docs` holds.
 
-    An item is held if what agrees in its alignments (see `agreed`) matches at least `share` of its windows. Null and empty texts and items hold
-    and match nothing; ties and repeated rows give one row for each text and item; empty tables give an empty result. A
-    bit table of fixed size tells which words occur in the benchmark, and another which windows; only windows made of such
-    words, and of a hash in the second, leave the scan.
+    An item is held if what agrees in its alignments (see `agreed`) matches at least `share` of its windows. Null and empty
+    texts and items hold and match nothing; ties and repeated rows give one row for each text and item; empty tables give an
+    empty result. Bit tables of fixed size tell which words occur in the benchmark, as literals and as names, and another
+    which windows; only windows made of such words, and of a hash in the last, leave the scan.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -195,41 +251,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
 
     def words(batches):
         for b in batches:
-            bits = {_hash(f) >> (64 - BITS) for t in b["text"] for p in template(t)[0] for (f,) in forms([p])}
-            yield pd.DataFrame({"bit": sorted(bits)}, dtype="int64")
-
-    bits = benchmark.select("text").mapInPandas(words, "bit long").distinct().toArrow()["bit"].to_numpy()  # 2**BITS at most
-    table = np.zeros(1 << BITS, bool)
-    table[bits] = True
-    shared = spark.sparkContext.broadcast(np.packbits(table))
-    bits = items.select(F.shiftrightunsigned("w", 64 - BITS).alias("bit")).distinct().toArrow()["bit"].to_numpy()  # 2**BITS at most
-    table = np.zeros(1 << BITS, bool)
-    table[bits] = True
-    shared_windows = spark.sparkContext.broadcast(np.packbits(table))
+            out = set()
+            for t in b["text"]:
+                p = Places([t or ""])
+                for i, h in enumerate(p.h.tolist()):
+                    out.add((0, (h & ~EITHER) >> int(_SHIFT)))
+                    if h & EITHER or h == int(_NAME):
+                        out.add((0, int(_NAME >> _SHIFT)))
+                    if h == int(_NAME):
+                        out |= {(1, _hash(w) >> int(_SHIFT)) for w in p.value(i).split()}
+            yield pd.DataFrame(sorted(out), columns=["name", "bit"])
+
+    bits = benchmark.select("text").mapInPandas(words, "name int, bit int").distinct().toArrow()  # 2 * 2**BITS at most
+    name, bit = bits["name"].to_numpy() > 0, bits["bit"].to_numpy()
+    wanted = items.select(F.shiftrightunsigned("w", 64 - BITS).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()  # 2**BITS at most
+    shared = spark.sparkContext.broadcast([np.packbits(_table(b)) for b in (bit[~name], bit[name], wanted)])
+
+    def found_in(texts, literals, names, wanted):
+        """text, place, size, hash and values of the windows of `texts` that may be the benchmark's."""
+        p = Places(texts, literals, names)
+        literal, n = literals[p.h >> _SHIFT], len(p.h)
+        gaps = np.zeros(n + 1, np.int64)
+        np.cumsum(~(literal | ((p.h & _EITHER).astype(bool) & literals[_NAME >> _SHIFT])), out=gaps[1:])
+        for size in sizes if n else ():
+            inside = np.flatnonzero((gaps[size:] == gaps[:-size]) & (p.text[size - 1 :] == p.text[: n - size + 1])) if n >= size else ()
+            for part in (inside[i : i + 1024] for i in range(0, len(inside), 1024)):
+                at, w, named = form_hashes(p.h, part, size, literal)
+                for r in np.flatnonzero(wanted[w.view(np.uint64) >> _SHIFT]).tolist():
+                    i = int(part[at[r]])
+                    yield int(p.text[i]), i - int(np.searchsorted(p.text, p.text[i])), size, int(w[r]), [p.value(i + j) for j in range(size) if named[r, j] or p.open(i + j)]
 
     def rows(batches):
-        known = np.unpackbits(shared.value).astype(bool)
-        wanted = np.unpackbits(shared_windows.value).astype(bool)
-        name_known = known[_NAME >> np.uint64(64 - BITS)]
+        tables = [np.unpackbits(b).astype(bool) for b in shared.value]
         for b in batches:
-            out = []
-            for doc, h, t in zip(b["doc_id"], b["h"], b["text"], strict=True):
-                hashes, places = place_hashes(t), None
-                n = len(hashes)
-                if not n:
-                    continue
-                odd = (hashes & _ODD).astype(bool)
-                literal = known[hashes >> np.uint64(64 - BITS)]
-                gaps = np.zeros(n + 1, np.int64)
-                np.cumsum(~(literal | (odd & name_known)), out=gaps[1:])
-                for size in sizes:
-                    inside = np.flatnonzero(gaps[size:] == gaps[:-size]) if n >= size else ()
-                    for part in (inside[i : i + 1024] for i in range(0, len(inside), 1024)):
-                        at, w, names = form_hashes(hashes, part, size, literal)
-                        for r in np.flatnonzero(wanted[w.view(np.uint64) >> np.uint64(64 - BITS)]).tolist():
-                            places, values = (places, values) if places else template(t)
-                            i = int(part[at[r]])
-                            out.append((doc, h, i, size, int(w[r]), [values[i + j] for j in range(size) if names[r, j] or _open(places[i + j])]))
+            doc, h, texts, out = b["doc_id"].to_numpy(), b["h"].to_numpy(), b["text"].tolist(), []
+            ends = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):  # texts of about a quarter of a megabyte together
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+                out += [(doc[at + k], h[at + k], *r) for k, *r in found_in(texts[at:to], *tables)]
+                at = to
             yield pd.DataFrame(out, columns=["doc_id", "h", "pos", "size", "w", "said"])
         _hashes.clear()
 

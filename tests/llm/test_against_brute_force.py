@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -177,6 +179,86 @@ def test_equal_values_in_two_roles(spark):
     assert {r.doc_id for r in found.collect()} == {1, 2}
 
 
+def test_variants_of_a_question(spark):
+    item = "Anna has 12 red apples in a basket. Anna gives 3 of them to her brother. Anna then buys 7 more at the shop. How many apples does Anna have now?"
+    two = item.replace("Anna", "Mary Ann")
+    held = [item, item.upper(), two, item.replace("12", "twelve"), item.replace("Anna", "Bob").replace("12", "fifteen"), two.replace("12", "twenty-one").upper(), item.replace("Anna", "Bob").upper()]
+    texts = ["Some text. " + t + " More of it." for t in [*held, "The red apples in a basket are few. How many does Anna have?", "RED APPLES IN A BASKET ARE FEW"]] + ["\n" * 50_000, " . " * 50_000, "A" * 100_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string"))
+    assert {(r.doc_id, r.n_matched) for r in found.collect()} == {(i, 24) for i in range(len(held))}
+
+
+def plain_places(text):
+    """(forms, value, may begin a name, number of a word) of every place, token by token."""
+    out = []
+    for m in re.finditer(r"\d+|\w+", text):
+        w, starts = m[0], m.start() == 0 or text[: m.start()].endswith(". ")
+        if w.isdigit():
+            new = (["<num>"], w, False, None)
+        elif w.lower() in decontamination.NUMBERS:
+            new = (["<num>"], str(decontamination.NUMBERS[w.lower()]), False, decontamination.NUMBERS[w.lower()])
+        elif out and out[-1][0] == ["<num>"] and w in decontamination.UNITS:
+            new = (["<unit>"], w, False, None)
+        elif w[0].isupper():
+            new = (["<name>", w.lower()] if starts else ["<name>"], w.lower(), True, None)
+        else:
+            new = ([w], w, False, None)
+        if out and new[0] == ["<name>"] and out[-1][2]:
+            out[-1] = (["<name>"], out[-1][1] + " " + new[1], True, None)
+        elif out and out[-1][3] == 20 and new[3] == 1:
+            out[-1] = (["<num>"], "21", False, new[3])
+        else:
+            out.append(new)
+    return out
+
+
+def plain_windows(places, size):
+    for i in range(len(places) - size + 1):
+        for form in itertools.product(*[p[0] for p in places[i : i + size]]):
+            yield i, form, [places[i + j][1] for j, f in enumerate(form) if f[0] == "<"]
+
+
+def plain_match(text, item, window=8, least=5, share=0.5):
+    places = plain_places(item)
+    if len(places) < least:
+        return None
+    size = min(window, len(places))
+    made = list(plain_windows(places, size))
+    chosen = [w for w in made if 2 * len(w[2]) <= size] or made
+    shifts = collections.defaultdict(list)
+    for pos, form, said in plain_windows(plain_places(text), size):
+        for at, own, slots in chosen:
+            if own == form:
+                shifts[pos - at].append((at, slots, said))
+    matched, n = set(), len({at for at, *_ in chosen})
+    for hits in shifts.values():
+        votes = collections.defaultdict(set)
+        for at, slots, said in hits:
+            for a, b in zip(slots, said, strict=True):
+                votes[a].add((at, b))
+        best = {a: min(collections.Counter(b for _, b in v).items(), key=lambda c: (-c[1], c[0]))[0] for a, v in votes.items()}
+        matched |= {at for at, slots, said in hits if all(best[a] == b for a, b in zip(slots, said, strict=True))}
+    return (n, len(matched)) if len(matched) >= max(1, math.ceil(n * share)) else None
+
+
+def test_templates_equal_a_plain_matcher(spark):
+    rng = random.Random(11)
+    pick = lambda: rng.choice(["Anna", "Bob", "Mary Ann", "Jo", str(rng.randint(2, 60)), f"{rng.randint(2, 9)} km", "seven", "twenty one", *"the old man ran to a far town and saw one big red barn by his new house".split()])
+    sentence = lambda: (lambda t: t[0].upper() + t[1:] + ".")(" ".join(pick() for _ in range(rng.randint(2, 14))))
+    items = [" ".join(sentence() for _ in range(rng.randint(1, 4))) for _ in range(25)]
+    swaps = [("Anna", "Bob"), ("Bob", "Mary Ann"), ("Mary Ann", "Lee"), ("seven", "9"), ("km", "miles"), ("old", "young"), ("the", "this"), ("Jo", "Ann Lee")]
+    texts = []
+    for t in items * 4:
+        for a, b in rng.sample(swaps, rng.randint(0, 3)):
+            t = t.replace(a, b, rng.choice([1, -1]))
+        texts.append(" ".join([sentence(), t, sentence()]))
+    expected = {(d, i, *m) for d, t in enumerate(texts) for i, x in enumerate(items) if (m := plain_match(t, x))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert len(expected) > 50 and {(r.doc_id, r.item_id, r.n_windows, r.n_matched) for r in found.collect()} == expected
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(4)
     rows = []
