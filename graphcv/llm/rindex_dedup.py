@@ -6,20 +6,24 @@
    twice is repeated as a whole. Only one copy of each different passage of the other owners goes on.
 3. Owners are dealt to shards. Each shard builds a run-compressed transform of its passages: only at the ends of its
    runs the match with the neighbouring suffix is measured (the sampled ends); everywhere else the matching statistics
-   stream from the last sample, one byte shorter with each step. Windows that match elsewhere are marked.
+   stream from the last sample, one byte shorter with each step. Windows that match elsewhere are marked. An owner with more
+   bytes than a shard is split first: the owner's string grows by half of what is left of a window, to the right where the
+   window has room and else to the left, and is the new owner. Equal windows grow alike. Where that leaves large ones they
+   grow again, until the owner is the whole window, so a few rounds always end it.
 4. The marks return to all copies of the passage and to the texts, which are cut.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphcv.llm.shared import ship, text_of, written
+from graphcv.llm.shared import ship, small, text_of, written
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPANS = "array<struct<a:long,b:long>>"
@@ -193,16 +197,27 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` to broadcast if it is counted to have `rows` at most, else to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _digest(b: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
 
-def repeated_passages(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 1_000_000, hot: int = 2_000) -> DataFrame:
+def grown(x: bytes, owners: np.ndarray, size: int, length: int):
+    """The passage x cut by longer owners: first byte, end, new owner and its place in the part. owners: where the owner of `size`
+    bytes begins, for each of x's windows."""
+    more = (length - size + 1) // 2
+    n = len(x) - length + 1
+    right = np.arange(n) + length - owners - size >= more
+    start = np.where(right, owners, owners - more)
+    first = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1]) | (right[1:] != right[:-1])]))
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+        at = int(start[i])
+        yield i, j - 1 + length, _digest((b"r" if right[i] else b"l") + x[at : at + size + more]), at - i
+
+
+def repeated_passages(texts: DataFrame, length: int = 400, gram: int = 128, shard_bytes: int = 1_000_000) -> DataFrame:
     """t1, t2 (hash of a text of `texts`), spans: the byte ranges of the text to remove."""
     spark = texts.sparkSession
     ship(spark)
-    digest = lambda b: int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
     def cut(batches):
         for b in batches:
@@ -214,7 +229,7 @@ def repeated_passages(texts: DataFrame, length: int = 400, gram: int = 128, shar
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 250_000, side="right")))
                 near, owner, first, end, tie = passages(list(some[at:to]), length, gram)
                 if len(owner):
-                    c = [digest(some[at + k][i:j]) for k, i, j in zip(near.tolist(), first.tolist(), end.tolist(), strict=True)]
+                    c = [_digest(some[at + k][i:j]) for k, i, j in zip(near.tolist(), first.tolist(), end.tolist(), strict=True)]
                     parts.append(pd.DataFrame({"t1": t1[at:to][near], "t2": t2[at:to][near], "a": first, "b": end, "h": owner.view(np.int64), "c": c, "tie": tie}))
                 at = to
             if parts:
@@ -223,60 +238,86 @@ def repeated_passages(texts: DataFrame, length: int = 400, gram: int = 128, shar
     keyed = texts.select(*text_key(F.col("text")), "text")
     cuts = written(keyed.mapInPandas(cut, "t1 long, t2 long, a long, b long, h long, c long, tie boolean"), "passages")
     live = written(cuts.groupBy("h").agg(F.count("*").alias("n"), F.max("tie").alias("tie")).where("n > 1 or tie").select("h"), "owners")
-    cuts = written(cuts.join(_small(live, 1_000_000), "h"), "live-passages")
+    cuts = written(cuts.join(small(live), "h"), "live-passages")
     kinds = written(cuts.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("tie").alias("tie"), F.min(F.struct("t1", "t2", "a", "b")).alias("at")), "passage-kinds")
-    owners = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("tie").alias("tie")).where("kinds > 1 or tie"), "index-owners")
-    chosen = kinds.join(owners.select("h", "kinds"), "h").select("h", "c", "kinds", "at.*")
-    held = written(chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "c", "kinds", "a", "b")).alias("parts")), "passages-to-read")
+    owners = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("tie").alias("tie"), F.sum(F.col("at.b") - F.col("at.a")).alias("size")).where("kinds > 1 or tie"), "index-owners")
+    chosen = kinds.join(owners.select("h", "size"), "h").select("h", "c", "size", "at.*")
+    held = written(chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "c", "size", "a", "b")).alias("parts")), "passages-to-read")
 
     def read(batches):
         for b in batches:
-            h, c, kinds, data = [], [], [], []
+            h, c, size, data = [], [], [], []
             for t, parts in zip(b["text"], b["parts"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 for p in parts:
                     h.append(p["h"])
                     c.append(p["c"])
-                    kinds.append(p["kinds"])
+                    size.append(p["size"])
                     data.append(raw[p["a"] : p["b"]])
-            yield pd.DataFrame({"h": h, "c": c, "kinds": kinds, "data": data})
+            yield pd.DataFrame({"h": h, "c": c, "size": size, "data": data})
 
     met = keyed.join(held, ["t1", "t2"]).select("text", "parts")
-    found = written(met.mapInPandas(read, "h long, c long, kinds long, data binary").dropDuplicates(["h", "c"]), "passage-texts")
-    total = found.agg(F.sum(F.length("data"))).first()[0] or 0
-    shards = max(1, int(total // shard_bytes))
-
-    def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = repeated_spans(list(pdf["data"]), length)
-        return pd.DataFrame({"h": pdf["h"], "c": pdf["c"], "spans": [[{"a": a, "b": b} for a, b in s] for s in spans]})
-
-    shard = F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")
-    marks = found.where(F.col("kinds") <= hot).select(shard, "h", "c", "data").groupBy("shard").applyInPandas(index, f"h long, c long, spans {_SPANS}")
-    marks = marks.where(F.size("spans") > 0).unionByName(_by_windows(found.where(F.col("kinds") > hot), length))
+    found = written(met.mapInPandas(read, "h long, c long, size long, data binary").dropDuplicates(["h", "c"]), "passage-texts")
+    marks = _indexed(found.where(F.col("size") <= shard_bytes), length, shard_bytes)
+    large = found.where(F.col("size") > shard_bytes)
+    if not large.isEmpty():
+        marks = marks.unionByName(_by_grown_owners(large, length, gram, shard_bytes))
     marks = written(marks, "passage-marks")
     whole = kinds.where("n > 1").select("h", "c")
     spans = cuts.join(whole, ["h", "c"], "left_semi").select("t1", "t2", "a", "b")
-    partial = marks.join(kinds.where("n = 1").select("h", "c"), ["h", "c"]).select("h", "c", F.explode("spans").alias("s"))
-    more = cuts.join(partial, ["h", "c"]).select("t1", "t2", (F.col("a") + F.col("s.a")).alias("x"), (F.col("a") + F.col("s.b")).alias("y"))
+    within = marks.join(kinds.where("n = 1").select("h", "c"), ["h", "c"]).select("h", "c", F.explode("spans").alias("s"))
+    more = cuts.join(within, ["h", "c"]).select("t1", "t2", (F.col("a") + F.col("s.a")).alias("x"), (F.col("a") + F.col("s.b")).alias("y"))
     spans = spans.unionByName(more.select("t1", "t2", F.col("x").alias("a"), F.col("y").alias("b")))
     return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def _by_windows(found: DataFrame, length: int) -> DataFrame:
-    """The marks of the passages of owners with too many kinds for one shard: windows meet by their 128-bit hash."""
+def _indexed(found: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """h, c, spans: the repeated ranges of passages (h, c, data) among those of one owner h; shards of owners are indexed together."""
+
+    def index(pdf: pd.DataFrame) -> pd.DataFrame:
+        spans = repeated_spans(list(pdf["data"]), length)
+        return pd.DataFrame({"h": pdf["h"], "c": pdf["c"], "spans": [[{"a": a, "b": b} for a, b in s] for s in spans]})
+
+    total = found.agg(F.sum(F.length("data"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("h"), F.lit(max(1, int(total // shard_bytes)))).alias("shard")
+    return found.select(shard, "h", "c", "data").groupBy("shard").applyInPandas(index, f"h long, c long, spans {_SPANS}").where(F.size("spans") > 0)
+
 
-    def windows(batches):
+def _by_grown_owners(found: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
+    """The marks of the passages of owners with more bytes than a shard: owners grow until their parts fit (see `grown`).
+
+    Parts keep the passage they come from (h0, c0) and where they begin there. Only one of equal parts goes on.
+    """
+
+    def rows(batches, size):
         for b in batches:
-            for h, c, data in zip(b["h"], b["c"], b["data"], strict=True):
-                n = len(data) - length + 1
-                d = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
-                both = np.frombuffer(b"".join(d), dtype=np.int64).reshape(n, 2)
-                yield pd.DataFrame({"h": h, "c": c, "a": np.arange(n), "w1": both[:, 0], "w2": both[:, 1]})
-
-    rows = written(found.select("h", "c", "data").mapInPandas(windows, "h long, c long, a long, w1 long, w2 long"), "windows")
-    often = rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    kept = rows.join(often, ["w1", "w2"])
-    return kept.groupBy("h", "c").agg(F.transform(F.collect_set("a"), lambda a: F.struct(a.alias("a"), (a + length).alias("b"))).alias("spans"))
+            out = []
+            for h0, c0, off, h, p, x in zip(b["h0"], b["c0"], b["off"], b["h"], b["p"], b["data"], strict=True):
+                n = len(x) - length + 1
+                owners = np.full(n, p, np.int64)
+                if p < 0:  # the first owner, wherever it stands; a window's is the first in it
+                    places = np.flatnonzero(gram_hashes(np.frombuffer(x, dtype=np.uint8), gram).view(np.int64) == h)
+                    owners = places[np.searchsorted(places, np.arange(n))]
+                out += [(h0, c0, off + i, key, _digest(x[i:j]), at, x[i:j]) for i, j, key, at in grown(x, owners, size, length)]
+            yield pd.DataFrame(out, columns=["h0", "c0", "off", "h", "c", "p", "data"])
+
+    size, marks = gram, None
+    todo = found.select(F.col("h").alias("h0"), F.col("c").alias("c0"), F.lit(0).cast("long").alias("off"), "h", F.lit(-1).cast("long").alias("p"), "data")
+    while True:
+        parts = written(todo.mapInPandas(partial(rows, size=size), "h0 long, c0 long, off long, h long, c long, p long, data binary"), "grown-parts")
+        size += (length - size + 1) // 2
+        kinds = written(parts.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("h0", "c0", "off")).alias("at"), F.first("p").alias("p"), F.first("data").alias("data")), "grown-kinds")
+        owners = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.length("data")).alias("size")).where("kinds > 1"), "grown-owners")
+        fits = (F.col("size") <= shard_bytes) | F.lit(size >= length)
+        whole = parts.join(kinds.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("h0", "c0", F.col("off").alias("a"), (F.col("off") + F.length("data")).alias("b"))
+        inside = _indexed(kinds.join(small(owners.where(fits).select("h")), "h"), length, shard_bytes).join(kinds.where("n = 1").select("h", "c", "at"), ["h", "c"]).select("at", F.explode("spans").alias("s"))
+        found = whole.unionByName(inside.select("at.h0", "at.c0", (F.col("at.off") + F.col("s.a")).alias("a"), (F.col("at.off") + F.col("s.b")).alias("b")))
+        marks = found if marks is None else marks.unionByName(found)
+        large = owners.where(~fits).select("h")
+        if large.isEmpty():
+            break
+        todo = kinds.join(small(large), "h").select("at.*", "h", "p", "data")
+    return marks.groupBy(F.col("h0").alias("h"), F.col("c0").alias("c")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: bool = True, **options) -> DataFrame:

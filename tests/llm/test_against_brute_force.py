@@ -60,12 +60,12 @@ def test_jaccard_components(corpus, k, percent, frequent, crowd, monkeypatch):
     assert found == {i: (len(sets[i]), find(i), len(links[i])) for i in sets}
 
 
-@pytest.mark.parametrize("hot", [0, 2000])
-def test_repeats(corpus, hot):
+@pytest.mark.parametrize("shard_bytes", [1, 600, 4000])
+def test_repeats(corpus, shard_bytes):
     texts, docs = corpus
     raw, length = {i: t.encode() for i, t in texts.items()}, 100
     seen = collections.Counter(x[i : i + length] for x in raw.values() for i in range(len(x) - length + 1))
-    found = {r.doc_id: r for r in rindex_dedup.remove_repeats(docs, length, gram=40, shard_bytes=4000, hot=hot).collect()}
+    found = {r.doc_id: r for r in rindex_dedup.remove_repeats(docs, length, gram=40, shard_bytes=shard_bytes).collect()}
     for k, x in raw.items():
         gone = bytearray(len(x))
         for i in range(len(x) - length + 1):
@@ -75,6 +75,27 @@ def test_repeats(corpus, hot):
         assert (found[k].n_removed, found[k].n_spans, bytes(found[k].kept)) == (sum(gone), len(re.findall(b"\1+", bytes(gone))), kept)
 
 
+def test_repeats_of_an_owner_of_many_kinds(spark):
+    rng, length = random.Random(8), 400
+    shared, letters = prose(rng, 60)[:330], "abcdefgh "
+    own = lambda k: "".join(rng.choices(letters, k=k))
+    texts = [own(70) + shared + own(70) for _ in range(5_000)]
+    for i in range(0, 600, 3):  # pairs that share 395 to 410 bytes, on the left or on the right
+        k = 65 + i // 3 % 16
+        texts[i + 1] = texts[i][70 - k : 400] + own(80) if i % 2 else own(80) + texts[i][70 : 400 + k]
+    seen = collections.Counter(x for t in texts for x in {hash(t[i : i + length]) for i in range(len(t) - length + 1)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in rindex_dedup.remove_repeats(docs, length, text=False, shard_bytes=200_000).collect()}
+    expected = {}
+    for k, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[hash(t[i : i + length])] > 1:
+                gone[i : i + length] = b"\1" * length
+        expected[k] = (sum(gone), len(re.findall(b"\1+", bytes(gone))))
+    assert found == expected and sum(n > 0 for n, _ in expected.values()) > 100
+
+
 def test_encoder_equals_library():
     import sentencepiece
 
