@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphcv.jobs import tuning
+from graphcv.jobs.study import tau_study
 from graphcv.operators.cluster import cluster_labels, spectral_labels
+from graphcv.operators.report import method_accuracy
 from graphcv.operators.spectral import adjacency_embedding, graph_eigenvectors, procrustes_align, sub_eigenvectors, train_row_svd
 
 KEYS = ("rep", "cand")
@@ -51,7 +53,13 @@ def _r3(x):
     return tuning.refit_at_mean_tau(nodes, edges, 2, choices, nodes.select("node", (F.col("node") % 2 + 1).cast("int").alias("g")))
 
 
+def _r2(x):
+    """Methods' accuracies from what W4, W5, W9 and the consensus jobs wrote, a run for each line status."""
+    return method_accuracy(*tau_study(x.supplier_runs, 2, [0.0, 1.0], 2, 0.2, 2))
+
+
 FITTED = {
+    "r2_tuned_accuracy": _r2,
     "e4_train_row_svd": _e4,
     "e7_lowrank_impute": _e7,
     "c3_spectral_labels": lambda x: spectral_labels(x.members, x.pieces, [2, 3], True, 0.5, True),

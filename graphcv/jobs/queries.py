@@ -61,15 +61,32 @@ class Inputs:
     def _o(self):
         return self.n // 5
 
-    def _thin(self):
-        return self.edges.where(key_number(F.md5(F.concat(F.lit("thin:"), F.col("src").cast("string"), F.lit(":"), F.col("dst").cast("string")).cast("binary"))) % 200 == 0)
+    def _supplier_weights(self):
+        """Pairs of suppliers and how many orders they share: src, dst, w."""
+        items = self.table("lineitem").select("l_orderkey", "l_suppkey").distinct()
+        pairs = items.alias("a").join(items.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey").groupBy(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).agg(F.count("*").alias("w"))
+        return written(pairs, "supplier-weights")
+
+    def _strong(self):
+        """The pairs of suppliers that share far more orders than the mean pair (two standard deviations); many suppliers have none."""
+        limit = self.supplier_weights.agg(F.round(F.avg("w") + 2 * F.stddev_pop("w"), 4).alias("limit"))
+        return written(self.supplier_weights.join(F.broadcast(limit), F.col("w") > F.col("limit")).select("src", "dst"), "strong-edges")
+
+    def _supplier_runs(self):
+        """Two graphs of all suppliers, from the lines of each status: pairs with more shared orders than the mean pair. The truth is a
+        community for nations of even and one for nations of odd keys: run, nodes, edges, truth."""
+        items = self.table("lineitem").select("l_linestatus", "l_orderkey", "l_suppkey").distinct()
+        pairs = items.alias("a").join(items.alias("b"), ["l_linestatus", "l_orderkey"]).where("a.l_suppkey < b.l_suppkey")
+        pairs = written(pairs.groupBy("l_linestatus", F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).agg(F.count("*").alias("w")), "run-weights")
+        mean = pairs.groupBy("l_linestatus").agg(F.avg("w").alias("mean"))
+        edges = written(pairs.join(F.broadcast(mean), "l_linestatus").where("w > mean").select("l_linestatus", "src", "dst"), "run-edges")
+        nodes = self.table("supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 2 + 1).cast("int").alias("g"))
+        return [(i, nodes.select("node"), edges.where(F.col("l_linestatus") == status).select("src", "dst"), nodes) for i, status in enumerate("FO", 1)]
 
     def _suppliers(self):
         """Suppliers and the pairs with more shared orders than the mean pair: nodes, edges."""
-        items = self.table("lineitem").select("l_orderkey", "l_suppkey").distinct()
-        pairs = items.alias("a").join(items.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey").groupBy(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).agg(F.count("*").alias("w"))
-        mean = pairs.agg(F.avg("w").alias("mean"))
-        return self.table("supplier").select(F.col("s_suppkey").alias("node")), written(pairs.join(F.broadcast(mean), F.col("w") > F.col("mean")).select("src", "dst"), "supplier-edges")
+        mean = self.supplier_weights.agg(F.avg("w").alias("mean"))
+        return self.table("supplier").select(F.col("s_suppkey").alias("node")), written(self.supplier_weights.join(F.broadcast(mean), F.col("w") > F.col("mean")).select("src", "dst"), "supplier-edges")
 
     def _partition(self):
         return written(P.overlap_partition(self.nodes, self.o, SUBS, REPS, n=self.n), "partition")
@@ -215,7 +232,6 @@ edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM items a JO
 arcs AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 nodes AS (SELECT p_partkey AS node FROM part),
 deg AS (SELECT n.node, count(a.dst)::BIGINT AS degree FROM nodes n LEFT JOIN arcs a ON a.src = n.node GROUP BY n.node),
-thin AS (SELECT src, dst FROM edges WHERE ('0x' || substr(md5('thin:' || src || ':' || dst), 1, 8))::BIGINT % 200 = 0),
 size AS (SELECT count(*)::BIGINT AS n, (count(*) // 5)::BIGINT AS o FROM nodes),
 reps AS (SELECT unnest([1, 2, 3])::INTEGER AS rep),
 cands AS (SELECT unnest([2, 3])::INTEGER AS cand),
@@ -279,6 +295,7 @@ chosen AS (SELECT rep, loss, CASE WHEN d.value < s.value THEN 'DCSBM-' || d.cand
 sup_items AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 sup_w AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS w FROM sup_items a JOIN sup_items b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY ALL),
 sup AS (SELECT src, dst FROM sup_w WHERE w > (SELECT avg(w) FROM sup_w)),
+strong AS (SELECT src, dst FROM sup_w WHERE w > (SELECT round(avg(w) + 2 * stddev_pop(w), 4) FROM sup_w)),
 sup_pairs AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
 sup_pos AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY md5('42:pos:' || s_suppkey), s_suppkey) - 1 AS pos FROM supplier),
 sup_size AS (SELECT count(*)::BIGINT AS n, (n * (n - 1)) // 2 AS total, CASE WHEN n % 2 = 0 THEN n // 2 ELSE n END AS a, CASE WHEN n % 2 = 0 THEN n - 1 ELSE (n - 1) // 2 END AS b FROM supplier),
@@ -442,10 +459,10 @@ def _(x):
     return graphs.read_graph(x.spark, path)
 
 
-@query("g7_isolated_labels", """SELECT node, (('0x' || substr(md5('42:' || node), 1, 8))::BIGINT % 3 + 1)::INTEGER AS g FROM nodes
-WHERE node NOT IN (SELECT src FROM thin) AND node NOT IN (SELECT dst FROM thin)""")
+@query("g7_isolated_labels", """SELECT s_suppkey AS node, (('0x' || substr(md5('42:' || s_suppkey), 1, 8))::BIGINT % 3 + 1)::INTEGER AS g FROM supplier
+WHERE s_suppkey NOT IN (SELECT src FROM strong) AND s_suppkey NOT IN (SELECT dst FROM strong)""")
 def _(x):
-    return G.isolated_labels(G.degrees(x.nodes, x.thin), 3)
+    return G.isolated_labels(G.degrees(x.suppliers[0], x.strong), 3)
 
 
 @query("p1_overlap_sample", "SELECT rep, node FROM ranked, size WHERE rank <= o")

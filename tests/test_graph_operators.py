@@ -420,3 +420,35 @@ def test_planted_labels_of_the_whole_graph(spark):
     assert {r.tau for r in found} == {0.0, 0.5} and all(r.accuracy > 0.97 for r in found)
     stitched = consensus_labels(nodes.select("node"), edges, 3, 0.5, 2, 60, 2).select("node", "g")
     assert L.label_accuracy(stitched, nodes).first().accuracy > 0.95
+
+
+def test_study_of_planted_runs(spark):
+    """Two runs on planted graphs: every method finds the blocks, and R2's rows are those that plain Python picks from the jobs' tables."""
+    from graphcv.jobs.study import tau_study
+    from graphcv.operators.report import accuracy_summary, method_accuracy
+    from graphcv.sources.graphs import planted
+    from graphcv.sources.shared import written
+
+    runs = []
+    for run, across in ((1, "0ccccc"), (2, "199999")):
+        nodes, edges = planted(spark, PLANTED, across=across)
+        runs.append((run, nodes.select("node"), written(edges, "planted"), nodes))
+    tables = tau_study(runs, 3, [0.0, 0.5], 2, 0.2, 2)
+    by_tau, choices, gap = ([r.asDict() for r in t.collect()] for t in tables)
+    assert {(r["run"], r["kind"], r["tau"]) for r in by_tau} == {(n, k, t) for n in (1, 2) for k in ("whole", "consensus") for t in (0.0, 0.5)}
+    assert {(r["run"], r["loss"], r["rep"]) for r in choices} == {(n, c, r) for n in (1, 2) for c in ("l2", "auc", "nmi") for r in (1, 2)}
+    assert sorted(r["run"] for r in gap) == [1, 2]
+    accuracy = {(r["run"], r["kind"], r["tau"]): r["accuracy"] for r in by_tau}
+    expected = {}
+    for run in (1, 2):
+        for kind in ("whole", "consensus"):
+            at = {t: accuracy[run, kind, t] for t in (0.0, 0.5)}
+            expected |= {(run, f"{kind}-zero"): at[0.0], (run, f"{kind}-best"): max(at.values()), (run, f"{kind}-gap"): at[next(r["tau"] for r in gap if r["run"] == run)]}
+            for loss in ("l2", "auc", "nmi"):
+                taus = [r["tau"] for r in sorted(choices, key=lambda r: r["rep"]) if r["run"] == run and r["loss"] == loss]
+                expected |= {(run, f"{kind}-{loss}-first"): at[taus[0]], (run, f"{kind}-{loss}-mode"): at[max(taus, key=taus.count)]}
+    found = written(method_accuracy(*tables), "methods")
+    assert {(r.run, r.method): r.accuracy for r in found.collect()} == expected
+    assert all(v > 0.9 for v in expected.values())
+    summary = accuracy_summary(found, True).collect()
+    assert len(summary) == 18 and all(r.n_runs == 2 and r.mean > 90 for r in summary)
