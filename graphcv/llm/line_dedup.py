@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphcv.llm.shared import text_of, written
+from graphcv.llm.shared import small, text_of, written
 
 
 def line_key(line: Column) -> Column:
@@ -20,21 +20,31 @@ def lines(docs: DataFrame, *columns: str) -> DataFrame:
     return cut.where(F.trim("line") != "").select(*columns, "place", line_key(F.col("line")).alias("k")).select(*columns, "place", "k.a", "k.b")
 
 
-def spread_lines(docs: DataFrame, min_sites: int, min_texts: int, lg_k: int = 12, band: float = 0.1) -> DataFrame:
+def spread_lines(docs: DataFrame, min_sites: int, min_texts: int, lg_k: int = 12, band: float = 0.1, hot: int = 200_000) -> DataFrame:
     """Hashes (a, b) of the lines of `docs` (site, text) that are on `min_sites` or more different sites, and in `min_texts` or more
     different texts, so that a document copied to many sites does not make its own lines boilerplate.
 
     Lines that stand in too few rows or on one site go first, by cheap counts. The sites and texts of all the others go
     into one HyperLogLog sketch each a line, merged by aggregation. Where an estimate is within `band` of its limit (one
-    at least), sites or texts are counted exactly, so the result does not hang on the sketch's error.
+    at least), sites or texts are counted exactly, so the result does not hang on the sketch's error. A line of more than
+    `hot` rows is dealt to parts by the rows' column `deal`, an int (without it by the hash of site and text), with a sketch a
+    part, so no task holds a whole line; repeats of a (line, site) or (line, text) are dropped in each task before they are counted
+    exactly.
     """
-    found = lines(docs.select("site", F.xxhash64("text").alias("t"), "text"), "site", "t").drop("place")
+    deal = F.col("deal") if "deal" in docs.columns else F.hash("site", "text")
+    found = lines(docs.select("site", F.xxhash64("text").alias("t"), deal.alias("deal"), "text"), "site", "t", "deal").drop("place")
     often = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("site").alias("x"), F.max("site").alias("y"))
     often = often.where((F.col("n") >= max(min_sites, min_texts)) & ((F.col("x") < F.col("y")) | F.lit(min_sites <= 1)))
-    often = written(often.select("a", "b"), "frequent-lines")
-    guess = found.join(often, ["a", "b"]).groupBy("a", "b").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("t", F.lit(lg_k))).alias("texts")
-    )
+    often = written(often.select("a", "b", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "frequent-lines")
+
+    def met(keys: DataFrame) -> DataFrame:
+        """The rows of `found` whose lines are among `keys` (a, b, parts), and the part of its line that a row is dealt to."""
+        crowds = small(keys.where("parts > 1").select("a", "b", "parts"))  # each stands for more than `hot` rows
+        dealt = found.join(crowds, ["a", "b"], "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("deal", "parts")).cast("int")).drop("parts", "deal")
+        return dealt.join(keys.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["a", "b", "part"])
+
+    sketches = met(often).groupBy("a", "b", "part").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sites"), F.hll_sketch_agg("t", F.lit(lg_k)).alias("texts"))
+    guess = sketches.groupBy("a", "b").agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("sites", "texts")], (F.max("part") + 1).alias("parts"))
     limits = {"sites": min_sites, "texts": min_texts}
     slack = {c: max(1.0, band * n) for c, n in limits.items()}
     able = F.lit(True)
@@ -44,8 +54,8 @@ def spread_lines(docs: DataFrame, min_sites: int, min_texts: int, lg_k: int = 12
     out = guess
     for c, value in (("sites", "site"), ("texts", "t")):
         near = F.col(c) <= limits[c] + slack[c]
-        close = guess.where(near).select("a", "b")
-        exact = found.join(close, ["a", "b"]).select("a", "b", value).distinct().groupBy("a", "b").agg(F.count("*").alias("exact")).where(F.col("exact") >= limits[c])
+        close = met(guess.where(near)).select("a", "b", value).distinct()
+        exact = close.groupBy("a", "b").agg(F.count("*").alias("exact")).where(F.col("exact") >= limits[c])
         out = out.where(~near).unionByName(out.where(near).join(exact.select("a", "b"), ["a", "b"], "left_semi"))
     return out.select("a", "b")
 
@@ -61,7 +71,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, site: str = "source
     hash, to meet the places of their boilerplate lines.
     """
     docs = docs.drop("n_removed")
-    own = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), text_of().alias("text"))
+    own = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), text_of().alias("text"), F.hash(*[c for c, t in docs.dtypes if c != "text" and "map<" not in t]).alias("deal"))
     spread = written(spread_lines(own, min_sites, min_sites if min_texts is None else min_texts), "boilerplate")
     text_key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
     places = lines(own.select(*text_key, "text"), "t1", "t2").join(spread, ["a", "b"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))

@@ -144,3 +144,26 @@ def test_pages(spark):
     assert found[3] == ["Own 3 words"] and found[0] == ["Own 0 words"] * 2
     assert found[7] == ["a&amp;b"] and found[8] == [""] and found[9] == [""] and found[None] == ["q"]
     assert html_wrapper.extract_pages(table.limit(0)).count() == 0
+
+
+def test_hot_lines_are_dealt(spark):
+    """Lines of more rows than `hot` (copies of one text too) have the same spread in parts as whole."""
+    rows = [(i, f"every page\nsites {i % 4}\nown {i}", f"s{i % 12}") for i in range(300)] + [(1000 + i, "every page\ncopied line", "s0") for i in range(300)]
+    rows += [(2000 + i, f"nine sites\nrow {i}", f"s{i % 9}") for i in range(90)] + [(3000 + i, f"ten sites\nrow {i}", f"s{i % 10}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, site string")
+
+    def spread(**options):
+        found = line_dedup.spread_lines(docs.withColumn("deal", docs.doc_id.cast("int")), 10, 10, **options)
+        keys = line_dedup.lines(docs, "doc_id", "text").join(found, ["a", "b"])
+        return sorted((r.doc_id, r.place) for r in keys.select("doc_id", "place").collect())
+
+    whole = spread()
+    assert whole == spread(hot=7) == spread(hot=1)
+    sets = {}
+    for doc_id, text, site in rows:
+        for line in text.split("\n"):
+            sets.setdefault(line, (set(), set()))
+            sets[line][0].add(site), sets[line][1].add(text)
+    wide = {line for line, (sites, texts) in sets.items() if len(sites) >= 10 and len(texts) >= 10}
+    assert whole == sorted((doc_id, i) for doc_id, text, _ in rows for i, line in enumerate(text.split("\n")) if line in wide)
+    assert {"every page", "ten sites"} <= wide and "nine sites" not in wide
