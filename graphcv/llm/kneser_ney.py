@@ -2,8 +2,8 @@
 
 Symbols are the UTF-16 code units of the trusted text, the 4,094 most frequent of them, and one for all others; five of
 them are 60 bits of a long and contexts are shifts of it. All trusted text is counted. The distinct strings of each block
-of documents (a range of ids) go to shards as packed lists; a shard joins them with its part of the model, and each
-block gets just the strings that it needs, next to its compressed texts.
+of documents (a range of ids) go to shards as packed lists; a shard merges those of a block, joins them with its part of the
+model, and each block gets just the strings that it needs, once each, next to its compressed texts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from graphcv.llm.shared import id_values, in_ranges, ship, small, text_of, written
 
-ORDER, BITS, CHUNK = 5, 12, 4_000_000
+ORDER, BITS, CHUNK, SLICE = 5, 12, 4_000_000, 1_000_000
 OTHER = (1 << BITS) - 1
 SPREAD = 1_000_003  # strings are dealt to shards by their remainder
 
@@ -127,6 +127,35 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(raw), dtype=np.int64))
 
 
+def _answers(found: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """block, grams, logs: the strings of each block in `found` (block, grams), once each however many tasks listed them, with their logp in `model`."""
+    order = np.argsort(model["gram"].to_numpy())
+    known, logp = model["gram"].to_numpy()[order], model["logp"].to_numpy()[order]
+    out = []
+    for block, lists in found.groupby("block")["grams"]:
+        g = np.unique(np.concatenate([_unpacked(x) for x in lists]))
+        out.append((block, _packed(g), logp[np.searchsorted(known, g)].tobytes()))
+    return pd.DataFrame(out, columns=["block", "grams", "logs"])
+
+
+def _looked_up(g: np.ndarray, lists: dict[int, tuple[np.ndarray, np.ndarray]], shards: int) -> np.ndarray:
+    """The logp of each string of g in the list (ascending strings, logs) of its shard, slice by slice."""
+    out = np.empty(len(g))
+    for i in range(0, len(g), SLICE):
+        part, own = g[i : i + SLICE], out[i : i + SLICE]
+        shard = (part % SPREAD % shards).astype(np.int16)
+        order = np.argsort(shard, kind="stable")
+        ends = np.cumsum(np.bincount(shard, minlength=shards))
+        for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            at = order[ends[k - 1] if k else 0 : ends[k]]
+            asked, (known, logp) = part[at], lists.get(k, (np.zeros(0, np.int64), np.zeros(0)))
+            place = np.searchsorted(known, asked)
+            if not len(known) or (known[np.minimum(place, len(known) - 1)] != asked).any():
+                raise RuntimeError("a block met strings that it did not list")
+            own[at] = logp[place]
+    return out
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, chars_a_block: int = 48_000_000, bytes_a_group: int = 32 << 20) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity of every row of `docs` under a model of the rows of `trusted` (text).
 
@@ -182,28 +211,33 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chars_a_block: int = 48_00
     logs = probabilities(count_strings(trusted, table), asked)
     logs = logs.select((F.col("gram") % SPREAD % shards).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))).alias("deal"), "gram", "logp")
 
-    def answer(found: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(model["gram"].to_numpy())
-        known, logp = model["gram"].to_numpy()[order], model["logp"].to_numpy()[order]
-        return pd.DataFrame({"block": found["block"], "grams": found["grams"], "logs": [logp[np.searchsorted(known, _unpacked(x))].tobytes() for x in found["grams"]]})
+    def answer(key: tuple, found: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        return _answers(found, model).assign(shard=key[0])
 
-    answers = lists.groupBy("shard", "deal").cogroup(logs.groupBy("shard", "deal")).applyInPandas(answer, "block long, grams binary, logs binary")
+    answers = lists.groupBy("shard", "deal").cogroup(logs.groupBy("shard", "deal")).applyInPandas(answer, "block long, grams binary, logs binary, shard long")
 
     def score(texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        known = np.concatenate([np.zeros(0, np.int64), *[_unpacked(x) for x in model["grams"]]])
-        logp = np.concatenate([np.zeros(0), *[np.frombuffer(x) for x in model["logs"]]])
-        known, first = np.unique(known, return_index=True)
-        logp = logp[first]
-        out = []
+        lists = {int(k): (_unpacked(g), np.frombuffer(x)) for k, g, x in zip(model["shard"], model["grams"], model["logs"], strict=True)}
+        out, held = [], []
+
+        def flush():
+            if not held:
+                return
+            logp = _looked_up(np.concatenate([g for _, _, g in held]), lists, shards)
+            at = 0
+            for doc, lang, g in held:
+                out.append((doc, lang, len(g), float(np.exp(-logp[at : at + len(g)].mean())) if len(g) else None))
+                at += len(g)
+            held.clear()
+
+        n = 0
         for doc, lang, t in zip(texts["doc_id"], texts["lang"], texts["text"], strict=True):
-            g = grams(zlib.decompress(t).decode("utf-8", "surrogatepass"), table)
-            if not len(g):
-                out.append((doc, lang, 0, None))
-                continue
-            at = np.searchsorted(known, g)
-            if (known[np.minimum(at, len(known) - 1)] != g).any():
-                raise RuntimeError("a block met strings that it did not list")
-            out.append((doc, lang, len(g), float(np.exp(-logp[at].mean()))))
+            held.append((doc, lang, grams(zlib.decompress(t).decode("utf-8", "surrogatepass"), table)))
+            n += len(held[-1][2])
+            if n >= SLICE:
+                flush()
+                n = 0
+        flush()
         return pd.DataFrame(out, columns=["doc_id", "lang", "n_tokens", "perplexity"])
 
     named = own.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas has no whole numbers beside nulls

@@ -7,6 +7,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from graphcv.llm import decontamination, html_wrapper, jaccard_join, kneser_ney, rindex_dedup, sentencepiece_bpe, simhash, toxicity
@@ -174,6 +176,28 @@ def test_perplexity(spark, corpus):
             assert r.perplexity == pytest.approx(expected, rel=1e-9)
 
 
+def test_strings_of_a_block_are_answered_once():
+    """Many tasks list the same strings of a block; the block holds each once in memory, and looks its texts up shard by shard."""
+    rng, shards = np.random.default_rng(3), 7
+    strings = np.unique(rng.integers(0, 1 << 60, 5_000))
+    logp = -rng.random(len(strings))
+    asked = rng.choice(strings[:4_000], 20_000)
+    lists = {}
+    for k in range(shards):
+        own = np.flatnonzero(strings % kneser_ney.SPREAD % shards == k)
+        listed = np.intersect1d(strings[own], asked)
+        found = pd.DataFrame({"block": [5, 9] * 40, "grams": [kneser_ney._packed(np.sort(rng.choice(listed, len(listed) // 2, replace=False)) if i else listed) for i in range(40) for _ in range(2)]})
+        model = pd.DataFrame({"gram": strings[own], "logp": logp[own]}).sample(frac=1, random_state=1)
+        answers = kneser_ney._answers(found, model)
+        assert answers["block"].tolist() == [5, 9]
+        lists[k] = (kneser_ney._unpacked(answers["grams"][1]), np.frombuffer(answers["logs"][1]))
+        assert lists[k][0].tolist() == listed.tolist()
+    assert (kneser_ney._looked_up(asked, lists, shards) == logp[np.searchsorted(strings, asked)]).all()
+    with pytest.raises(RuntimeError):
+        kneser_ney._looked_up(strings[-1:], lists, shards)
+
+
+
 def test_templates(spark):
     items = [(1, "A train leaves Boston at 40 km and Maria waits 3 hours for the 40 km train to Boston.")]
     same = "Some words. A train leaves Paris at 75 km and Peter waits 9 hours for the 75 km train to Paris. More words."
