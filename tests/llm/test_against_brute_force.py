@@ -111,6 +111,31 @@ def test_encoder_equals_library():
         assert own.digest(text)[1] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_parts_encoded_together(monkeypatch):
+    """Many different words at once, the same as one by one and as the library; no word of usual length is encoded alone."""
+    import sentencepiece
+
+    path = sentencepiece_bpe.model_path()
+    own, library, rng = sentencepiece_bpe.PieceEncoder(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(7)
+    assert own.ordered
+    pieces = [p for p in own.shorter if sentencepiece_bpe.MARK not in p]
+    words = ["".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(3_000)] + ["aaaaaaaaaaaaa", "e" * 64, "ininininin", "x"]
+    ids, ends = own.together(words)
+    for w, a, b in zip(words, [0, *ends], ends):
+        assert [own.pieces[i] for i in ids[a:b]] == own._merged(w) == own.backtrack(w)
+    a, b = rng.choices(pieces, k=20_000), rng.choices(pieces[:2_000], k=20_000)
+    fits = own._all_fit(np.array([own.id[p] for p in a]), np.array([own.id[p] for p in b]))
+    assert fits.tolist() == [own._merged(p + q) == [p, q] for p, q in zip(a, b)]
+    assert not fits.all() and fits.any()
+    texts = [" ".join(rng.choices(words[:-3], k=20)).replace("q", "\n日") for _ in range(200)] + ["", "  ", "\n\n", "日", "▁a ▁"]
+    own.AT_ONCE = 2_000
+    monkeypatch.setattr(own, "TOGETHER", 10_000)
+    monkeypatch.setattr(own, "backtrack", None)
+    for t, found in zip(texts, own.digests(texts), strict=True):
+        ids = library.encode(t, add_eos=True)
+        assert found == (len(ids), *(hashlib.sha256(s.encode()).hexdigest() for s in (" ".join(map(str, ids)), library.decode(ids))))
+
+
 def test_near_fingerprints(spark):
     rng, mask = random.Random(1), (1 << 64) - 1
     prints = [rng.getrandbits(128) for _ in range(40)]
