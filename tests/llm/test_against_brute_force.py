@@ -98,6 +98,24 @@ def test_repeats_of_an_owner_of_many_kinds(spark):
     assert found == expected and sum(n > 0 for n, _ in expected.values()) > 100
 
 
+def test_copies_of_a_crowded_passage_are_not_met_in_one_task(spark):
+    rows = [(i, -i, 0, 400, 7 if i % 2 else i, 9) for i in range(4_000)] + [(i, -i, 500, 900, 8 + i // 4, 1) for i in range(40)]
+    cuts = rindex_dedup.written(spark.createDataFrame(rows, "t1 long, t2 long, a long, b long, h long, c long").repartition(8), "cuts")
+    counts = collections.Counter(r[4:] for r in rows)
+    kinds = spark.createDataFrame([(*k, n) for k, n in counts.items()], "h long, c long, n long")
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    saved = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        parts = rindex_dedup._copied(cuts, kinds).rdd.map(tuple).glom().collect()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert sorted(itertools.chain(*parts)) == sorted(r[:4] for r in rows if counts[r[4:]] > 1)
+    assert max(map(len, parts)) < 1_000  # in one task, of over 2,000; all 2,000 of one passage before
+
+
 def test_encoder_equals_library():
     import sentencepiece
 
